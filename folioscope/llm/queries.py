@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, packing, secrets, sharding, warc
+from . import html, langid, minhash, neardup_vectors, packing, secrets, sharding, warc
 from .common import table
 
 
@@ -19,6 +19,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.where(~langid.held_out()))
@@ -44,6 +52,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_sharding, op7_language_id, op8_warc, op9_packing, op10_secrets)
+    f.__name__: f for f in (op1_html_extraction, op2_sharding, op3_embedding_dedup, op4_minhash_dedup, op7_language_id, op8_warc, op9_packing, op10_secrets)
 }
 ORACLE_SQL: dict[str, str] = {}
