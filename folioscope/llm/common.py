@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,11 @@ class Workspace:
         at = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of tables that are written and no longer referenced."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         with contextlib.suppress(Exception):  # the session may have ended already
             self.drop()
