@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, minhash, neardup_vectors, packing, secrets, sharding, suffixes, warc
+from . import decontaminate, html, langid, minhash, neardup_vectors, packing, secrets, sharding, suffixes, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -56,6 +60,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_sharding, op3_embedding_dedup, op4_minhash_dedup, op6_suffix_dedup, op7_language_id, op8_warc, op9_packing, op10_secrets)
+    f.__name__: f for f in (op1_html_extraction, op2_sharding, op3_embedding_dedup, op4_minhash_dedup, op5_decontamination, op6_suffix_dedup, op7_language_id, op8_warc, op9_packing, op10_secrets)
 }
 ORACLE_SQL: dict[str, str] = {}
