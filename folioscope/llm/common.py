@@ -11,6 +11,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -58,9 +59,12 @@ class Workspace:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def release(self) -> None:
-        """Lets Spark remove the shuffle files of tables that are written and no longer referenced."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Lets Spark remove the shuffle files of tables that are written and no longer referenced: one
+        collection frees their plans, a second one what those held."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def close(self) -> None:
         with contextlib.suppress(Exception):  # the session may have ended already

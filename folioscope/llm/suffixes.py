@@ -8,13 +8,14 @@ least hash, leftmost among equals), which neighbouring windows share.
 Pass 1, first digit: runs of neighbouring windows with one minimizer travel as one item, about one for
 35 bytes. Items are dealt by minimizer. An item that equals an earlier one is a repeat as a whole; a
 minimizer with one distinct item is done, as its windows occur nowhere else.
-Pass 2, remaining digits: items whose minimizer has several distinct items are split into windows,
-sorted by the digest of all their bytes. All but the first of an equal group are repeats.
+Pass 2, remaining digits: items whose minimizer has several distinct items are dealt by it once more, now
+with their bytes, and split into windows there, which are sorted by the digest of all their bytes. All
+but the first of an equal group are repeats.
 
 Scale: each task drops the repeats it sees itself before anything is dealt out, so a passage in a third
-of all rows sends one item from a task; a minimizer with many distinct items in a task skips to pass 2
-there and leaves a mark, so no minimizer gathers more than ``HOT`` items from a task. Digests have 128
-bits, in pass 1 together with the minimizer's.
+of all rows sends one item from a task. A minimizer with many distinct items in a task leaves a mark;
+what belongs to marked minimizers is split into windows at once and dealt by window, so no minimizer
+gathers more than ``HOT`` items from a task. Digests have 128 bits, with the minimizer's.
 
 Cases: a null text is empty; texts shorter than ``length`` have no window and are kept. Repeated texts
 lose every byte but in the document of smallest id. Matches never cross documents; overlaps within one
@@ -36,10 +37,10 @@ from .common import Workspace, mix64
 
 GRAM = 32
 HOT = 16
-BUFFER = 1 << 20  # bytes hashed at a time
+BUFFER = 1 << 17  # bytes hashed at a time, so that arrays stay in a core's cache
 FLUSH = 1_500_000  # items a task sorts at a time
 ITEM = "kind byte, anchor long, digest long, doc_id long, start long, n int"
-REPEAT, ITEM_KIND, SPLIT, MARK = 1, 0, 2, 3
+ITEM_KIND, REPEAT, SPLIT, MARK, HOT_SPLIT = range(5)
 
 
 def _digits(seed: int) -> np.ndarray:
@@ -54,24 +55,30 @@ def _join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return z
 
 
-def window_hashes(data: np.ndarray, length: int, seed: int = 1) -> dict[int, np.ndarray]:
-    """Hashes of all windows of ``GRAM`` and of ``length`` bytes, from those of powers of two."""
+def power_hashes(data: np.ndarray, length: int, seed: int = 1) -> dict[int, np.ndarray]:
+    """Hashes of all pieces of 1, 2, 4, ... bytes, up to what ``hash_at`` needs for ``length``."""
     have = {1: _digits(seed)[data]}
     size = 1
     while 2 * size <= max(length, GRAM):
         h = have[size]
         have[2 * size] = _join(h[:-size], h[size:]) if len(h) > size else h[:0]
         size *= 2
-    out = {}
-    for want in {GRAM, length}:
-        parts = [s for s in sorted(have, reverse=True) if want & s]
-        total = max(0, len(data) - want + 1)
-        h, at = have[parts[0]][:total], parts[0]
-        for p in parts[1:]:
-            h = _join(h, have[p][at : at + total])
-            at += p
-        out[want] = mix64(h)
-    return out
+    return have
+
+
+def hash_at(have: dict[int, np.ndarray], at: np.ndarray | slice, length: int) -> np.ndarray:
+    """Hashes of the pieces of ``length`` bytes at the places ``at``."""
+    parts = [s for s in sorted(have, reverse=True) if length & s]
+    move = (lambda k: slice(at.start + k, at.stop + k)) if isinstance(at, slice) else (lambda k: at + k)
+    h, done = have[parts[0]][move(0)], parts[0]
+    for p in parts[1:]:
+        h = _join(h, have[p][move(done)])
+        done += p
+    return mix64(h)
+
+
+def window_hashes(data: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
+    return hash_at(power_hashes(data, length, seed), slice(0, max(0, len(data) - length + 1)), length)
 
 
 def minimizers(h: np.ndarray, width: int) -> np.ndarray:
@@ -109,18 +116,21 @@ def buffers(ids: list[int], texts: Iterable[bytes], length: int) -> Iterator[tup
 
 def items_of(data: np.ndarray, owner: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(anchor, digest, doc_id, start, n) of the runs of neighbouring windows with one minimizer."""
-    h = window_hashes(data, length)
+    have = power_hashes(data, length)
+    grams = have[GRAM] * np.uint64(0xD6E8FEB86659FD93)
+    grams ^= grams >> np.uint64(32)
     total = len(data) - length + 1
     at = np.flatnonzero(owner[:total] >= 0)
-    anchor = minimizers(h[GRAM], length - GRAM + 1)[at]
+    anchor = minimizers(grams, length - GRAM + 1)[at]
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (np.diff(anchor) != 0) | (np.diff(owner[at]) != 0)
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(at)))
-    lo, hi, a = at[first], at[first] + n - 1, anchor[first]
+    lo, a = at[first], anchor[first]
     with np.errstate(over="ignore"):
-        digest = mix64(_join(_join(h[length][lo], h[length][hi]), (a - lo).astype(np.uint64) * np.uint64(1 << 20) + n.astype(np.uint64)))
-    return h[GRAM][a].view(np.int64), digest.view(np.int64), owner[lo], start[lo], n
+        where = (a - lo).astype(np.uint64) * np.uint64(1 << 20) + n.astype(np.uint64)
+        digest = mix64(_join(_join(hash_at(have, lo, length), hash_at(have, lo + n - 1, length)), where))
+    return mix64(have[GRAM][a]).view(np.int64), digest.view(np.int64), owner[lo], start[lo], n
 
 
 def _batch(kind: np.ndarray | int, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -154,7 +164,11 @@ def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
 def local_pass(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """What a task sends on of its own items: repeats, first items, and those of hot minimizers."""
     anchor, digest, doc, start, n = (np.concatenate(c) for c in zip(*held, strict=True))
-    order = np.lexsort((start, doc, digest, anchor))
+    # A sort by half of either digest, after one by place: groups may come apart where halves collide,
+    # which only sends more on, as pass 1 settles all items again.
+    halves = (anchor.view(np.uint64) & np.uint64(0xFFFFFFFF00000000)) | (digest.view(np.uint64) >> np.uint64(32))
+    order = np.argsort(doc, kind="stable")
+    order = order[np.argsort(halves[order], kind="stable")]
     anchor, digest, doc, start, n = (c[order] for c in (anchor, digest, doc, start, n))
     other = np.ones(len(anchor), bool)
     other[1:] = np.diff(anchor) != 0
@@ -167,7 +181,7 @@ def local_pass(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     send, split = first & ~hot, first & hot
     yield from _batch(ITEM_KIND, anchor[send], digest[send], doc[send], start[send], n[send])
     parts = _runs(doc[split], start[split], n[split])
-    yield from _batch(SPLIT, _spread(parts[0], parts[1]), parts[0], *parts)
+    yield from _batch(HOT_SPLIT, _spread(parts[0], parts[1]), parts[0], *parts)
     marks = anchor[other & hot]
     yield from _batch(MARK, marks, marks * 0, marks * 0, marks * 0, marks * 0)
 
@@ -209,13 +223,16 @@ def _groups(batches: Iterable[pa.RecordBatch], key: str, least: int = 200_000) -
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
+SETTLED = "kind byte, anchor long, doc_id long, start long, n int"
+
+
 def settle_items(items: DataFrame) -> DataFrame:
-    """Kinds REPEAT and SPLIT after the first digit, from the items of all tasks."""
+    """What the first digit leaves, from the items of all tasks: REPEAT and HOT_SPLIT runs, SPLIT items."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, anchor, digest, doc, start, n in _groups(batches, "anchor"):
-            ready = (kind == REPEAT) | (kind == SPLIT)
-            yield from _batch(kind[ready], *(c[ready] for c in (anchor, digest, doc, start, n)))
+            ready = (kind == REPEAT) | (kind == HOT_SPLIT)
+            yield from out(kind[ready], *(c[ready] for c in (anchor, doc, start, n)))
             kind, anchor, digest, doc, start, n = (c[~ready] for c in (kind, anchor, digest, doc, start, n))
             if not len(kind):
                 continue
@@ -226,70 +243,147 @@ def settle_items(items: DataFrame) -> DataFrame:
             first = other.copy()
             first[1:] |= (np.diff(digest) != 0) | (np.diff(kind) != 0)
             group = np.cumsum(other) - 1
-            several = np.bincount(group, weights=first)[group] > 1  # a mark counts as another item
+            marked = np.bincount(group, weights=kind == MARK)[group] > 0
+            several = np.bincount(group, weights=first)[group] > 1
             item = kind == ITEM_KIND
-            for what, rows in ((REPEAT, item & ~first), (SPLIT, item & first & several)):
+            for what, rows in ((REPEAT, item & ~first), (HOT_SPLIT, item & first & marked)):
                 got = _runs(doc[rows], start[rows], n[rows])
-                yield from _batch(what, got[0], got[0], *got)
+                yield from out(what, got[0], *got)
+            rows = item & first & several & ~marked
+            yield from out(SPLIT, anchor[rows], doc[rows], start[rows], n[rows])
+
+    def out(kind, anchor, doc, start, n) -> Iterator[pa.RecordBatch]:
+        yield from (b.select(["kind", "anchor", "doc_id", "start", "n"]) for b in _batch(kind, anchor, anchor, doc, start, n))
+
+    return items.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SETTLED)
+
+
+PIECE = "kind byte, key long, w2 long, doc_id long, start long, n int, body binary"
+
 
-    return items.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, ITEM).select("kind", "doc_id", "start", "n")
+def _pieces(kind: int, key: np.ndarray, w2: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, body: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(key), 20_000):
+        cut = slice(at, at + 20_000)
+        m = len(key[cut])
+        cols = [np.full(m, kind, np.int8), key[cut], w2[cut], doc[cut], start[cut], n[cut].astype(np.int32)]
+        blob = pa.array(body[cut], pa.binary()) if body is not None else pa.nulls(m, pa.binary())
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in cols), blob], ["kind", "key", "w2", "doc_id", "start", "n", "body"])
 
 
-WINDOW = "kind byte, w1 long, w2 long, doc_id long, start long, n int"
+def _hot_windows(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Windows of marked minimizers: the repeats a task sees itself, and the first of each kind."""
+    w1, w2, doc, start = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((start, doc, w2, w1))
+    w1, w2, doc, start = (c[order] for c in (w1, w2, doc, start))
+    first = np.ones(len(w1), bool)
+    first[1:] = (np.diff(w1) != 0) | (np.diff(w2) != 0)
+    again = _runs(doc[~first], start[~first], np.ones((~first).sum(), np.int64))
+    yield from _pieces(REPEAT, _spread(again[0], again[1]), again[0] * 0, *again)
+    yield from _pieces(HOT_SPLIT, w1[first], w2[first], doc[first], start[first], np.ones(first.sum(), np.int64))
 
 
-def second_pass(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, n) of the repeated windows among ``runs``, by all their bytes."""
-    by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+def cut_items(docs: DataFrame, settled: DataFrame, length: int) -> DataFrame:
+    """PIECE rows: the bytes of SPLIT items, by minimizer, and the windows of HOT_SPLIT runs, by window."""
+    by_doc = settled.where(F.col("kind") != REPEAT).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "anchor", "start", "n")).alias("runs"))
     body = docs.select("doc_id", F.col("text").cast("binary").alias("body"))
 
-    def firsts(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        w1, w2, doc, start = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((start, doc, w2, w1))
-        w1, w2, doc, start = (c[order] for c in (w1, w2, doc, start))
-        first = np.ones(len(w1), bool)
-        first[1:] = (np.diff(w1) != 0) | (np.diff(w2) != 0)
-        again = _runs(doc[~first], start[~first], np.ones((~first).sum(), np.int64))
-        yield from out(REPEAT, _spread(again[0], again[1]), again[0], *again)
-        yield from out(ITEM_KIND, w1[first], w2[first], doc[first], start[first], np.ones(first.sum(), np.int64))
-
-    def out(kind: int, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for b in _batch(kind, *cols):
-            yield b.rename_columns(["kind", "w1", "w2", "doc_id", "start", "n"])
-
-    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         rows = 0
         for b in batches:
-            for i, t, parts in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                i, t = i.as_py(), np.frombuffer(t.as_buffer(), np.uint8)
-                s, n = (parts.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-                _, s, n = _runs(np.zeros(len(s), np.int64), s, n)
-                for at, count in zip(s.tolist(), n.tolist(), strict=True):
-                    for k in range(at, at + count, BUFFER):
-                        m = min(BUFFER, at + count - k)
-                        piece = t[k : k + m + length - 1]
-                        held.append((window_hashes(piece, length, 2)[length].view(np.int64), window_hashes(piece, length, 3)[length].view(np.int64), np.full(m, i), np.arange(k, k + m)))
-                        rows += m
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                keys, docs_, starts, counts, blobs = [], [], [], [], []
+                for i, t, runs in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
+                    t = t.as_buffer().to_pybytes()
+                    kind, anchor, s, n = (runs.values.field(k).to_numpy() for k in range(4))
+                    plain = kind == SPLIT
+                    keys.append(anchor[plain])
+                    starts.append(s[plain])
+                    counts.append(n[plain])
+                    docs_.append(np.full(plain.sum(), i))
+                    blobs += [t[a : a + m + length - 1] for a, m in zip(s[plain].tolist(), n[plain].tolist(), strict=True)]
+                    _, s, n = _runs(np.zeros((~plain).sum(), np.int64), s[~plain], n[~plain].astype(np.int64))
+                    for at, count in zip(s.tolist(), n.tolist(), strict=True):
+                        for k in range(at, at + count, BUFFER):
+                            m = min(BUFFER, at + count - k)
+                            piece = np.frombuffer(t, np.uint8, m + length - 1, k)
+                            held.append((window_hashes(piece, length, 2).view(np.int64), window_hashes(piece, length, 3).view(np.int64), np.full(m, i), np.arange(k, k + m)))
+                            rows += m
+                key, doc, start, n = (np.concatenate(c) for c in (keys, docs_, starts, counts))
+                yield from _pieces(SPLIT, key, key * 0, doc, start, n, blobs)
                 if rows >= FLUSH:
-                    yield from firsts(held)
+                    yield from _hot_windows(held)
                     held, rows = [], 0
         if held:
-            yield from firsts(held)
-
-    def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, w1, w2, doc, start, n in _groups(batches, "w1"):
-            ready = kind == REPEAT
-            order = np.lexsort((start, doc, w2, w1, ready))
-            ready, w1, w2 = ready[order], w1[order], w2[order]
-            again = np.zeros(len(w1), bool)
-            again[1:] = (np.diff(w1) == 0) & (np.diff(w2) == 0)
-            take = order[again | ready]
-            got = _runs(doc[take], start[take], n[take])
+            yield from _hot_windows(held)
+
+    return body.join(by_doc, "doc_id").select("doc_id", "body", "runs").mapInArrow(run, PIECE)
+
+
+def _repeats_in(key: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, body: pa.Array, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of repeated windows among items; ``key`` names their minimizers, all of whose items are here."""
+    order = np.lexsort((start, doc))
+    w, owner, at = [], [], []
+    for lo in range(0, len(order), 512):
+        part = order[lo : lo + 512]
+        blobs = body.take(pa.array(part))
+        data = np.frombuffer(b"".join(blobs.to_pylist()), np.uint8)
+        sizes = n[part].astype(np.int64) + length - 1
+        ends = np.cumsum(sizes)
+        valid = np.ones(len(data), bool)
+        valid[(ends[:, None] - np.arange(1, length)).ravel()] = False
+        place = np.flatnonzero(valid)
+        h = hash_at(power_hashes(data, length, 2), place, length)
+        item = np.repeat(np.arange(len(part)), n[part])
+        with np.errstate(over="ignore"):
+            w.append(mix64(h + key[part].view(np.uint64)[item]))
+        owner.append(doc[part][item])
+        at.append(start[part][item] + place - (ends - sizes)[item])
+    w, owner, at = (np.concatenate(c) for c in (w, owner, at))
+    by = np.argsort(w, kind="stable")  # items came in order of place, so the first of equals is the earliest
+    again = np.zeros(len(w), bool)
+    again[by[1:]] = np.diff(w[by]) == 0
+    return _runs(owner[again], at[again], np.ones(again.sum(), np.int64))
+
+
+def settle_pieces(pieces: DataFrame, length: int) -> DataFrame:
+    """(doc_id, start, n): runs of repeated windows, from the pieces of all tasks."""
+
+    def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= 20_000:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                k = whole.column("key").to_numpy()
+                cut = int(np.searchsorted(k, k[-1]))
+                if cut:
+                    yield whole.slice(0, cut)
+                held, rows = whole.slice(cut).to_batches(), len(k) - cut
+        if rows:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches):
+            kind, key, w2, doc, start, n = (t.column(k).to_numpy() for k in range(6))
+            rows = np.flatnonzero(kind == HOT_SPLIT)
+            rows = rows[np.lexsort((start[rows], doc[rows], w2[rows], key[rows]))]
+            same = np.zeros(len(rows), bool)
+            same[1:] = (np.diff(key[rows]) == 0) & (np.diff(w2[rows]) == 0)
+            take = np.concatenate([rows[same], np.flatnonzero(kind == REPEAT)])
+            parts = [(doc[take], start[take], n[take].astype(np.int64))]
+            rows = np.flatnonzero(kind == SPLIT)
+            if len(rows):
+                body = t.column(6).combine_chunks().take(pa.array(rows))
+                body = body.combine_chunks() if isinstance(body, pa.ChunkedArray) else body
+                parts.append(_repeats_in(key[rows], doc[rows], start[rows], n[rows], body, length))
+            got = _runs(*(np.concatenate(c) for c in zip(*parts, strict=True)))
             yield from (b.select(["doc_id", "start", "n"]) for b in _batch(REPEAT, got[0], got[0], *got))
 
-    windows = body.join(by_doc, "doc_id").select("doc_id", "body", "runs").mapInArrow(split, WINDOW)
-    return windows.repartition("w1").sortWithinPartitions("w1").mapInArrow(settle, "doc_id long, start long, n int")
+    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, start long, n int")
 
 
 def repeated_spans(docs: DataFrame, ws: Workspace, length: int = 100) -> DataFrame:
@@ -297,7 +391,7 @@ def repeated_spans(docs: DataFrame, ws: Workspace, length: int = 100) -> DataFra
     settled = ws.keep(settle_items(first_pass(docs, length)), "settled")
     ws.release()
     again = settled.where(F.col("kind") == REPEAT).select("doc_id", "start", "n")
-    more = ws.keep(second_pass(docs, settled.where(F.col("kind") == SPLIT).select("doc_id", "start", "n"), length), "windows")
+    more = ws.keep(settle_pieces(cut_items(docs, settled, length), length), "windows")
     ws.release()
     return again.unionByName(more)
 
