@@ -1,4 +1,370 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, one for each operator.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Documents play the part of files: a line is a block, six lines are a page, and geometry follows from the
+line number. Benchmark items are the questions. The index over them is built once in a session.
+"""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import textcols as T
+from ..operators import answers, audit, chunking, fusion, layout, lexical, metrics, vectors
+from ..settings import Settings
+from ..sources import store
+from .oracle import ORACLE_SQL  # noqa: F401  (read by the entry module)
+
+SETTINGS = Settings()
+DEPTH = 10
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"), F.posexplode(F.split("text", "\n")).alias("ln", "text"))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ln = F.col("ln")
+    two = lambda wide, left, right: F.when(ln % 4 == 0, wide).when(ln % 4 == 1, left).otherwise(right)
+    return lines(spark, sf_dir).select(
+        "source", (1 + F.floor(ln / 6)).cast("int").alias("page"), ln.alias("ord"), two(50.0, 50.0, 320.0).alias("x0"),
+        ((ln * 5) % 6 * 40.0).alias("y0"), two(560.0, 290.0, 560.0).alias("x1"), F.lit(306.0).alias("mid"), "text",
+        F.when(ln % 11 == 10, 1).otherwise(0).alias("block_type"),
+    )
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_table(layout.page_blocks(blocks(spark, sf_dir), SETTINGS), SETTINGS)
+
+
+_built: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> fusion.Index:
+    """The stored index over ``sf_dir``, below the shared folder of the cluster if there is one."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            local = tempfile.mkdtemp(prefix="folioscope-index-")
+            atexit.register(shutil.rmtree, local, True)
+            shared = f"file://{local}"
+        path = f"{shared}/index-{uuid.uuid4().hex}"
+        store.build(chunks(spark, sf_dir), path)
+        _built[key] = path
+    return store.load(spark, _built[key])
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select((F.col("item_id") + 1).alias("qid"), F.col("text").alias("question"), (F.col("item_id") % 5 < 3).alias("answerable"))
+
+
+def keyword(spark: SparkSession, sf_dir: str, ix: fusion.Index) -> DataFrame:
+    return lexical.keyword_scores(questions(spark, sf_dir), ix.postings, ix.words, ix.avg_len)
+
+
+def evaluation(spark: SparkSession, sf_dir: str, ix: fusion.Index) -> DataFrame:
+    """Questions with expected pages, evidence and absent terms, taken from the keyword ranking."""
+    asked = questions(spark, sf_dir)
+    ranked = lexical.keyword_ranking(keyword(spark, sf_dir, ix), 3).where(F.col("rank") == 1 + F.col("qid") % 3)
+    at = ranked.join(ix.chunks, "ord").join(asked.where("answerable").select("qid"), "qid", "left_semi")
+    short = F.when(F.col("qid") % 4 == 0, F.substring("text", 5, 5)).when(F.col("qid") % 4 == 2, F.substring("text", 5, 40))
+    evidence = short.otherwise(F.concat(F.substring("text", 5, 20), F.lit("zz")))
+    known = at.select("qid", F.array(F.struct("source", F.col("page").cast("int").alias("page"))).alias("expected_pages"), evidence.alias("evidence"))
+    terms = F.array(F.concat(F.lit("zzqx"), F.col("qid").cast("string")), F.array_min(T.tokenize("question")))
+    absent = F.when(~F.col("answerable") & (F.col("qid") % 4 != 0), terms).otherwise(F.array().cast("array<string>"))
+    return asked.withColumn("absent", absent).join(known, "qid", "left")
+
+
+def retrieved(spark: SparkSession, sf_dir: str, ix: fusion.Index, **options) -> DataFrame:
+    return fusion.retrieve(questions(spark, sf_dir).select("qid", "question"), ix, SETTINGS, **options)
+
+
+def judged(spark: SparkSession, sf_dir: str, ix: fusion.Index, mode: str = "hybrid", distinct: bool = True) -> DataFrame:
+    rows = evaluation(spark, sf_dir, ix)
+    truth = audit.widen_truth(rows, ix.chunks)
+    return metrics.outcomes(retrieved(spark, sf_dir, ix, mode=mode, distinct_pages=distinct), rows, truth)
+
+
+def clean_text(spark, sf_dir):
+    t = F.col("text")
+    for old, new in (("th", "ﬁ"), (", ", "-\n"), (" of ", "   of—"), (". ", ".’ \n ")):
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return read(spark, sf_dir, "documents").select("doc_id", T.clean(t).alias("text"))
+
+
+def noise_filter(spark, sf_dir):
+    return lines(spark, sf_dir).select("source", "ln", T.is_noise("text").alias("noise"))
+
+
+def column_side(spark, sf_dir):
+    b = blocks(spark, sf_dir).where("block_type = 0")
+    return b.select("source", "page", "ord", layout.column_side(F.col("x0"), F.col("x1"), F.col("mid"), SETTINGS.column_tolerance).alias("side"))
+
+
+def reading_order(spark, sf_dir):
+    return layout.read_order(blocks(spark, sf_dir).where("block_type = 0"), SETTINGS).select("source", "page", "ord", "side", "band", "pos")
+
+
+def page_blocks(spark, sf_dir):
+    return layout.page_blocks(blocks(spark, sf_dir), SETTINGS)
+
+
+def sentence_split(spark, sf_dir):
+    return lines(spark, sf_dir).select("source", "ln", F.posexplode(T.sentences("text")).alias("k", "sentence")).withColumn("k", F.col("k") + 1)
+
+
+def tokenize(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.tokenize("text")).alias("k", "word")).withColumn("k", F.col("k") + 1)
+
+
+def normalise_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.normalise("text").alias("text"))
+
+
+def pack_chunks(spark, sf_dir):
+    return chunking.pack_pages(layout.page_blocks(blocks(spark, sf_dir), SETTINGS), SETTINGS)
+
+
+def chunk_table(spark, sf_dir):
+    return index(spark, sf_dir).chunks.select("ord", "chunk_id", "doc_id", "source", "page", "text")
+
+
+def _documents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"))
+
+
+def skipped_docs(spark, sf_dir):
+    return chunking.skipped(_documents(spark, sf_dir), index(spark, sf_dir).chunks)
+
+
+def index_stats(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    return store.stats(_documents(spark, sf_dir), ix.chunks, ix.dim)
+
+
+def index_sync(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    a = ix.chunks.where("ord % 89 <> 3 OR ord % 97 = 5")
+    return store.unmatched(a, ix.vectors.where("ord % 97 <> 5"))
+
+
+def term_postings(spark, sf_dir):
+    return index(spark, sf_dir).postings.select("word", "ord", "tf")
+
+
+def passage_lengths(spark, sf_dir):
+    return lexical.passage_lengths(index(spark, sf_dir).chunks)
+
+
+def corpus_stats(spark, sf_dir):
+    return lexical.corpus_stats(passage_lengths(spark, sf_dir)).select("n", F.round("avg_len", 6).alias("avg_len"))
+
+
+def idf_table(spark, sf_dir):
+    return index(spark, sf_dir).words.select("word", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_scores(spark, sf_dir):
+    return keyword(spark, sf_dir, index(spark, sf_dir)).select("qid", "ord", F.round("keyword", 6).alias("keyword"))
+
+
+def keyword_topk(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    top = lexical.keyword_ranking(keyword(spark, sf_dir, ix), SETTINGS.top_k)
+    return top.join(ix.chunks, "ord").select("qid", F.col("rank").alias("n"), "chunk_id", "source", "page", F.round("keyword", 6).alias("keyword"))
+
+
+def hashed_vectors(spark, sf_dir):
+    v = index(spark, sf_dir).vectors.select("ord", F.explode(F.arrays_zip("slots", "vals")).alias("x"))
+    return v.select("ord", F.col("x.slots").alias("slot"), F.round("x.vals", 6).alias("v"))
+
+
+def dense_topk(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    unit = vectors.StoredVectors().embed(rows)
+    parts = None
+    for qids, matrix in vectors.question_blocks(unit.where("id % 100 = 0"), 64):
+        part = vectors.dense_ranking(vectors.search(unit.withColumnRenamed("id", "ord"), qids, matrix, DEPTH), DEPTH)
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.select("qid", F.col("ord").alias("vec_id"), "rank", F.round("cosine", 6).alias("cosine"))
+
+
+def dense_text_topk(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    found = fusion.hits(questions(spark, sf_dir), ix, SETTINGS, "dense", False, vectors.HashedWords())
+    return found.select("qid", "n", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def top_score(spark, sf_dir):
+    return fusion.top_scores(questions(spark, sf_dir), index(spark, sf_dir), vectors.HashedWords()).select("qid", F.round("top_score", 6).alias("top_score"))
+
+
+def _fused(spark, sf_dir, ix, pages: bool):
+    depth = fusion.depth_for(DEPTH, pages, ix.page_chunks)
+    dense, words = fusion.rankings(questions(spark, sf_dir), ix, depth, True, vectors.HashedWords())
+    return fusion.fused_order(fusion.rrf([dense, words]), dense)
+
+
+def rrf_fusion(spark, sf_dir):
+    return _fused(spark, sf_dir, index(spark, sf_dir), False).where(F.col("rank") <= DEPTH).select("qid", "rank", "ord", F.round("fused", 9).alias("fused"))
+
+
+def one_per_page(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    ranked = _fused(spark, sf_dir, ix, True).join(ix.chunks.select("ord", "source", "page"), "ord")
+    return fusion.one_per_page(ranked).where(F.col("rank") <= DEPTH).select("qid", "rank", "ord", "source", "page")
+
+
+def hybrid_topk(spark, sf_dir):
+    found = fusion.hits(questions(spark, sf_dir), index(spark, sf_dir), SETTINGS, "hybrid", True, vectors.HashedWords())
+    return found.select("qid", "n", "chunk_id", "source", "page", "text", F.round("score", 6).alias("score"), F.round("fused", 9).alias("fused"))
+
+
+def abstention_guard(spark, sf_dir):
+    asked = questions(spark, sf_dir).select("qid", "question")
+    top = fusion.top_scores(asked, index(spark, sf_dir), vectors.HashedWords())
+    return fusion.guard(asked, top, SETTINGS.sim_threshold).select("qid", F.round("top_score", 6).alias("top_score"), "abstain")
+
+
+def refusal_text(spark, sf_dir):
+    rows = retrieved(spark, sf_dir, index(spark, sf_dir)).where("abstain")
+    return answers.answer(rows).select("qid", "answer")
+
+
+def extractive_answer(spark, sf_dir):
+    rows = retrieved(spark, sf_dir, index(spark, sf_dir)).where("not abstain")
+    return answers.answer(rows).select("qid", "answer")
+
+
+def prompt_context(spark, sf_dir):
+    return retrieved(spark, sf_dir, index(spark, sf_dir)).select("qid", answers.prompt_context().alias("context"))
+
+
+def citations(spark, sf_dir):
+    rows = answers.answer(retrieved(spark, sf_dir, index(spark, sf_dir)))
+    return rows.select("qid", F.explode("citations").alias("c")).select("qid", "c.n", "c.source", "c.page", "c.score", "c.chunk_id")
+
+
+def sentinel_guard(spark, sf_dir):
+    rows = retrieved(spark, sf_dir, index(spark, sf_dir))
+    said = F.transform("hits", lambda h: h.withField("text", F.when(h["n"] == 1, answers.SENTINEL).otherwise(h["text"])))
+    rows = rows.withColumn("hits", F.when(F.col("qid") % 3 == 0, said).otherwise(F.col("hits")))
+    return answers.answer(rows).select("qid", "abstained", "answer")
+
+
+def request_validation(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.col("text").alias("question"), (F.col("conv_id") % 23).cast("int").alias("top_k"),
+        ((F.col("turn") % 5 - 2) / 2.0).alias("threshold"), F.when(F.col("role") == "system", "other").alias("mode"),
+    )
+    return answers.validate(rows, SETTINGS).select("conv_id", "turn", "top_k", "threshold", "valid")
+
+
+def cited_pages(spark, sf_dir):
+    rows = retrieved(spark, sf_dir, index(spark, sf_dir))
+    text = F.format_string("As shown [%d, %d], and again [%d]; see [99] and [x].", (1 + F.col("qid") % 4), (2 + F.col("qid") % 3), (1 + F.col("qid") % 4))
+    return answers.cited_pages(rows.select("qid", text.alias("text"), "hits"))
+
+
+def page_texts(spark, sf_dir):
+    return audit.page_texts(index(spark, sf_dir).chunks)
+
+
+def evidence_pages(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    return audit.evidence_pages(evaluation(spark, sf_dir, ix), audit.page_texts(ix.chunks))
+
+
+def expected_pages(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    return audit.widen_truth(evaluation(spark, sf_dir, ix), ix.chunks)
+
+
+def question_problems(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    return audit.problems(evaluation(spark, sf_dir, ix), ix.chunks)
+
+
+def question_notes(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    return audit.notes(evaluation(spark, sf_dir, ix), ix.chunks)
+
+
+def eval_metrics(spark, sf_dir):
+    return metrics.evaluate(judged(spark, sf_dir, index(spark, sf_dir)))
+
+
+def latency_percentiles(spark, sf_dir):
+    return metrics.latency(read(spark, sf_dir, "events"), "value")
+
+
+def eval_misses(spark, sf_dir):
+    return metrics.misses(judged(spark, sf_dir, index(spark, sf_dir))).withColumn("top_score", F.round("top_score", 6))
+
+
+def setup_diff(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    return metrics.setup_diff(judged(spark, sf_dir, ix, "dense", False), judged(spark, sf_dir, ix, "hybrid", False))
+
+
+def _compared(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    rows = None
+    for name, mode, distinct in metrics.SETUPS:
+        own = judged(spark, sf_dir, ix, mode, distinct).withColumn("setup", F.lit(name))
+        rows = own if rows is None else rows.unionByName(own)
+    return metrics.evaluate(rows, "setup")
+
+
+def setup_compare(spark, sf_dir):
+    return _compared(spark, sf_dir)
+
+
+def setup_report(spark, sf_dir):
+    return metrics.report(_compared(spark, sf_dir)).where("figure <> 'Right page cited first'")
+
+
+def threshold_sweep(spark, sf_dir):
+    return metrics.sweep(judged(spark, sf_dir, index(spark, sf_dir)))
+
+
+def llm_metrics(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    rows = evaluation(spark, sf_dir, ix)
+    passed = retrieved(spark, sf_dir, ix).where("not abstain")
+    q = F.col("qid")
+    said = passed.select(
+        "qid", "hits", F.format_string("It is so [%d].", 1 + q % 2).alias("answer"),
+        (q % 5 == 2).alias("abstained"), F.when(q % 7 == 3, "no reply").alias("error"),
+    )
+    return metrics.llm_metrics(metrics.llm_records(said.drop("hits"), rows, audit.widen_truth(rows, ix.chunks), said.select("qid", "hits")))
+
+
+def error_streaks(spark, sf_dir):
+    rows = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("qid"), F.when(F.col("quality") == 0, "error").otherwise("answered").alias("outcome"))
+    return metrics.error_streaks(rows)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        clean_text, noise_filter, column_side, reading_order, page_blocks, sentence_split, tokenize, normalise_text, pack_chunks,
+        chunk_table, skipped_docs, index_stats, index_sync, term_postings, passage_lengths, corpus_stats, idf_table, bm25_scores,
+        keyword_topk, hashed_vectors, dense_topk, dense_text_topk, top_score, rrf_fusion, one_per_page, hybrid_topk,
+        abstention_guard, refusal_text, extractive_answer, prompt_context, citations, sentinel_guard, request_validation,
+        cited_pages, page_texts, evidence_pages, expected_pages, question_problems, question_notes, eval_metrics,
+        latency_percentiles, eval_misses, setup_diff, setup_compare, setup_report, threshold_sweep, llm_metrics, error_streaks,
+    )
+}
