@@ -17,8 +17,9 @@ The chance that a pair at the threshold of 0.8 shares no bucket is (1 - 0.8^6)^4
 
 Cases: a document with fewer words than ``width`` has its whole sequence as its only shingle; without
 words or text its set is empty and it links with nothing. Repeated rows and texts fall into one class.
-Texts of any length count whole. Extra columns are ignored. An empty table gives an empty result.
-doc_id must be unique and not null.
+Texts of any length count whole. Extra columns are ignored. An empty table gives an empty result. Rows
+without an id join the class of their set, whose id is the smallest there is; rows that share an id are
+one node.
 """
 
 from __future__ import annotations
@@ -144,11 +145,9 @@ def _alike(common: Column, n: Column, m: Column, percent: int) -> Column:
     return 100 * common >= percent * (n + m - common)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets reach the similarity. Only the texts that occur in
-    ``pairs`` are shingled again; a set is sent once for each of its pairs, one side at a time."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = sets_of(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), width)
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full sets reach the similarity. A set is sent once for each of its
+    pairs, one side at a time."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -168,6 +167,7 @@ def classes(docs: DataFrame, ws: Workspace, width: int, percent: int = 80, permu
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
     reps = ws.keep(reps, "reps")
+    ws.release()
     members = reps.select("rep", "n", F.explode("bands").alias("bucket"))
     # Buckets of two and more, with one pivot each; then every member of them.
     pivots = members.groupBy("bucket").agg(
@@ -175,6 +175,11 @@ def classes(docs: DataFrame, ws: Workspace, width: int, percent: int = 80, permu
     ).where("size > 1")
     shared = ws.keep(members.join(pivots.select("bucket", "pivot", F.col("far.rep").alias("other")), "bucket"), "shared")
 
+    # The one time that texts are exchanged: the sets of all members of shared buckets.
+    ids = shared.select(F.col("rep").alias("doc_id")).distinct()
+    sets = ws.keep(sets_of(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), width), "sets")
+    ws.release()
+
     def links_to(pivot: str, rest: DataFrame) -> DataFrame:
         heads = reps.select(F.col("rep").alias(pivot), F.col("n").alias("m"))
         pairs = rest.where(F.col("rep") != F.col(pivot)).select(F.least("rep", pivot).alias("a"), F.greatest("rep", pivot).alias("b")).distinct()
@@ -188,21 +193,46 @@ def classes(docs: DataFrame, ws: Workspace, width: int, percent: int = 80, permu
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = ws.keep(pairs, f"pairs{i}")
-        found = ws.keep(confirm(pairs, docs, width, percent), f"links{i}")
+        found = ws.keep(confirm(pairs, sets, percent), f"links{i}")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         component = connected_components(links, ws, f"cc{i}")
-    rest = ws.keep(_unsettled(shared, component).select("bucket", "rep", "n", "component"), "rest")
-    x = rest.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = rest.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _size_allows("na", "nb", percent))
-    pairs = ws.keep(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs2")
-    links = links.unionByName(ws.keep(confirm(pairs, docs, width, percent), "links2"))
+        ws.release()
+    rest = ws.keep(_unsettled(shared, component).select("rep", "n", "component").distinct(), "rest")
+    ws.release()
+    pairs = ws.keep(prefix_pairs(rest, sets, percent).join(tried, ["a", "b"], "left_anti"), "pairs2")
+    links = links.unionByName(ws.keep(confirm(pairs, sets, percent), "links2"))
     component = connected_components(links, ws, "cc2")
     by_class = reps.select("digest", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return facts.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left").select("doc_id", "n_shingles", "component")
 
 
+def prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``rest(rep, n, component)`` that may link, in different components.
+
+    With all shingles in one order, rarest first, two sets of n and m members that share at least
+    o = t (n + m) / (1 + t) of them share one among the first n - o + 1 of one and the first m - o + 1 of
+    the other. A shingle of a single document finds no partner and only takes up a place; so a copy with
+    too many changes of its own meets nobody, however large its group is. This is exact: it leaves out
+    no pair that reaches the similarity.
+    """
+    t = percent / 100
+    own = sets.join(rest.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    tokens = own.select(F.col("doc_id").alias("rep"), F.explode("members").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    held = tokens.join(common, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
+    single = F.col("n") - F.size("held")
+    most = F.floor(F.col("n") * (1 - t) + 1e-9) + 1  # the longest such part, for a partner of the least size
+    part = F.slice("held", 1, F.greatest(most - single, F.lit(0)).cast("int"))
+    rows = rest.join(held, "rep").select("rep", "n", "component", single.alias("single"), F.posexplode(part).alias("k", "x"))
+    rows = rows.select("rep", "n", "component", (F.col("single") + F.col("k") + 1).alias("at"), F.col("x.token").alias("token"))
+    x = rows.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("at").alias("pa"))
+    y = rows.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("at").alias("pb"))
+    need = F.ceil(t * (F.col("na") + F.col("nb")) / (1 + t) - 1e-9)
+    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _size_allows("na", "nb", percent)
+    return x.join(y, "token").where(near & (F.col("pa") <= F.col("na") - need + 1) & (F.col("pb") <= F.col("nb") - need + 1)).select("a", "b").distinct()
+
+
 def _unsettled(shared: DataFrame, component: DataFrame) -> DataFrame:
     """The members of buckets that still hold several components, with ``component``."""
     known = shared.drop("component").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -214,4 +244,4 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id and kept for every row of ``docs(doc_id, text)``."""
     ws = Workspace(docs.sparkSession, "minhash")
     out = classes(docs, ws, width, percent).withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
