@@ -12,9 +12,10 @@ benchmark is worked off block by block against all documents. Documents are neve
 only grouped by document and item, so a copy in a third of all rows does no harm.
 
 Cases: words are runs of letters, digits and underscores, in lower case. Null and empty texts have none.
-Items of fewer than three words match nothing. Repeated items and rows are matched each. Documents of
-any length are searched whole. A document without a copy gives no row. Extra columns are ignored. Empty
-tables give an empty result. Ids must be unique and not null.
+Items of fewer than three words, and items without an id, match nothing. Repeated items and rows are
+matched each; rows or items that share an id give one row for each pair of ids. Documents of any length
+are searched whole. A document without a copy gives no row; one without an id gives rows with a null id.
+Extra columns are ignored. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -60,11 +61,12 @@ def seed_hashes(words: list[str], hashes: WordHashes) -> np.ndarray:
 
 
 class Items:
-    """The items of a block with their seeds."""
+    """The items of a block with their seeds, by place in the block; ``ids`` has their own ids."""
 
     def __init__(self, rows: list[tuple[int, str | None]]) -> None:
         hashes = WordHashes()
-        self.words = {i: words_of((t or "").lower()) for i, t in rows}
+        self.ids = [i for i, _ in rows]
+        self.words = {k: words_of((t or "").lower()) for k, (_, t) in enumerate(rows)}
         self.seeds = {i: seed_hashes(w, hashes) for i, w in self.words.items() if len(w) >= SEED_WORDS}
         self.where: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, s in self.seeds.items():
@@ -167,7 +169,7 @@ def rare_seeds(items: Items, n_docs: dict[int, int]) -> dict[int, set[int]]:
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
     held, size = [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
+    for r in benchmark.select("item_id", "text").where("item_id is not null").toLocalIterator():
         held.append((r.item_id, r.text))
         size += len((r.text or "").split()) + 1
         if size >= BLOCK_SEEDS:
@@ -199,7 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                     if not rare[item].isdisjoint(seeds):
                         sim, score, first, end = align(items.words[item], words)
                         if sim >= similarity:
-                            rows.append((i, item, sim, score, lo + first, lo + end))
+                            rows.append((i, items.ids[item], sim, score, lo + first, lo + end))
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "similarity", "score", "first_word", "end_word"])

@@ -132,12 +132,14 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
 
 def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """``docs`` with lang_pred and score (the cosine, cut to 0..1); all of its columns stay."""
+    cols = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    held = "_" + max(docs.columns, key=len)  # the text once more, under a name no column has
     names = list(model)
     prototypes = np.array([model[n] for n in names]).reshape(len(names), DIMENSIONS)
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.names.index("_text")).to_pylist()
+            texts = b.column(b.schema.names.index(held)).to_pylist()
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             for rows, codes in groups(texts) if names else ():
                 v = bundles(codes).astype(np.float64)
@@ -147,13 +149,12 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                 for k, i in enumerate(rows):
                     if len(codes[k]) and norm[k] > 0:
                         pred[i], score[i] = names[best[k]], min(1.0, max(0.0, float(cos[k, best[k]])))
-            keep = [c for c, n in zip(b.columns, b.schema.names, strict=True) if n != "_text"]
-            kept = [n for n in b.schema.names if n != "_text"]
+            keep = [c for c, n in zip(b.columns, b.schema.names, strict=True) if n != held]
+            kept = [n for n in b.schema.names if n != held]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(pred), pa.array(score)], [*kept, "lang_pred", "score"])
 
-    cols = [c for c in docs.columns if c not in ("lang_pred", "score")]
     out = docs.select(*cols).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*cols, F.col("text").alias("_text")).mapInArrow(label, out)
+    return docs.select(*cols, F.col("text").alias(held)).mapInArrow(label, out)
 
 
 def is_held_out(doc_id: int) -> bool:

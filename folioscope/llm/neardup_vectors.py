@@ -13,8 +13,8 @@ links; so no task emits all pairs of a group, and the forests have the component
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null
 label, link with nothing. Vectors of different length are not compared. Repeated vectors are linked to
-each other (cosine 1). Extra columns are ignored. An empty table gives an empty result. vec_id must be
-unique and not null.
+each other (cosine 1). A vector without an id links with nothing and is kept; vectors that share an id are one
+node. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -199,7 +199,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """``vectors(vec_id, embedding, label)`` to vec_id, n_links, component_id, kept."""
     ws = Workspace(vectors.sparkSession, "vectors")
     vec = F.col("embedding").cast("array<double>")
-    good = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
+    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
     rows = ws.keep(vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.when(F.coalesce(good, F.lit(False)), F.transform(vec, lambda x: x + F.lit(0.0))).alias("vec")), "rows")
     valid = rows.where("vec is not null").withColumn("key", F.unhex(F.md5(F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").cast("binary"))))
     reps = ws.keep(valid.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "reps")
@@ -218,5 +218,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     linked = valid.select("vec_id", "label", "key").join(by_class, ["label", "key"]).select("vec_id", "links", "component")
     alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
     return linked.unionByName(alone).select(
-        "vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), (F.col("component") == F.col("vec_id")).alias("kept")
+        "vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("vec_id")).alias("kept")
     )

@@ -7,8 +7,8 @@ hold, with fewer and fewer partitions, until one partition of bounded size remai
 longer merges bins. Every piece is placed exactly once.
 
 Cases: a null or empty text is the end id alone. Equal documents are packed separately. Texts of any
-length are tokenized whole. Extra columns are ignored. An empty table gives an empty result. doc_id
-must be unique and not null.
+length are tokenized whole. Extra columns are ignored. An empty table gives an empty result. A null id
+stays null, and rows that share an id are packed each.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ MAX_TOKENS = 2048
 END_ID = 0
 NEARLY_FULL = 2040
 ITEMS_PER_TASK = 40_000
+NO_ID = -(1 << 63)  # stands for a null id between rounds
 FAN_IN = 8
 PIECE = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 
@@ -172,7 +173,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for k, at, n, crc in cut(np.concatenate([encoder.encode(text.as_py() or ""), end])):
-                    row = np.array([(i, k, at, n, crc)], PIECE).tobytes()
+                    row = np.array([(NO_ID if i is None else i, k, at, n, crc)], PIECE).tobytes()
                     (ready if n == MAX_TOKENS else held).append((n, row))
             if len(held) + len(ready) >= ITEMS_PER_TASK:
                 yield from _packed([n for n, _ in held + ready], [r for _, r in held + ready], 0, seen)
@@ -226,8 +227,9 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             counts = [len(x) for x in each]
             rows = np.concatenate(each)
             offset = np.concatenate([np.cumsum(x["length"], dtype=np.int64) - x["length"] for x in each])
-            cols = [rows["doc_id"], rows["piece"], rows["start"], rows["length"].astype(np.int64), rows["crc"].astype(np.int64), np.repeat(b.column(0).to_numpy(), counts), offset]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            ids = pa.array(np.ascontiguousarray(rows["doc_id"]), mask=rows["doc_id"] == NO_ID)
+            cols = [rows["piece"], rows["start"], rows["length"].astype(np.int64), rows["crc"].astype(np.int64), np.repeat(b.column(0).to_numpy(), counts), offset]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(c)) for c in cols)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return bins.select("sequence", "members").mapInArrow(
         spread, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

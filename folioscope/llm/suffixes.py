@@ -20,7 +20,8 @@ gathers more than ``HOT`` items from a task. Digests have 128 bits, with the min
 Cases: a null text is empty; texts shorter than ``length`` have no window and are kept. Repeated texts
 lose every byte but in the document of smallest id. Matches never cross documents; overlaps within one
 document count. Texts of any length are treated whole. Extra columns are ignored. An empty table gives
-an empty result. doc_id must be unique and not null.
+an empty result. Rows with a null id are kept whole and take no part. Rows that share an id count as one
+place: none is a repeat of another at the same start, and spans found in either are cut from both.
 """
 
 from __future__ import annotations
@@ -156,6 +157,12 @@ def _runs(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return doc[first], start[first], reach[last] - start[first]
 
 
+def _later(first: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which rows of sorted groups come at a later place than their group's first row."""
+    head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    return ~first & ((doc != doc[head]) | (start != start[head]))
+
+
 def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Keys that deal rows evenly."""
     return mix64((doc * 1_000_003 + start).view(np.uint64)).view(np.int64)
@@ -167,14 +174,15 @@ def local_pass(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     # A sort by half of either digest, after one by place: groups may come apart where halves collide,
     # which only sends more on, as pass 1 settles all items again.
     halves = (anchor.view(np.uint64) & np.uint64(0xFFFFFFFF00000000)) | (digest.view(np.uint64) >> np.uint64(32))
-    order = np.argsort(doc, kind="stable")
+    order = np.lexsort((start, doc))
     order = order[np.argsort(halves[order], kind="stable")]
     anchor, digest, doc, start, n = (c[order] for c in (anchor, digest, doc, start, n))
     other = np.ones(len(anchor), bool)
     other[1:] = np.diff(anchor) != 0
     first = other.copy()
     first[1:] |= np.diff(digest) != 0
-    again = _runs(doc[~first], start[~first], n[~first])
+    late = _later(first, doc, start)
+    again = _runs(doc[late], start[late], n[late])
     yield from _batch(REPEAT, _spread(again[0], again[1]), again[0], *again)
     group = np.cumsum(other) - 1
     hot = np.bincount(group, weights=first)[group] >= HOT
@@ -246,7 +254,7 @@ def settle_items(items: DataFrame) -> DataFrame:
             marked = np.bincount(group, weights=kind == MARK)[group] > 0
             several = np.bincount(group, weights=first)[group] > 1
             item = kind == ITEM_KIND
-            for what, rows in ((REPEAT, item & ~first), (HOT_SPLIT, item & first & marked)):
+            for what, rows in ((REPEAT, item & _later(first, doc, start)), (HOT_SPLIT, item & first & marked)):
                 got = _runs(doc[rows], start[rows], n[rows])
                 yield from out(what, got[0], *got)
             rows = item & first & several & ~marked
@@ -277,7 +285,8 @@ def _hot_windows(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]
     w1, w2, doc, start = (c[order] for c in (w1, w2, doc, start))
     first = np.ones(len(w1), bool)
     first[1:] = (np.diff(w1) != 0) | (np.diff(w2) != 0)
-    again = _runs(doc[~first], start[~first], np.ones((~first).sum(), np.int64))
+    late = _later(first, doc, start)
+    again = _runs(doc[late], start[late], np.ones(late.sum(), np.int64))
     yield from _pieces(REPEAT, _spread(again[0], again[1]), again[0] * 0, *again)
     yield from _pieces(HOT_SPLIT, w1[first], w2[first], doc[first], start[first], np.ones(first.sum(), np.int64))
 
@@ -342,9 +351,10 @@ def _repeats_in(key: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarr
         at.append(start[part][item] + place - (ends - sizes)[item])
     w, owner, at = (np.concatenate(c) for c in (w, owner, at))
     by = np.argsort(w, kind="stable")  # items came in order of place, so the first of equals is the earliest
-    again = np.zeros(len(w), bool)
-    again[by[1:]] = np.diff(w[by]) == 0
-    return _runs(owner[again], at[again], np.ones(again.sum(), np.int64))
+    first = np.ones(len(w), bool)
+    first[1:] = np.diff(w[by]) != 0
+    again = by[_later(first, owner[by], at[by])]
+    return _runs(owner[again], at[again], np.ones(len(again), np.int64))
 
 
 def settle_pieces(pieces: DataFrame, length: int) -> DataFrame:
@@ -371,9 +381,9 @@ def settle_pieces(pieces: DataFrame, length: int) -> DataFrame:
             kind, key, w2, doc, start, n = (t.column(k).to_numpy() for k in range(6))
             rows = np.flatnonzero(kind == HOT_SPLIT)
             rows = rows[np.lexsort((start[rows], doc[rows], w2[rows], key[rows]))]
-            same = np.zeros(len(rows), bool)
-            same[1:] = (np.diff(key[rows]) == 0) & (np.diff(w2[rows]) == 0)
-            take = np.concatenate([rows[same], np.flatnonzero(kind == REPEAT)])
+            first = np.ones(len(rows), bool)
+            first[1:] = (np.diff(key[rows]) != 0) | (np.diff(w2[rows]) != 0)
+            take = np.concatenate([rows[_later(first, doc[rows], start[rows])], np.flatnonzero(kind == REPEAT)])
             parts = [(doc[take], start[take], n[take].astype(np.int64))]
             rows = np.flatnonzero(kind == SPLIT)
             if len(rows):
@@ -399,7 +409,7 @@ def repeated_spans(docs: DataFrame, ws: Workspace, length: int = 100) -> DataFra
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs(doc_id, text)`` to doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay)."""
     ws = Workspace(docs.sparkSession, "suffixes")
-    spans = repeated_spans(docs, ws, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    spans = repeated_spans(docs.where("doc_id is not null"), ws, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     body = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
