@@ -4,7 +4,8 @@ secrets, packing.
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet into
 the shared folder and reads again for the next one. All stages but the last return the columns of
 ``documents``; rows that a stage removes are gone for those after it. Null and empty texts pass the
-language stage only if it can name a language, so they end there. Empty tables give an empty result.
+language stage only if it can name a language, so they end there. Rows without an id cannot be told apart
+and are kept by the second and third stage. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near duplicates (five words, similarity 0.8)."""
     kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    named = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return named.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
