@@ -46,6 +46,8 @@ NOISE = frozenset(
     "sponsor sponsored sponsors promo promos promotion outbrain taboola toolbar copyright legal disclaimer colophon skip hidden".split()
 )
 KEPT_WORDS = frozenset("article main content post entry story body".split())
+MODIFIERS = frozenset("has with no without is not".split())  # "has-sidebar" tells what a block holds, not what it is
+ARTICLE_NOISE = frozenset("ad ads advert comment comments promo promos related reply sponsored teaser teasers".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s|/)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -62,9 +64,10 @@ class Node:
         self.density = self.total = 0.0
 
 
-def is_noise(tag: str, attributes: str, parent: Node) -> bool:
-    """Whether an element starts a part that is no article text, by its name, role and class words."""
-    if tag in DROPPED:
+def is_noise(tag: str, attributes: str, parent: Node, forms: bool = False) -> bool:
+    """Whether an element starts a part that is no article text, by its name, role and class words.
+    ``forms``: a form may hold the article."""
+    if tag in DROPPED and not (forms and tag == "form"):
         return True
     if tag == "header":  # an article's own header is part of it
         up: Node | None = parent
@@ -84,16 +87,19 @@ def is_noise(tag: str, attributes: str, parent: Node) -> bool:
             return True
         if name == "role" and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            noise = ARTICLE_NOISE if tag == "article" else NOISE
             for label in value.split():
                 words = [w.lower() for w in WORD.findall(label)]
+                if MODIFIERS & set(words):
+                    continue
                 words += [a + b for a, b in zip(words, words[1:], strict=False)]  # "side-bar" is "sidebar"
-                if any(w in NOISE for w in words) and not (words and KEPT_WORDS & set(words) and words[0] not in NOISE):
+                if any(w in noise for w in words) and not (KEPT_WORDS & set(words) and words[0] not in noise):
                     return True
     return False
 
 
-def parse(html: str) -> Node:
+def parse(html: str, forms: bool = False) -> Node:
     """The tree below a root; raw and dropped elements keep no text."""
     root = Node("body", None)
     at, here = 0, root
@@ -147,7 +153,7 @@ def parse(html: str) -> Node:
                 up = up.parent
             while up is not None and up.tag in SAME_LEVEL[tag] and up.parent is not None:
                 here = up = up.parent
-        node = Node(tag, here, here.dropped or is_noise(tag, m[3] or "", here))
+        node = Node(tag, here, here.dropped or is_noise(tag, m[3] or "", here, forms))
         here.children.append(node)
         if tag not in VOID and not (m[0].endswith("/>") and tag in ("path", "circle")):
             here = node
@@ -255,7 +261,10 @@ def text_of(nodes: list[Node | str]) -> str:
 
 
 def extract(html: str | None) -> str:
-    return text_of(main_nodes(parse(html))) if html else ""
+    """The main text of a page. A form around the whole page is opened if nothing is left without it."""
+    if not html:
+        return ""
+    return text_of(main_nodes(parse(html))) or text_of(main_nodes(parse(html, forms=True)))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
