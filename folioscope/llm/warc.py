@@ -9,7 +9,8 @@ record are checked, and a fault raises ``ValueError``.
 Cases: a null html is an empty payload, still a record. Repeated payloads of ``min_revisit`` bytes or
 more become revisits of the one with the largest id; shorter ones are all responses. Null urls give an
 empty target URI. An empty table gives no archive and an empty result. Columns other than id, url and
-html are ignored, whatever their names. Ids must be unique and not null.
+html are ignored, whatever their names. A null id stays null and is never revisited; rows that share an id
+are separate records.
 """
 
 from __future__ import annotations
@@ -36,15 +37,16 @@ REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-di
 ROW = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
     """The bytes of one WARC record; a revisit carries no block, only the length and digest of its payload."""
     digest = hashlib.sha1(payload).hexdigest().encode()
     block = b"" if refers_to is not None else payload
+    name = b"<urn:page:%s>" % (b"null" if page_id is None else b"%d" % page_id)
     clean = " ".join((url or "").split()).encode()
     head = [
         VERSION,
         b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"),
-        b"WARC-Record-ID: <urn:page:%d>" % page_id,
+        b"WARC-Record-ID: " + name,
         b"WARC-Date: 1970-01-01T00:00:00Z",
         b"WARC-Target-URI: " + clean,
         b"WARC-Payload-Digest: sha1:" + digest,
@@ -121,7 +123,13 @@ def frames(archive: bytes) -> Iterator[bytes]:
         yield raw
 
 
-def parse(raw: bytes) -> tuple[int, int, str, str, int | None, str, bytes]:
+def page_number(urn: bytes) -> int | None:
+    if not (urn.startswith(b"<urn:page:") and urn.endswith(b">")):
+        raise ValueError(f"bad record id {urn[:80]!r}")
+    return None if urn[10:-1] == b"null" else int(urn[10:-1])
+
+
+def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None, str, bytes]:
     """(id, payload length, digest, type, refers_to, url, payload) of one record, after checking it."""
     head, sep, rest = raw.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
@@ -140,7 +148,7 @@ def parse(raw: bytes) -> tuple[int, int, str, str, int | None, str, bytes]:
         raise ValueError(f"missing or bad header: {e}") from e
     if rest[n:] != b"\r\n\r\n" or len(rest) != n + 4:
         raise ValueError("block length differs from Content-Length")
-    payload, number = rest[:n], lambda v: int(v.removeprefix(b"<urn:page:").removesuffix(b">"))
+    payload = rest[:n]
     if not digest.startswith("sha1:"):
         raise ValueError("unknown digest algorithm")
     if kind == "response":
@@ -150,14 +158,14 @@ def parse(raw: bytes) -> tuple[int, int, str, str, int | None, str, bytes]:
     elif kind == "revisit":
         if n or b"warc-refers-to" not in fields:
             raise ValueError("bad revisit record")
-        refers = number(fields[b"warc-refers-to"])
+        refers = page_number(fields[b"warc-refers-to"])
     else:
         raise ValueError(f"unknown record type {kind}")
-    return number(rid), total, digest[5:], kind, refers, fields.get(b"warc-target-uri", b"").decode(), payload
+    return page_number(rid), total, digest[5:], kind, refers, fields.get(b"warc-target-uri", b"").decode(), payload
 
 
 def write_archives(
-    pages: DataFrame, where: str, *, min_revisit: int = 1000, archive_bytes: int = 8 << 20,
+    pages: DataFrame, where: str, *, min_revisit: int = 1000, archive_bytes: int = 4 << 20,
     dict_bytes: int = 16 << 10, sample_records: int = 200, sample_bytes: int = 4096,
 ) -> None:
     """Write ``pages(page_id, url, html)`` as archives below ``where``.
@@ -192,7 +200,7 @@ def write_archives(
             return pa.RecordBatch.from_arrays([pa.array([w.finish()], pa.binary())], ["archive"])
 
         held, writer, held_bytes = [], None, 0
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             for i, u, p, ref in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = record(i, u, p, ref)
                 if writer is None:
@@ -226,7 +234,7 @@ def read_archives(spark: SparkSession, where: str) -> DataFrame:
                     i, n, digest, kind, refers, url, payload = parse(raw)
                     got.append((i, n, digest, kind, refers, url, payload if kind == "response" else None))
                     held += len(raw)
-                    if held > 16 << 20:
+                    if held > 4 << 20:
                         yield pack(got)
                         got, held = [], 0
                 if got:
@@ -237,7 +245,7 @@ def read_archives(spark: SparkSession, where: str) -> DataFrame:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(where).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(where).where("length > 0").select("content")
     return files.mapInArrow(rows, ROW + ", url string, payload binary")
 
 
