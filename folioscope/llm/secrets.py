@@ -28,11 +28,12 @@ ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
 WIDTH = len(ALPHABET)
 IDENTIFIERS = """customer_account_number get_user_by_identifier configuration_parameters maximumConnectionTimeout
 application/x-www-form-urlencoded text/html;charset src/main/resources/application internationalization
-2024-01-31T12-00-00 1234567890 0000000000 ------------------------ ======================== ____________________
+2024-01-31T12-00-00 1234567890 0000000000 1111111111 2222222222 3333333333 4444444444 5555555555
+6666666666 7777777777 8888888888 9999999999 this-is-the-title-of-a-page ------------------------ ======================== ____________________
 responsibility_assignment ThisIsALongClassNameForTesting http_request_handler_factory node_modules/package/index"""
 SAMPLE_DOCS = 2000  # documents, of least hashed id, whose words teach the model of ordinary identifiers
 RANDOM_STRINGS = 4000
-THRESHOLD = 0.75  # nats per transition
+THRESHOLD = 1.2  # nats per transition; random strings of 20 characters and more lie above 1.5, names below 1.1
 SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
@@ -92,7 +93,9 @@ def ordinary_strings(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
     those of least hashed id (a bounded sample, for training alone)."""
     spark = docs.sparkSession
     fixed = spark.createDataFrame([(w,) for w in IDENTIFIERS.split() for _ in range(20)], "w string")
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    # Ids alone are sorted; at most n of them go to the tasks that read the texts.
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
     words = some.select(F.explode(F.regexp_extract_all(_clean(F.col("text")), F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("w"))
     return words.unionByName(fixed)
 
