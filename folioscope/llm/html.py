@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -34,6 +35,7 @@ DROPPED = frozenset(
     "textarea option datalist nav menu aside footer dialog noembed noframes xmp title".split()
 )
 CLOSES_P = BLOCK - {"br", "body", "html", "head", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"} | {"li", "dd", "dt"}
+P_BARRIERS = frozenset("td th table button object caption".split())
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist"}}
 PLAIN = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure b i em strong span code br".split())
@@ -55,10 +57,13 @@ WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "chars", "links", "tags", "link_tags", "density", "total", "paragraph", "inner")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        # The paragraph that is open here, and whether an article, main part or section is.
+        self.paragraph: Node | None = self if tag == "p" else None if parent is None or tag in P_BARRIERS else parent.paragraph
+        self.inner: bool = tag in ("article", "main", "section") or parent is not None and parent.inner
         self.children: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
@@ -69,14 +74,8 @@ def is_noise(tag: str, attributes: str, parent: Node, forms: bool = False) -> bo
     ``forms``: a form may hold the article."""
     if tag in DROPPED and not (forms and tag == "form"):
         return True
-    if tag == "header":  # an article's own header is part of it
-        up: Node | None = parent
-        while up is not None:
-            if up.tag in ("article", "main", "section"):
-                break
-            up = up.parent
-        else:
-            return True
+    if tag == "header" and not parent.inner:  # an article's own header is part of it
+        return True
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -103,6 +102,15 @@ def parse(html: str, forms: bool = False) -> Node:
     """The tree below a root; raw and dropped elements keep no text."""
     root = Node("body", None)
     at, here = 0, root
+    opened: Counter[str] = Counter()  # so that stray end tags cost nothing
+
+    def close(node: Node) -> None:
+        nonlocal here
+        while here is not node:
+            opened[here.tag] -= 1
+            here = here.parent
+        opened[node.tag] -= 1
+        here = node.parent
 
     def text(piece: str) -> None:
         if piece and not here.dropped:
@@ -124,11 +132,12 @@ def parse(html: str, forms: bool = False) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            up: Node | None = here
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up is not root and up.parent is not None:
-                here = up.parent
+            if opened[tag]:
+                while here.tag != tag or here is root:
+                    opened[here.tag] -= 1
+                    here = here.parent
+                opened[tag] -= 1
+                here = here.parent
             elif tag in ("p", "br") and not here.dropped:
                 here.children.append(Node("br", here))
             continue
@@ -141,24 +150,20 @@ def parse(html: str, forms: bool = False) -> Node:
             elif tag in ("script", "style", "textarea", "title", "xmp"):
                 at = n
             continue
-        if tag in CLOSES_P or tag == "p":
-            up = here
-            while up is not None and up.tag not in ("p", "td", "th", "table", "button", "object", "caption"):
-                up = up.parent
-            if up is not None and up.tag == "p" and up.parent is not None:
-                here = up.parent
-        if tag in SAME_LEVEL:
+        if (tag in CLOSES_P or tag == "p") and here.paragraph is not None:
+            close(here.paragraph)
+        if tag in SAME_LEVEL and any(opened[t] for t in SAME_LEVEL[tag]):
             up, stop = here, SCOPE[tag]
-            while up is not None and up.tag not in SAME_LEVEL[tag] and up.tag not in stop:
+            while up is not root and up.tag not in SAME_LEVEL[tag] and up.tag not in stop:
                 up = up.parent
-            while up is not None and up.tag in SAME_LEVEL[tag] and up.parent is not None:
-                here = up = up.parent
+            while up is not root and up.tag in SAME_LEVEL[tag]:
+                close(up)
+                up = here
         node = Node(tag, here, here.dropped or is_noise(tag, m[3] or "", here, forms))
         here.children.append(node)
-        if tag not in VOID and not (m[0].endswith("/>") and tag in ("path", "circle")):
+        if tag not in VOID:
             here = node
-        if tag == "br":
-            here = node.parent
+            opened[tag] += 1
 
 
 def measure(root: Node) -> list[Node]:

@@ -36,7 +36,7 @@ def letter_vectors() -> np.ndarray:
 
 @lru_cache(1)
 def class_table() -> np.ndarray:
-    """The class of every code point of the first plane; those beyond are no letters here."""
+    """The class of every code point of the first plane."""
     out = np.zeros(1 << 16, np.uint8)
     for cp in range(1 << 16):
         if not 0xD800 <= cp < 0xE000 and chr(cp).isalpha():
@@ -55,7 +55,9 @@ def run_codes(text: str) -> tuple[np.ndarray, bool]:
     """Codes of all runs of three with a letter in them, and whether the text has any letter.
     White space and signs in a row count as one break, also at both ends."""
     cps = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = np.where(cps < 1 << 16, class_table()[np.minimum(cps, 0xFFFF)], 0)
+    classes = class_table()[np.minimum(cps, 0xFFFF)]
+    for cp in np.unique(cps[cps >= 1 << 16]).tolist():
+        classes[cps == cp] = 27 + cp % 37 if chr(cp).isalpha() else 0
     if not classes.any():
         return np.zeros(0, np.int64), False
     keep = np.ones(len(classes), bool)
@@ -162,5 +164,5 @@ def is_held_out(doc_id: int) -> bool:
 
 
 def held_out(column: str = "doc_id"):
-    """crc32 of the id as text, modulo 5, is 0."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
+    """crc32 of the id as text, modulo 5, is 0; false for a null id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -35,7 +35,7 @@ def test_main_text(page, want):
 
 
 def test_main_text_of_a_table(spark):
-    deep = "<div>" * 3000 + "deep text" + "</div>" * 3000
+    deep = "<div>" * 60_000 + "deep text" + "</b></i>" * 60_000 + "<p>" * 20_000 + "</div>" * 60_000
     data = [(1, "u", "<article><p>a</p></article>"), (1, "u", "<article><p>a</p></article>"), (None, None, None), (3, "u", deep), (4, "u", "<article><p>" + "long words " * 100_000 + "</p></article>")]
     got = {(r.page_id, r.text[:9], r.n_chars) for r in html.main_text(frame(spark, data, PAGES)).collect()}
     assert got == {(1, "a", 1), (None, "", 0), (3, "deep text", 9), (4, "long word", 1_099_999)}
@@ -95,11 +95,11 @@ def test_archive_bytes_and_faults():
 
 
 def test_languages(spark, corpus):
-    docs = frame(spark, [d for d in corpus if d[0] < 1000] + [(9001, None, "en", "", 0), (9002, "1234 !!", "en", "", 0), (9003, "", None, "", 0), (9004, "le " * 100_000, None, "", 0)])
+    docs = frame(spark, [d for d in corpus if d[0] < 1000] + [(9001, None, "en", "", 0), (9002, "1234 !!", "en", "", 0), (9003, "", None, "", 0), (9005, "\U0001d465 \U0001f600", None, "", 0), (9006, "\U0001f600", None, "", 0), (9004, "le " * 100_000, None, "", 0)])
     model = langid.train(docs.where(~langid.held_out()))
     assert set(model) == {"en", "fr", "de", "es"}
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
-    assert "lang" in got[0] and got[9001].lang_pred == got[9002].lang_pred == got[9003].lang_pred == "und" and got[9004].lang_pred == "fr"
+    assert "lang" in got[0] and got[9001].lang_pred == got[9002].lang_pred == got[9003].lang_pred == got[9006].lang_pred == "und" != got[9005].lang_pred and got[9004].lang_pred == "fr"
     known = [(got[i].lang_pred, lang) for i, t, lang, *_ in corpus if i < 1000 and langid.is_held_out(i) and len(t or "") > 20]
     assert len(known) > 25 and np.mean([a == b for a, b in known]) > 0.95 and all(0 <= r.score <= 1 for r in got.values())
 
