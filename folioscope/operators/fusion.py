@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import Settings
-from . import lexical, vectors
+from . import scan, vectors
 
 MODES = ("dense", "hybrid")
 
@@ -20,6 +20,7 @@ class Index:
 
     chunks: DataFrame  # ord, chunk_id, doc_id, source, page, text
     vectors: DataFrame  # ord, slots, vals
+    passages: DataFrame  # ord, slots, vals, len, words, tfs
     postings: DataFrame  # word, ord, tf, len
     words: DataFrame  # word, df, idf
     n: int
@@ -63,53 +64,35 @@ def rankings(questions: DataFrame, index: Index, depth: int, hybrid: bool, embed
     """(dense, keyword) rankings of the candidates, (qid, ord, cosine, rank) and (qid, ord, rank).
 
     Candidates are the first ``depth`` passages of either ranking; their ranks in both are exact among
-    all passages. Only candidates reach the driver, at most twice ``depth`` a question and one block of
-    questions at a time; ranks of those deep in the other list are counted where the scores are.
+    all passages. Questions are worked off in blocks, of which only the candidates reach the driver.
     """
     spark = questions.sparkSession
-    asked = embedder.embed(questions.select(F.col("qid").alias("id"), F.col("question").alias("text")))
-    by_cosine: list[tuple] = []
-    by_keyword: list[tuple] = []
-    for qids, matrix in vectors.question_blocks(asked, index.dim):
-        scores, wanted = None, {}
-        if hybrid:
-            scores = lexical.keyword_scores(questions.where(F.col("qid").isin(qids)), index.postings, index.words, index.avg_len)
-            top = [(r.qid, r.ord, r["rank"]) for r in lexical.keyword_ranking(scores, depth).collect()]
-            by_keyword += top
-            for q, o, _ in top:
-                wanted.setdefault(q, set()).add(o)
-        scored = vectors.search(index.vectors, qids, matrix, depth, wanted)
-        ranked = [(r.qid, r.ord, r.cosine, r["rank"]) for r in vectors.dense_ranking(scored, depth).collect()]
-        by_cosine += ranked
-        if not hybrid:
-            continue
-        known = {(q, o) for q, o, _, _ in ranked}
-        deep: dict[int, list[tuple[float, int]]] = {}
-        cosine = {}
-        for r in scored.where("not best").collect() if wanted else ():
-            if (r.qid, r.ord) not in known:
-                deep.setdefault(r.qid, []).append((r.cosine, r.ord))
-                cosine[r.qid, r.ord] = r.cosine
-        if deep:
-            by_cosine += [(r.qid, r.ord, cosine[r.qid, r.ord], r["rank"]) for r in vectors.ranks_of(index.vectors, qids, matrix, deep).collect()]
-        other = [(q, o) for q, o in known if o not in wanted.get(q, ())]
-        if other:
-            pairs = spark.createDataFrame(other, "qid long, ord long")
-            deep = {}
-            for r in scores.join(pairs, ["qid", "ord"], "left_semi").where("keyword > 0").collect():
-                deep.setdefault(r.qid, []).append((r.keyword, r.ord))
-            if deep:
-                by_keyword += [(r.qid, r.ord, r["rank"]) for r in lexical.keyword_ranks_of(scores, deep).collect()]
-    dense = spark.createDataFrame(by_cosine, "qid long, ord long, cosine double, rank int")
-    return dense, spark.createDataFrame(by_keyword, "qid long, ord long, rank int") if hybrid else None
-
-
-def hits(questions: DataFrame, index: Index, settings: Settings, mode: str, distinct_pages: bool, embedder: vectors.Embedder) -> DataFrame:
+    embedded = embedder.embed(questions.select(F.col("qid").alias("id"), F.col("question").alias("text")))
+    dense: list[tuple] = []
+    keyword: list[tuple] = []
+    for qids, matrix in vectors.question_blocks(embedded, index.dim):
+        asked = scan.ask(questions.where(F.lit(hybrid)), index.words, qids, matrix, index.avg_len)
+        d, k = scan.rankings(index.passages, asked, depth, hybrid)
+        dense += d
+        keyword += k
+    out = spark.createDataFrame(dense, "qid long, ord long, cosine double, rank int")
+    return out, spark.createDataFrame(keyword, "qid long, ord long, rank int") if hybrid else None
+
+
+Rankings = tuple[DataFrame, DataFrame | None]
+
+
+def ranked_for(questions: DataFrame, index: Index, settings: Settings, mode: str, distinct_pages: bool, embedder: vectors.Embedder) -> Rankings:
+    """``rankings`` as deep as a top k in this mode needs them."""
+    depth = depth_for(settings.top_k, distinct_pages, index.page_chunks, settings.rrf_k)
+    return rankings(questions, index, depth, mode == "hybrid", embedder)
+
+
+def hits(ranked: Rankings, index: Index, settings: Settings, mode: str, distinct_pages: bool) -> DataFrame:
     """(qid, n, ord, chunk_id, doc_id, source, page, text, score, fused), the top k of each
     question; score is the passage's own cosine in every mode. Texts join last."""
-    depth = depth_for(settings.top_k, distinct_pages, index.page_chunks, settings.rrf_k)
-    dense, keyword = rankings(questions, index, depth, mode == "hybrid", embedder)
-    if keyword is None:
+    dense, keyword = ranked
+    if mode == "dense":
         order = dense.select("qid", "ord", "cosine", "rank", F.lit(None).cast("double").alias("fused"))
     else:
         fused = rrf([dense, keyword], settings.rrf_k)
@@ -131,28 +114,32 @@ def guard(questions: DataFrame, top_scores: DataFrame, threshold: float) -> Data
     return joined.withColumn("top_score", top).withColumn("abstain", blank | (F.col("top_score") < threshold)).withColumn("threshold", F.lit(float(threshold)))
 
 
-def top_scores(questions: DataFrame, index: Index, embedder: vectors.Embedder) -> DataFrame:
+def top_scores(ranked: Rankings) -> DataFrame:
     """V6: (qid, top_score): the best cosine of each question."""
-    dense, _ = rankings(questions, index, 1, False, embedder)
-    return dense.select("qid", F.col("cosine").alias("top_score"))
+    return ranked[0].where("rank = 1").select("qid", F.col("cosine").alias("top_score"))
+
+
+def asked_rows(questions: DataFrame) -> DataFrame:
+    """The questions that are not blank."""
+    return questions.where(F.regexp_replace("question", r"(?U)\s", "") != "")
 
 
 def retrieve(
     questions: DataFrame, index: Index, settings: Settings | None = None, *,
-    mode: str | None = None, distinct_pages: bool | None = None, embedder: vectors.Embedder | None = None,
+    mode: str | None = None, distinct_pages: bool | None = None, embedder: vectors.Embedder | None = None, ranked: Rankings | None = None,
 ) -> DataFrame:
     """One row a question: qid, question, hits, top_score, abstain, threshold. ``hits`` is an array
-    of (n, chunk_id, source, page, text, score), kept even when the guard abstains (R10)."""
+    of (n, chunk_id, source, page, text, score), kept even when the guard abstains (R10). ``ranked``: what
+    ``ranked_for`` gave for the same questions and a mode at least as demanding, to share it."""
     s = settings or Settings()
     mode = mode or s.retrieval_mode
     distinct = s.distinct_pages if distinct_pages is None else distinct_pages
     if mode not in MODES:
         raise ValueError(f"unknown retrieval mode: {mode}")
-    embedder = embedder or vectors.HashedWords(dim=index.dim)
-    asked = questions.where(F.regexp_replace("question", r"(?U)\s", "") != "")
-    found = hits(asked, index, s, mode, distinct, embedder)
+    if ranked is None:
+        ranked = ranked_for(asked_rows(questions), index, s, mode, distinct, embedder or vectors.HashedWords(dim=index.dim))
     item = F.struct("n", "chunk_id", "source", "page", "text", "score")
-    by_question = found.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("hits"))
-    out = guard(questions, top_scores(asked, index, embedder), s.sim_threshold).join(by_question, "qid", "left")
+    by_question = hits(ranked, index, s, mode, distinct).groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("hits"))
+    out = guard(questions, top_scores(ranked), s.sim_threshold).join(by_question, "qid", "left")
     none = F.array().cast("array<struct<n:int,chunk_id:string,source:string,page:int,text:string,score:double>>")
     return out.select("qid", "question", F.coalesce("hits", none).alias("hits"), "top_score", "abstain", "threshold")

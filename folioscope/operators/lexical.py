@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,31 +57,11 @@ def keyword_ranking(scores: DataFrame, depth: int | None = None) -> DataFrame:
     return ranked.where(F.col("rank") <= depth) if depth else ranked
 
 
-def keyword_ranks_of(scores: DataFrame, given: dict[int, list[tuple[float, int]]]) -> DataFrame:
-    """(qid, ord, rank): the exact keyword rank of each ``given`` (score, ord) of a question. Each task
-    counts which of its scores come before; scores are not exchanged for it."""
-    targets = {}
-    for q, v in given.items():
-        own = sorted(v, key=lambda x: (-x[0], x[1]))
-        targets[q] = np.array([k for k, _ in own]), np.array([o for _, o in own], np.int64)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {q: np.zeros(len(k), np.int64) for q, (k, _) in targets.items()}
-        for b in batches:
-            qids, ords, scored = (c.to_numpy() for c in b.columns)
-            for q in np.unique(qids):
-                if int(q) not in targets:
-                    continue
-                rows = qids == q
-                o, s = ords[rows], scored[rows]
-                rising = np.sort(s)
-                keys, own = targets[int(q)]
-                left, right = np.searchsorted(rising, keys, side="left"), np.searchsorted(rising, keys, side="right")
-                counts[int(q)] += len(s) - right
-                for i in np.flatnonzero(right > left):
-                    counts[int(q)][i] += int(((s == keys[i]) & (o < own[i])).sum())
-        for q, n in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([q] * len(n), pa.int64()), pa.array(targets[q][1]), pa.array(n)], ["qid", "ord", "before"])
-
-    parts = scores.select(F.col("qid").cast("long").alias("qid"), "ord", "keyword").mapInArrow(run, "qid long, ord long, before long")
-    return parts.groupBy("qid", "ord").agg((F.sum("before") + 1).cast("int").alias("rank"))
+def passage_terms(chunks: DataFrame, postings: DataFrame) -> DataFrame:
+    """(ord, len, words, tfs): the postings of each passage side by side, for scans in passage order."""
+    own = postings.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("word", "tf"))).alias("t"))
+    rows = passage_lengths(chunks).join(own, "ord", "left")
+    words, tfs = F.transform("t", lambda x: x["word"]), F.transform("t", lambda x: x["tf"])
+    return rows.select(
+        "ord", "len", F.coalesce(words, F.array().cast("array<string>")).alias("words"), F.coalesce(tfs, F.array().cast("array<long>")).alias("tfs")
+    )

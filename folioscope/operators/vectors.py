@@ -100,7 +100,7 @@ def dense(slots: pa.Array, vals: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def question_blocks(vectors: DataFrame, dim: int, size: int = 1000) -> Iterator[tuple[list[int], np.ndarray]]:
+def question_blocks(vectors: DataFrame, dim: int, size: int = 200) -> Iterator[tuple[list[int], np.ndarray]]:
     """The stated questions, (id, slots, vals), as matrices of at most ``size`` rows."""
     ids: list[int] = []
     rows: list[np.ndarray] = []
@@ -127,72 +127,42 @@ def _blocks(batches: Iterable[pa.RecordBatch], dim: int, matrix: np.ndarray) ->
             yield ords[order], scores[order] + 0.0
 
 
-SCORED = "qid long, ord long, cosine double, best boolean"
+class Best:
+    """The first ``depth`` passages of each of some rankings, by falling score and rising ord."""
 
+    def __init__(self, n: int, depth: int) -> None:
+        self.depth = depth
+        self.held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * n
 
-def search(vectors: DataFrame, qids: list[int], matrix: np.ndarray, depth: int, wanted: dict[int, set[int]] | None = None) -> DataFrame:
-    """V4: for each task and question the first ``depth`` passages of ``vectors(ord, slots, vals)``
-    (best), and the cosines of the ``wanted`` ones (not best, if they aren't among those)."""
-    dim, wanted = matrix.shape[1], wanted or {}
+    def add(self, ords: np.ndarray, scores: np.ndarray, positive: bool = False) -> None:
+        """Another block: rising ords, and a column of scores for each ranking."""
+        for k, (o, s) in enumerate(self.held):
+            col = scores[:, k]
+            keep = col > 0 if positive else np.ones(len(col), bool)
+            if len(o) == self.depth:
+                keep &= col >= s[-1]
+            if keep.any():
+                o, s = np.concatenate([o, ords[keep]]), np.concatenate([s, col[keep]])
+                first = np.lexsort((o, -s))[: self.depth]
+                self.held[k] = o[first], s[first]
+
+
+def search(vectors: DataFrame, qids: list[int], matrix: np.ndarray, depth: int) -> DataFrame:
+    """V4: (qid, ord, cosine): for each task and question the first ``depth`` passages of
+    ``vectors(ord, slots, vals)``."""
+    dim = matrix.shape[1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(qids)
-        extra: list[tuple[int, int, float]] = []
+        best = Best(len(qids), depth)
         for ords, scores in _blocks(batches, dim, matrix):
-            for k in range(len(qids)):
-                o, s = held[k]
-                col = scores[:, k]
-                if len(o) == depth:
-                    keep = col >= s[-1]
-                    if not keep.any():
-                        continue
-                    o, s = np.concatenate([o, ords[keep]]), np.concatenate([s, col[keep]])
-                else:
-                    o, s = np.concatenate([o, ords]), np.concatenate([s, col])
-                first = np.lexsort((o, -s))[:depth]
-                held[k] = o[first], s[first]
-            if wanted:
-                place = {int(o): i for i, o in enumerate(ords)}
-                for k, q in enumerate(qids):
-                    extra += [(q, o, float(scores[place[o], k])) for o in wanted.get(q, ()) if o in place]
-        for k, q in enumerate(qids):
-            o, s = held[k]
-            if len(o):
-                yield pa.RecordBatch.from_arrays([pa.array([q] * len(o), pa.int64()), pa.array(o), pa.array(s), pa.array([True] * len(o))], ["qid", "ord", "cosine", "best"])
-        if extra:
-            q, o, s = zip(*extra, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(o, pa.int64()), pa.array(s), pa.array([False] * len(q))], ["qid", "ord", "cosine", "best"])
-
-    return vectors.select("ord", "slots", "vals").mapInArrow(run, SCORED)
+            best.add(ords, scores)
+        for q, (o, s) in zip(qids, best.held, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([q] * len(o), pa.int64()), pa.array(o), pa.array(s)], ["qid", "ord", "cosine"])
+
+    return vectors.select("ord", "slots", "vals").mapInArrow(run, "qid long, ord long, cosine double")
 
 
 def dense_ranking(scored: DataFrame, depth: int) -> DataFrame:
     """(qid, ord, cosine, rank) from the best of all tasks."""
     w = Window.partitionBy("qid").orderBy(F.desc("cosine"), "ord")
-    return scored.where("best").select("qid", "ord", "cosine", F.row_number().over(w).alias("rank")).where(F.col("rank") <= depth)
-
-
-def ranks_of(vectors: DataFrame, qids: list[int], matrix: np.ndarray, given: dict[int, list[tuple[float, int]]]) -> DataFrame:
-    """(qid, ord, rank): the exact rank among all passages of each ``given`` (cosine, ord) of a question.
-
-    Each task counts, for each given passage, how many of its passages come before it."""
-    dim = matrix.shape[1]
-    targets = {q: (np.array([c for c, _ in sorted(v, key=lambda x: (-x[0], x[1]))]), np.array([o for _, o in sorted(v, key=lambda x: (-x[0], x[1]))], np.int64)) for q, v in given.items()}
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {q: np.zeros(len(c), np.int64) for q, (c, _) in targets.items()}
-        for ords, scores in _blocks(batches, dim, matrix):
-            for k, q in enumerate(qids):
-                if q not in targets:
-                    continue
-                cos, own = targets[q]
-                col = scores[:, k]
-                rising = np.sort(col)
-                counts[q] += len(col) - np.searchsorted(rising, cos, side="right")
-                for i in np.flatnonzero(np.searchsorted(rising, cos, side="right") > np.searchsorted(rising, cos, side="left")):
-                    counts[q][i] += int(((col == cos[i]) & (ords < own[i])).sum())
-        for q, n in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([q] * len(n), pa.int64()), pa.array(targets[q][1]), pa.array(n)], ["qid", "ord", "before"])
-
-    parts = vectors.select("ord", "slots", "vals").mapInArrow(run, "qid long, ord long, before long")
-    return parts.groupBy("qid", "ord").agg((F.sum("before") + 1).cast("int").alias("rank"))
+    return scored.select("qid", "ord", "cosine", F.row_number().over(w).alias("rank")).where(F.col("rank") <= depth)

@@ -91,10 +91,19 @@ def retrieved(spark: SparkSession, sf_dir: str, ix: fusion.Index, **options) ->
     return fusion.retrieve(questions(spark, sf_dir).select("qid", "question"), ix, SETTINGS, **options)
 
 
-def judged(spark: SparkSession, sf_dir: str, ix: fusion.Index, mode: str = "hybrid", distinct: bool = True) -> DataFrame:
+def ranked(spark: SparkSession, sf_dir: str, ix: fusion.Index, mode: str = "hybrid", distinct: bool = True, settings: Settings = SETTINGS) -> fusion.Rankings:
+    return fusion.ranked_for(questions(spark, sf_dir), ix, settings, mode, distinct, vectors.HashedWords())
+
+
+def judged(spark: SparkSession, sf_dir: str, ix: fusion.Index, setups: tuple = metrics.SETUPS[-1:]) -> DataFrame:
+    """Outcomes under each of ``setups``, from one pair of rankings."""
     rows = evaluation(spark, sf_dir, ix)
     truth = audit.widen_truth(rows, ix.chunks)
-    return metrics.outcomes(retrieved(spark, sf_dir, ix, mode=mode, distinct_pages=distinct), rows, truth)
+    shared, out = ranked(spark, sf_dir, ix), None
+    for name, mode, distinct in setups:
+        own = metrics.outcomes(retrieved(spark, sf_dir, ix, mode=mode, distinct_pages=distinct, ranked=shared), rows, truth).withColumn("setup", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def clean_text(spark, sf_dir):
@@ -203,17 +212,16 @@ def dense_topk(spark, sf_dir):
 
 def dense_text_topk(spark, sf_dir):
     ix = index(spark, sf_dir)
-    found = fusion.hits(questions(spark, sf_dir), ix, SETTINGS, "dense", False, vectors.HashedWords())
+    found = fusion.hits(ranked(spark, sf_dir, ix, "dense", False), ix, SETTINGS, "dense", False)
     return found.select("qid", "n", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def top_score(spark, sf_dir):
-    return fusion.top_scores(questions(spark, sf_dir), index(spark, sf_dir), vectors.HashedWords()).select("qid", F.round("top_score", 6).alias("top_score"))
+    return fusion.top_scores(ranked(spark, sf_dir, index(spark, sf_dir), "dense", False)).select("qid", F.round("top_score", 6).alias("top_score"))
 
 
 def _fused(spark, sf_dir, ix, pages: bool):
-    depth = fusion.depth_for(DEPTH, pages, ix.page_chunks)
-    dense, words = fusion.rankings(questions(spark, sf_dir), ix, depth, True, vectors.HashedWords())
+    dense, words = ranked(spark, sf_dir, ix, "hybrid", pages, Settings(top_k=DEPTH))
     return fusion.fused_order(fusion.rrf([dense, words]), dense)
 
 
@@ -223,18 +231,19 @@ def rrf_fusion(spark, sf_dir):
 
 def one_per_page(spark, sf_dir):
     ix = index(spark, sf_dir)
-    ranked = _fused(spark, sf_dir, ix, True).join(ix.chunks.select("ord", "source", "page"), "ord")
-    return fusion.one_per_page(ranked).where(F.col("rank") <= DEPTH).select("qid", "rank", "ord", "source", "page")
+    paged = _fused(spark, sf_dir, ix, True).join(ix.chunks.select("ord", "source", "page"), "ord")
+    return fusion.one_per_page(paged).where(F.col("rank") <= DEPTH).select("qid", "rank", "ord", "source", "page")
 
 
 def hybrid_topk(spark, sf_dir):
-    found = fusion.hits(questions(spark, sf_dir), index(spark, sf_dir), SETTINGS, "hybrid", True, vectors.HashedWords())
+    ix = index(spark, sf_dir)
+    found = fusion.hits(ranked(spark, sf_dir, ix), ix, SETTINGS, "hybrid", True)
     return found.select("qid", "n", "chunk_id", "source", "page", "text", F.round("score", 6).alias("score"), F.round("fused", 9).alias("fused"))
 
 
 def abstention_guard(spark, sf_dir):
     asked = questions(spark, sf_dir).select("qid", "question")
-    top = fusion.top_scores(asked, index(spark, sf_dir), vectors.HashedWords())
+    top = fusion.top_scores(ranked(spark, sf_dir, index(spark, sf_dir), "dense", False))
     return fusion.guard(asked, top, SETTINGS.sim_threshold).select("qid", F.round("top_score", 6).alias("top_score"), "abstain")
 
 
@@ -316,16 +325,12 @@ def eval_misses(spark, sf_dir):
 
 def setup_diff(spark, sf_dir):
     ix = index(spark, sf_dir)
-    return metrics.setup_diff(judged(spark, sf_dir, ix, "dense", False), judged(spark, sf_dir, ix, "hybrid", False))
+    both = judged(spark, sf_dir, ix, metrics.SETUPS[:2])
+    return metrics.setup_diff(*[both.where(F.col("setup") == name) for name, _, _ in metrics.SETUPS[:2]])
 
 
 def _compared(spark, sf_dir):
-    ix = index(spark, sf_dir)
-    rows = None
-    for name, mode, distinct in metrics.SETUPS:
-        own = judged(spark, sf_dir, ix, mode, distinct).withColumn("setup", F.lit(name))
-        rows = own if rows is None else rows.unionByName(own)
-    return metrics.evaluate(rows, "setup")
+    return metrics.evaluate(judged(spark, sf_dir, index(spark, sf_dir), metrics.SETUPS), "setup")
 
 
 def setup_compare(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking, lexical, vectors
 from ..operators.fusion import Index
 
-TABLES = ("chunks", "vectors", "postings", "words", "stats")
+TABLES = ("chunks", "vectors", "passages", "postings", "words", "stats")
 
 
 class NotBuilt(RuntimeError):
@@ -55,6 +55,9 @@ def build(chunks: DataFrame, path: str, embedder: vectors.Embedder | None = None
     embedder.embed(stored.select(F.col("ord").alias("id"), "text")).withColumnRenamed("id", "ord").write.mode("overwrite").parquet(at("vectors"))
     # Sorted by word inside files, so that a question's words skip most row groups.
     lexical.build_postings(stored).repartitionByRange("word").sortWithinPartitions("word", "ord").write.mode("overwrite").parquet(at("postings"))
+    # What a scan needs of a passage, side by side.
+    terms = lexical.passage_terms(stored, spark.read.parquet(at("postings")))
+    spark.read.parquet(at("vectors")).join(terms, "ord").write.mode("overwrite").parquet(at("passages"))
     n_row = lexical.corpus_stats(lexical.passage_lengths(stored)).first()
     lexical.idf_table(spark.read.parquet(at("postings")), n_row.n).write.mode("overwrite").parquet(at("words"))
     most = stored.groupBy("source", "page").count().agg(F.max("count")).first()[0]
@@ -81,7 +84,7 @@ def load(spark: SparkSession, path: str) -> Index:
     s = got["stats"].first()
     if not unmatched(got["chunks"], got["vectors"]).isEmpty():
         raise OutOfSync(f"chunks and vectors at {path} differ: build the index again")
-    return Index(got["chunks"], got["vectors"], got["postings"], got["words"], s.n, s.avg_len, s.page_chunks, s.dim)
+    return Index(got["chunks"], got["vectors"], got["passages"], got["postings"], got["words"], s.n, s.avg_len, s.page_chunks, s.dim)
 
 
 def unmatched(chunks: DataFrame, vectors_: DataFrame) -> DataFrame:
