@@ -71,10 +71,6 @@ class Workspace:
             self.drop()
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def prefix_sums(df: DataFrame, key: str, sub: str, order: list[Column], weight: Column | None = None) -> DataFrame:
     """Adds ``before``: the sum of ``weight`` (1 if None) over the rows of ``key`` that precede a row
     in the order (``sub``, ``order``).

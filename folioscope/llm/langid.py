@@ -91,7 +91,7 @@ def bundles(codes: list[np.ndarray]) -> np.ndarray:
     number = np.zeros(CLASSES**3, np.int64)
     number[present] = np.arange(len(present))
     owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-    step = max(1, (8 << 20) // len(present))  # documents at a time, to bound the count matrix
+    step = max(1, (2 << 20) // len(present))  # documents at a time, to bound the count matrix
     bound = run_vectors(present)
     ends = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
     for a in range(0, len(codes), step):

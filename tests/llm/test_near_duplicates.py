@@ -4,7 +4,6 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from folioscope.llm import minhash, neardup_vectors
 from folioscope.llm.common import Workspace, connected_components
