@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 from ..functions.textcols import STOPWORDS
-from ..operators.answers import EXTRACTIVE_HEADER, NO_ANSWER, REFUSAL, SENTINEL
+from ..operators.answers import EXTRACTIVE_HEADER, NO_ANSWER, REFUSAL
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
