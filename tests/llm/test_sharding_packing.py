@@ -37,6 +37,28 @@ def test_awkward_tables(spark):
     assert len(got) == 4 and sorted(r.size for r in got) == [16] * 4 and max(Counter(r.shard for r in got).values()) <= 1
 
 
+def spans(spark, texts):
+    got = sharding.shard(frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)])).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == len(texts) and max(counts.values()) - min(counts[s] for s in range(40)) <= 1
+    groups = defaultdict(Counter)
+    for r in got:
+        groups[texts[r.doc_id]][r.shard] += 1
+    return groups
+
+
+def test_large_groups_take_no_more_shards_than_they_need(spark):
+    texts = ["hot"] * 1000 + ["warm"] * 130 + ["half"] * 40 + [f"pair {k // 2}" for k in range(800)] + [f"single {k}" for k in range(1030)]
+    groups = spans(spark, texts)  # 75 rows a shard
+    assert len(groups["hot"]) == 14 and len(groups["warm"]) == 2 and len(groups["half"]) == 1
+    assert sum(len(groups[f"pair {k}"]) == 1 for k in range(400)) >= 399
+
+
+def test_groups_stay_whole_where_no_row_is_without_links(spark):
+    groups = spans(spark, [f"pair {k // 2}" for k in range(4000)])
+    assert sum(len(g) == 1 for g in groups.values()) >= 1960  # a boundary splits one at most
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return packing.Encoder(packing.tokenizer_path())
