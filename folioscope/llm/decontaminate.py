@@ -3,7 +3,7 @@
 Seeds are the runs of three words of each test item. One scan of the corpus counts in how many documents
 each seed occurs, and writes down every cluster of an item's seeds that is close enough together and
 rich enough for a copy, with the words around it. Of each item the rarest seeds are then enough: a copy
-at the similarity keeps so many of an item's seeds that it cannot miss all of those (``seeds_kept``).
+at the similarity keeps so many of an item's seeds that it cannot miss all of those (``distinct_kept``).
 Clusters with a rare seed are aligned word by word (match 2, mismatch -1, gap -1), and the best local
 alignment's similarity is its matched words divided by the words of the item or, if more, of the passage.
 
@@ -49,6 +49,19 @@ def seeds_kept(n_words: int, similarity: float = SIMILARITY) -> int:
     return max(1, n_words - SEED_WORDS + 1 - SEED_WORDS * breaks)
 
 
+def distinct_kept(seeds: list[int], n_words: int, similarity: float = SIMILARITY) -> int:
+    """Distinct seeds that such a copy keeps at least. A seed is lost only with all its occurrences, so
+    most are lost where the breaks meet the least repeated ones."""
+    times = sorted(Counter(seeds).values())
+    broken, lost = len(seeds) - seeds_kept(n_words, similarity), 0
+    for n in times:
+        broken -= n
+        if broken < 0:
+            break
+        lost += 1
+    return max(1, len(times) - lost)
+
+
 def seed_hashes(words: list[str], hashes: WordHashes) -> np.ndarray:
     w = np.fromiter((hashes[x.encode("utf-8", "surrogatepass")] for x in words), np.uint64, len(words))
     if len(w) < SEED_WORDS:
@@ -74,7 +87,7 @@ class Items:
                 self.where[h].append((i, at))
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[np.array(list(self.where), np.int64) & ((1 << FILTER_BITS) - 1)] = True
-        self.need = {i: seeds_kept(len(self.words[i])) for i in self.seeds}
+        self.need = {i: distinct_kept(s.tolist(), len(self.words[i])) for i, s in self.seeds.items()}
 
     def clusters(self, words: list[str], hits: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[str], list[int]]]:
         """(item, first word, words, seeds) of each part of a document that may hold a copy of an item,
@@ -163,7 +176,7 @@ def rare_seeds(items: Items, n_docs: dict[int, int]) -> dict[int, set[int]]:
     out = {}
     for i, s in items.seeds.items():
         distinct = sorted(set(s.tolist()), key=lambda h: (n_docs.get(h, 0), h))
-        out[i] = set(distinct[: len(s) - items.need[i] + 1])
+        out[i] = set(distinct[: len(distinct) - items.need[i] + 1])
     return out
 
 

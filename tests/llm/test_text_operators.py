@@ -241,6 +241,29 @@ def test_seed_bound_holds():
                 assert common >= decontaminate.seeds_kept(n) or n < 12
 
 
+def test_copies_of_repetitive_items_are_found(spark):
+    sentence = [f"w{k}" for k in range(20)]
+    items = [(1, " ".join(sentence * 5)), (2, " ".join(["no"] * 20)), (3, " ".join(["ab", "cd"] * 10)), (4, " ".join(f"i{k}" for k in range(30)))]
+    changed = [w if k % 9 else "q" for k, w in enumerate(sentence * 5)]
+    data = [(k, f"before it {t} and after", "", "", 0) for k, t in items] + [(5, " ".join(changed), "", "", 0), (6, "no no one said w1 w2 w3", "", "", 0)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, data), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 1)}
+
+
+def test_distinct_seed_bound_holds():
+    r = random.Random(3)
+    for _ in range(400):
+        n = r.randrange(12, 60)
+        a = [f"w{r.randrange(r.choice((2, 5, 12)))}" for _ in range(n)]
+        b = list(a)
+        for k in r.sample(range(n), n // 5):
+            b[k] = "q"
+        grams = lambda w: [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        numbers = {g: k for k, g in enumerate(set(grams(a)))}
+        need = decontaminate.distinct_kept([numbers[g] for g in grams(a)], n)
+        assert 1 <= need <= len(set(grams(a)) & set(grams(b)))
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = [(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(12)]
     docs = frame(spark, [(k, t, "", "", 0) for k, t in items])
