@@ -1,7 +1,10 @@
 """Main text of web pages by composite text density (operator 1).
 
 A page becomes a tree of elements. Scripts, styles, forms, menus, page headers and footers, sidebars,
-notices, adverts and reader comments are cut out by element, role and class name. Every remaining node
+notices, adverts and reader comments are cut out by element, role and class name. A class or id names noise
+by its first label's first word or by a label of noise words alone; a noise word elsewhere only if no label
+has a word for articles, and where these cuts leave far less text than the rest, they are undone and density
+decides. Every remaining node
 gets its link-adjusted characters-per-tag density; a node's sum is that of its children's densities.
 The node of the greatest sum leads, and the least density on its path to the body is the threshold for
 what is taken beside it (``main_nodes``). The text of these subtrees, in page order, is the result.
@@ -48,6 +51,7 @@ NOISE = frozenset(
     "sponsor sponsored sponsors promo promos promotion outbrain taboola toolbar copyright legal disclaimer colophon skip hidden".split()
 )
 KEPT_WORDS = frozenset("article main content post entry story body".split())
+FAR = 5  # times as much text is far more
 MODIFIERS = frozenset("has with no without is not".split())  # "has-sidebar" tells what a block holds, not what it is
 ARTICLE_NOISE = frozenset("ad ads advert comment comments promo promos related reply sponsored teaser teasers".split())
 
@@ -57,7 +61,7 @@ WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "links", "tags", "link_tags", "density", "total", "paragraph", "inner")
+    __slots__ = ("tag", "parent", "children", "dropped", "chars", "links", "tags", "link_tags", "density", "total", "paragraph", "inner", "lost")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
@@ -65,20 +69,25 @@ class Node:
         self.paragraph: Node | None = self if tag == "p" else None if parent is None or tag in P_BARRIERS else parent.paragraph
         self.inner: bool = tag in ("article", "main", "section") or parent is not None and parent.inner
         self.children: list[Node | str] = []
+        self.lost = 0  # of a root: characters in what was cut out
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_noise(tag: str, attributes: str, parent: Node, forms: bool = False) -> bool:
+def is_noise(tag: str, attributes: str, parent: Node, forms: bool = False, sure: bool = False) -> bool:
     """Whether an element starts a part that is no article text, by its name, role and class words.
-    ``forms``: a form may hold the article."""
+    ``forms``: a form may hold the article. ``sure``: labels count only if they name noise as the
+    element's role."""
     if tag in DROPPED and not (forms and tag == "form"):
         return True
     if tag == "header" and not parent.inner:  # an article's own header is part of it
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return False
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
+    found = ATTRIBUTE.findall(attributes)
+    labels = [[[w.lower() for w in WORD.findall(label)] for label in (a or b or c).split()] for name, a, b, c in found if name.lower() in ("class", "id")]
+    kept = any(not KEPT_WORDS.isdisjoint(words) and words[0] not in NOISE for own in labels for words in own)
+    for name, a, b, c in found:
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -88,17 +97,20 @@ def is_noise(tag: str, attributes: str, parent: Node, forms: bool = False) -> bo
             return True
         if name in ("class", "id") and tag not in ("html", "body", "main"):
             noise = ARTICLE_NOISE if tag == "article" else NOISE
-            for label in value.split():
+            for k, label in enumerate(value.split()):
                 words = [w.lower() for w in WORD.findall(label)]
                 if MODIFIERS & set(words):
                     continue
-                words += [a + b for a, b in zip(words, words[1:], strict=False)]  # "side-bar" is "sidebar"
-                if any(w in noise for w in words) and not (KEPT_WORDS & set(words) and words[0] not in noise):
+                pairs = [a + b for a, b in zip(words, words[1:], strict=False)]  # "side-bar" is "sidebar"
+                if not any(w in noise for w in words + pairs):
+                    continue
+                role = k == 0 and (words[0] in noise or pairs[:1] and pairs[0] in noise) or all(w in noise for w in words) or len(words) == 2 and pairs[0] in noise
+                if role or not kept and not sure:
                     return True
     return False
 
 
-def parse(html: str, forms: bool = False) -> Node:
+def parse(html: str, forms: bool = False, sure: bool = False) -> Node:
     """The tree below a root; raw and dropped elements keep no text."""
     root = Node("body", None)
     at, here = 0, root
@@ -113,7 +125,9 @@ def parse(html: str, forms: bool = False) -> Node:
         here = node.parent
 
     def text(piece: str) -> None:
-        if piece and not here.dropped:
+        if piece and here.dropped:
+            root.lost += len(piece)
+        elif piece:
             here.children.append(unescape(piece) if "&" in piece else piece)
 
     find, n = TOKEN.search, len(html)
@@ -159,7 +173,7 @@ def parse(html: str, forms: bool = False) -> Node:
             while up is not root and up.tag in SAME_LEVEL[tag]:
                 close(up)
                 up = here
-        node = Node(tag, here, here.dropped or is_noise(tag, m[3] or "", here, forms))
+        node = Node(tag, here, here.dropped or is_noise(tag, m[3] or "", here, forms, sure))
         here.children.append(node)
         if tag not in VOID:
             here = node
@@ -266,10 +280,19 @@ def text_of(nodes: list[Node | str]) -> str:
 
 
 def extract(html: str | None) -> str:
-    """The main text of a page. A form around the whole page is opened if nothing is left without it."""
+    """The main text of a page. Cuts by unsure labels are undone if far more text is found without them,
+    and a form around the whole page is opened if nothing is left otherwise."""
     if not html:
         return ""
-    return text_of(main_nodes(parse(html))) or text_of(main_nodes(parse(html, forms=True)))
+    for forms in (False, True):
+        root = parse(html, forms)
+        text = text_of(main_nodes(root))
+        if root.lost > FAR * len(text):
+            wider = text_of(main_nodes(parse(html, forms, sure=True)))
+            text = wider if len(wider) > FAR * len(text) else text
+        if text:
+            break
+    return text
 
 
 def main_text(pages: DataFrame) -> DataFrame:

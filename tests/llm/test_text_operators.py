@@ -34,6 +34,17 @@ def test_main_text(page, want):
     assert html.extract(page) == want
 
 
+@pytest.mark.parametrize("label", ["post category-social", "post comments-open", "layout sidebar-right", "page popup-enabled", "entry tag-legal"])
+def test_wrappers_with_a_noise_word_keep_their_article(label):
+    text = " ".join("A paragraph with many words in it, and some more." for _ in range(8))
+    assert html.extract(f"<div class='{label}'><h1>Head</h1><p>{text}</p></div><div class=comments><p>{text}</p></div><footer>f</footer>") == f"Head {text}"
+
+
+@pytest.mark.parametrize("label", ["comments", "comment-body", "post sponsored", "sidebar content", "side-bar", "post side-bar", "user-comments"])
+def test_noise_by_role_is_cut(label):
+    assert html.extract(f"<div id=content><p>The text, of some length, goes on.</p></div><div class='{label}'><p>Something else of about that length.</p></div>") == "The text, of some length, goes on."
+
+
 def test_main_text_of_a_table(spark):
     deep = "<div>" * 60_000 + "deep text" + "</b></i>" * 60_000 + "<p>" * 20_000 + "</div>" * 60_000
     data = [(1, "u", "<article><p>a</p></article>"), (1, "u", "<article><p>a</p></article>"), (None, None, None), (3, "u", deep), (4, "u", "<article><p>" + "long words " * 100_000 + "</p></article>")]
