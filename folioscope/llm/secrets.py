@@ -2,7 +2,9 @@
 
 Three fixed patterns give the base spans. A fourth kind, ``markov``, comes from two character Markov
 models, one of random strings and one of ordinary identifiers: a run of key characters is a secret if
-its mean log-likelihood ratio per transition reaches a threshold. The models are fitted on labelled
+its mean log-likelihood ratio per transition reaches a threshold. Runs shorter than ``SHORT`` need more for
+each character they lack, and a letter, as digits alone are card and telephone numbers; runs shorter than
+``MIN_RUN`` say too little and are not scanned by the models. The models are fitted on labelled
 samples: random strings made by a rule from digests, and ordinary runs of letters from a bounded sample
 of the corpus. Scanning is one projection over whole texts: no shuffle, no Python.
 
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"  # 16 or more in all
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+MIN_RUN = 12  # characters of the shortest run that the models score
+RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_RUN},}}+"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
 WIDTH = len(ALPHABET)
@@ -34,6 +37,8 @@ responsibility_assignment ThisIsALongClassNameForTesting http_request_handler_fa
 SAMPLE_DOCS = 2000  # documents, of least hashed id, whose words teach the model of ordinary identifiers
 RANDOM_STRINGS = 4000
 THRESHOLD = 1.2  # nats per transition; random strings of 20 characters and more lie above 1.5, names below 1.1
+SHORT = 20
+RISE = 0.025  # added to the threshold for each character below SHORT: 1.4 at 12, where names reach 1.1
 SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
@@ -121,6 +126,11 @@ def _ratio(value: Column, table: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / (F.length(value) - 1)
 
 
+def _least(value: Column, threshold: float) -> Column:
+    """The ratio a run needs, by its length."""
+    return F.lit(threshold) + F.lit(RISE) * F.greatest(F.lit(SHORT) - F.length(value), F.lit(0))
+
+
 def _scan(docs: DataFrame, model: list[float] | None, threshold: float) -> DataFrame:
     """``_row`` (all columns of ``docs``, so that no name can clash), ``base`` and ``found``."""
     table = F.lit(model if model is not None else fit(docs))
@@ -130,7 +140,7 @@ def _scan(docs: DataFrame, model: list[float] | None, threshold: float) -> DataF
         "_assign": F.filter(_spans(text, ASSIGN, 0), lambda s: F.length(group2(s["value"])) >= 8),
         "_access": _spans(text, ACCESS, 1),
         "_hex": _spans(text, HEX, 2),
-        "_markov": F.filter(_spans(text, RUN, 3), lambda s: _ratio(s["value"], table) >= threshold),
+        "_markov": F.filter(_spans(text, RUN, 3), lambda s: ((F.length(s["value"]) >= SHORT) | s["value"].rlike("[A-Za-z]")) & (_ratio(s["value"], table) >= _least(s["value"], threshold))),
     })
     each = each.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex"), _by_start)).withColumn(
         "_more", F.filter("_markov", lambda m: ~F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))

@@ -178,6 +178,18 @@ def test_random_strings_against_names(spark, corpus):
     assert len(found & set(range(200))) >= 190 and not found - set(range(200))
 
 
+def test_short_random_strings_against_short_names(spark, corpus):
+    r = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choice(letters) for _ in range(r.choice((12, 14, 16, 18, 19)))) for _ in range(200)]
+    names = ["getUserByName", "getElementById", "MAX_VALUE_LEN", "HTTP_NOT_FOUND", "utf8mb4_unicode", "2024-01-31T10-00", "3950404707173035", "4857528076036215", "+49-30-1234567", "configuration"]
+    data = [(k, f"x {s} y", "en", "s", 0) for k, s in enumerate(keys + names)]
+    docs, model = frame(spark, data), secrets.fit(frame(spark, corpus))
+    found = {x.doc_id for x in secrets.scan(docs, model).collect() if any(s.kind == 3 for s in x.found)}
+    assert len(found & set(range(200))) >= 160 and not found - set(range(200))
+    assert {x.doc_id for x in secrets.redact(docs, model).collect() if x.text == "x [SECRET] y"} == found
+
+
 def test_secrets_awkward_tables(spark):
     assert secrets.scan(frame(spark, [])).count() == 0 and secrets.redact(frame(spark, [])).count() == 0
     got = secrets.redact(frame(spark, [(None, None, None, None, None), (3, "", None, None, 0), (3, "token=abcdefgh1", None, None, None)])).collect()
