@@ -19,7 +19,7 @@ gathers more than ``HOT`` items from a task. Digests have 128 bits, with the min
 
 Cases: a null text is empty; texts shorter than ``length`` have no window and are kept. Repeated texts
 lose every byte but in the document of smallest id. Matches never cross documents; overlaps within one
-document count. Texts of any length are treated whole. Extra columns are ignored. An empty table gives
+document count. Ids of any sign are ordered as numbers. Texts of any length are treated whole. Extra columns are ignored. An empty table gives
 an empty result. Rows with a null id are kept whole and take no part. Rows that share an id count as one
 place: none is a repeat of another at the same start, and spans found in either are cut from both.
 """
@@ -94,34 +94,30 @@ def minimizers(h: np.ndarray, width: int) -> np.ndarray:
     return (m & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def buffers(ids: list[int], texts: Iterable[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, document of each window start or -1, start within the document) of texts laid end to end;
+def buffers(ids: list[int], texts: Iterable[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, whether a window starts, its document, start within the document) of texts laid end to end;
     long texts are cut so that each of their windows comes once."""
-    data, owners, starts, held = [], [], [], 0
+    held, size = [], 0
     for i, t in zip(ids, texts, strict=True):
         for at in range(0, max(0, len(t) - length + 1), BUFFER):
             piece = np.frombuffer(t, np.uint8, min(len(t) - at, BUFFER + length - 1), at)
-            n = len(piece) - length + 1
-            own = np.full(len(piece), -1, np.int64)
-            own[:n] = i
-            data.append(piece)
-            owners.append(own)
-            starts.append(np.arange(at, at + len(piece)))
-            held += len(piece)
-            if held >= BUFFER:
-                yield np.concatenate(data), np.concatenate(owners), np.concatenate(starts)
-                data, owners, starts, held = [], [], [], 0
-    if data:
-        yield np.concatenate(data), np.concatenate(owners), np.concatenate(starts)
-
-
-def items_of(data: np.ndarray, owner: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+            n = len(piece)
+            held.append((piece, np.arange(n) <= n - length, np.full(n, i, np.int64), np.arange(at, at + n)))
+            size += n
+            if size >= BUFFER:
+                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def items_of(data: np.ndarray, valid: np.ndarray, owner: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(anchor, digest, doc_id, start, n) of the runs of neighbouring windows with one minimizer."""
     have = power_hashes(data, length)
     grams = have[GRAM] * np.uint64(0xD6E8FEB86659FD93)
     grams ^= grams >> np.uint64(32)
     total = len(data) - length + 1
-    at = np.flatnonzero(owner[:total] >= 0)
+    at = np.flatnonzero(valid[:total])
     anchor = minimizers(grams, length - GRAM + 1)[at]
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (np.diff(anchor) != 0) | (np.diff(owner[at]) != 0)

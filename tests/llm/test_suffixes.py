@@ -60,3 +60,11 @@ def test_long_texts_are_cut_without_losing_windows(spark):
     docs = [(1, passage, "", "", 0), (2, body + passage + body[:50], "", "", 0)]
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in run(spark, docs)}
     assert got == {1: (150, 0, 0), 2: (len(docs[1][1]), 150, 1)}
+
+
+def test_negative_ids_are_ids(spark):
+    r = random.Random(5)
+    passage, other = ("".join(r.choice("abcdefgh ") for _ in range(150)) for _ in range(2))
+    docs = [(-7, passage + "x" + other, "", "", 0), (-1, "y" + passage, "", "", 0), (0, other + "z", "", "", 0), (4, passage + "w" * 20 + other, "", "", 0), (-(1 << 63), "v" * 120 + other, "", "", 0)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in run(spark, docs)}
+    assert got == brute(docs) and got[-1][1] == 150
