@@ -124,5 +124,5 @@ def page_labels(pages: Column | str) -> Column:
 def share(part: Column | str, whole: Column | str) -> Column:
     """M15: "m of n (p%)", 0 for an empty whole."""
     m, n = _col(part), _col(whole)
-    p = F.coalesce(F.round(m / F.nullif(n, F.lit(0)) * 100, 1), F.lit(0.0))
-    return F.format_string("%d of %d (%s%%)", m.cast("long"), n.cast("long"), F.regexp_replace(p.cast("string"), r"^0\.0$", "0"))
+    p = F.coalesce(F.round(m / F.nullif(n, F.lit(0)) * 100, 1).cast("string"), F.lit("0"))
+    return F.format_string("%d of %d (%s%%)", m.cast("long"), n.cast("long"), p)

@@ -341,6 +341,10 @@ def setup_report(spark, sf_dir):
     return metrics.report(_compared(spark, sf_dir)).where("figure <> 'Right page cited first'")
 
 
+def setup_report_first(spark, sf_dir):
+    return metrics.report(_compared(spark, sf_dir)).where("figure = 'Right page cited first'")
+
+
 def threshold_sweep(spark, sf_dir):
     return metrics.sweep(judged(spark, sf_dir, index(spark, sf_dir)))
 
@@ -370,6 +374,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         keyword_topk, hashed_vectors, dense_topk, dense_text_topk, top_score, rrf_fusion, one_per_page, hybrid_topk,
         abstention_guard, refusal_text, extractive_answer, prompt_context, citations, sentinel_guard, request_validation,
         cited_pages, page_texts, evidence_pages, expected_pages, question_problems, question_notes, eval_metrics,
-        latency_percentiles, eval_misses, setup_diff, setup_compare, setup_report, threshold_sweep, llm_metrics, error_streaks,
+        latency_percentiles, eval_misses, setup_diff, setup_compare, setup_report, setup_report_first, threshold_sweep, llm_metrics, error_streaks,
     )
 }

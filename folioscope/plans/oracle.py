@@ -226,6 +226,8 @@ QUERIES: dict[str, str] = {
     "setup_report": """SELECT setup, 'Right page among the citations' AS figure, printf('%d of %d (', count_if(hit)::BIGINT, count_if(checked)::BIGINT) ||
     coalesce(round(count_if(hit) / nullif(count_if(checked), 0) * 100, 1)::VARCHAR, '0') || '%)' AS value FROM outcomes GROUP BY 1
   UNION ALL SELECT setup, 'Different pages cited (average)', round(avg(n_pages) FILTER (WHERE checked), 1)::VARCHAR FROM outcomes GROUP BY 1""",
+    "setup_report_first": """SELECT setup, 'Right page cited first' AS figure, printf('%d of %d (', count_if(first_hit)::BIGINT, count_if(checked)::BIGINT) ||
+    coalesce(round(count_if(first_hit) / nullif(count_if(checked), 0) * 100, 1)::VARCHAR, '0') || '%)' AS value FROM outcomes GROUP BY 1""",
 }
 
 ORACLE_SQL = {name: sql(q) for name, q in QUERIES.items()}

@@ -61,3 +61,8 @@ def test_labels_and_shares(spark):
     df = spark.createDataFrame([(5, 8, 0, [("a.pdf", 1), ("b.pdf", 2)])], "m int, n int, z int, p array<struct<source:string,page:int>>")
     r = df.select(T.share("m", "n").alias("a"), T.share("z", "z").alias("b"), T.page_labels("p").alias("c"), T.fixed(F.lit(0.71)).alias("d")).first()
     assert (r.a, r.b, r.c, r.d) == ("5 of 8 (62.5%)", "0 of 0 (0%)", "a.pdf p.1, b.pdf p.2", "0.710")
+
+
+def test_share_of_none_of_some(spark):
+    df = spark.createDataFrame([(0, 12), (0, 0), (3, 12)], "m long, n long")
+    assert [r.a for r in df.select(T.share("m", "n").alias("a")).collect()] == ["0 of 12 (0.0%)", "0 of 0 (0%)", "3 of 12 (25.0%)"]
