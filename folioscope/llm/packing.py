@@ -13,6 +13,7 @@ stays null, and rows that share an id are packed each.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import zlib
@@ -54,7 +55,8 @@ class Encoder:
 
     If the file is a plain byte-level vocabulary whose ids rise in the order of its merges, the ids as
     merge ranks give the same result, and ``tiktoken`` applies them several times faster. Texts with a
-    special token's string, and any other kind of file, go through ``tokenizers`` itself.
+    special token's string, those its regular expressions give up on (several 100,000 white-space characters
+    in a row), and any other kind of file, go through ``tokenizers`` itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -88,9 +90,10 @@ class Encoder:
         return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):  # their strings cut words differently
-            return np.asarray(self.model.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+        if self.fast is not None and not any(s in text for s in self.special):  # their strings cut words differently
+            with contextlib.suppress(ValueError):
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+        return np.asarray(self.model.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def cut(ids: np.ndarray, most: int = MAX_TOKENS) -> Iterator[tuple[int, int, int, int]]:
@@ -188,7 +191,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
         done.append(items.where("full"))
         rest = items.where("not full")
         n = rest.count()
-        last = tasks == 1 or n < 2
+        last = n < 2 or level > 0 and tasks == 1  # a single task of the first round may have packed several chunks
         tasks = max(1, -(-tasks // FAN_IN), -(-n // ITEMS_PER_TASK))
         if last:
             done.append(rest)

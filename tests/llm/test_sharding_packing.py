@@ -70,6 +70,18 @@ def test_ids_are_those_of_the_library(encoder):
         assert encoder.encode(t).tolist() == encoder.model.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_texts_that_regular_expressions_give_up_on(encoder):
+    for t in (" " * 1_000_000, "\n" * 1_000_000, "a" + " " * 1_000_000 + "b", "x" * 300_000, "a1-" * 100_000):
+        assert np.array_equal(encoder.encode(t), encoder.model.encode(t, add_special_tokens=False).ids)
+
+
+def test_chunks_of_a_single_partition_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 50)
+    docs = frame(spark, [(k, "word " * 1000, "", "", 0) for k in range(51)] + [(100 + k, "word " * 1020, "", "", 0) for k in range(51)]).coalesce(1)
+    got = packing.pack(docs.sortWithinPartitions("doc_id")).collect()
+    assert len({r.sequence_id for r in got}) == 51 and len({(r.sequence_id, r.offset) for r in got}) == len(got) == 102
+
+
 def test_every_piece_is_placed_once(spark, corpus, encoder):
     got = packing.pack(frame(spark, corpus)).collect()
     docs = defaultdict(list)
