@@ -5,20 +5,22 @@ notices, adverts and reader comments are cut out by element, role and class name
 by its first label's first word or by a label of noise words alone; a noise word elsewhere only if no label
 has a word for articles, and where these cuts leave far less text than the rest, they are undone and density
 decides. Every remaining node
-gets its link-adjusted characters-per-tag density; a node's sum is that of its children's densities.
-The node of the greatest sum leads, and the least density on its path to the body is the threshold for
-what is taken beside it (``main_nodes``). The text of these subtrees, in page order, is the result.
+gets its link-adjusted characters-per-tag density, a piece of text that of a leaf among its parent's tags; a
+node's sum is that of its children's densities. The node of the greatest sum leads (an article or main
+element before another of the same sum), and the least density on its path to the body is the threshold
+for what is taken beside it (``main_nodes``). The text of these subtrees, in page order, is the result.
 
 Cases: null, empty and text-free pages give an empty text. Markup that is never closed is closed at
-the end. Pages without tags are one block. Repeated rows are treated alike. Pages of any length are
-read whole. Ties go to the earlier, outer node. Extra columns are ignored.
+the end; a quoted value that is never closed ends with its tag. Pages without tags are one block. Repeated
+rows are treated alike. Pages of any length are read whole, in time that grows with their length whatever
+the markup. Other ties go to the earlier, outer node. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -55,16 +57,18 @@ FAR = 5  # times as much text is far more
 MODIFIERS = frozenset("has with no without is not".split())  # "has-sidebar" tells what a block holds, not what it is
 ARTICLE_NOISE = frozenset("ad ads advert comment comments promo promos related reply sponsored teaser teasers".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|!\[CDATA\[|[!?])")
+TAG_STOP = re.compile(r">|=\s*([\"'])")  # a quote opens a value only after its sign
 ATTRIBUTE = re.compile(r"(?:^|\s|/)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "links", "tags", "link_tags", "density", "total", "paragraph", "inner", "lost")
+    __slots__ = ("tag", "parent", "children", "dropped", "depth", "chars", "links", "tags", "link_tags", "density", "total", "paragraph", "inner", "lost")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.depth: int = 0 if parent is None else parent.depth + 1
         # The paragraph that is open here, and whether an article, main part or section is.
         self.paragraph: Node | None = self if tag == "p" else None if parent is None or tag in P_BARRIERS else parent.paragraph
         self.inner: bool = tag in ("article", "main", "section") or parent is not None and parent.inner
@@ -110,74 +114,118 @@ def is_noise(tag: str, attributes: str, parent: Node, forms: bool = False, sure:
     return False
 
 
+class Tokens:
+    """The pieces of a page: (text, end sign, tag, attributes), where either text or tag is None. Every search
+    goes on where the last one ended, or finds nothing and is not made again, so the time is linear."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.at = html, 0
+        self.missing: dict[str, int] = {}  # strings and the place from which on they don't occur
+
+    def _find(self, what: str, start: int) -> int:
+        if start >= self.missing.get(what, len(self.html)):
+            return -1
+        found = self.html.find(what, start)
+        if found < 0:
+            self.missing[what] = start
+        return found
+
+    def _past(self, what: str, start: int) -> int:
+        """The place after the next ``what``, or the end."""
+        found = self._find(what, start)
+        return len(self.html) if found < 0 else found + len(what)
+
+    def _tag_end(self, start: int) -> tuple[int, int]:
+        """Where the attributes that start here end, and where the tag does."""
+        at = start
+        while m := TAG_STOP.search(self.html, at):
+            if m[1] is None:
+                return m.start(), m.end()
+            close = self._find(m[1], m.end())
+            at = m.end() if close < 0 else close + 1
+        return len(self.html), len(self.html)
+
+    def skip_raw(self, tag: str) -> bool:
+        """Moves past the end tag of an element whose content is no markup; False if there is none."""
+        name = f"</{tag}"
+        if name not in self.missing:
+            for m in re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).finditer(self.html, self.at):
+                self.at = self._past(">", m.end())
+                return True
+            self.missing[name] = self.at
+        return False
+
+    def __iter__(self) -> Iterator[tuple[str | None, str, str | None, str]]:
+        html = self.html
+        while m := OPEN.search(html, self.at):
+            if m.start() > self.at:
+                yield html[self.at : m.start()], "", None, ""
+            if m[2] is not None:
+                stop, self.at = self._tag_end(m.end())
+                yield None, m[1], m[2].lower(), html[m.end() : stop]
+            elif m[0] == "<!--":
+                self.at = self._past("-->", m.end())
+            elif m[0] == "<![CDATA[":
+                self.at = self._past("]]>", m.end())
+                yield html[m.end() : self.at].removesuffix("]]>"), "", None, ""
+            else:
+                self.at = self._past(">", m.end())
+        if self.at < len(html):
+            yield html[self.at :], "", None, ""
+
+
 def parse(html: str, forms: bool = False, sure: bool = False) -> Node:
     """The tree below a root; raw and dropped elements keep no text."""
     root = Node("body", None)
-    at, here = 0, root
-    opened: Counter[str] = Counter()  # so that stray end tags cost nothing
+    here = root
+    opened: dict[str, list[Node]] = defaultdict(list)  # the open elements of each name, outer ones first
 
     def close(node: Node) -> None:
         nonlocal here
-        while here is not node:
-            opened[here.tag] -= 1
-            here = here.parent
-        opened[node.tag] -= 1
-        here = node.parent
-
-    def text(piece: str) -> None:
-        if piece and here.dropped:
-            root.lost += len(piece)
-        elif piece:
-            here.children.append(unescape(piece) if "&" in piece else piece)
-
-    find, n = TOKEN.search, len(html)
-    while True:
-        m = find(html, at)
-        if m is None:
-            text(html[at:])
-            return root
-        if m.start() > at:
-            text(html[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        while True:
+            last = here
+            opened[last.tag].pop()
+            here = last.parent
+            if last is node:
+                return
+
+    def innermost(tags: Iterable[str]) -> Node | None:
+        return max((opened[t][-1] for t in tags if opened[t]), key=lambda x: x.depth, default=None)
+
+    tokens = Tokens(html)
+    for text, end, tag, attributes in tokens:
         if tag is None:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:].removesuffix("]]>"))
+            if here.dropped:
+                root.lost += len(text)
+            elif text:
+                here.children.append(unescape(text) if "&" in text else text)
             continue
-        tag = tag.lower()
-        if m[1]:
+        if end:
             if opened[tag]:
-                while here.tag != tag or here is root:
-                    opened[here.tag] -= 1
-                    here = here.parent
-                opened[tag] -= 1
-                here = here.parent
+                close(opened[tag][-1])
             elif tag in ("p", "br") and not here.dropped:
                 here.children.append(Node("br", here))
             continue
         if tag in ("html", "body"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at) if not m[0].endswith("/>") or tag not in ("svg", "math") else None
-            if end:
-                at = end.end()
-            elif tag in ("script", "style", "textarea", "title", "xmp"):
-                at = n
+            if (not attributes.endswith("/") or tag not in ("svg", "math")) and not tokens.skip_raw(tag) and tag in ("script", "style", "textarea", "title", "xmp"):
+                tokens.at = len(html)
             continue
         if (tag in CLOSES_P or tag == "p") and here.paragraph is not None:
             close(here.paragraph)
-        if tag in SAME_LEVEL and any(opened[t] for t in SAME_LEVEL[tag]):
-            up, stop = here, SCOPE[tag]
-            while up is not root and up.tag not in SAME_LEVEL[tag] and up.tag not in stop:
-                up = up.parent
-            while up is not root and up.tag in SAME_LEVEL[tag]:
+        if tag in SAME_LEVEL:
+            up, stop = innermost(SAME_LEVEL[tag]), innermost(SCOPE[tag])
+            if up is not None and (stop is None or up.depth > stop.depth):
+                while up.parent.tag in SAME_LEVEL[tag]:
+                    up = up.parent
                 close(up)
-                up = here
-        node = Node(tag, here, here.dropped or is_noise(tag, m[3] or "", here, forms, sure))
+        node = Node(tag, here, here.dropped or is_noise(tag, attributes, here, forms, sure))
         here.children.append(node)
         if tag not in VOID:
             here = node
-            opened[tag] += 1
+            opened[tag].append(node)
+    return root
 
 
 def measure(root: Node) -> list[Node]:
@@ -188,8 +236,7 @@ def measure(root: Node) -> list[Node]:
         order.append(node)
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.dropped)
     for node in reversed(order):
-        own = sum(len(c.split()) + sum(map(len, c.split())) for c in node.children if isinstance(c, str))
-        node.chars += own
+        node.chars += sum(_length(c) for c in node.children if isinstance(c, str))
         if node.tag == "a":
             node.links, node.link_tags = node.chars, node.tags + 1
         if node.parent is not None and node is not root:
@@ -200,41 +247,38 @@ def measure(root: Node) -> list[Node]:
             up.link_tags += node.link_tags
     whole = root.links / root.chars if root.chars else 0.0
     for node in order:
-        c, lc, t, lt = node.chars, node.links, max(node.tags, 1), max(node.link_tags, 1)
-        if c:
-            base = math.log(c / max(c - lc, 1) * lc + whole * c + math.e)
-            node.density = c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0) + 1e-9) / max(math.log(base) if base > math.e else 1.0, 1.0)
+        node.density = density(node.chars, node.links, node.tags, node.link_tags, whole)
     for node in order:
         node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.dropped)
-        node.total += sum(len(c.strip()) for c in node.children if isinstance(c, str))  # text of its own, as one leaf without tags
+        if node.tag != "a":  # a link's own text is no text of the page's
+            node.total += sum(density(n, 0, node.tags, 0, whole) for n in (_length(c) for c in node.children if isinstance(c, str)) if n)
     return order
 
 
+def _length(text: str) -> int:
+    words = text.split()
+    return sum(map(len, words)) + len(words)
+
+
+def density(chars: int, links: int, tags: int, link_tags: int, whole: float) -> float:
+    """Characters per tag, lowered by the share of links among characters and tags; ``whole`` is the share
+    of link characters in the page."""
+    if not chars:
+        return 0.0
+    t, lt = max(tags, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - links, 1) * links + whole * chars + math.e)
+    return chars / t * math.log(max(chars / max(links, 1) * t / lt, 1.0) + 1e-9) / max(math.log(base) if base > math.e else 1.0, 1.0)
+
+
 def main_nodes(root: Node) -> list[Node | str]:
-    """The parts that hold the article, in page order.
+    """The parts that hold the article, in page order; none if no node has a density.
 
-    Where the page marks articles (or else a main part) only nodes inside them may lead, and the one
-    around the leading node is taken whole, but for what was cut out. Elsewhere the leading node is
-    taken, and of the branches beside its path to the body those as dense as the threshold, with
-    headings and plain text blocks that aren't mostly links.
+    The leading node is taken, and of the branches beside its path to the body those as dense as the
+    threshold, with headings and plain text blocks that aren't mostly links.
     """
-    order = measure(root)
-    marked = [x for x in order if x.tag == "article" and x.chars] or [x for x in order if x.tag == "main" and x.chars]
-    within = {id(x) for x in marked}
-    if within:
-        inside = []
-        for x in order:  # parents come first
-            if id(x) in within or x.parent is not None and id(x.parent) in within:
-                within.add(id(x))
-                inside.append(x)
-        lead = max(inside, key=lambda x: x.total)
-        top, up = lead, lead
-        while up is not None:
-            if up.tag == marked[0].tag:
-                top = up
-            up = up.parent
-        return [top]
-    lead = max(order, key=lambda x: x.total)
+    lead = max(measure(root), key=lambda x: (x.total, x.tag in ("article", "main")))
+    if lead.total <= 0:
+        return []
     path, up, threshold = set(), lead, lead.density
     while up is not None:
         path.add(id(up))

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -60,6 +62,78 @@ def test_density_prefers_text_over_links():
     assert text.density > links.density and html.main_nodes(root)[0] is not links
 
 
+def plain_density(x, whole):
+    """Density of an element, counted by recursion over its subtree."""
+    def count(y, link):
+        if isinstance(y, str):
+            n = sum(len(w) + 1 for w in y.split())
+            return n, n if link else 0, 0, 0
+        link = link or y.tag == "a"
+        own = [count(c, link) for c in y.children]
+        return tuple(map(sum, zip((0, 0, 1, int(link)), *own, strict=True)))
+
+    c, lc, t, lt = count(x, False)
+    t, lt = max(t - 1, 1), max(lt, 1)
+    if not c:
+        return 0.0
+    base = math.log(c / max(c - lc, 1) * lc + whole * c + math.e)
+    return c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0) + 1e-9) / max(math.log(base) if base > math.e else 1.0, 1.0)
+
+
+def random_page(r, depth=0):
+    words = lambda: "".join(f"word{r.randrange(9)} " for _ in range(r.randrange(1, 12)))
+    if depth == 4 or r.random() < 0.2:
+        return words()
+    tag = r.choice(("div", "div", "p", "a", "b", "span"))
+    return f"<{tag}>{''.join(random_page(r, depth + 1) for _ in range(r.randrange(1, 5)))}</{tag}>"
+
+
+def test_densities_and_sums_against_recursion():
+    r = random.Random(11)
+    for _ in range(150):
+        page = "".join(f"<div>{random_page(r)}</div>" for _ in range(r.randrange(1, 5)))
+        root = html.parse(page)
+        order = html.measure(root)
+        whole = root.links / root.chars if root.chars else 0.0
+        for x in order:
+            assert math.isclose(x.density, plain_density(x, whole), abs_tol=1e-9)
+        for x in order:
+            parts = [c.density for c in x.children if isinstance(c, html.Node)]
+            if x.tag != "a":
+                parts += [html.density(sum(len(w) + 1 for w in c.split()), 0, x.tags, 0, whole) for c in x.children if isinstance(c, str)]
+            assert math.isclose(x.total, sum(parts), abs_tol=1e-9)
+        lead = max(order, key=lambda x: x.total)
+        assert lead.total > 0 and html.text_of([lead]) in html.text_of(html.main_nodes(html.parse(page)))
+
+
+def test_density_decides_the_result(monkeypatch):
+    links = "<div>" + "".join(f"<span>Item {k}</span> <a href={k}>Read more of it</a> " for k in range(8)) + "</div>"
+    article = "<div><h1>Head</h1>" + f"<p>{'A paragraph with many words in it. ' * 6}</p>" * 3 + "</div>"
+    page = links + article + links
+    want = "Head " + " ".join(["A paragraph with many words in it."] * 18)
+    assert html.extract(page) == want
+    assert html.extract(f"<article>{links}</article>{article}") == want  # a name alone decides nothing
+    monkeypatch.setattr(html, "density", lambda *a: 0.0)
+    assert html.extract(page) == ""
+    monkeypatch.setattr(html, "density", lambda chars, links, *a: float(links))
+    assert "Read more of it" in html.extract(page)
+
+
+HOSTILE = {
+    "quotes": "<a<a'\"" * 200_000, "values": "<a b='" * 170_000, "unclosed": "<svg>" * 200_000, "half closed": "<svg>" + "</svg " * 160_000, "open tags": "<a " * 330_000,
+    "items": "<li><ul>" + "<span><li>" * 100_000, "cells": "<td><table>" + "<span>" * 90_000 + "<td></td>" * 50_000, "comments": "<!--" * 250_000, "signs": "<" * 1_000_000,
+    "names": "<a " + "class= " * 140_000 + ">", "deep": "<div>" * 200_000, "paragraphs": "<p>" * 330_000, "references": "&#x1" * 250_000,
+}
+
+
+@pytest.mark.parametrize("name", list(HOSTILE))
+def test_hostile_pages_take_seconds(name):
+    start = time.perf_counter()
+    got = html.extract(f"<article><p>The text.</p></article>{HOSTILE[name]}")
+    assert got.startswith("The text.") or name == "signs"
+    assert time.perf_counter() - start < 30
+
+
 def run_warc(spark, data):
     return {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(spark, frame(spark, data, PAGES)).collect()}
 
