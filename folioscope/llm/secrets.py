@@ -3,15 +3,20 @@
 Three fixed patterns give the base spans. A fourth kind, ``markov``, comes from two character Markov
 models, one of random strings and one of ordinary identifiers: a run of key characters is a secret if
 its mean log-likelihood ratio per transition reaches a threshold. Runs shorter than ``SHORT`` need more for
-each character they lack, and a letter, as digits alone are card and telephone numbers; runs shorter than
-``MIN_RUN`` say too little and are not scanned by the models. The models are fitted on labelled
-samples: random strings made by a rule from digests, and ordinary runs of letters from a bounded sample
-of the corpus. Scanning is one projection over whole texts: no shuffle, no Python.
+each character they lack; runs shorter than ``MIN_RUN`` say too little and are not scanned by the models,
+nor are runs without a letter (numbers, dates, telephone numbers) and those of a UUID's form.
+
+The models are fitted on labelled samples. Random: strings made by a rule from digests, in several alphabets.
+Ordinary: identifiers made by a rule from ``WORDS``, in the usual ways of writing them, and the words of a
+bounded sample of the corpus. Each of the two ordinary samples gives a model of its own, and their mean, with a
+small share for every transition, is the model of ordinary strings; so neither its size nor an empty corpus
+moves the threshold. Scanning is one projection over whole texts, in time linear in the length of a run: no
+shuffle, no Python.
 
 Cases: null and empty texts have no spans. Repeated rows are scanned each. A markov span that overlaps
 a base span of its document is left out; base spans always stay. Control characters U+0001 and U+0002
 in a text are read as U+0003, which no pattern matches. Texts of any length are scanned whole. An empty
-corpus trains on the fixed identifiers alone. Extra columns are kept.
+corpus trains on the identifiers made by rule alone. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -29,16 +34,27 @@ RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_RUN},}}+"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
 WIDTH = len(ALPHABET)
-IDENTIFIERS = """customer_account_number get_user_by_identifier configuration_parameters maximumConnectionTimeout
-application/x-www-form-urlencoded text/html;charset src/main/resources/application internationalization
-2024-01-31T12-00-00 1234567890 0000000000 1111111111 2222222222 3333333333 4444444444 5555555555
-6666666666 7777777777 8888888888 9999999999 this-is-the-title-of-a-page ------------------------ ======================== ____________________
-responsibility_assignment ThisIsALongClassNameForTesting http_request_handler_factory node_modules/package/index"""
-SAMPLE_DOCS = 2000  # documents, of least hashed id, whose words teach the model of ordinary identifiers
+# Words that identifiers are often made of.
+WORDS = """
+account active admin amount answer application array async author balance batch block book browser build bytes call
+cancel cart change char child clear client code color command commit company config console container context cookie
+count create current customer database debug delete device directory display domain driver editor email encoding
+engine entry error exception export feature file find flag format from gateway get handler header hidden http
+identifier import info input instance interface invoice iterator javascript label last length library line list local
+lock main map member menu meta min mode module name next notification number offset option output package panel parent
+password payment phone player point port post preview private product project protocol public queue range record
+region release remove reply request resource result role route rule sample schema screen search secure send server
+session setting shell simple size sort space src start static step store string subject success table target template
+text thread title tool track transfer trigger unit upload user value vendor video visible web window work write year
+""".split()
+SAMPLE_DOCS = 2000  # documents, of least hashed id, whose words teach one of the models of ordinary strings
 RANDOM_STRINGS = 4000
-THRESHOLD = 1.2  # nats per transition; random strings of 20 characters and more lie above 1.5, names below 1.1
+FORMS = 6  # identifiers made of each word, for each way of writing them
+THRESHOLD = 0.9  # nats per transition; random strings of 20 characters lie above 1.3, names below 0.8
 SHORT = 20
-RISE = 0.025  # added to the threshold for each character below SHORT: 1.4 at 12, where names reach 1.1
+RISE = 0.015  # added to the threshold for each character below SHORT
+FLOOR = 0.02  # share of every transition in the model of ordinary strings
+UUID = "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
@@ -67,13 +83,14 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
 
 
 def _transitions(words: DataFrame) -> DataFrame:
-    """Counts of (previous, next) character numbers over ``words(w)``; 0 is a character outside the alphabet."""
-    w = words.select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
-    pairs = w.select(F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("p"))
+    """Counts of (previous, next) character numbers over ``words(m, w)``, for each sample ``m``; 0 is a
+    character outside the alphabet."""
+    w = words.select("m", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
+    pairs = w.select("m", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("p"))
     return (
-        pairs.groupBy("p").count()
-        .select(_number(F.substring("p", 1, 1)).alias("a"), _number(F.substring("p", 2, 1)).alias("b"), "count")
-        .groupBy("a", "b").agg(F.sum("count").alias("n"))
+        pairs.groupBy("m", "p").count()
+        .select("m", _number(F.substring("p", 1, 1)).alias("a"), _number(F.substring("p", 2, 1)).alias("b"), "count")
+        .groupBy("m", "a", "b").agg(F.sum("count").alias("n"))
     )
 
 
@@ -83,47 +100,79 @@ def _number(c: Column) -> Column:
 
 
 def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
-    """Labelled as random: digests of the numbers below ``n``, written in hexadecimal, base 64 and capitals."""
+    """Labelled as random: digests of the numbers below ``n``, written in hexadecimal, base 64, letters and
+    digits, capitals, and small letters."""
     d = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("d"))
-    b64 = F.base64(F.unhex("d"))
-    return (
-        d.select(F.left("d", F.lit(40)).alias("w"))
-        .unionByName(d.select(F.regexp_replace(b64, "=+$", "").alias("w")))
-        .unionByName(d.select(F.left(F.upper(F.regexp_replace(b64, "[^A-Za-z0-9]", "")), F.lit(20)).alias("w")))
-    )
-
-
-def ordinary_strings(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
-    """Labelled as ordinary: the fixed identifiers, and the letter runs of at most ``n`` documents,
-    those of least hashed id (a bounded sample, for training alone)."""
-    spark = docs.sparkSession
-    fixed = spark.createDataFrame([(w,) for w in IDENTIFIERS.split() for _ in range(20)], "w string")
+    b64 = F.regexp_replace(F.base64(F.unhex("d")), "=+$", "")
+    plain = F.regexp_replace(b64, "[+/]", "")
+    return d.select(F.explode(F.array(F.left("d", F.lit(40)), b64, plain, F.left(F.upper(plain), F.lit(20)), F.left(F.lower(plain), F.lit(24)))).alias("w"))
+
+
+def made_identifiers(spark: SparkSession) -> DataFrame:
+    """Labelled as ordinary: one to three of ``WORDS`` as identifiers, with and without numbers; dates; sequences."""
+    n = len(WORDS)
+    words = F.array(*[F.lit(w) for w in WORDS])
+    i, j = (F.col("id") / FORMS).cast("int"), (F.col("id") % FORMS).cast("int")
+    word = lambda k: F.element_at(words, ((i * 7 + j * 31 + k * 13) % n + 1).cast("int"))
+    parts = F.slice(F.array(F.element_at(words, i + 1), word(1), word(2), word(3)), 1, 2 + j % 3)
+    rows = spark.range(n * FORMS).select("id", parts.alias("p"), (F.col("id") % 100).cast("string").alias("k"), F.transform(parts, lambda w: F.initcap(w)).alias("c"))
+    first, capitals = F.col("p")[0], F.array_join("c", "")
+    camel = F.concat(first, F.array_join(F.slice("c", 2, F.size("c") - 1), ""))
+    ways = [*[F.array_join("p", sep) for sep in ("_", "-", "/", "")], camel, capitals, *[F.upper(F.array_join("p", sep)) for sep in ("_", "-", "")]]
+    numbered = [F.concat(first, F.lit(sep), "k") for sep in ("_", "=")] + [F.concat(first, "k", F.lit("_"), F.col("p")[1]), F.concat_ws("=", first, F.col("p")[1])]
+    names = rows.select(F.explode(F.array(*ways, *[F.concat(w, "k") for w in ways], *numbered)).alias("w"))
+    day = F.timestamp_seconds(F.col("id") * 3_000_017)
+    dates = spark.range(400).select(F.explode(F.array(F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "yyyy-MM-dd'T'HH-mm-ss"), F.date_format(day, "yyyy/M/d"))).alias("w"))
+    rows_of_keys = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
+    fixed = [r for k in rows_of_keys for r in (k, k.upper())] + [c * 12 for c in ALPHABET]
+    sequences = spark.createDataFrame([(w,) for w in fixed for _ in range(10)], "w string")
+    return names.unionByName(dates).unionByName(sequences)
+
+
+def corpus_words(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
+    """Labelled as ordinary: the letter runs of at most ``n`` documents, those of least hashed id (a bounded
+    sample, for training alone)."""
     # Ids alone are sorted; at most n of them go to the tasks that read the texts.
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    words = some.select(F.explode(F.regexp_extract_all(_clean(F.col("text")), F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("w"))
-    return words.unionByName(fixed)
+    return some.select(F.explode(F.regexp_extract_all(_clean(F.col("text")), F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("w"))
 
 
-def fit(docs: DataFrame) -> list[float]:
-    """Log-likelihood ratios by transition, row by row of a square of ``WIDTH + 1`` numbers.
+def _smoothed(counts: list[list[float]], prior: list[list[float]], weight: float) -> list[list[float]]:
+    """Transition probabilities: counts with ``weight`` more observations in each row, spread as ``prior`` has it."""
+    return [[(x + weight * q) / (sum(row) + weight) for x, q in zip(row, own, strict=True)] for row, own in zip(counts, prior, strict=True)]
+
 
-    Add-one smoothing; the table's size is fixed by the alphabet, so it is collected."""
-    size = WIDTH + 1
-    logs = []
-    for words in (random_strings(docs.sparkSession), ordinary_strings(docs)):
-        counts = [[1.0] * size for _ in range(size)]
-        for r in _transitions(words).collect():
-            counts[r.a][r.b] += r.n
-        logs.append([[(x / sum(row)) for x in row] for row in counts])
-    return [math.log(logs[0][a][b] / logs[1][a][b]) for a in range(size) for b in range(size)]
+def fit(docs: DataFrame) -> list[float]:
+    """Log-likelihood ratios by transition, row by row of a square of ``WIDTH + 1`` numbers."""
+    spark, size = docs.sparkSession, WIDTH + 1
+    samples = [random_strings(spark), made_identifiers(spark), corpus_words(docs)]
+    words = samples[0].withColumn("m", F.lit(0))
+    for m, sample in enumerate(samples[1:], start=1):
+        words = words.unionByName(sample.withColumn("m", F.lit(m)))
+    counts = [[[0.0] * size for _ in range(size)] for _ in samples]
+    for r in _transitions(words).collect():  # a row for each sample and pair of characters
+        counts[r.m][r.a][r.b] += r.n
+    even = [[1 / size] * size for _ in range(size)]
+    random, made = _smoothed(counts[0], even, size), _smoothed(counts[1], even, size / 5)
+    read = _smoothed(counts[2], made, 300)
+    ordinary = [[(1 - FLOOR) * (x + y) / 2 + FLOOR / size for x, y in zip(p, q, strict=True)] for p, q in zip(made, read, strict=True)]
+    return [math.log(random[a][b] / ordinary[a][b]) for a in range(size) for b in range(size)]
 
 
 def _ratio(value: Column, table: Column) -> Column:
-    """Mean log-likelihood ratio of a run's inner transitions."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.element_at(
-        table, (_number(F.substring(value, i, F.lit(1))) * (WIDTH + 1) + _number(F.substring(value, i + 1, F.lit(1))) + 1).cast("int")))
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / (F.length(value) - 1)
+    """Mean log-likelihood ratio of a run's inner transitions, in one pass over its characters."""
+    numbers = F.transform(F.split(value, ""), _number)
+    summed = F.aggregate(
+        numbers,
+        F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")),
+        lambda acc, x: F.struct(
+            x.alias("last"),
+            F.when(acc["last"] < 0, 0.0).otherwise(acc["sum"] + F.element_at(table, (F.greatest(acc["last"], F.lit(0)) * (WIDTH + 1) + x + 1).cast("int"))).alias("sum"),
+        ),
+        lambda acc: acc["sum"],
+    )
+    return summed / (F.length(value) - 1)
 
 
 def _least(value: Column, threshold: float) -> Column:
@@ -140,7 +189,7 @@ def _scan(docs: DataFrame, model: list[float] | None, threshold: float) -> DataF
         "_assign": F.filter(_spans(text, ASSIGN, 0), lambda s: F.length(group2(s["value"])) >= 8),
         "_access": _spans(text, ACCESS, 1),
         "_hex": _spans(text, HEX, 2),
-        "_markov": F.filter(_spans(text, RUN, 3), lambda s: ((F.length(s["value"]) >= SHORT) | s["value"].rlike("[A-Za-z]")) & (_ratio(s["value"], table) >= _least(s["value"], threshold))),
+        "_markov": F.filter(_spans(text, RUN, 3), lambda s: s["value"].rlike("[A-Za-z]") & ~s["value"].rlike(UUID) & (_ratio(s["value"], table) >= _least(s["value"], threshold))),
     })
     each = each.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex"), _by_start)).withColumn(
         "_more", F.filter("_markov", lambda m: ~F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))

@@ -3,7 +3,9 @@ import math
 import random
 import re
 import time
+import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -264,6 +266,45 @@ def test_short_random_strings_against_short_names(spark, corpus):
     assert {x.doc_id for x in secrets.redact(docs, model).collect() if x.text == "x [SECRET] y"} == found
 
 
+@pytest.mark.parametrize("size", [0, 30, 10**9])
+def test_models_are_steady_whatever_the_sample(spark, corpus, size):
+    r = random.Random(10)
+    small, capital, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    keys = {"any": small + capital + digits, "small": small + digits, "capital": capital + digits, "base64": small + capital + digits + "+/"}
+    data = [(k, "".join(r.choice(letters) for _ in range(r.choice((24, 32, 40))))) for k, letters in keys.items() for _ in range(100)]
+    data += [("number", "".join(r.choice(digits) for _ in range(r.choice((16, 20, 24))))) for _ in range(100)]
+    data += [("uuid", str(uuid.UUID(int=r.getrandbits(128)))) for _ in range(100)]
+    names = """get_customer_account_by_number maximumConnectionTimeoutValue src/main/resources/application 2024-01-31T12-00-00 MAX_VALUE_LEN utf8mb4_unicode
+    AbstractSingletonProxyFactoryBean org/apache/commons/lang3/StringUtils X-Forwarded-For-Header page-title-2024-edition kubernetes-dashboard-7 user_id_12345678
+    order-2024-000123 jquery-ui-1-12-1 HTML5CanvasRenderer x86_64-linux-gnu-gcc qwertyuiopasdfgh com/example/app2/v3beta1"""
+    data += [("name", w) for w in names.split() for _ in range(6)]
+    docs = spark.createDataFrame([(n, k, f"it is {w}, so") for n, (k, w) in enumerate(data)], "doc_id long, kind string, text string")
+    model = secrets.fit(frame(spark, corpus[:size] if size else []))
+    found = Counter(x.kind for x in secrets.scan(docs, model).collect() if any(s.kind == 3 for s in x.found))
+    assert all(found[k] >= 90 for k in keys) and found["number"] <= 1 and found["uuid"] <= 1 and found["name"] <= 1
+
+
+def test_ratio_is_that_of_plain_python(spark, corpus):
+    model = secrets.fit(frame(spark, corpus[:50]))
+    r = random.Random(4)
+    words = ["".join(r.choice(secrets.ALPHABET) for _ in range(n)) for n in (12, 13, 20, 64, 500)]
+    got = {x.w: x.ratio for x in spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets._ratio(F.col("w"), F.lit(model)).alias("ratio")).collect()}
+    for w in words:
+        n = [secrets.ALPHABET.index(c) + 1 for c in w]
+        want = sum(model[a * (secrets.WIDTH + 1) + b] for a, b in zip(n, n[1:], strict=False)) / (len(n) - 1)
+        assert math.isclose(got[w], want, rel_tol=1e-12)
+
+
+def test_a_run_of_a_million_characters_takes_seconds(spark):
+    r = random.Random(5)
+    run = "".join(r.choice(secrets.ALPHABET[:62]) for _ in range(1_000_000))
+    docs = spark.createDataFrame([(1, f"x {run} y")], "doc_id long, text string")
+    model = secrets.fit(docs.where("false"))
+    start = time.perf_counter()
+    (row,) = secrets.scan(docs, model).collect()
+    assert [(s.start, s.end, s.kind) for s in row.found if s.kind == 3] == [(2, 1_000_002, 3)] and time.perf_counter() - start < 30
+
+
 def test_secrets_awkward_tables(spark):
     assert secrets.scan(frame(spark, [])).count() == 0 and secrets.redact(frame(spark, [])).count() == 0
     got = secrets.redact(frame(spark, [(None, None, None, None, None), (3, "", None, None, 0), (3, "token=abcdefgh1", None, None, None)])).collect()
