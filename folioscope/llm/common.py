@@ -13,6 +13,7 @@ import gc
 import tempfile
 import time
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -140,3 +141,46 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = x ^ (x >> np.uint64(32))
         x = x * np.uint64(0xD6E8FEB86659FD93)
         return x ^ (x >> np.uint64(32))
+
+
+@lru_cache(1)
+def _code_hashes() -> np.ndarray:
+    return mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_places = mix64(np.arange(1, 257, dtype=np.uint64) << np.uint64(20))
+
+
+def _place_hashes(n: int) -> np.ndarray:
+    return _places if n <= len(_places) else mix64(np.arange(1, n + 1, dtype=np.uint64) << np.uint64(20))
+
+
+def run_hashes(codes: np.ndarray, inside: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """A 64-bit hash of every run of ``codes`` (below 65536, or code points) that are ``inside``: the sum of its
+    codes' hashes, each times the hash of its place in the run, mixed. Blocks end outside of runs."""
+    found, at, n = [], 0, len(codes)
+    while at < n:
+        end = min(n, at + block)
+        if end < n:
+            outside = np.flatnonzero(~inside[at:end])
+            if len(outside):
+                end = at + int(outside[-1]) + 1
+            else:  # a run longer than a block
+                more = np.flatnonzero(~inside[end:])
+                end = end + int(more[0]) if len(more) else n
+        own = codes[at:end]
+        places = np.flatnonzero(inside[at:end])
+        at = end
+        if not len(places):
+            continue
+        first = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+        sizes = np.diff(np.append(first, len(places)))
+        own = own[places]
+        wide = own.dtype.itemsize > 2
+        h = _code_hashes()[np.minimum(own, 0xFFFF) if wide else own]
+        if wide and (far := own > 0xFFFF).any():
+            h[far] = mix64(own[far].astype(np.uint64))
+        with np.errstate(over="ignore"):
+            h *= _place_hashes(int(sizes.max()))[np.arange(len(places)) - np.repeat(first, sizes)]
+            found.append(mix64(np.add.reduceat(h, first) + sizes.astype(np.uint64)))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)

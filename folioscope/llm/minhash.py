@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, mix64
+from .common import Workspace, connected_components, mix64, run_hashes
 
 PERMUTATIONS = 120
 ROWS = 6
@@ -40,33 +40,28 @@ SEED = 4
 BLOCK = 2048  # set members hashed at a time
 
 
-class WordHashes(dict):
-    """64-bit hashes by word, kept for up to ``most`` words."""
+def _blank() -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[32, *range(9, 14)]] = True
+    return out
 
-    def __init__(self, most: int = 500_000) -> None:
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h
-        return h
+BLANK = _blank()
 
 
-def shingle_set(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes. ``bytes.lower`` and ``bytes.split`` treat ASCII letters and
-    the six ASCII white space characters only, as the words are defined."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes. ``bytes.lower`` treats ASCII letters only, and words end at the
+    six ASCII white space characters, as they are defined."""
+    codes = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8) if text else np.zeros(0, np.uint8)
+    w = run_hashes(codes, ~BLANK[codes])
+    if not len(w):
+        return w
     n = min(width, len(w))
     with np.errstate(over="ignore"):
         h = np.full(len(w) - n + 1, n, np.uint64)
         for k in range(n):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - n + 1 + k])
-    return np.unique(h)
+            h += w[k : len(w) - n + 1 + k] * np.uint64(0x9E3779B97F4A7C15 + (k << 20))
+    return np.unique(mix64(h))
 
 
 def _multipliers(permutations: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +101,14 @@ def profiles(docs: DataFrame, width: int, permutations: int = PERMUTATIONS, rows
     """doc_id, n_shingles, digest (of the set; null if empty) and bands (keys; null if empty)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (a, b) = WordHashes(), _multipliers(permutations)
+        a, b = _multipliers(permutations)
         n_bands = 2 * permutations // rows
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 counts, digests, keys = [], [], []
                 for t in part.column(1):
-                    s = shingle_set(t.as_py(), width, hashes)
+                    s = shingle_set(t.as_py(), width)
                     counts.append(len(s))
                     digests.append(_digest(s) or None)
                     keys.append(band_keys(*signature(s, a, b), rows).view(np.int64) if len(s) else None)
@@ -130,11 +125,10 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     """doc_id and members: the full sets, as sorted arrays."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sets = [shingle_set(t.as_py(), width, hashes).view(np.int64) for t in part.column(1)]
+                sets = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(1)]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["doc_id", "members"])
 

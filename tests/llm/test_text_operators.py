@@ -3,6 +3,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import uuid
 import zlib
 from collections import Counter
@@ -312,23 +313,73 @@ def test_secrets_awkward_tables(spark):
 
 
 def plain_align(a, b):
-    """Best similarity over local alignments of greatest score, by a full table."""
-    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    """(similarity, score) of the best path by a full table of (score, matched, added), cell by cell."""
+    h = [[(0, 0, 0) for _ in range(len(b) + 1)] for _ in range(len(a) + 1)]
+    best = (0.0, 0)
     for i in range(1, len(a) + 1):
         for j in range(1, len(b) + 1):
-            h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
-    return int(h.max())
+            (d, m, n), (u, um, un), (w, wm, wn) = h[i - 1][j - 1], h[i - 1][j], h[i][j - 1]
+            same = a[i - 1] == b[j - 1]
+            ways = [(d + (2 if same else -1), m + same, n), (u - 1, um, un), (w - 1, wm, wn + 1)]
+            cell = max(ways, key=lambda x: x[0])  # the first of equals
+            h[i][j] = cell if cell[0] > 0 else (0, 0, 0)
+            best = max(best, (h[i][j][1] / (len(a) + h[i][j][2]), h[i][j][0]))
+    return best
 
 
-def test_alignment_score():
+def edited(r, words, most=0.3):
+    out = []
+    for w in words:
+        x = r.random()
+        out += [w] if x > most else [f"q{r.randrange(99)}"] if x > most / 2 else [w, f"q{r.randrange(99)}"] if x > most / 4 else []
+    return out
+
+
+def test_alignment_against_a_full_table():
     r = random.Random(3)
-    for _ in range(40):
-        a, b = [[r.choice("abcdef") for _ in range(r.randrange(1, 25))] for _ in range(2)]
+    for n in range(200):
+        a = [r.choice("abcdef") for _ in range(r.randrange(1, 25))]
+        b = [r.choice("abcdef") for _ in range(r.randrange(1, 40))] if n % 2 else [r.choice("xyz") for _ in range(5)] + edited(r, a) + [r.choice("xyz") for _ in range(5)]
         sim, score, lo, hi = decontaminate.align(a, b)
-        assert score == plain_align(a, b) and 0 <= lo <= hi <= len(b) and 0 <= sim <= 1
+        assert (sim, score) == plain_align(a, b) and 0 <= lo <= hi <= len(b)
     assert decontaminate.align(list("abcdefghij"), list("xxabcdeQghijyy"))[:1] == (0.9,)
 
 
+def test_alignment_of_a_very_long_item_in_little_memory():
+    r = random.Random(12)
+    item = [f"w{r.randrange(500)}" for _ in range(10_000)]
+    words = [f"v{r.randrange(500)}" for _ in range(2_000)] + item[:6000] + ["new"] * 5 + item[6000:] + [f"v{r.randrange(500)}" for _ in range(2_000)]
+    tracemalloc.start()
+    sim, _, lo, hi = decontaminate.align(item, words)
+    assert (lo, hi) == (2_000, 12_005) and sim == 10_000 / 10_005 and tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+
+
+def test_all_pairs_against_brute_force(spark):
+    """Items of 3 to 40 words, edited copies at all rates: the pairs of similarity 0.8 and more by aligning every
+    item with every document."""
+    r = random.Random(31)
+    vocabulary = [f"{a}{b}" for a in "bcdfgh" for b in "aeiou"]
+    words = lambda n: r.choices(vocabulary, k=n)
+    items = {k: words(n) for k, n in enumerate([3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 16, 20, 24, 40] * 3)}
+    docs = {}
+    for k, w in items.items():
+        for rate in (0.0, 0.1, 0.2, 0.3, 0.4):
+            docs[len(docs)] = words(r.randrange(8)) + edited(r, w, rate) + words(r.randrange(8))
+        for at in range(len(w)):  # one word changed, left out or put in, at any place
+            if len(w) < 10:
+                docs |= {len(docs) + n: ["x", *w[:at], *mid, *w[at + 1 :], "y"] for n, mid in enumerate((["q"], [], [w[at], "q"]))}
+    want = {}
+    for d, t in docs.items():
+        for i, w in items.items():
+            if len(set(w) & set(t)) >= 0.5 * len(set(w)) and (sim := plain_align(w, t))[0] >= 0.8:
+                want[d, i] = sim
+    data = [(d, " ".join(t), "", "", 0) for d, t in docs.items()]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.similarity, x.score) for x in decontaminate.contaminated(frame(spark, data), bench).collect()}
+    assert got == want and len({i for _, i in want if len(items[i]) < 12}) == 27
+
+
 def test_copies_are_found_and_clean_documents_left(spark):
     r = random.Random(6)
     vocabulary = [f"{a}{b}{c}{d}" for a in "bcdfgh" for b in "aeiou" for c in "lmnrst" for d in "aeiou"]
@@ -370,13 +421,15 @@ def test_decontamination_awkward_tables(spark):
 
 def test_seed_bound_holds():
     r = random.Random(2)
-    for n in (3, 8, 14, 20, 36, 60):
+    for n in (*range(3, 16), 20, 36, 60):
         a = [f"w{k}" for k in range(n)]
-        for _ in range(50):
-            b = [x if r.random() > 0.12 else "q" for x in a]
-            if sum(x == y for x, y in zip(a, b, strict=True)) >= 0.8 * n:
-                common = sum(b[k : k + 3] == a[k : k + 3] for k in range(n - 2))
-                assert common >= decontaminate.seeds_kept(n) or n < 12
+        width, held = decontaminate.seed_words(n), 0
+        for _ in range(600):
+            b = edited(r, a, r.choice((0.1, 0.2, 0.3)))
+            if decontaminate.align(a, b)[0] >= 0.8:
+                held += 1
+                assert sum(a[k : k + width] == b[j : j + width] for k in range(n - width + 1) for j in range(len(b) - width + 1)) >= decontaminate.seeds_kept(n)
+        assert held
 
 
 def test_copies_of_repetitive_items_are_found(spark):
@@ -402,11 +455,9 @@ def test_distinct_seed_bound_holds():
         assert 1 <= need <= len(set(grams(a)) & set(grams(b)))
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    items = [(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(12)]
-    docs = frame(spark, [(k, t, "", "", 0) for k, t in items])
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    whole = sorted(decontaminate.contaminated(docs, bench).collect())
-    monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", 50)
-    assert sorted(decontaminate.contaminated(docs, bench).collect()) == whole and len(whole) == 12
-    assert docs.where(F.col("doc_id").isNull()).count() == 0
+def test_a_third_of_all_rows_with_one_copy(spark):
+    r = random.Random(13)
+    item = " ".join(f"i{k}" for k in range(30))
+    data = [(k, item + " and more" if k % 3 == 0 else " ".join(f"i{r.randrange(30)}" for _ in range(40)), "", "", 0) for k in range(900)] + [(None, item, "", "", 0)] * 300
+    got = decontaminate.contaminated(frame(spark, data), spark.createDataFrame([(1, item)] * 3 + [(2, item.upper())], "item_id long, text string")).collect()
+    assert Counter(x.item_id for x in got) == {1: 301, 2: 301} and {x.doc_id for x in got} == {None, *range(0, 900, 3)}
