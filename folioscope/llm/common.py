@@ -173,8 +173,11 @@ def run_hashes(codes: np.ndarray, inside: np.ndarray, block: int = 1 << 14) -> n
         at = end
         if not len(places):
             continue
-        first = np.flatnonzero(np.diff(places, prepend=-2) != 1)
-        sizes = np.diff(np.append(first, len(places)))
+        new = np.ones(len(places), bool)
+        np.not_equal(places[1:] - places[:-1], 1, out=new[1:])
+        first = new.nonzero()[0]
+        sizes = np.empty(len(first), np.int64)
+        sizes[:-1], sizes[-1] = first[1:] - first[:-1], len(places) - first[-1]
         own = own[places]
         wide = own.dtype.itemsize > 2
         h = _code_hashes()[np.minimum(own, 0xFFFF) if wide else own]

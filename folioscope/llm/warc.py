@@ -1,7 +1,8 @@
 """WARC archives in Zstandard (operator 8): one frame a record, the dictionary in a leading skippable frame.
 
 Writing: Python workers build whole archives of bounded size and Spark's own text writer commits each
-as one file, on any file system Spark knows, so a lost executor only costs its tasks. The writer ends
+as one file, on any file system Spark knows, so a lost executor only costs its tasks. A worker holds one
+archive, of ``archive_bytes`` or a single longer record. The writer ends
 each file with its line separator, which is chosen to be an empty skippable frame and thus legal.
 Reading: Spark's ``binaryFile`` source hands over whole archives; headers, lengths and digests of every
 record are checked, and a fault raises ``ValueError``.
@@ -34,6 +35,8 @@ VERSION = b"WARC/1.1"
 EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"  # a skippable frame without content, as ASCII text
 REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+STEP = 1 << 14  # bytes of an archive that are decoded at a time
+
 ROW = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -112,15 +115,17 @@ def frames(archive: bytes) -> Iterator[bytes]:
             continue
         if magic != FRAME_MAGIC:
             raise ValueError(f"no frame at byte {at}")
-        one = unpacker.decompressobj()
+        one, start, parts = unpacker.decompressobj(), at, []
         try:
-            raw = one.decompress(view[at:])
+            while not one.eof and at < len(archive):
+                parts.append(one.decompress(view[at : at + STEP]))
+                at = min(len(archive), at + STEP)
         except zstandard.ZstdError as e:
-            raise ValueError(f"bad frame at byte {at}: {e}") from e
+            raise ValueError(f"bad frame at byte {start}: {e}") from e
         if not one.eof:
-            raise ValueError(f"frame at byte {at} is cut off")
-        at = len(archive) - len(one.unused_data)
-        yield raw
+            raise ValueError(f"frame at byte {start} is cut off")
+        at -= len(one.unused_data)  # less than a step is handed over again
+        yield b"".join(parts)
 
 
 def page_number(urn: bytes) -> int | None:
@@ -165,7 +170,7 @@ def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None, str, bytes
 
 
 def write_archives(
-    pages: DataFrame, where: str, *, min_revisit: int = 1000, archive_bytes: int = 4 << 20,
+    pages: DataFrame, where: str, *, min_revisit: int = 1000, archive_bytes: int = 16 << 20,
     dict_bytes: int = 16 << 10, sample_records: int = 200, sample_bytes: int = 4096,
 ) -> None:
     """Write ``pages(page_id, url, html)`` as archives below ``where``.
@@ -176,18 +181,15 @@ def write_archives(
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), body.alias("payload"))
-    base = base.withColumn("digest", F.when(F.octet_length("payload") >= min_revisit, F.sha1("payload")))
-    winners = (
-        pages.select("page_id", body.alias("payload"))
-        .where(F.octet_length("payload") >= min_revisit)
-        .groupBy(F.sha1("payload").alias("digest"))
-        .agg(F.max("page_id").alias("winner"), F.count("*").alias("n"))
-        .where("n > 1").select("digest", "winner")
-    )
-    # A hot payload only makes the left side of this join uneven, which adaptive execution splits.
-    marked = base.join(winners, "digest", "left").select(
+    refers = F.lit(None).cast("long").alias("refers_to")
+    # Small payloads take no part in the join. Repeated ones are written first: adaptive execution can split a hot
+    # payload in a join of two tables, but not in one with an aggregate on a side.
+    large = base.where(F.octet_length("payload") >= min_revisit).withColumn("digest", F.sha1("payload"))
+    winners = large.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1").select("digest", "winner")
+    winners = Workspace(pages.sparkSession, "warc-winners").keep(winners, "winners")
+    marked = large.join(winners, "digest", "left").select(
         "page_id", "url", "payload", F.when(F.col("winner") != F.col("page_id"), F.col("winner")).alias("refers_to")
-    )
+    ).unionByName(base.where(F.octet_length("payload") < min_revisit).select("page_id", "url", "payload", refers))
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(held: list[bytes]) -> ArchiveWriter:

@@ -157,6 +157,39 @@ def test_archives_round_trip(spark):
     assert bytes(full[777]).decode() == same and full[500] is None and bytes(full[503]) == b""
 
 
+def test_reading_many_frames_takes_linear_time():
+    def seconds(n):
+        w = warc.ArchiveWriter(b"")
+        for k in range(n):
+            w.add(b"record %d" % k)
+        archive, start = w.finish(), time.perf_counter()
+        assert sum(1 for _ in warc.frames(archive)) == n
+        return time.perf_counter() - start
+
+    assert seconds(40_000) < 8 * seconds(10_000) + 0.5
+    w = warc.ArchiveWriter(b"")
+    long = random.Random(2).randbytes(300_000)  # a frame of many steps
+    for raw in (b"", long, b"x", long):
+        w.add(raw)
+    assert list(warc.frames(w.finish())) == [b"", long, b"x", long]
+
+
+def test_many_small_pages_and_a_hot_one_make_even_archives(spark, tmp_path):
+    r = random.Random(6)
+    text = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    hot = text(1500)
+    data = [(k, "u", hot if k % 3 == 0 else text(1200) if k % 12 == 1 else text(400)) for k in range(6000)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        warc.write_archives(frame(spark, data, PAGES).repartition(8), f"file://{tmp_path}/a")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = {x.page_id: (x.record_type, x.refers_to) for x in warc.read_archives(spark, f"file://{tmp_path}/a").collect()}
+    assert got == {k: ("revisit", 5997) if k % 3 == 0 and k != 5997 else ("response", None) for k in range(6000)}
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "a").glob("part-*") if f.stat().st_size)
+    assert len(sizes) >= 9 and sizes[7] < 1.2 * sizes[0]  # the small pages stay where they are
+
+
 def test_archives_of_awkward_tables(spark):
     assert run_warc(spark, []) == {}
     got = warc.round_trip(spark, frame(spark, [(None, None, "y" * 1200), (3, None, "y" * 1200), (3, "u", "y" * 1200), (None, None, None)], PAGES)).collect()
