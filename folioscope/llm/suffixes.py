@@ -3,19 +3,22 @@
 Every suffix is ordered by its first ``length`` bytes only, and equal groups are exactly the repeated
 windows. The order of the digits is free as long as it is the same for all, so the most significant
 digit is the one that splits best: the fingerprint of the window's minimizer (its ``GRAM``-byte piece of
-least hash, leftmost among equals), which neighbouring windows share.
+least hash, leftmost among equals), which neighbouring windows share. The digits after it are the window's bytes.
 
 Pass 1, first digit: runs of neighbouring windows with one minimizer travel as one item, about one for
 35 bytes. Items are dealt by minimizer. An item that equals an earlier one is a repeat as a whole; a
 minimizer with one distinct item is done, as its windows occur nowhere else.
 Pass 2, remaining digits: items whose minimizer has several distinct items are dealt by it once more, now
-with their bytes, and split into windows there, which are sorted by the digest of all their bytes. All
-but the first of an equal group are repeats.
+with their bytes, and split into windows there, which are ordered by eight bytes at a time, the outermost first
+(``byte_groups``). A group of one is done, and so is one whose digits are all equal but for the bytes still to
+be compared. All but the first of an equal group are repeats.
 
 Scale: each task drops the repeats it sees itself before anything is dealt out, so a passage in a third
 of all rows sends one item from a task. A minimizer with many distinct items in a task leaves a mark;
 what belongs to marked minimizers is split into windows at once and dealt by window, so no minimizer
-gathers more than ``HOT`` items from a task. Digests have 128 bits, with the minimizer's.
+gathers more than ``HOT`` items from a task. Windows are equal if their bytes are; only whole items, and windows of
+marked minimizers, which travel without bytes, are told apart by 128 bits of hashes, so with a chance of error
+that is below 2**-60 for 2**34 of them.
 
 Cases: a null text is empty; texts shorter than ``length`` have no window and are kept. Repeated texts
 lose every byte but in the document of smallest id. Matches never cross documents; overlaps within one
@@ -326,31 +329,59 @@ def cut_items(docs: DataFrame, settled: DataFrame, length: int) -> DataFrame:
     return body.join(by_doc, "doc_id").select("doc_id", "body", "runs").mapInArrow(run, PIECE)
 
 
+def byte_groups(data: np.ndarray, place: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Orders the windows of ``length`` bytes at ``place`` by ``group`` and then by their bytes, eight at a time, most
+    significant digits first: (numbers of the windows that equal another, whether one starts an equal
+    group). Windows that are equal keep their order."""
+    digits = np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))
+    offsets = [0, length - 8, *range(8, length - 8, 8)]
+
+    def digit(rows: np.ndarray, offset: int) -> np.ndarray:
+        return digits[place[rows] + offset].astype(np.uint64)
+
+    def several(new: np.ndarray) -> np.ndarray:
+        """Which rows are in groups of two and more."""
+        return ~(new & np.append(new[1:], True))
+
+    rows = np.argsort(group.astype(np.uint16 if group.max(initial=0) < 1 << 16 else np.int64), kind="stable")
+    new = np.ones(len(rows), bool)
+    new[1:] = group[rows[1:]] != group[rows[:-1]]
+    for offset in offsets:
+        keep = several(new)
+        rows, new = rows[keep], new[keep]
+        if not len(rows):
+            break
+        x = digit(rows, offset)
+        differ = np.zeros(len(rows), bool)
+        differ[1:] = (x[1:] != x[:-1]) & ~new[1:]
+        if not differ.any():
+            continue
+        number = np.cumsum(new) - 1
+        mixed = np.zeros(number[-1] + 1, bool)
+        mixed[number[differ]] = True
+        some = np.flatnonzero(mixed[number])
+        order = some[np.lexsort((x[some], number[some]))]
+        rows[some], x[some] = rows[order], x[order]
+        new[1:] |= x[1:] != x[:-1]
+    keep = several(new)
+    return rows[keep], new[keep]
+
+
 def _repeats_in(key: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, body: pa.Array, length: int) -> tuple[np.ndarray, ...]:
     """Runs of repeated windows among items; ``key`` names their minimizers, all of whose items are here."""
     order = np.lexsort((start, doc))
-    w, owner, at = [], [], []
-    for lo in range(0, len(order), 512):
-        part = order[lo : lo + 512]
-        blobs = body.take(pa.array(part))
-        data = np.frombuffer(b"".join(blobs.to_pylist()), np.uint8)
-        sizes = n[part].astype(np.int64) + length - 1
-        ends = np.cumsum(sizes)
-        valid = np.ones(len(data), bool)
-        valid[(ends[:, None] - np.arange(1, length)).ravel()] = False
-        place = np.flatnonzero(valid)
-        h = hash_at(power_hashes(data, length, 2), place, length)
-        item = np.repeat(np.arange(len(part)), n[part])
-        with np.errstate(over="ignore"):
-            w.append(mix64(h + key[part].view(np.uint64)[item]))
-        owner.append(doc[part][item])
-        at.append(start[part][item] + place - (ends - sizes)[item])
-    w, owner, at = (np.concatenate(c) for c in (w, owner, at))
-    by = np.argsort(w, kind="stable")  # items came in order of place, so the first of equals is the earliest
-    first = np.ones(len(w), bool)
-    first[1:] = np.diff(w[by]) != 0
-    again = by[_later(first, owner[by], at[by])]
-    return _runs(owner[again], at[again], np.ones(len(again), np.int64))
+    data = np.frombuffer(b"".join(body.take(pa.array(order)).to_pylist()), np.uint8)
+    doc, start, n = doc[order], start[order], n[order].astype(np.int64)
+    sizes = n + length - 1
+    first = np.cumsum(sizes) - sizes
+    item = np.repeat(np.arange(len(order)), n)
+    within = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+    group = np.unique(key[order], return_inverse=True)[1]
+    # Windows come in order of place, so the first of equals is the earliest.
+    rows, new = byte_groups(data, first[item] + within, group[item], length)
+    owner, at = doc[item[rows]], (start[item] + within)[rows]
+    again = _later(new, owner, at)
+    return _runs(owner[again], at[again], np.ones(int(again.sum()), np.int64))
 
 
 def settle_pieces(pieces: DataFrame, length: int) -> DataFrame:
@@ -362,7 +393,7 @@ def settle_pieces(pieces: DataFrame, length: int) -> DataFrame:
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows >= 20_000:
+            if rows >= 10_000:
                 whole = pa.Table.from_batches(held).combine_chunks()
                 k = whole.column("key").to_numpy()
                 cut = int(np.searchsorted(k, k[-1]))

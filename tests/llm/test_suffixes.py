@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from folioscope.llm import suffixes
 from tests.llm.conftest import frame
 
@@ -68,3 +71,40 @@ def test_negative_ids_are_ids(spark):
     docs = [(-7, passage + "x" + other, "", "", 0), (-1, "y" + passage, "", "", 0), (0, other + "z", "", "", 0), (4, passage + "w" * 20 + other, "", "", 0), (-(1 << 63), "v" * 120 + other, "", "", 0)]
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in run(spark, docs)}
     assert got == brute(docs) and got[-1][1] == 150
+
+
+def test_windows_are_ordered_by_their_bytes():
+    r = random.Random(21)
+    for length in (32, 40, 100, 101):
+        parts = ["".join(r.choice("ab") for _ in range(r.choice((3, 20, 60)))) for _ in range(4)]
+        text = "".join(r.choice(parts) for _ in range(200)).encode()
+        place = np.arange(len(text) - length + 1)
+        group = np.array([r.randrange(2) for _ in place])
+        rows, new = suffixes.byte_groups(np.frombuffer(text, np.uint8), place, group, length)
+        want = {}
+        for p in place.tolist():
+            want.setdefault((group[p], text[p : p + length]), []).append(p)
+        got = [g.tolist() for g in np.split(rows, np.flatnonzero(new)[1:]) if len(g)]
+        assert sorted(got) == sorted(g for g in want.values() if len(g) > 1) and len(got)
+
+
+def test_minimizers_that_collide_change_nothing():
+    """All items under one key, as if every minimizer had the same fingerprint."""
+    r = random.Random(22)
+    shared = [bytes(r.choices(b"abcd", k=140)) for _ in range(6)]
+    rows = []
+    for doc in range(120):
+        body = bytes(r.choices(b"abcd", k=r.randrange(40))) + r.choice(shared) + bytes(r.choices(b"abcd", k=r.randrange(40)))
+        rows.append((doc, r.randrange(5) * 200, body))
+    r.shuffle(rows)
+    doc, start, bodies = (list(c) for c in zip(*rows, strict=True))
+    n = np.array([len(b) - 99 for b in bodies])
+    seen, want = set(), set()
+    for d, s, b in sorted(rows):
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                want.add((d, s + k))
+            seen.add(b[k : k + 100])
+    for key in (np.zeros(len(rows), np.int64), np.full(len(rows), -7)):
+        got = suffixes._repeats_in(key, np.array(doc), np.array(start), n, pa.array(bodies, pa.binary()), 100)
+        assert {(d, s + k) for d, s, m in zip(*(c.tolist() for c in got), strict=True) for k in range(m)} == want and want
