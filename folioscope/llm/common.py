@@ -13,13 +13,18 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+FEW_LINKS = 1_000_000  # that one task joins into components, in about 100 MB
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, by any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -93,44 +98,70 @@ def prefix_sums(df: DataFrame, key: str, sub: str, order: list[Column], weight:
     )
 
 
-def connected_components(links: DataFrame, ws: Workspace, label: str = "cc", max_rounds: int = 60) -> DataFrame:
+def _least_nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, p): each node of a table of links and the least node it reaches."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    u, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        new, low = label.copy(), np.minimum(label[a], label[b])
+        for end in (label[a], label[b]):  # the nodes pointed at follow, and so all that point at them
+            np.minimum.at(new, end, low)
+        while not np.array_equal(further := new[new], new):
+            new = further
+        if np.array_equal(new, label):
+            break
+        label = new
+    for at in range(0, len(nodes), 100_000):
+        cut = slice(at, at + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[cut]), pa.array(nodes[label[cut]])], ["u", "p"])
+
+
+def connected_components(links: DataFrame, ws: Workspace, label: str = "cc", max_rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
     """(node, component) for every node of ``links(a, b)``; component is the smallest node reachable.
 
     Randomised contraction: in each round every node points at its neighbour, or itself, of least
     hashed priority, and the links are rewritten between the nodes pointed at. The number of nodes
     falls by a constant factor a round whatever the shape of the graph, chains and hubs included, so
-    the rounds grow with the logarithm of the longest chain. Neither links nor nodes are collected.
-    Self-links only name a node; null ends are not allowed; repeated links change nothing.
+    the rounds grow with the logarithm of the longest chain. Once no more than ``few`` links are left, one task
+    finishes them. Neither links nor nodes are collected. Self-links only name a node; null ends are not
+    allowed; repeated links change nothing.
     """
-    spark = ws.spark
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = ws.keep(both.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), f"{label}-e0")
-    maps: list[str] = []
+    tables: list[str] = []
+    edges = ws.keep(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), f"{label}-e0")
     for i in range(max_rounds):
+        if edges.count() <= few:
+            break
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = F.struct(F.xxhash64(F.col("v"), F.lit(i)).alias("h"), F.col("v").alias("v"))
-        best = edges.groupBy("u").agg(F.min(near).alias("m"))
+        best = both.groupBy("u").agg(F.min(near).alias("m"))
         itself = F.xxhash64(F.col("u"), F.lit(i)) < F.col("m.h")
-        parent = best.select("u", F.when(itself, F.col("u")).otherwise(F.col("m.v")).alias("p"))
-        parent = ws.keep(parent, f"{label}-p{i}")
-        maps.append(f"{label}-p{i}")
+        parent = ws.keep(best.select("u", F.when(itself, F.col("u")).otherwise(F.col("m.v")).alias("p")), f"{label}-p{i}")
+        tables.append(f"{label}-p{i}")
         p1, p2 = parent.select("u", F.col("p").alias("pu")), parent.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        moved = edges.join(p1, "u").join(p2, "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct()
-        edges = ws.keep(moved, f"{label}-e{i + 1}")
+        moved = edges.join(p1, "u").join(p2, "v").where("pu <> pv")
+        edges = ws.keep(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), f"{label}-e{i + 1}")
         ws.drop(f"{label}-e{i}")
-        if edges.isEmpty():
-            break
     else:
         raise RuntimeError("components did not converge")
-    tables = [spark.read.parquet(ws.path(m)) for m in maps]
-    out = tables[0].select(F.col("u").alias("node"), F.col("p").alias("root"))
-    for nxt in tables[1:]:
+    last = ws.keep(edges.repartition(1).mapInArrow(_least_nodes, "u long, p long"), f"{label}-last")
+    if not tables:
+        return last.select(F.col("u").alias("node"), F.col("p").alias("component"))
+    found = [*(ws.spark.read.parquet(ws.path(t)) for t in tables), last]
+    out = found[0].select(F.col("u").alias("node"), F.col("p").alias("root"))
+    for nxt in found[1:]:
         step = nxt.select(F.col("u").alias("root"), F.col("p").alias("further"))
         out = out.join(step, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
-    least = out.groupBy("root").agg(F.min("node").alias("component"))
-    result = ws.keep(out.join(least, "root").select("node", "component"), f"{label}-out")
-    for m in [*maps, f"{label}-e{len(maps)}"]:
-        ws.drop(m)
-    return result
+    # Both sides are written before they are joined, so that one giant component can be split.
+    out = ws.keep(out, f"{label}-roots")
+    least = ws.keep(out.groupBy("root").agg(F.min("node").alias("component")), f"{label}-least")
+    for t in tables:
+        ws.drop(t)
+    return out.join(least, "root").select("node", "component")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

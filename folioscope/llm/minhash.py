@@ -163,11 +163,12 @@ def classes(docs: DataFrame, ws: Workspace, width: int, percent: int = 80, permu
     reps = ws.keep(reps, "reps")
     ws.release()
     members = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    # Buckets of two and more, with one pivot each; then every member of them.
+    # Buckets of two and more, with two pivots each, written so that a hot bucket can be split; then every member of them.
     pivots = members.groupBy("bucket").agg(
         F.min("rep").alias("pivot"), F.max(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))).alias("far"), F.count("*").alias("size")
     ).where("size > 1")
-    shared = ws.keep(members.join(pivots.select("bucket", "pivot", F.col("far.rep").alias("other")), "bucket"), "shared")
+    pivots = ws.keep(pivots.select("bucket", "pivot", F.col("far.rep").alias("other")), "pivots")
+    shared = ws.keep(members.join(pivots, "bucket"), "shared")
 
     # The one time that texts are exchanged: the sets of all members of shared buckets.
     ids = shared.select(F.col("rep").alias("doc_id")).distinct()
@@ -194,14 +195,25 @@ def classes(docs: DataFrame, ws: Workspace, width: int, percent: int = 80, permu
         ws.release()
     rest = ws.keep(_unsettled(shared, component).select("rep", "n", "component").distinct(), "rest")
     ws.release()
-    pairs = ws.keep(prefix_pairs(rest, sets, percent).join(tried, ["a", "b"], "left_anti"), "pairs2")
-    links = links.unionByName(ws.keep(confirm(pairs, sets, percent), "links2"))
-    component = connected_components(links, ws, "cc2")
+    pairs = ws.keep(prefix_pairs(rest, sets, ws, percent).join(tried, ["a", "b"], "left_anti"), "pairs2")
+    more = ws.keep(confirm(pairs, sets, percent), "links2")
+    component = _merged(component, more, ws)
     by_class = reps.select("digest", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return facts.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left").select("doc_id", "n_shingles", "component")
 
 
-def prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _merged(component: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
+    """(node, component) after ``links`` between nodes: only these are joined anew, between components."""
+    at = lambda c: F.coalesce(F.col(f"c{c}"), F.col(c)).alias(c)
+    known = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    above = connected_components(links.join(known("a"), "a", "left").join(known("b"), "b", "left").select(at("a"), at("b")), ws, "cc2")
+    above = above.select(F.col("node").alias("component"), F.col("component").alias("upper"))
+    old = component.join(above, "component", "left").select("node", F.coalesce("upper", "component").alias("component"))
+    new = above.join(component.select("node"), F.col("component") == F.col("node"), "left_anti").select(F.col("component").alias("node"), F.col("upper").alias("component"))
+    return old.unionByName(new)
+
+
+def prefix_pairs(rest: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> DataFrame:
     """The (a, b) of ``rest(rep, n, component)`` that may link, in different components.
 
     With all shingles in one order, rarest first, two sets of n and m members that share at least
@@ -220,6 +232,7 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     part = F.slice("held", 1, F.greatest(most - single, F.lit(0)).cast("int"))
     rows = rest.join(held, "rep").select("rep", "n", "component", single.alias("single"), F.posexplode(part).alias("k", "x"))
     rows = rows.select("rep", "n", "component", (F.col("single") + F.col("k") + 1).alias("at"), F.col("x.token").alias("token"))
+    rows = ws.keep(rows, "prefixes")  # a self-join of a table can be split at a frequent token
     x = rows.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("at").alias("pa"))
     y = rows.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("at").alias("pb"))
     need = F.ceil(t * (F.col("na") + F.col("nb")) / (1 + t) - 1e-9)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from folioscope.llm import minhash, neardup_vectors
-from folioscope.llm.common import Workspace, connected_components
+from folioscope.llm.common import Workspace, connected_components, run_hashes
 from tests.llm.conftest import frame
 
 
@@ -65,9 +65,54 @@ def test_signature_estimates_similarity():
 def test_components_of_chains_stars_and_rings(spark):
     edges = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1300)] + [(2000 + k, 2000 + (k + 1) % 50) for k in range(50)] + [(5000, 5000), (7, 8)]
     df = spark.createDataFrame(edges, "a long, b long")
-    got = {r.node: r.component for r in connected_components(df, Workspace(spark, "t")).collect()}
-    assert got == {n: 0 if n < 1000 else 1000 if n < 2000 else 2000 if n < 5000 else 5000 for e in edges for n in e}
-    assert connected_components(df.where("false"), Workspace(spark, "t")).count() == 0
+    want = {n: 0 if n < 1000 else 1000 if n < 2000 else 2000 if n < 5000 else 5000 for e in edges for n in e}
+    for few in (1_000_000, 100, 0):  # in one task at once, after some rounds, and by rounds alone
+        got = {r.node: r.component for r in connected_components(df, Workspace(spark, "t"), few=few).collect()}
+        assert got == want
+        assert connected_components(df.where("false"), Workspace(spark, "t"), few=few).count() == 0
+
+
+def test_components_of_random_links(spark):
+    r = random.Random(14)
+    edges = [(r.randrange(-400, 400), r.randrange(-400, 400)) for _ in range(450)]
+    g = Groups({n for e in edges for n in e})
+    for a, b in edges:
+        g.join(a, b)
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few in (1000, 20):
+        assert {x.node: x.component for x in connected_components(df, Workspace(spark, "t"), few=few).collect()} == {n: g.find(n) for n in g.up}
+
+
+def test_a_hot_bucket_and_a_giant_group(spark):
+    """A third of all rows in one group of slightly different texts, which share most buckets and frequent shingles."""
+    r = random.Random(15)
+    base = [f"w{k}" for k in range(120)]
+    data = [(k, " ".join(w if r.random() > 0.02 else f"q{r.randrange(40)}" for w in base), "en", "s", 0) for k in range(300)]
+    data += [(1000 + k, " ".join(f"x{r.randrange(3000)}" for _ in range(60)), "en", "s", 0) for k in range(600)]
+    sets = {i: shingles(t, 2) for i, t, *_ in data}
+    g, ids = Groups(sets), sorted(sets)
+    for a in range(len(ids)):
+        for b in range(a):
+            x, y = sets[ids[a]], sets[ids[b]]
+            if ids[a] < 1000 and 100 * len(x & y) >= 80 * len(x | y):
+                g.join(ids[a], ids[b])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = {x.doc_id: x.component_id for x in minhash.near_duplicates(frame(spark, data)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: g.find(i) for i in ids} and len({g.find(i) for i in range(300)}) < 100
+
+
+def test_texts_of_any_length_are_hashed_alike():
+    r = random.Random(16)
+    words = ["".join(r.choices("abcé中", k=r.choice((1, 3, 9, 400)))) for _ in range(300)] + ["y" * 40_000]
+    text = " ".join(words)
+    codes = np.frombuffer(text.encode(), np.uint8)
+    own = run_hashes(codes, codes != 32)
+    assert len(own) == len(words) and len(set(own.tolist())) == len(set(words))
+    assert np.array_equal(own, run_hashes(codes, codes != 32, block=1 << 30)) and np.array_equal(own, run_hashes(codes, codes != 32, block=7))
+    assert all(run_hashes(np.frombuffer(w.encode(), np.uint8), np.ones(len(w.encode()), bool))[0] == h for w, h in zip(words, own, strict=True))
 
 
 def vectors():
