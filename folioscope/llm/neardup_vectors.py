@@ -1,15 +1,18 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison (operator 3).
 
 Vectors are compared if their labels are equal. Equal vectors form one class first. The principal axes
-come from the second moments of all unit vectors. Classes are sorted by label and leading coordinate
-and cut into tiles of bounded size; two tiles are compared unless their leading coordinates lie too far
-apart for any link. Inside a pair of tiles, leading dimensions are multiplied first, and the product of
+come from the second moments of all unit vectors. Classes are sorted by label and by cells of the leading
+``AXES`` coordinates and cut into tiles, and tiles in blocks of bounded size. A block carries the box of its leading
+coordinates; two blocks meet if they share a cell or have neighbouring ones, and boxes near enough for any link.
+Of two blocks those tiles are compared whose own boxes, over the first step's axes, are near enough. Inside a pair
+of tiles, leading dimensions are multiplied first, and the product of
 the norms of what is left bounds the rest: rows and columns whose bound stays below the threshold
 drop out, and the comparison stops when none is left. Those that remain get their full cosine from the
 original vectors in double precision, which alone decides.
 
-A tile pair gives, for each vector, its number of links, and the edges of a spanning forest of its
-links; so no task emits all pairs of a group, and the forests have the components of all links.
+A pair of blocks gives, for each vector, its number of links, and the edges of a spanning forest of its
+links; so no task emits all pairs of a group, and the forests have the components of all links. A block is sent once
+for each block it meets.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null
 label, link with nothing. Vectors of different length are not compared. Repeated vectors are linked to
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, connected_components
 
 TILE = 1024
+BLOCK = 4 * TILE
+AXES = 3  # leading coordinates with cells
 STEPS = (8, 8, 16)  # dimensions added before each look at the bound; the rest follow at once
 SLACK = 1e-9
 
@@ -69,14 +74,13 @@ def axes(reps: DataFrame) -> dict[int, np.ndarray]:
     return {d: np.linalg.eigh(m.reshape(d, d))[1][:, ::-1].copy() for d, m in found.items()}
 
 
-def links_mask(x: np.ndarray, y: np.ndarray, basis: np.ndarray, threshold: float) -> np.ndarray:
-    """Which rows of ``x`` and ``y`` (original vectors) have a cosine of at least ``threshold``."""
-    ux, uy = _unit(x), _unit(y)
-    px, py = ux @ basis, uy @ basis
-    out = np.zeros((len(x), len(y)), bool)
-    rows, cols = np.arange(len(x)), np.arange(len(y))
-    done, d = 0, basis.shape[1]
-    acc = np.zeros((len(x), len(y)))
+def links_mask(ux: np.ndarray, uy: np.ndarray, px: np.ndarray, py: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of ``ux`` and ``uy`` (unit vectors; ``px`` and ``py``: along the axes) have a cosine of at
+    least ``threshold``."""
+    out = np.zeros((len(ux), len(uy)), bool)
+    rows, cols = np.arange(len(ux)), np.arange(len(uy))
+    done, d = 0, px.shape[1]
+    acc = np.zeros((len(ux), len(uy)))
     for step in STEPS:
         end = min(done + step, d)
         acc += px[rows, done:end] @ py[cols, done:end].T
@@ -95,6 +99,28 @@ def links_mask(x: np.ndarray, y: np.ndarray, basis: np.ndarray, threshold: float
     return out
 
 
+def block_links(x: np.ndarray, y: np.ndarray, same: bool, basis: np.ndarray, threshold: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row of ``x``, first row of ``y``, mask of links) for the pairs of tiles of two blocks that have links."""
+    ux, uy = _unit(x), _unit(y)
+    px, py = ux @ basis, uy @ basis
+    reach = 2 - 2 * threshold + SLACK  # the square of the greatest distance of linked unit vectors
+    tiles = [[(k, p[k : k + TILE, : STEPS[0]]) for k in range(0, len(p), TILE)] for p in (px, py)]
+    boxes = [[(k, p.min(axis=0), p.max(axis=0)) for k, p in own] for own in tiles]
+    for i, lo, hi in boxes[0]:
+        for j, low, high in boxes[1]:
+            if same and j < i:
+                continue
+            apart = np.maximum(np.maximum(lo - high, low - hi), 0)
+            if (apart * apart).sum() > reach:
+                continue
+            a, b = slice(i, i + TILE), slice(j, j + TILE)
+            mask = links_mask(ux[a], uy[b], px[a], py[b], threshold)
+            if same and i == j:
+                np.fill_diagonal(mask, False)
+            if mask.any():
+                yield i, j, mask
+
+
 def forest(mask: np.ndarray) -> list[tuple[int, int]]:
     """Edges (row, column) of a spanning forest of the links in ``mask``."""
     edges: list[tuple[int, int]] = []
@@ -116,18 +142,28 @@ def forest(mask: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def tiles(reps: DataFrame, basis: dict[int, np.ndarray], n: int, ws: Workspace) -> DataFrame:
-    """Rows of at most ``TILE`` classes: tile, label, d, lo and hi of the leading coordinate, ids, copies, data."""
-    lead = {d: b[:, 0] for d, b in basis.items()}
+def reach_of(threshold: float) -> float:
+    """The greatest distance of unit vectors whose cosine reaches the threshold."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+
+
+def blocks(reps: DataFrame, basis: dict[int, np.ndarray], n: int, cell: float, ws: Workspace) -> DataFrame:
+    """Rows of at most ``BLOCK`` classes: block, label, d, lo and hi of the leading coordinates, ids, copies, data."""
+    lead = {d: b[:, :AXES] for d, b in basis.items()}
+    kind = "<f4" if dict(reps.dtypes)["vec"] == "array<float>" else "<f8"
 
     def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column(b.schema.names.index("vec"))
             sizes = v.value_lengths().to_numpy()
-            at = np.zeros(len(sizes))
+            at = np.zeros((len(sizes), AXES))
             for d in np.unique(sizes):
-                at[sizes == d] = _unit(_matrix(v.filter(pa.array(sizes == d)))) @ lead[int(d)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int32()), pa.array(at)], [*b.schema.names, "d", "at"])
+                own = _unit(_matrix(v.filter(pa.array(sizes == d)))) @ lead[int(d)]
+                at[sizes == d, : own.shape[1]] = own
+            cols = [pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in at.T)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "d", *places])
+
+    places = [f"at{k}" for k in range(AXES)]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -135,60 +171,78 @@ def tiles(reps: DataFrame, basis: dict[int, np.ndarray], n: int, ws: Workspace)
 
         def out() -> pa.RecordBatch:
             nonlocal seen
-            label, _, _, _, d, _ = held[0]
-            ids = np.array([h[1] for h in held], "<i8").tobytes()
-            copies = np.array([h[2] for h in held], "<i8").tobytes()
-            data = np.array([h[3] for h in held], "<f8").tobytes()
+            label, d = held[0][0], held[0][4]
+            at = np.array([h[5:] for h in held])
+            ids, copies = (np.array([h[k] for h in held], "<i8").tobytes() for k in (1, 2))
+            data = np.array([h[3] for h in held], kind).tobytes()
             seen += 1
-            tile = (TaskContext.get().partitionId() << 32) | seen
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((tile, pa.int64()), (label, pa.string()), (d, pa.int32()), (held[0][5], pa.float64()), (held[-1][5], pa.float64()), (ids, pa.binary()), (copies, pa.binary()), (data, pa.binary()))],
-                ["tile", "label", "d", "lo", "hi", "ids", "copies", "data"],
-            )
+            block = (TaskContext.get().partitionId() << 32) | seen
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
+            row = (block, label, d, at.min(axis=0).tolist(), at.max(axis=0).tolist(), ids, copies, data)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["block", "label", "d", "lo", "hi", "ids", "copies", "data"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (len(held) == TILE or (row[0], row[4]) != (held[0][0], held[0][4])):
+                if held and (len(held) == BLOCK or (row[0], row[4]) != (held[0][0], held[0][4])):
                     yield out()
                     held = []
                 held.append(row)
         if held:
             yield out()
 
-    placed = reps.select("label", "rep", "copies", "vec").mapInArrow(project, "label string, rep long, copies long, vec array<double>, d int, at double")
-    placed = placed.repartitionByRange(max(1, -(-n // (2 * TILE))), "label", "d", "at", "rep").sortWithinPartitions("label", "d", "at", "rep")
-    return ws.keep(placed.mapInArrow(cut, "tile long, label string, d int, lo double, hi double, ids binary, copies binary, data binary"), "tiles")
+    doubles = ", ".join(f"{c} double" for c in places)
+    placed = reps.select("label", "rep", "copies", "vec").mapInArrow(project, f"label string, rep long, copies long, vec {dict(reps.dtypes)['vec']}, d int, {doubles}")
+    order = ["label", "d", *[F.floor(F.col(c) / cell) for c in places], "at0", "rep"]
+    placed = placed.repartitionByRange(max(1, -(-n // (2 * BLOCK))), *order).sortWithinPartitions(*order)
+    return ws.keep(placed.mapInArrow(cut, "block long, label string, d int, lo array<double>, hi array<double>, ids binary, copies binary, data binary"), "blocks")
+
+
+def block_pairs(blocked: DataFrame, cell: float, reach: float) -> DataFrame:
+    """(d, block_a, block_b) of the blocks near enough to each other, each pair once."""
+
+    def cells(df: DataFrame, wider: float) -> DataFrame:
+        for k in range(AXES):
+            ends = [F.floor((F.col("lo")[k] - wider) / cell), F.floor((F.col("hi")[k] + wider) / cell)]
+            df = df.withColumn(f"c{k}", F.explode(F.sequence(*ends)))
+        return df
+
+    side = lambda s: blocked.select("label", "d", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi")])
+    own = cells(blocked.select("label", "d", "block", "lo", "hi"), 0.0).select("label", "d", F.col("block").alias("block_a"), *[f"c{k}" for k in range(AXES)])
+    met = cells(blocked.select("label", "d", "block", "lo", "hi"), reach).select("label", "d", F.col("block").alias("block_b"), *[f"c{k}" for k in range(AXES)])
+    pairs = own.join(met, ["label", "d", *[f"c{k}" for k in range(AXES)]]).where("block_a <= block_b").select("d", "block_a", "block_b").distinct()
+    gap = lambda k: F.greatest(F.col("lo_a")[k] - F.col("hi_b")[k], F.col("lo_b")[k] - F.col("hi_a")[k], F.lit(0.0))
+    apart = sum((gap(k) * gap(k) for k in range(AXES)), F.lit(0.0))
+    boxes = pairs.join(side("a").drop("label", "d"), "block_a").join(side("b").drop("label", "d"), "block_b")
+    return boxes.where(apart <= reach * reach).select("d", "block_a", "block_b")
 
 
-def compare(tiled: DataFrame, basis: dict[int, np.ndarray], threshold: float) -> DataFrame:
+def compare(blocked: DataFrame, basis: dict[int, np.ndarray], cell: float, threshold: float, kind: str) -> DataFrame:
     """(a, b, n): a forest edge if b is not null, else n links of a."""
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
-    x = tiled.select("label", "d", F.col("tile").alias("ta"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    y = tiled.select("label", "d", F.col("tile").alias("tb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    near = (F.col("ta") <= F.col("tb")) & (F.col("lo_a") - F.col("hi_b") <= reach) & (F.col("lo_b") - F.col("hi_a") <= reach)
-    pairs = x.join(y, ["label", "d"]).where(near).select("d", "ta", "tb")
-    side = lambda s: tiled.select(F.col("tile").alias(f"t{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "data")])
-    full = pairs.join(side("a"), "ta").join(side("b"), "tb").select("d", F.expr("ta = tb").alias("same"), "ids_a", "copies_a", "data_a", "ids_b", "copies_b", "data_b")
+    pairs = block_pairs(blocked, cell, reach_of(threshold))
+    side = lambda s: blocked.select(F.col("block").alias(f"block_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "data")])
+    full = pairs.join(side("a"), "block_a").join(side("b"), "block_b")
+    full = full.select("d", F.expr("block_a = block_b").alias("same"), "ids_a", "copies_a", "data_a", "ids_b", "copies_b", "data_b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 d, same, ia, ca, xa, ib, cb, xb = (c[k].as_py() for c in b.columns)
                 ia, ca, ib, cb = (np.frombuffer(v, "<i8") for v in (ia, ca, ib, cb))
-                x, y = np.frombuffer(xa, "<f8").reshape(-1, d), np.frombuffer(xb, "<f8").reshape(-1, d)
-                mask = links_mask(x, y, basis[d], threshold)
-                if same:
-                    np.fill_diagonal(mask, False)
-                m = mask.astype(np.float64)  # exact: sums stay far below 2**53
-                na = (m @ cb).astype(np.int64)
-                parts = [(ia, na)] if same else [(ia, na), (ib, (m.T @ ca).astype(np.int64))]
+                x, y = (np.frombuffer(v, kind).astype(np.float64).reshape(-1, d) for v in (xa, xb))
+                na, nb, edges = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64), []
+                for i, j, mask in block_links(x, y, same, basis[d], threshold):
+                    m, p, q = mask.astype(np.float64), slice(i, i + mask.shape[0]), slice(j, j + mask.shape[1])  # exact: sums stay far below 2**53
+                    na[p] += (m @ cb[q]).astype(np.int64)
+                    if not (same and i == j):
+                        (na if same else nb)[q] += (m.T @ ca[p]).astype(np.int64)
+                    edges += [(ia[i + r], ib[j + c]) for r, c in forest(mask)]
+                parts = [(ia, na)] if same else [(ia, na), (ib, nb)]
                 a = np.concatenate([i[c > 0] for i, c in parts])
                 n = np.concatenate([c[c > 0] for _, c in parts])
-                e = forest(mask)
-                if len(a) or e:
-                    ea, eb = ia[[r for r, _ in e]], ib[[c for _, c in e]]
+                if len(a):
+                    ea, eb = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([a, ea])), pa.array([None] * len(a) + eb.tolist(), pa.int64()), pa.array(np.concatenate([n, np.zeros(len(e), np.int64)]))],
+                        [pa.array(np.concatenate([a, ea])), pa.array([None] * len(a) + eb.tolist(), pa.int64()), pa.array(np.concatenate([n, np.zeros(len(edges), np.int64)]))],
                         ["a", "b", "n"],
                     )
 
@@ -198,15 +252,20 @@ def compare(tiled: DataFrame, basis: dict[int, np.ndarray], threshold: float) ->
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """``vectors(vec_id, embedding, label)`` to vec_id, n_links, component_id, kept."""
     ws = Workspace(vectors.sparkSession, "vectors")
-    vec = F.col("embedding").cast("array<double>")
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"  # floats are doubles exactly
+    vec = F.col("embedding").cast(f"array<{kind}>")
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
-    rows = ws.keep(vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.when(F.coalesce(good, F.lit(False)), F.transform(vec, lambda x: x + F.lit(0.0))).alias("vec")), "rows")
-    valid = rows.where("vec is not null").withColumn("key", F.unhex(F.md5(F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").cast("binary"))))
+    plain = F.when(F.coalesce(good, F.lit(False)), F.transform(vec, lambda x: x + F.lit(0.0).cast(kind)))  # turns -0 to 0
+    read = vectors.select("vec_id", F.col("label").cast("string").alias("label"), plain.alias("vec"))
+    keyed = read.select("vec_id", "label", "vec", F.when(F.col("vec").isNotNull(), F.struct(F.xxhash64("vec").alias("x"), F.xxhash64(F.lit(1), F.col("vec")).alias("y"))).alias("key"))
+    valid = keyed.where("vec is not null")
     reps = ws.keep(valid.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "reps")
+    rows = ws.keep(keyed.select("vec_id", "label", "key"), "rows")
     n = reps.count()
     if n:
         basis = axes(reps)
-        found = ws.keep(compare(tiles(reps, basis, n, ws), basis, threshold), "found")
+        cell = max(reach_of(threshold), 0.1)
+        found = ws.keep(compare(blocks(reps, basis, n, cell, ws), basis, cell, threshold, "<f4" if kind == "float" else "<f8"), "found")
         links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
         component = connected_components(found.where("b is not null").select("a", "b"), ws).withColumnRenamed("node", "rep")
         by_class = reps.select("label", "key", "rep", "copies").join(links, "rep", "left").join(component, "rep", "left")
@@ -215,8 +274,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     by_class = by_class.select(
         "label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")
     )
-    linked = valid.select("vec_id", "label", "key").join(by_class, ["label", "key"]).select("vec_id", "links", "component")
-    alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
+    linked = rows.where("key is not null").join(by_class, ["label", "key"]).select("vec_id", "links", "component")
+    alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
     return linked.unionByName(alone).select(
         "vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("vec_id")).alias("kept")
     )

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import minhash, neardup_vectors
 from folioscope.llm.common import Workspace, connected_components, run_hashes
@@ -139,9 +140,11 @@ def vectors():
     return data
 
 
-def test_vectors_equal_all_pairs(spark):
+@pytest.mark.parametrize(("block", "kind"), [(neardup_vectors.BLOCK, "float"), (16, "double")])
+def test_vectors_equal_all_pairs(spark, monkeypatch, block, kind):
+    monkeypatch.setattr(neardup_vectors, "BLOCK", block)
     data = vectors()
-    df = frame(spark, data, "vec_id long, embedding array<float>, label int")
+    df = frame(spark, data, "vec_id long, embedding array<float>, label int").withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup_vectors.near_duplicates(df).collect()}
     links, g, by = defaultdict(int), Groups(range(len(data))), defaultdict(list)
     for i, v, label in data:
@@ -166,6 +169,28 @@ def test_vectors_on_empty_and_linkless_tables(spark):
     assert sorted((str(r.vec_id), r.n_links) for r in got) == [("3", 0), ("None", 0)]
 
 
+def test_tiles_of_blocks_miss_no_link(monkeypatch):
+    monkeypatch.setattr(neardup_vectors, "TILE", 8)
+    r = np.random.RandomState(7)
+    x = np.concatenate([c + 0.12 * r.randn(20, 12) / 3 for c in r.randn(6, 12)])
+    x = x[np.argsort(x[:, 0])]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    basis = np.linalg.eigh(u.T @ u)[1][:, ::-1]
+    for a, b in ((x, x), (x[:50], x[50:])):
+        same = a is b
+        got = np.zeros((len(a), len(b)), bool)
+        pairs = 0
+        for i, j, mask in neardup_vectors.block_links(a, b, same, basis, 0.93):
+            got[i : i + mask.shape[0], j : j + mask.shape[1]] |= mask
+            if same:
+                got[j : j + mask.shape[1], i : i + mask.shape[0]] |= mask.T
+            pairs += 1
+        want = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T >= 0.93
+        if same:
+            np.fill_diagonal(want, False)
+        assert (got == want).all() and pairs
+
+
 def test_forest_keeps_components():
     r = random.Random(1)
     for _ in range(30):
