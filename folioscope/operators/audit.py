@@ -32,7 +32,12 @@ def evidence_pages(questions: DataFrame, pages: DataFrame) -> DataFrame:
 def widen_truth(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Q3: (qid, source, page): listed and found pages of the answerable questions."""
     answerable = questions.where("answerable")
-    return listed_pages(answerable).unionByName(evidence_pages(answerable, page_texts(chunks))).distinct()
+    return listed_pages(answerable).unionByName(evidence_pages(answerable, page_texts(expected_chunks(answerable, chunks)))).distinct()
+
+
+def expected_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks of the sources that any question expects, before their pages are joined and normalised."""
+    return chunks.join(listed_pages(questions).select("source").distinct(), "source", "left_semi")
 
 
 def _problem(rows: DataFrame, kind: str, detail) -> DataFrame:
@@ -78,9 +83,11 @@ def appearing_terms(unanswerable: DataFrame, pages: DataFrame) -> DataFrame:
     terms = unanswerable.select("qid", F.explode("absent").alias("term")).distinct().withColumn("t", T.normalise("term"))
     key = F.array_max(F.transform(F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     terms = terms.withColumn("w", key).where("t <> ''")
-    words = pages.select("source", "page", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0)))).alias("w"))
+    words = pages.select("source", "page", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0)))).alias("w"))
     quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace("t", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
-    met = terms.where("w is not null").join(words, "w").where(F.rlike("text", quoted)).select("qid", "term", "source", "page")
+    # Keys meet first; a page's text joins only where a term's word is on it.
+    on = terms.where("w is not null").join(words, "w").drop("w")
+    met = on.join(pages.select("source", "page", "text"), ["source", "page"]).where(F.rlike("text", quoted)).select("qid", "term", "source", "page")
     signs = terms.where("w is null").join(pages, F.rlike("text", quoted)).select("qid", "term", "source", "page")
     order = Window.partitionBy("qid", "term").orderBy("source", "page")
     first = met.unionByName(signs).withColumn("k", F.row_number().over(order)).where("k <= 3")
@@ -90,5 +97,5 @@ def appearing_terms(unanswerable: DataFrame, pages: DataFrame) -> DataFrame:
 def notes(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Q7: (qid, pages): further pages of the expected sources with the same evidence, sorted."""
     ans = questions.where("answerable")
-    more = evidence_pages(ans, page_texts(chunks)).join(listed_pages(ans), ["qid", "source", "page"], "left_anti")
+    more = evidence_pages(ans, page_texts(expected_chunks(ans, chunks))).join(listed_pages(ans), ["qid", "source", "page"], "left_anti")
     return more.groupBy("qid").agg(F.array_sort(F.collect_set(F.struct("source", "page"))).alias("p")).select("qid", T.page_labels("p").alias("pages"))

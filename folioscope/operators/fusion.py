@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import Settings
+from ..sources.workspace import Tables
 from . import scan, vectors
 
 MODES = ("dense", "hybrid")
@@ -64,19 +65,30 @@ def rankings(questions: DataFrame, index: Index, depth: int, hybrid: bool, embed
     """(dense, keyword) rankings of the candidates, (qid, ord, cosine, rank) and (qid, ord, rank).
 
     Candidates are the first ``depth`` passages of either ranking; their ranks in both are exact among
-    all passages. Questions are worked off in blocks, of which only the candidates reach the driver.
+    all passages. Questions are worked off in blocks; each block's candidates are added to tables in the shared
+    folder.
     """
     spark = questions.sparkSession
+    tables = Tables(spark, "rankings")
     embedded = embedder.embed(questions.select(F.col("qid").alias("id"), F.col("question").alias("text")))
-    dense: list[tuple] = []
-    keyword: list[tuple] = []
-    for qids, matrix in vectors.question_blocks(embedded, index.dim):
+    found: list[tuple[DataFrame, DataFrame | None]] = []
+    for n, (qids, matrix) in enumerate(vectors.question_blocks(embedded, index.dim)):
         asked = scan.ask(questions.where(F.lit(hybrid)), index.words, qids, matrix, index.avg_len)
-        d, k = scan.rankings(index.passages, asked, depth, hybrid)
-        dense += d
-        keyword += k
-    out = spark.createDataFrame(dense, "qid long, ord long, cosine double, rank int")
-    return out, spark.createDataFrame(keyword, "qid long, ord long, rank int") if hybrid else None
+        dense, keyword = scan.rankings(index.passages, asked, depth, hybrid, tables, f"block{n}")
+        if n:  # a second block and more: plans must not grow with their number
+            for df, name in ((dense, "dense"), (keyword, "keyword")):
+                if df is not None:
+                    tables.keep(df, name, "append")
+        else:
+            found.append((dense, keyword))
+    if not found:
+        return spark.createDataFrame([], scan.DENSE), spark.createDataFrame([], scan.KEYWORD) if hybrid else None
+    dense, keyword = found[0]
+    if tables.has("dense"):
+        dense = dense.unionByName(spark.read.schema(scan.DENSE).parquet(tables.path("dense")))
+    if hybrid and tables.has("keyword"):
+        keyword = keyword.unionByName(spark.read.schema(scan.KEYWORD).parquet(tables.path("keyword")))
+    return dense, keyword
 
 
 Rankings = tuple[DataFrame, DataFrame | None]

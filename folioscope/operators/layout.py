@@ -37,7 +37,10 @@ def read_order(blocks: DataFrame, settings: Settings | None = None) -> DataFrame
 
 def page_blocks(blocks: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Text blocks in reading order, cleaned; empty and noisy ones go only after ordering, since
-    a wide noisy block still ends a band. ``blocks`` has block_type too (S3: 0 is text)."""
-    ordered = read_order(blocks.where("block_type = 0"), settings)
-    cleaned = ordered.select(*PAGE, "pos", T.clean("text").alias("text"))
-    return cleaned.where((F.col("text") != "") & ~T.is_noise("text"))
+    a wide noisy block still ends a band. ``blocks`` has block_type too (S3: 0 is text).
+
+    Texts are cleaned below the windows, once a row: a filter on them above a projection would be evaluated
+    with the whole of it."""
+    cleaned = blocks.where("block_type = 0").withColumn("text", T.clean("text"))
+    cleaned = cleaned.withColumn("_keep", (F.col("text") != "") & ~T.is_noise("text"))
+    return read_order(cleaned, settings).where("_keep").select(*PAGE, "pos", "text")

@@ -11,11 +11,15 @@ K1, B = 1.5, 0.75
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
-    """K1, K2: ``chunks(ord, text)`` to (word, ord, tf, len). Words of one passage are counted in the
-    passage's own array before they are exploded into groups, so one shuffle by word and passage does."""
-    tokens = chunks.select("ord", T.tokenize("text").alias("t"))
-    words = tokens.select("ord", F.size("t").cast("long").alias("len"), F.explode("t").alias("word"))
-    return words.groupBy("word", "ord").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    """K1, K2: ``chunks(ord, text)`` to (word, ord, tf, len). Words are counted in the passage's own array:
+    no row meets another."""
+    return postings_of(passage_terms(chunks))
+
+
+def postings_of(terms: DataFrame) -> DataFrame:
+    """(word, ord, tf, len) from ``terms(ord, len, words, tfs)``."""
+    each = terms.select("ord", "len", F.explode(F.arrays_zip("words", "tfs")).alias("x"))
+    return each.select("x.words", "ord", "x.tfs", "len").toDF("word", "ord", "tf", "len")
 
 
 def passage_lengths(chunks: DataFrame) -> DataFrame:
@@ -57,11 +61,16 @@ def keyword_ranking(scores: DataFrame, depth: int | None = None) -> DataFrame:
     return ranked.where(F.col("rank") <= depth) if depth else ranked
 
 
-def passage_terms(chunks: DataFrame, postings: DataFrame) -> DataFrame:
-    """(ord, len, words, tfs): the postings of each passage side by side, for scans in passage order."""
-    own = postings.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("word", "tf"))).alias("t"))
-    rows = passage_lengths(chunks).join(own, "ord", "left")
-    words, tfs = F.transform("t", lambda x: x["word"]), F.transform("t", lambda x: x["tf"])
-    return rows.select(
-        "ord", "len", F.coalesce(words, F.array().cast("array<string>")).alias("words"), F.coalesce(tfs, F.array().cast("array<long>")).alias("tfs")
-    )
+def counted(rows: DataFrame, items: str, distinct: str, counts: str) -> DataFrame:
+    """``rows`` with the distinct values of the array column ``items``, sorted, and how often each occurs, in one
+    pass over the sorted array: a value's count is the distance from its first place to the next value's."""
+    at = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    rows = rows.withColumn("_s", F.sort_array(items)).withColumn("_at", F.when(F.size("_s") > 0, at).otherwise(F.array().cast("array<int>")))
+    ends = F.transform("_at", lambda p, k: (F.coalesce(F.get("_at", k + 1), F.size("_s")) - p).cast("long"))
+    return rows.withColumns({distinct: F.transform("_at", lambda p: F.get("_s", p)), counts: ends}).drop("_s", "_at")
+
+
+def passage_terms(chunks: DataFrame) -> DataFrame:
+    """(ord, tokens, len, words, tfs): the words of each passage side by side, for scans in passage order."""
+    tokens = chunks.select("ord", T.tokenize("text").alias("tokens"))
+    return counted(tokens.withColumn("len", F.size("tokens").cast("long")), "tokens", "words", "tfs")

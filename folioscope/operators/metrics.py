@@ -89,18 +89,19 @@ def sweep(rows: DataFrame, thresholds: list[float] | None = None) -> DataFrame:
 
 
 def stops_after(records: DataFrame, limit: int = STOP_AFTER_NO_REPLY) -> DataFrame:
-    """(qid): the rows at which ``limit`` errors in a row are reached; the first one ends a run.
-    ``records(qid, outcome)``; any reply starts the count again."""
-    return error_streaks(records).where(F.col("streak") == limit).select("qid")
+    """(run, qid): the first row of each run at which ``limit`` errors in a row are reached; there the run
+    ends. ``records(run, qid, outcome)``; any reply starts the count again."""
+    reached = error_streaks(records).where(F.col("streak") == limit)
+    return reached.groupBy("run").agg(F.min("qid").alias("qid"))
 
 
 def error_streaks(records: DataFrame) -> DataFrame:
-    """(qid, outcome, streak): errors in a row up to each record. The records of one run are a stated,
-    small set of questions asked one after the other, so they are one window."""
-    w = Window.orderBy("qid")
+    """(run, qid, outcome, streak): errors in a row up to each record of ``records(run, qid, outcome)``. A run's
+    questions are asked one after the other, so they are one window; runs are independent."""
+    w = Window.partitionBy("run").orderBy("qid")
     replies = records.withColumn("g", F.sum((F.col("outcome") != "error").cast("int")).over(w))
-    own = Window.partitionBy("g").orderBy("qid")
-    return replies.withColumn("streak", F.sum((F.col("outcome") == "error").cast("int")).over(own)).select("qid", "outcome", "streak")
+    own = Window.partitionBy("run", "g").orderBy("qid")
+    return replies.withColumn("streak", F.sum((F.col("outcome") == "error").cast("int")).over(own)).select("run", "qid", "outcome", "streak")
 
 
 def llm_metrics(records: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textcols as T
+from .lexical import counted
 
 DIM = 384
 ROWS = 4096  # passages multiplied at a time
@@ -37,22 +38,28 @@ def crc_slot(word: Column, dim: int = DIM) -> Column:
     return (F.crc32(word.cast("binary")) % dim).cast("int")
 
 
+def is_unit(vals: Column | str) -> Column:
+    """V7: whether a vector, in sparse form, has length 1 or is zero."""
+    norm = F.sqrt(F.aggregate(vals, F.lit(0.0), lambda a, x: a + x * x))
+    return (F.abs(norm - 1) < 1e-3) | (norm == 0)
+
+
 class HashedWords:
-    """V3: content words counted in hashed slots, scaled to length 1. One shuffle, by id."""
+    """V3: content words counted in hashed slots, scaled to length 1, within each row."""
 
     def __init__(self, slot=md5_slot, dim: int = DIM) -> None:
         self.slot, self.dim = slot, dim
 
+    def from_tokens(self, rows: DataFrame, tokens: str) -> DataFrame:
+        """``rows`` with slots and vals of the words in the array column ``tokens``."""
+        hashed = rows.withColumn("_h", F.transform(tokens, lambda w: self.slot(w, self.dim)))
+        own = counted(hashed, "_h", "slots", "_n").withColumn("_n", F.transform("_n", lambda n: n.cast("double")))
+        norm = F.greatest(F.sqrt(F.aggregate("_n", F.lit(0.0), lambda a, n: a + n * n)), F.lit(FLOOR))
+        return own.withColumn("_l", norm).withColumn("vals", F.transform("_n", lambda n: n / F.col("_l"))).drop("_h", "_n", "_l")
+
     def embed(self, texts: DataFrame) -> DataFrame:
-        words = texts.select("id", T.tokenize("text").alias("t")).repartition("id")
-        slots = words.select("id", F.explode("t").alias("w")).select("id", self.slot(F.col("w"), self.dim).alias("slot"))
-        counts = slots.groupBy("id", "slot").agg(F.count("*").cast("double").alias("n"))
-        rows = counts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("s"))
-        norm = F.greatest(F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["n"] * x["n"])), F.lit(FLOOR))
-        unit = rows.select("id", F.transform("s", lambda x: x["slot"]).alias("slots"), norm.alias("norm"), "s")
-        found = unit.select("id", "slots", F.transform("s", lambda x: x["n"] / F.col("norm")).alias("vals"))
-        blank = F.array().cast("array<int>"), F.array().cast("array<double>")
-        return words.select("id").join(found, "id", "left").select("id", F.coalesce("slots", blank[0]).alias("slots"), F.coalesce("vals", blank[1]).alias("vals"))
+        words = texts.select("id", F.coalesce(T.tokenize("text"), F.array().cast("array<string>")).alias("_t"))
+        return self.from_tokens(words, "_t").select("id", "slots", "vals")
 
 
 class StoredVectors:
@@ -100,7 +107,7 @@ def dense(slots: pa.Array, vals: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def question_blocks(vectors: DataFrame, dim: int, size: int = 200) -> Iterator[tuple[list[int], np.ndarray]]:
+def question_blocks(vectors: DataFrame, dim: int, size: int = 1000) -> Iterator[tuple[list[int], np.ndarray]]:
     """The stated questions, (id, slots, vals), as matrices of at most ``size`` rows."""
     ids: list[int] = []
     rows: list[np.ndarray] = []

@@ -6,10 +6,6 @@ line number. Benchmark items are the questions. The index over them is built onc
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import textcols as T
 from ..operators import answers, audit, chunking, fusion, layout, lexical, metrics, vectors
 from ..settings import Settings
-from ..sources import store
+from ..sources import store, workspace
 from .oracle import ORACLE_SQL  # noqa: F401  (read by the entry module)
 
 SETTINGS = Settings()
@@ -55,12 +51,7 @@ def index(spark: SparkSession, sf_dir: str) -> fusion.Index:
     """The stored index over ``sf_dir``, below the shared folder of the cluster if there is one."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            local = tempfile.mkdtemp(prefix="folioscope-index-")
-            atexit.register(shutil.rmtree, local, True)
-            shared = f"file://{local}"
-        path = f"{shared}/index-{uuid.uuid4().hex}"
+        path = workspace.Tables(spark, "index").root
         store.build(chunks(spark, sf_dir), path)
         _built[key] = path
     return store.load(spark, _built[key])
@@ -325,8 +316,12 @@ def eval_misses(spark, sf_dir):
 
 def setup_diff(spark, sf_dir):
     ix = index(spark, sf_dir)
-    both = judged(spark, sf_dir, ix, metrics.SETUPS[:2])
-    return metrics.setup_diff(*[both.where(F.col("setup") == name) for name, _, _ in metrics.SETUPS[:2]])
+    tables = workspace.Tables(spark, "setups")
+    rows, out = tables.keep(judged(spark, sf_dir, ix, metrics.SETUPS), "outcomes"), None
+    for (a, _, _), (b, _, _) in zip(metrics.SETUPS, metrics.SETUPS[1:], strict=False):
+        own = metrics.setup_diff(*[rows.where(F.col("setup") == name) for name in (a, b)]).withColumn("setup", F.lit(b))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def _compared(spark, sf_dir):
@@ -338,11 +333,7 @@ def setup_compare(spark, sf_dir):
 
 
 def setup_report(spark, sf_dir):
-    return metrics.report(_compared(spark, sf_dir)).where("figure <> 'Right page cited first'")
-
-
-def setup_report_first(spark, sf_dir):
-    return metrics.report(_compared(spark, sf_dir)).where("figure = 'Right page cited first'")
+    return metrics.report(_compared(spark, sf_dir))
 
 
 def threshold_sweep(spark, sf_dir):
@@ -361,9 +352,18 @@ def llm_metrics(spark, sf_dir):
     return metrics.llm_metrics(metrics.llm_records(said.drop("hits"), rows, audit.widen_truth(rows, ix.chunks), said.select("qid", "hits")))
 
 
+def _records(spark, sf_dir):
+    """Labels as the outcomes of evaluation runs, each over the questions of 50 ids."""
+    outcome = F.when(F.col("quality") == 0, "error").otherwise("answered")
+    return read(spark, sf_dir, "labels").select(F.floor(F.col("doc_id") / 50).alias("run"), F.col("doc_id").alias("qid"), outcome.alias("outcome"))
+
+
 def error_streaks(spark, sf_dir):
-    rows = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("qid"), F.when(F.col("quality") == 0, "error").otherwise("answered").alias("outcome"))
-    return metrics.error_streaks(rows)
+    return metrics.error_streaks(_records(spark, sf_dir))
+
+
+def stops_after(spark, sf_dir):
+    return metrics.stops_after(_records(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -374,6 +374,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         keyword_topk, hashed_vectors, dense_topk, dense_text_topk, top_score, rrf_fusion, one_per_page, hybrid_topk,
         abstention_guard, refusal_text, extractive_answer, prompt_context, citations, sentinel_guard, request_validation,
         cited_pages, page_texts, evidence_pages, expected_pages, question_problems, question_notes, eval_metrics,
-        latency_percentiles, eval_misses, setup_diff, setup_compare, setup_report, setup_report_first, threshold_sweep, llm_metrics, error_streaks,
+        latency_percentiles, eval_misses, setup_diff, setup_compare, setup_report, threshold_sweep, llm_metrics, error_streaks, stops_after,
     )
 }

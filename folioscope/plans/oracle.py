@@ -42,6 +42,10 @@ def _unit(ids: str, source: str) -> str:
 
 _SENTENCES = r"string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 
+_STREAKS = """SELECT run, qid, outcome, sum((outcome = 'error')::INTEGER) OVER (PARTITION BY run, g ORDER BY qid)::BIGINT AS streak FROM
+  (SELECT *, sum((outcome <> 'error')::INTEGER) OVER (PARTITION BY run ORDER BY qid) AS g FROM
+    (SELECT floor(doc_id / 50)::BIGINT AS run, doc_id AS qid, CASE WHEN quality = 0 THEN 'error' ELSE 'answered' END AS outcome FROM labels))"""
+
 PARTS: dict[str, str] = {
     "lines": """SELECT doc_id || '.pdf' AS source, unnest(string_split(text, chr(10))) AS text,
   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents""",
@@ -208,8 +212,10 @@ QUERIES: dict[str, str] = {
     "eval_metrics": f"SELECT {_METRICS} FROM outcomes WHERE setup = 'hybrid, 1 per page'",
     "latency_percentiles": "SELECT round(quantile_cont(value, 0.5), 1) AS latency_ms_p50, round(quantile_cont(value, 0.95), 1) AS latency_ms_p95 FROM events",
     "eval_misses": "SELECT kind, qid, question, CASE WHEN kind <> 'wrong_page' THEN round(top_score, 6) END AS top_score, CASE WHEN kind = 'wrong_page' THEN wanted END AS wanted, CASE WHEN kind = 'wrong_page' THEN cited END AS cited FROM missed WHERE setup = 'hybrid, 1 per page' AND kind IS NOT NULL",
-    "setup_diff": """SELECT 'fixed' AS change, qid FROM missed WHERE kind = 'wrong_page' AND setup = 'dense' AND qid NOT IN (SELECT qid FROM missed WHERE kind = 'wrong_page' AND setup = 'hybrid')
-  UNION ALL SELECT 'lost', qid FROM missed WHERE kind = 'wrong_page' AND setup = 'hybrid' AND qid NOT IN (SELECT qid FROM missed WHERE kind = 'wrong_page' AND setup = 'dense')""",
+    "setup_diff": """SELECT 'fixed' AS change, m.qid, after AS setup FROM (VALUES ('dense', 'hybrid'), ('hybrid', 'hybrid, 1 per page')) pairs(before, after)
+    JOIN missed m ON m.kind = 'wrong_page' AND m.setup = before WHERE NOT EXISTS (SELECT 1 FROM missed o WHERE o.kind = 'wrong_page' AND o.setup = after AND o.qid = m.qid)
+  UNION ALL SELECT 'lost', m.qid, after FROM (VALUES ('dense', 'hybrid'), ('hybrid', 'hybrid, 1 per page')) pairs(before, after)
+    JOIN missed m ON m.kind = 'wrong_page' AND m.setup = after WHERE NOT EXISTS (SELECT 1 FROM missed o WHERE o.kind = 'wrong_page' AND o.setup = before AND o.qid = m.qid)""",
     "setup_compare": f"SELECT setup, {_METRICS} FROM outcomes GROUP BY 1",
     "threshold_sweep": """SELECT t.threshold, round(count_if(NOT answerable AND NOT top_score < t.threshold) / count(*) * 100, 1) AS unsupported_after_pct,
   round(count_if(answerable AND top_score < t.threshold) / greatest(count_if(answerable), 1) * 100, 1) AS false_refusal_pct,
@@ -221,13 +227,13 @@ QUERIES: dict[str, str] = {
   count_if(answerable AND outcome = 'answered' AND t.qid IS NOT NULL)::BIGINT AS checked_pages, count_if(outcome = 'error')::BIGINT AS no_reply
   FROM records r LEFT JOIN (SELECT DISTINCT qid FROM truth) t USING (qid)
   LEFT JOIN (SELECT h.qid, true AS cited, bool_or(t.qid IS NOT NULL) AS hit FROM hits h LEFT JOIN truth t ON t.qid = h.qid AND t.source = h.source AND t.page = h.page WHERE h.n = 1 + h.qid % 2 GROUP BY 1) c USING (qid)""",
-    "error_streaks": """SELECT qid, outcome, sum((outcome = 'error')::INTEGER) OVER (PARTITION BY g ORDER BY qid)::BIGINT AS streak FROM
-  (SELECT *, sum((outcome <> 'error')::INTEGER) OVER (ORDER BY qid) AS g FROM (SELECT doc_id AS qid, CASE WHEN quality = 0 THEN 'error' ELSE 'answered' END AS outcome FROM labels))""",
+    "error_streaks": f"SELECT run, qid, outcome, streak FROM ({_STREAKS})",
+    "stops_after": f"SELECT run, min(qid) AS qid FROM ({_STREAKS}) WHERE streak = 3 GROUP BY 1",
     "setup_report": """SELECT setup, 'Right page among the citations' AS figure, printf('%d of %d (', count_if(hit)::BIGINT, count_if(checked)::BIGINT) ||
     coalesce(round(count_if(hit) / nullif(count_if(checked), 0) * 100, 1)::VARCHAR, '0') || '%)' AS value FROM outcomes GROUP BY 1
+  UNION ALL SELECT setup, 'Right page cited first', printf('%d of %d (', count_if(first_hit)::BIGINT, count_if(checked)::BIGINT) ||
+    coalesce(round(count_if(first_hit) / nullif(count_if(checked), 0) * 100, 1)::VARCHAR, '0') || '%)' FROM outcomes GROUP BY 1
   UNION ALL SELECT setup, 'Different pages cited (average)', round(avg(n_pages) FILTER (WHERE checked), 1)::VARCHAR FROM outcomes GROUP BY 1""",
-    "setup_report_first": """SELECT setup, 'Right page cited first' AS figure, printf('%d of %d (', count_if(first_hit)::BIGINT, count_if(checked)::BIGINT) ||
-    coalesce(round(count_if(first_hit) / nullif(count_if(checked), 0) * 100, 1)::VARCHAR, '0') || '%)' AS value FROM outcomes GROUP BY 1""",
 }
 
 ORACLE_SQL = {name: sql(q) for name, q in QUERIES.items()}

@@ -26,10 +26,13 @@ class NothingChunked(ValueError):
 def ordered(df: DataFrame, path: str, *keys: str) -> DataFrame:
     """``df`` with ord, its place from 0 in the order of ``keys``, without a single-task sort.
 
-    Rows are range-partitioned, sorted and written; a row's ord is its place in its partition plus the
-    rows of earlier partitions, of which there is one count each.
+    Rows are written, then range-partitioned (the sample for which reads them once more), sorted and written
+    again; a row's ord is its place in its partition plus the rows of earlier partitions, of which there is one
+    count each.
     """
     spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}-given")
+    df = spark.read.parquet(f"{path}-given")
     sorted_ = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
     sorted_.withColumn("_m", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
     rows = spark.read.parquet(path).withColumn("_p", F.shiftright("_m", 33))
@@ -52,17 +55,24 @@ def build(chunks: DataFrame, path: str, embedder: vectors.Embedder | None = None
     stored = spark.read.parquet(at("chunks"))
     if stored.isEmpty():
         raise NothingChunked("no document gave a chunk")
-    embedder.embed(stored.select(F.col("ord").alias("id"), "text")).withColumnRenamed("id", "ord").write.mode("overwrite").parquet(at("vectors"))
+    # What a scan needs of a passage, side by side; the other tables are cut from it.
+    terms = lexical.passage_terms(stored)
+    if isinstance(embedder, vectors.HashedWords):
+        passages = embedder.from_tokens(terms, "tokens")
+    else:
+        passages = terms.join(embedder.embed(stored.select(F.col("ord").alias("id"), "text")).withColumnRenamed("id", "ord"), "ord")
+    passages.select("ord", "slots", "vals", "len", "words", "tfs").write.mode("overwrite").parquet(at("passages"))
+    passages = spark.read.parquet(at("passages"))
+    passages.select("ord", "slots", "vals").write.mode("overwrite").parquet(at("vectors"))
     # Sorted by word inside files, so that a question's words skip most row groups.
-    lexical.build_postings(stored).repartitionByRange("word").sortWithinPartitions("word", "ord").write.mode("overwrite").parquet(at("postings"))
-    # What a scan needs of a passage, side by side.
-    terms = lexical.passage_terms(stored, spark.read.parquet(at("postings")))
-    spark.read.parquet(at("vectors")).join(terms, "ord").write.mode("overwrite").parquet(at("passages"))
-    n_row = lexical.corpus_stats(lexical.passage_lengths(stored)).first()
+    lexical.postings_of(passages).repartitionByRange("word").sortWithinPartitions("word", "ord").write.mode("overwrite").parquet(at("postings"))
+    n_row = lexical.corpus_stats(passages).first()
     lexical.idf_table(spark.read.parquet(at("postings")), n_row.n).write.mode("overwrite").parquet(at("words"))
     most = stored.groupBy("source", "page").count().agg(F.max("count")).first()[0]
     dim = getattr(embedder, "dim", None) or spark.read.parquet(at("vectors")).agg(F.max(F.array_max("slots")) + 1).first()[0]
-    spark.createDataFrame([(n_row.n, float(n_row.avg_len), int(most), int(dim))], "n long, avg_len double, page_chunks int, dim int").coalesce(1).write.mode("overwrite").parquet(at("stats"))
+    uneven = passages.where(~vectors.is_unit("vals")).count()
+    stats_row = (n_row.n, float(n_row.avg_len), int(most), int(dim), uneven)
+    spark.createDataFrame([stats_row], "n long, avg_len double, page_chunks int, dim int, uneven long").coalesce(1).write.mode("overwrite").parquet(at("stats"))
     listed = documents if documents is not None else stored
     missing = chunking.skipped(listed, stored).orderBy("source")
     return {
@@ -72,7 +82,7 @@ def build(chunks: DataFrame, path: str, embedder: vectors.Embedder | None = None
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    """The index below ``path``, after checking that it is whole."""
+    """The index below ``path``, after checking that it is whole and its vectors of length 1."""
     got: dict[str, DataFrame] = {}
     for t in TABLES:
         try:
@@ -84,6 +94,8 @@ def load(spark: SparkSession, path: str) -> Index:
     s = got["stats"].first()
     if not unmatched(got["chunks"], got["vectors"]).isEmpty():
         raise OutOfSync(f"chunks and vectors at {path} differ: build the index again")
+    if s.uneven:
+        raise OutOfSync(f"{s.uneven} vectors at {path} are not of length 1: build the index again")
     return Index(got["chunks"], got["vectors"], got["passages"], got["postings"], got["words"], s.n, s.avg_len, s.page_chunks, s.dim)
 
 
