@@ -11,7 +11,8 @@ is the highest among the best-scoring alignments that end at each word.
 
 Scale: the benchmark is never collected. The scan's tasks hold a bitmap of its seeds of at most 2**26 bits;
 what a fuller bitmap lets through falls out in the join. Equal texts are worked off once, by digest, so a copy
-in a third of all rows is one pair. Only seeds and digests of documents are exchanged, and the texts of the pairs. An
+in a third of all rows is one pair. Only seeds and digests of documents are exchanged, and the texts of the pairs,
+which a bitmap of their digests, of the same bound, picks out where they are read. An
 alignment takes memory in proportion to the passage, not to the passage times the item.
 
 Cases: words are runs of letters, digits and underscores, in lower case. Null and empty texts have none.
@@ -126,20 +127,34 @@ def items_of(benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return known.mapInArrow(run, "item_id long, item binary, words array<string>, width int, seeds array<long>, need int, wanted int")
 
 
+def bitmap(keys: DataFrame) -> tuple[DataFrame, int]:
+    """(at, word): the 64-bit words that aren't 0 of a bitmap of the low bits of ``keys(key)``; and how many low bits
+    those are, for 64 to 128 bits a key as far as the bound allows."""
+    bits = min(MOST_FILTER_BITS, max(16, keys.count().bit_length() + 6))
+    low = F.col("key").bitwiseAND((1 << bits) - 1)
+    each = keys.select(F.shiftright(low, 6).alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+    return each.groupBy("at").agg(F.bit_or("bit").alias("word")), bits
+
+
 def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """A bitmap with two bits set for each of ``seeds(seed)``, of about 64 bits a seed as far as the bound allows.
-    The driver gets its words that aren't 0, at most 2**26 / 64."""
-    n = seeds.count()
-    bits = min(MOST_FILTER_BITS, max(16, n.bit_length() + 6))
-    both = seeds.select(F.explode(F.array("seed", F.shiftright("seed", 32))).alias("seed"))
-    low = F.col("seed").bitwiseAND((1 << bits) - 1)
-    words = both.select(F.shiftright(low, 6).alias("at"), F.expr("shiftleft(1L, cast(seed & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word"))
+    """A bitmap with two bits set for each of ``seeds(seed)``. The driver gets its words, at most 2**26 / 64."""
+    words, bits = bitmap(seeds.select(F.explode(F.array("seed", F.shiftright("seed", 32))).alias("key")))
     found = words.toArrow()
     out = np.zeros((1 << bits) // 64, np.int64)
     out[found.column("at").to_numpy()] = found.column("word").to_numpy()
     return np.unpackbits(out.view(np.uint8), bitorder="little")
 
 
+def likely(texts: DataFrame, digests: DataFrame, ws: Workspace) -> DataFrame:
+    """The rows of ``texts(digest, ...)`` whose digest is one of ``digests(digest)``, and a few others, without
+    an exchange: a bitmap of the digests, bounded as it is, is broadcast."""
+    words, bits = bitmap(digests.select(F.xxhash64("digest").alias("key")))
+    words = ws.keep(words.select(F.col("at").alias("_at"), F.col("word").alias("_word")), "sieve")
+    low = F.xxhash64("digest").bitwiseAND((1 << bits) - 1)
+    met = texts.withColumn("_at", F.shiftright(low, 6)).join(F.broadcast(words), "_at")
+    return met.where(F.expr("(shiftright(_word, cast(xxhash64(digest) & 63 as int)) & 1) = 1")).drop("_at", "_word")
+
+
 def let_through(h: np.ndarray, present: np.ndarray) -> np.ndarray:
     mask = len(present) - 1
     h = h[present[h & mask] > 0]
@@ -292,8 +307,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     pairs = hits.join(rare, "seed").groupBy("digest", "item").agg(F.count("*").alias("n"), F.first("wanted").alias("wanted")).where("n >= wanted")
     pairs = pairs.select("digest", "item").join(kinds, "item")
     wanted = ws.keep(pairs.groupBy("digest").agg(F.collect_list(F.struct("item", "words", "width", "seeds", "need")).alias("items")), "pairs")
-    # Copies of a text would be read once each: the first of each task's is enough.
-    texts = texts.select("digest", "text").join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    # Only texts that are likely wanted are exchanged, of equal ones in a task the first.
+    texts = likely(texts.select("digest", "text"), wanted.select("digest"), ws).groupBy("digest").agg(F.first("text").alias("text"))
     found = ws.keep(_aligned(wanted.join(texts, "digest"), similarity), "found")
     best = F.max(F.struct("similarity", "score", (-F.col("first_word")).alias("minus"), "end_word")).alias("best")
     named = found.join(items.select("item", "item_id").distinct(), "item").join(held.select("digest", "doc_id"), "digest")
