@@ -1,8 +1,7 @@
 """Shared helpers: reading tables, intermediate tables in the shared folder, two-level ranks, components.
 
 Intermediate results go to Parquet below the folder that ``spark.checkpoint.dir`` names, so that any
-executor can read them again after another is lost. Only where that setting is absent (tests on one
-machine) is a folder of our own used.
+executor can read them again after another is lost. Only a local session may do without that setting.
 """
 
 from __future__ import annotations
@@ -10,7 +9,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
-import tempfile
 import time
 import uuid
 from collections.abc import Iterable, Iterator
@@ -21,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import shared_folder
 
 FEW_LINKS = 1_000_000  # that one task joins into components, in about 100 MB
 
@@ -30,15 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only if that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 class Workspace:
     """Intermediate tables of one operator call: written once, read any number of times.
 
