@@ -1,11 +1,12 @@
 """Language identification with hyperdimensional profiles (operator 7).
 
-Every letter class has a fixed random vector of +1 and -1. A run of three characters is bound into one
-vector: the product of the first letter's vector rotated twice, the second's rotated once and the
-third's. A document bundles, i.e. adds, the vectors of all its runs; a language's prototype adds those
-of its training documents, each scaled to the same length in runs. The prediction is the prototype of
-the highest cosine. As bundling is linear, runs are counted first and multiplied by their vectors once
-for each distinct run of a batch.
+Every letter of any script has a random vector of +1 and -1 of its own, made from its code point; breaks
+between words have one as well. A run of three characters is bound into one vector: the product of the
+first letter's vector rotated twice, the second's rotated once and the third's. A document bundles, i.e.
+adds, the vectors of all its runs; a language's prototype adds those of its training documents, each
+scaled to the same length in runs. The prediction is the prototype of the highest cosine. As bundling is
+linear, runs are counted first and multiplied by their vectors once for each distinct run of a batch;
+batches with very many distinct runs are halved, which bounds the memory and changes no sum.
 
 Cases: a text that is null or has no letter is ``und`` with score 0. Rows without a language are not
 learned from. Ties go to the language that sorts first. An empty training set predicts ``und`` for
@@ -23,83 +24,99 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix64
+
 DIMENSIONS = 1024
-CLASSES = 64  # 0: anything but a letter; 1-26: a to z; the others share 27 to 63
 SEED = 7
 CHUNK_CHARS = 1 << 20
+DISTINCT = 1 << 15  # runs bound at a time
+CELLS = 1 << 23  # of a matrix of counts
+FEW = 2048  # runs that are not halved any more
 
 
-@lru_cache(1)
-def letter_vectors() -> np.ndarray:
-    return np.random.RandomState(SEED).choice(np.array([-1, 1], np.int8), (CLASSES, DIMENSIONS))
+def letter_vectors(letters: np.ndarray) -> np.ndarray:
+    """The random vectors of code points; 0 stands for a break."""
+    words = letters.astype(np.uint64)[:, None] * np.uint64(DIMENSIONS // 64) + np.arange(1, DIMENSIONS // 64 + 1, dtype=np.uint64)
+    bits = np.unpackbits(mix64(words + np.uint64(SEED << 40)).astype("<u8").view(np.uint8), axis=1)
+    return (bits * 2).astype(np.int8) - np.int8(1)
 
 
 @lru_cache(1)
-def class_table() -> np.ndarray:
-    """The class of every code point of the first plane."""
-    out = np.zeros(1 << 16, np.uint8)
-    for cp in range(1 << 16):
-        if not 0xD800 <= cp < 0xE000 and chr(cp).isalpha():
-            out[cp] = cp - 96 if 97 <= cp <= 122 else 27 + cp * 2654435761 % (1 << 32) % 37
-    return out
-
-
-def run_vectors(codes: np.ndarray) -> np.ndarray:
-    """The bound vectors of runs, given as class numbers in base ``CLASSES``."""
-    v = letter_vectors()
-    one, two = np.roll(v, 1, axis=1), np.roll(v, 2, axis=1)
-    return (two[codes // CLASSES**2] * one[codes // CLASSES % CLASSES] * v[codes % CLASSES]).astype(np.float32)
-
-
-def run_codes(text: str) -> tuple[np.ndarray, bool]:
-    """Codes of all runs of three with a letter in them, and whether the text has any letter.
-    White space and signs in a row count as one break, also at both ends."""
-    cps = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = class_table()[np.minimum(cps, 0xFFFF)]
-    for cp in np.unique(cps[cps >= 1 << 16]).tolist():
-        classes[cps == cp] = 27 + cp % 37 if chr(cp).isalpha() else 0
-    if not classes.any():
-        return np.zeros(0, np.int64), False
-    keep = np.ones(len(classes), bool)
-    keep[1:] = (classes[1:] != 0) | (classes[:-1] != 0)
-    c = np.concatenate([[0], classes[keep], [0]]).astype(np.int64)
-    return c[:-2] * CLASSES**2 + c[1:-1] * CLASSES + c[2:], True
+def letter_table() -> np.ndarray:
+    """Whether a code point of the first plane is a letter."""
+    return np.array([chr(cp).isalpha() for cp in range(1 << 16)])
+
+
+def letters_of(text: str | None) -> np.ndarray:
+    """The lower-case letters of a text as code points. White space and signs in a row count as one break, 0,
+    also at both ends; without letters the result is empty."""
+    cps = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    known = letter_table()[np.minimum(cps, 0xFFFF)]
+    if (far := cps > 0xFFFF).any():
+        distinct, place = np.unique(cps[far], return_inverse=True)
+        known[far] = np.array([chr(cp).isalpha() for cp in distinct.tolist()])[place]
+    if not known.any():
+        return np.zeros(0, np.uint32)
+    keep = known.copy()
+    keep[1:] |= known[:-1]
+    own = np.where(known, cps, 0)[keep]
+    return np.concatenate([[0], own, [0] if own[-1] else []]).astype(np.uint32)
 
 
 def groups(texts: list[str | None]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Row numbers and run codes, in groups of a bounded number of characters (a long text alone)."""
-    rows, codes, held = [], [], 0
+    """Row numbers and letters, in groups of a bounded number of characters (a long text alone)."""
+    rows, letters, held = [], [], 0
     for i, t in enumerate(texts):
-        c, _ = run_codes(t) if t else (np.zeros(0, np.int64), False)
         rows.append(i)
-        codes.append(c)
-        held += len(c)
+        letters.append(letters_of(t))
+        held += len(letters[-1])
         if held >= CHUNK_CHARS:
-            yield rows, codes
-            rows, codes, held = [], [], 0
+            yield rows, letters
+            rows, letters, held = [], [], 0
     if rows:
-        yield rows, codes
+        yield rows, letters
 
 
-def bundles(codes: list[np.ndarray]) -> np.ndarray:
-    """One bundled vector for each document of a group."""
-    flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-    out = np.zeros((len(codes), DIMENSIONS), np.float32)
-    if not len(flat):
-        return out
-    present = np.flatnonzero(np.bincount(flat, minlength=CLASSES**3))
-    number = np.zeros(CLASSES**3, np.int64)
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them."""
+    if values.max() >= 1 << 22:
+        return np.unique(values, return_inverse=True)
+    present = np.flatnonzero(np.bincount(values))
+    number = np.zeros(present[-1] + 1, np.int64)
     number[present] = np.arange(len(present))
-    owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-    step = max(1, (2 << 20) // len(present))  # documents at a time, to bound the count matrix
-    bound = run_vectors(present)
-    ends = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
-    for a in range(0, len(codes), step):
-        b = min(a + step, len(codes))
-        lo, hi = ends[a], ends[b]
-        cells = (owner[lo:hi] - a) * len(present) + number[flat[lo:hi]]
-        counts = np.bincount(cells, minlength=(b - a) * len(present)).reshape(b - a, len(present))
-        out[a:b] = counts.astype(np.float32) @ bound
+    return present, number[values]
+
+
+def _add_runs(out: np.ndarray, runs: np.ndarray, owner: np.ndarray, vectors: np.ndarray) -> None:
+    """Adds to ``out`` the vectors of runs, numbers in base ``len(vectors)``, at the rows that own them."""
+    present, number = _numbered(runs)
+    first, n = owner[0], owner[-1] - owner[0] + 1
+    if len(runs) > FEW and (len(present) > DISTINCT or n * len(present) > CELLS):
+        half = len(runs) // 2
+        _add_runs(out, runs[:half], owner[:half], vectors)
+        _add_runs(out, runs[half:], owner[half:], vectors)
+        return
+    counts = np.bincount((owner - first) * len(present) + number, minlength=n * len(present)).reshape(n, len(present))
+    base = len(vectors)
+    bound = np.roll(vectors[present // base**2], 2, axis=1)
+    bound *= np.roll(vectors[present // base % base], 1, axis=1)
+    bound *= vectors[present % base]
+    out[first : first + n] += counts.astype(np.float32) @ bound.astype(np.float32)
+
+
+def bundles(texts: list[np.ndarray]) -> np.ndarray:
+    """One bundled vector for each text of a group, given by its letters."""
+    out = np.zeros((len(texts), DIMENSIONS))
+    sizes = np.array([len(t) for t in texts], np.int64)
+    if not sizes.any():
+        return out
+    alphabet, local = _numbered(np.concatenate(texts).astype(np.int64))
+    starts = np.ones(len(local), bool)  # a run starts anywhere but at the last two of a text
+    ends = np.cumsum(sizes)[sizes > 0]
+    starts[ends - 1] = starts[ends - 2] = False
+    at = np.flatnonzero(starts)
+    runs = (local[at] * len(alphabet) + local[at + 1]) * len(alphabet) + local[at + 2]
+    _add_runs(out, runs, np.repeat(np.arange(len(texts)), np.maximum(sizes - 2, 0)), letter_vectors(alphabet))
     return out
 
 
@@ -114,9 +131,8 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
             langs = b.column(1).to_pylist()
-            for rows, codes in groups(b.column(0).to_pylist()):
-                v = bundles(codes).astype(np.float64)
-                v /= np.maximum([[len(c)] for c in codes], 1)
+            for rows, letters in groups(b.column(0).to_pylist()):
+                v = bundles(letters) / np.maximum([[len(t) - 2] for t in letters], 1)
                 for lang in {langs[i] for i in rows}:
                     own = [k for k, i in enumerate(rows) if langs[i] == lang]
                     total[lang] = total.get(lang, 0) + v[own].sum(axis=0)
@@ -143,13 +159,13 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
         for b in batches:
             texts = b.column(b.schema.names.index(held)).to_pylist()
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            for rows, codes in groups(texts) if names else ():
-                v = bundles(codes).astype(np.float64)
+            for rows, letters in groups(texts) if names else ():
+                v = bundles(letters)
                 norm = np.linalg.norm(v, axis=1)
                 cos = v @ prototypes.T / np.maximum(norm, 1e-12)[:, None]
                 best = cos.argmax(axis=1)
                 for k, i in enumerate(rows):
-                    if len(codes[k]) and norm[k] > 0:
+                    if len(letters[k]) and norm[k] > 0:
                         pred[i], score[i] = names[best[k]], min(1.0, max(0.0, float(cos[k, best[k]])))
             keep = [c for c, n in zip(b.columns, b.schema.names, strict=True) if n != held]
             kept = [n for n in b.schema.names if n != held]

@@ -225,13 +225,37 @@ def test_languages(spark, corpus):
     assert len(known) > 25 and np.mean([a == b for a, b in known]) > 0.95 and all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_bundles_are_sums_of_bound_vectors():
-    codes, _ = langid.run_codes("Añb, c")
-    v, t = langid.letter_vectors().astype(int), langid.class_table()
-    n = [0, 1, t[ord("ñ")], 2, 0, 3, 0]
-    want = sum(np.roll(v[n[k]], 2) * np.roll(v[n[k + 1]], 1) * v[n[k + 2]] for k in range(len(n) - 2))
-    assert (langid.bundles([codes])[0] == want).all()
-    assert langid.bundles([codes, codes])[1].tolist() == want.tolist()
+def plain_bundle(text):
+    """Sums the bound vectors run by run, over the text as a list of letters and breaks."""
+    seq = [0]
+    for ch in text.lower():
+        if ch.isalpha():
+            seq.append(ord(ch))
+        elif seq[-1]:
+            seq.append(0)
+    if seq[-1]:
+        seq.append(0)
+    own = {c: langid.letter_vectors(np.array([c]))[0].astype(int) for c in seq}
+    return sum(np.roll(own[a], 2) * np.roll(own[b], 1) * own[c] for a, b, c in zip(seq, seq[1:], seq[2:]))
+
+
+MANY_LETTERS = "".join(chr(0x4E00 + k * 7919 % 20000) for k in range(3000)) + "\U00020000\U00020001 \U0001F600x"
+
+
+@pytest.mark.parametrize("limits", [(langid.DISTINCT, langid.CELLS, langid.FEW), (4, 8, 3)])
+def test_bundles_are_sums_of_bound_vectors(monkeypatch, limits):
+    for name, value in zip(("DISTINCT", "CELLS", "FEW"), limits, strict=True):
+        monkeypatch.setattr(langid, name, value)
+    texts = ["Añb, c", None, "", "1, 2", "x", "  Ünder the -- tree ", MANY_LETTERS, "Añb, c"]
+    got = langid.bundles([langid.letters_of(t) for t in texts])
+    for t, v in zip(texts, got, strict=True):
+        assert (v == (plain_bundle(t) if t and any(ch.isalpha() for ch in t) else 0)).all()
+
+
+def test_every_letter_has_a_vector_of_its_own():
+    v = langid.letter_vectors(np.array([0, *range(97, 123), *range(0x400, 0x500), *range(0x4E00, 0x5000)])).astype(int)
+    cos = v @ v.T / langid.DIMENSIONS
+    assert set(np.unique(v)) == {-1, 1} and (np.abs(cos - np.eye(len(v))) < 0.2).all()
 
 
 def test_language_of_nothing(spark):
