@@ -5,12 +5,16 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` w
 the shared folder and reads again for the next one. All stages but the last return the columns of
 ``documents``; rows that a stage removes are gone for those after it. Null and empty texts pass the
 language stage only if it can name a language, so they end there. Rows without an id cannot be told apart
-and are kept by the second and third stage. Empty tables give an empty result.
+and are kept by the second and third stage. Rows that share an id stand or fall together, but of those whose
+texts are equal too one stays, the least by its other columns. Ties between near duplicates go to the smallest
+id, ties between languages to the one that sorts first. Texts of any length are read whole. Columns other than
+those of ``documents`` are dropped whatever their names. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, langid, minhash, packing, secrets
 from folioscope.llm.common import Workspace, table
@@ -26,10 +30,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near duplicates (five words, similarity 0.8)."""
-    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    return named.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """Keeps the document of smallest id of each group of near duplicates (five words, similarity 0.8), and
+    one of the rows that share its id and text."""
+    ws = Workspace(spark, "repeats")
+    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").groupBy("doc_id").agg(F.count("*").alias("_copies"))
+    named = docs.select(*COLUMNS).join(ws.keep(kept, "kept"), "doc_id")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    repeated = named.where("_copies > 1").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_first"))
+    once = repeated.select("doc_id", "text", *[F.col(f"_first.{c}").alias(c) for c in rest]).select(*COLUMNS)
+    alone = named.where("_copies = 1").select(*COLUMNS)
+    return alone.unionByName(once).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
