@@ -79,3 +79,15 @@ def test_empty_and_nameless_documents(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{d}/documents.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, d).collect()}
     assert {2, 4, 9} <= got and 3 not in got
+
+
+def test_one_of_repeated_rows_stays(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "one text of rather more than five words"
+    other = "this one has quite different words in it altogether"
+    rows = [(2, text, "en", "b", 1), (2, text, "en", "a", 1), (2, other, None, "a", None), (3, text, "en", "a", 1), (4, None, "en", None, 1), (4, None, "en", None, 1), (None, text, "en", "a", 1), (5, "", None, None, None)]
+    docs = spark.createDataFrame(rows, schema).withColumn("_copies", F.lit("x"))
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    want = [(2, text, "en", "a", 1), (2, other, None, "a", None), (4, None, "en", None, 1), (None, text, "en", "a", 1), (5, "", None, None, None)]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
