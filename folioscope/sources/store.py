@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking, lexical, vectors
 from ..operators.fusion import Index
+from ..settings import Settings
 
 TABLES = ("chunks", "vectors", "passages", "postings", "words", "stats")
 
@@ -99,6 +100,16 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(got["chunks"], got["vectors"], got["passages"], got["postings"], got["words"], s.n, s.avg_len, s.page_chunks, s.dim)
 
 
+def health(spark: SparkSession, path: str, settings: Settings | None = None) -> DataFrame:
+    """Status, chunks, gen_mode, threshold: one row, also where there is no index."""
+    s = settings or Settings()
+    try:
+        status, chunks = "ok", load(spark, path).n
+    except NotBuilt:
+        status, chunks = "index_missing", 0
+    return spark.createDataFrame([(status, chunks, s.gen_mode, s.sim_threshold)], "status string, chunks long, gen_mode string, threshold double")
+
+
 def unmatched(chunks: DataFrame, vectors_: DataFrame) -> DataFrame:
     """(ord, side) of rows of one table that the other lacks."""
     a = chunks.select("ord").join(vectors_.select("ord"), "ord", "left_anti").withColumn("side", F.lit("chunks"))

@@ -171,6 +171,8 @@ def test_missing_and_unmatched_indexes(spark, corpus, tmp_path):
     index, _, path = corpus
     with pytest.raises(store.NotBuilt):
         store.load(spark, f"file://{tmp_path}/none")
+    assert rows(store.health(spark, f"file://{tmp_path}/none")) == [("index_missing", 0, "extractive", 0.5)]
+    assert rows(store.health(spark, path)) == [("ok", 240, "extractive", 0.5)]
     assert rows(store.unmatched(index.chunks.where("ord <> 4"), index.vectors.where("ord <> 9"))) == [(4, "vectors"), (9, "chunks")]
     for t in store.TABLES:
         spark.read.parquet(f"{path}/{t}").write.parquet(f"file://{tmp_path}/bad/{t}") if t != "vectors" else index.vectors.where("ord > 3").write.parquet(f"file://{tmp_path}/bad/{t}")
