@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, html, langid, minhash, neardup_vectors, packing, secrets, sharding, suffixes, warc
+from . import decontaminate, filter_audit, html, langid, minhash, neardup_vectors, packing, secrets, sharding, suffixes, url_rules, warc
 from .common import table
 
 
@@ -63,7 +63,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = url_rules.judge(pages, url_rules.labels(pages))
+    return found.select("page_id", "host", "path", "rule", "verdict", "mined", "confidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_sharding, op3_embedding_dedup, op4_minhash_dedup, op5_decontamination, op6_suffix_dedup, op7_language_id, op8_warc, op9_packing, op10_secrets, op11_filter_audit)
+    f.__name__: f for f in (op1_html_extraction, op2_sharding, op3_embedding_dedup, op4_minhash_dedup, op5_decontamination, op6_suffix_dedup, op7_language_id, op8_warc, op9_packing, op10_secrets, op11_filter_audit, op12_url_rules)
 }
 ORACLE_SQL: dict[str, str] = {"op11_filter_audit": filter_audit.SQL}
