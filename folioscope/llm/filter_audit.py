@@ -9,8 +9,8 @@ sum of some of these counts, so no order is ever applied to the documents.
 A document is known by its id and the digest of its text; rows that share both are one relation row with a
 weight. So no row number has to stay the same between two scans.
 
-Scale: (document, word) rows are pre-aggregated by the task that reads the text. Equal texts, however many, and
-ids that many rows share meet in partial aggregates first; tables are written before they are joined, so that a
+Scale: texts are exchanged once, by document, and exploded where their words are then aggregated; rows that share
+id and text are salted. Equal texts, however many, meet in partial aggregates first; tables are written before they are joined, so that a
 hot text can be split. The orders are 600 fixed rows, unfolded from each part's one row.
 
 Cases: a null text is empty and equal to other empty texts. Rows without an id are counted, but are nobody's copy
@@ -33,9 +33,10 @@ FILTERS = "ABCDE"
 MIN_WORDS = 100
 MIN_DISTINCT = 80  # per cent of the words
 MAX_CAPITALS = 10  # per cent of the code points
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "[#$%&*|]"
-SPACES = r"[\x20\x09-\x0D]+"
+SPACE = r"\x20\x09-\x0D"
+BLANKS = " \t\n\x0b\x0c\r"
+SALTS = 64  # parts of the rows that share id and text
 SETS = 1 << len(FILTERS)
 FACTORIAL = 120
 
@@ -50,20 +51,25 @@ def _digest() -> Column:
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, words, distinct_words) of every document with a word. Rows that share id and text are
-    one: a word's total is counted from its places, the last place of all being the text's total."""
-    # The digest is taken below the generator: beside it, it would be taken anew for every word.
-    own = docs.select("doc_id", _digest().alias("digest"), F.filter(F.split(_text(), SPACES), lambda w: w != "").alias("words"))
-    words = own.select("doc_id", "digest", F.posexplode("words").alias("at", "word"))
-    by_word = words.groupBy("doc_id", "digest", "word").agg(F.max("at").alias("last"))
-    return by_word.groupBy("doc_id", "digest").agg((F.max("last") + 1).cast("long").alias("words"), F.count("*").alias("distinct_words"))
+    """(doc_id, digest, words, distinct_words) of every document. Rows that share id and text are one: a word's
+    total is counted from its places, the last place of all being the text's total.
+
+    Texts are exchanged before they are exploded, since their words would take several times as much; then a
+    document's words are aggregated where they are. The salt divides rows that share id and text."""
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt")
+    own = docs.select("doc_id", "text", _digest().alias("digest"), salt).repartition("doc_id", "digest", "salt")
+    listed = own.select("doc_id", "digest", "salt", F.split(F.nullif(F.btrim(_text(), F.lit(BLANKS)), F.lit("")), f"[{SPACE}]+").alias("words"))
+    words = listed.select("doc_id", "digest", "salt", F.posexplode_outer("words").alias("at", "word"))
+    by_word = words.groupBy("doc_id", "digest", "salt", "word").agg(F.max("at").alias("last"))
+    by_row = by_word.groupBy("doc_id", "digest", "salt").agg((F.coalesce(F.max("last"), F.lit(-1)) + 1).cast("long").alias("words"), F.count("word").alias("distinct_words"))
+    return by_row.groupBy("doc_id", "digest").agg(F.max("words").alias("words"), F.max("distinct_words").alias("distinct_words"))
 
 
 def text_facts(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, part, capitals, symbols, weight): what can be told without words, for each document, with
     the number of rows that are the same."""
     t = _text()
-    capitals = F.length(t) - F.length(F.translate(t, CAPITALS, ""))
+    capitals = F.regexp_count(t, F.lit("[A-Z]"))
     return docs.select(
         "doc_id", _digest().alias("digest"), F.coalesce("lang", F.lit("")).alias("part"),
         (100 * capitals.cast("long") > MAX_CAPITALS * F.length(t).cast("long")).alias("capitals"), t.rlike(SYMBOLS).alias("symbols"),
@@ -81,7 +87,7 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic")),
         "flags",
     )
-    # An id may be null, so it is compared null-safe; documents without a word have no totals.
+    # An id may be null, so it is compared null-safe.
     f, t = facts.alias("f"), totals.alias("t")
     both = f.join(t, F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f.digest") == F.col("t.digest")), "full_outer")
     rows = both.select("f.*", F.coalesce("t.words", F.lit(0)).alias("words"), F.coalesce("t.distinct_words", F.lit(0)).alias("distinct_words"))
