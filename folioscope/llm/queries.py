@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, html, langid, minhash, neardup_vectors, packing, secrets, sharding, suffixes, url_rules, warc
+from . import decontaminate, filter_audit, hard_negatives, html, langid, minhash, neardup_vectors, packing, secrets, sharding, suffixes, url_rules, warc
 from .common import table
 
 
@@ -69,7 +69,13 @@ def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "mined", "confidence")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_sharding, op3_embedding_dedup, op4_minhash_dedup, op5_decontamination, op6_suffix_dedup, op7_language_id, op8_warc, op9_packing, op10_secrets, op11_filter_audit, op12_url_rules)
+    f.__name__: f for f in (op1_html_extraction, op2_sharding, op3_embedding_dedup, op4_minhash_dedup, op5_decontamination, op6_suffix_dedup, op7_language_id, op8_warc, op9_packing, op10_secrets, op11_filter_audit, op12_url_rules, op13_hard_negatives)
 }
-ORACLE_SQL: dict[str, str] = {"op11_filter_audit": filter_audit.SQL}
+ORACLE_SQL: dict[str, str] = {"op11_filter_audit": filter_audit.SQL, "op13_hard_negatives": hard_negatives.SQL}
