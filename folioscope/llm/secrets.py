@@ -22,6 +22,7 @@ corpus trains on the identifiers made by rule alone. Extra columns are kept.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,8 @@ SHORT = 20
 RISE = 0.015  # added to the threshold for each character below SHORT
 FLOOR = 0.02  # share of every transition in the model of ordinary strings
 UUID = "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+BLOCK = 128
+END = 2**31 - 1
 SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
@@ -62,24 +65,46 @@ def _clean(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "\x03\x03")
 
 
-def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """Spans of a pattern's leftmost matches, in code points: each match is put between two marks, and
-    the pieces between the marks are measured."""
-    pieces = F.split(F.regexp_replace(text, pattern, "\x01$0\x02"), "\x01")
-    value = lambda p: F.substring_index(p, "\x02", 1)
-    found = F.aggregate(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        F.struct(F.length(pieces[0]).alias("at"), F.lit(None).cast(SPAN).alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p) - 1).alias("at"),
-            F.concat(
-                F.coalesce(acc["out"], F.array().cast(SPAN)),
-                F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(value(p))).alias("end"), F.lit(kind).alias("kind"), value(p).alias("value"))),
-            ).alias("out"),
-        ),
-        lambda acc: F.coalesce(acc["out"], F.array().cast(SPAN)),
+def _blocks(values: str) -> Column:
+    """The array column ``values`` cut into arrays of ``BLOCK`` elements."""
+    n = F.size(values)
+    starts = F.when(n > 0, F.sequence(F.lit(0), (F.floor((n - 1) / BLOCK)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
+
+
+def _before(values: Column, op: Callable[[Column, Column], Column], start: Column) -> Column:
+    """For each of a few values, ``op`` over ``start`` and all values before it."""
+    return F.aggregate(
+        values, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"],
     )
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+
+
+def _running(values: str, op: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For each element of the array<int> column ``values``, ``op`` over ``zero`` and all elements before it. Arrays
+    that grow inside an aggregate are copied for each element, so only those of a block do, and that of the blocks."""
+    sums = F.transform(_blocks(values), lambda block: F.aggregate(block, F.lit(zero), lambda a, x: op(a, x)))
+    return F.flatten(F.zip_with(_blocks(values), _before(sums, op, F.lit(zero)), lambda block, at: _before(block, op, at)))
+
+
+def _with_spans(docs: DataFrame, text: str, patterns: dict[str, tuple[str, int]]) -> DataFrame:
+    """``docs`` with a SPAN column for each of ``patterns`` (pattern and kind): its leftmost matches, in code points.
+    Each match is put between two marks, and the pieces between the marks are measured. Every array that others are
+    made of is a column of its own, so that it is made once."""
+    pieces = {f"{c}_p": F.when(F.col(text).rlike(p), F.split(F.regexp_replace(text, p, "\x01$0\x02"), "\x01")) for c, (p, _) in patterns.items()}
+    docs = docs.withColumns(pieces)
+    # The text before the first match counts with a mark, as pieces that begin with a match do.
+    docs = docs.withColumns({f"{c}_n": F.transform(f"{c}_p", lambda x, i: F.length(x) - (i > 0).cast("int")) for c in patterns})
+    docs = docs.withColumns({f"{c}_at": F.when(F.col(f"{c}_p").isNotNull(), _running(f"{c}_n", lambda a, x: a + x, 0)) for c in patterns})
+
+    def found(c: str, kind: int) -> Column:
+        value = lambda p: F.substring_index(p, "\x02", 1)
+        span = lambda p, at: F.struct(at.alias("start"), (at + F.length(value(p))).alias("end"), F.lit(kind).alias("kind"), value(p).alias("value"))
+        each = F.zip_with(F.slice(f"{c}_p", 2, F.size(f"{c}_p")), F.slice(f"{c}_at", 2, F.size(f"{c}_p")), span)
+        return F.when(F.col(f"{c}_p").isNotNull(), each).otherwise(F.array().cast(SPAN))
+
+    docs = docs.withColumns({c: found(c, kind) for c, (_, kind) in patterns.items()})
+    return docs.drop(*[f"{c}_{x}" for c in patterns for x in ("p", "n", "at")])
 
 
 def _transitions(words: DataFrame) -> DataFrame:
@@ -183,18 +208,26 @@ def _least(value: Column, threshold: float) -> Column:
 def _scan(docs: DataFrame, model: list[float] | None, threshold: float) -> DataFrame:
     """``_row`` (all columns of ``docs``, so that no name can clash), ``base`` and ``found``."""
     table = F.lit(model if model is not None else fit(docs))
-    text = F.col("_text")
     group2 = lambda v: F.regexp_extract(v, ASSIGN, 2)
-    each = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _clean(F.col("text")).alias("_text")).withColumns({
-        "_assign": F.filter(_spans(text, ASSIGN, 0), lambda s: F.length(group2(s["value"])) >= 8),
-        "_access": _spans(text, ACCESS, 1),
-        "_hex": _spans(text, HEX, 2),
-        "_markov": F.filter(_spans(text, RUN, 3), lambda s: s["value"].rlike("[A-Za-z]") & ~s["value"].rlike(UUID) & (_ratio(s["value"], table) >= _least(s["value"], threshold))),
+    each = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _clean(F.col("text")).alias("_text"))
+    each = _with_spans(each, "_text", {"_assign": (ASSIGN, 0), "_access": (ACCESS, 1), "_hex": (HEX, 2), "_markov": (RUN, 3)})
+    each = each.withColumns({
+        "base": F.array_sort(F.concat(F.filter("_assign", lambda s: F.length(group2(s["value"])) >= 8), "_access", "_hex"), _by_start),
+        "_markov": F.filter("_markov", lambda s: s["value"].rlike("[A-Za-z]") & ~s["value"].rlike(UUID) & (_ratio(s["value"], table) >= _least(s["value"], threshold))),
+    }).select("_row", "base", "_markov")
+    # Both kinds in order: a model's span overlaps a base span if one before it ends later than it starts, or one
+    # behind it starts earlier than it ends.
+    each = each.withColumn("_both", F.array_sort(F.concat("base", "_markov"), _by_start))
+    each = each.withColumns({
+        "_ends": F.transform("_both", lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(0)),
+        "_starts": F.transform(F.reverse("_both"), lambda s: F.when(s["kind"] < 3, s["start"]).otherwise(END)),
     })
-    each = each.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex"), _by_start)).withColumn(
-        "_more", F.filter("_markov", lambda m: ~F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
-    )
-    return each.select("_row", "base", F.array_sort(F.concat("base", "_more"), _by_start).alias("found"))
+    each = each.withColumns({"_ended": _running("_ends", F.greatest, 0), "_next": F.reverse(_running("_starts", F.least, END))})
+    # Zipped, not looked up by place: a column that one lambda alone reads would be made anew for each element.
+    zipped = F.arrays_zip("_both", "_ended", "_next")
+    clear = lambda z: (z["_both"]["kind"] < 3) | ((z["_ended"] <= z["_both"]["start"]) & (z["_next"] >= z["_both"]["end"]))
+    found = F.transform(F.filter(zipped, clear), lambda z: z["_both"])
+    return each.select("_row", "base", F.when(F.size("_markov") > 0, found).otherwise(F.col("base")).alias("found"))
 
 
 def scan(docs: DataFrame, model: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -223,21 +256,29 @@ def count_kind(spans: str, kind: int) -> Column:
 def redact(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """``docs`` with every found span replaced by ``[SECRET]``; n_chars follows if there is such a column.
 
-    Overlapping spans become one replacement. Columns and rows stay as they were."""
-    found = _scan(docs, model, THRESHOLD)
-    text = F.col("_row.text")
-    pieces = F.aggregate(
-        "found",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]")))
-            .otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    changed = F.size("found") > 0
-    new = {"text": F.when(changed, pieces).otherwise(text)}
+    Overlapping spans become one replacement. Columns and rows stay as they were. The text is cut into pieces of
+    ``BLOCK`` code points first: finding a place in a text takes time in proportion to the place."""
+    found = _scan(docs, model, THRESHOLD).withColumn("_ends", F.transform("found", lambda s: s["end"]))
+    found = found.withColumns({
+        "_done": F.concat(_running("_ends", F.greatest, 0), F.array(F.coalesce(F.array_max("_ends"), F.lit(0)))),  # replaced before each span, and in all
+        "_cut": F.when(F.size("found") > 0, F.regexp_extract_all(F.col("_row.text"), F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))),
+        "_n": F.length("_row.text"),
+    })
+    block = lambda x: F.floor(x / BLOCK).cast("int")
+
+    def between(lo: Column, hi: Column) -> Column:
+        """The text from ``lo`` to ``hi``, which must lie behind it."""
+        own = lambda c: F.substring(F.get("_cut", c), F.greatest(lo - c * BLOCK, F.lit(0)) + 1, F.least(hi - c * BLOCK, F.lit(BLOCK)) - F.greatest(lo - c * BLOCK, F.lit(0)))
+        return F.array_join(F.transform(F.sequence(block(lo), block(hi - 1)), own), "")
+
+    def kept(s: Column, done: Column) -> Column:
+        return F.when(s["start"] > done, F.concat(between(done, s["start"]), F.lit("[SECRET]"))).when(s["start"] == done, "[SECRET]").otherwise("")
+
+    last = F.element_at("_done", -1)
+    pieces = F.concat(F.zip_with("found", F.slice("_done", 1, F.size("found")), kept), F.array(F.when(last < F.col("_n"), between(last, F.col("_n"))).otherwise("")))
+    text, changed = F.col("_row.text"), F.size("found") > 0
+    found = found.withColumn("_new", F.when(changed, F.array_join(pieces, "")).otherwise(text))
+    new = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length(pieces).cast("long")).otherwise(F.col("_row.n_chars"))
+        new["n_chars"] = F.when(changed, F.length("_new").cast("long")).otherwise(F.col("_row.n_chars"))
     return found.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -518,3 +518,37 @@ def test_a_third_of_all_rows_with_one_copy(spark):
     data = [(k, item + " and more" if k % 3 == 0 else " ".join(f"i{r.randrange(30)}" for _ in range(40)), "", "", 0) for k in range(900)] + [(None, item, "", "", 0)] * 300
     got = decontaminate.contaminated(frame(spark, data), spark.createDataFrame([(1, item)] * 3 + [(2, item.upper())], "item_id long, text string")).collect()
     assert Counter(x.item_id for x in got) == {1: 301, 2: 301} and {x.doc_id for x in got} == {None, *range(0, 900, 3)}
+
+
+def test_very_many_spans_in_one_text(spark):
+    """Base spans, model spans that overlap them or not, and the redacted text, in blocks and across their ends."""
+    r = random.Random(12)
+    capitals, letters = "ABCDEFGHJKLMNPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pick = lambda a, n: "".join(r.choices(a, k=n))
+    makers = (
+        lambda: "AKIA" + pick(capitals, 16), lambda: "password=" + pick(letters, 12), lambda: pick("0123456789abcdef", 40), lambda: pick(letters, 30), lambda: "maximum_connection_timeout",
+        lambda: "token: " + pick("0123456789abcdef", 32) + pick(letters, 30), lambda: "äö\U0001f600 word", lambda: "AKIA" + pick(capitals, 20) + "=" + pick(letters, 20),
+    )
+    texts = {1: " ".join(r.choice(makers)() for _ in range(30_000)), 2: "AKIA" + "X" * 20, 3: "\n".join(makers[0]() for _ in range(129)), 4: makers[3]() * 1}
+    docs = frame(spark, [(k, t, "en", "s", len(t)) for k, t in texts.items()])
+    model = secrets.fit(docs.where("false"))
+    scanned = {x.doc_id: x for x in secrets.scan(docs, model).collect()}
+    redacted = {x.doc_id: x for x in secrets.redact(docs, model).collect()}
+    for k, t in texts.items():
+        base = base_spans(t)
+        assert [(s.start, s.kind, s.end) for s in scanned[k].base] == base
+        covered = bytearray(len(t))
+        for a, _, b in base:
+            covered[a:b] = b"\1" * (b - a)
+        runs = [m for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}", t)]
+        own = {(s.start, s.end) for s in scanned[k].found if s.kind == 3}
+        assert own <= {m.span() for m in runs if not any(covered[m.start() : m.end()])}
+        random_ones = {m.span() for m in runs if len(m[0]) == 30 and m[0].isalnum() and not any(covered[m.start() : m.end()])}
+        assert len(random_ones - own) <= len(random_ones) // 200  # the model may miss a few
+        want, at = [], 0
+        for s in scanned[k].found:
+            if s.start >= at:
+                want += [t[at : s.start], "[SECRET]"]
+            at = max(at, s.end)
+        assert redacted[k].text == "".join(want) + t[at:] and redacted[k].n_chars == len(redacted[k].text)
+    assert len(scanned[1].base) > 10_000 and sum(s.kind == 3 for s in scanned[1].found) > 3_000
