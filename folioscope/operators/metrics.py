@@ -57,6 +57,12 @@ def latency(times: DataFrame, column: str) -> DataFrame:
     return times.agg(p.alias("p")).select(F.round(F.col("p")[0], 1).alias("latency_ms_p50"), F.round(F.col("p")[1], 1).alias("latency_ms_p95"))
 
 
+def latency_by(times: DataFrame, column: str, *keys: str) -> DataFrame:
+    """M7 for each value of ``keys``."""
+    p = F.percentile(column, F.array(F.lit(0.5), F.lit(0.95)))
+    return times.groupBy(*keys).agg(p.alias("p")).select(*keys, F.round(F.col("p")[0], 1).alias("latency_ms_p50"), F.round(F.col("p")[1], 1).alias("latency_ms_p95"))
+
+
 def misses(rows: DataFrame) -> DataFrame:
     """M8: (kind, qid, question, top_score, wanted, cited)."""
     kind = (
@@ -130,12 +136,88 @@ def llm_records(answers: DataFrame, questions: DataFrame, truth: DataFrame, hits
     return rows.select("qid", "answerable", outcome.alias("outcome"), F.coalesce("cited", none).alias("cited"), right.alias("right_page"))
 
 
-def report(metrics: DataFrame) -> DataFrame:
-    """A printable table, one line for each figure and setup. ``metrics(setup, ...)`` as from ``evaluate``."""
+def report(metrics: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """A printable table, one line for each figure and setup. ``metrics(setup, ...)`` as from ``evaluate``;
+    ``times(setup, latency_ms_p50, latency_ms_p95)`` as from ``latency_by`` adds the line of retrieval times."""
     n = F.col("answered_checked")
     lines = {
         "Right page among the citations": T.share("cited_right_page", n), "Right page cited first": T.share("cited_right_page_first", n),
         "Different pages cited (average)": F.col("pages_cited_avg").cast("string"),
     }
+    if times is not None:
+        metrics = metrics.join(times, "setup", "left")
+        lines["Retrieval time, median / p95 (ms)"] = F.concat_ws(" / ", F.col("latency_ms_p50").cast("string"), F.col("latency_ms_p95").cast("string"))
     pairs = F.array(*[F.struct(F.lit(k).alias("figure"), v.alias("value")) for k, v in lines.items()])
     return metrics.select("setup", F.explode(pairs).alias("p")).select("setup", "p.figure", "p.value")
+
+
+def guard_report(rows: DataFrame, threshold: float, top_k: int) -> DataFrame:
+    """The (n, line)s above the table: what was asked, and what the guard did, which is the same for all setups.
+    ``rows`` of any one setup, as from ``outcomes``."""
+    counted = rows.agg(
+        F.count("*").alias("n"), F.count_if("answerable").alias("ans"), F.count_if(~F.col("answerable")).alias("un"),
+        F.count_if(~F.col("answerable") & ~F.col("abstain")).alias("answered"), F.count_if(F.col("answerable") & F.col("abstain")).alias("refused"),
+    )
+    lines = F.array(
+        F.format_string("Threshold %s, top %d citations, %d questions (%d answerable, %d unanswerable).", F.lit(str(round(threshold, 3))), F.lit(top_k), "n", "ans", "un"),
+        F.lit("The guard is the same in every column:"),
+        F.format_string("  unanswerable questions that got an answer   %d of %d  (with no guard, all %d)", "answered", "un", "un"),
+        F.format_string("  answerable questions refused                %d of %d", "refused", "ans"),
+    )
+    return counted.select(F.posexplode(lines).alias("n", "line")).withColumn("n", F.col("n") + 1)
+
+
+# The headings of the lists of questions that went wrong.
+MISS_TITLES = {
+    "answered_unanswerable": "Unanswerable questions that still got an answer", "refused_answerable": "Answerable questions that were refused",
+    "wrong_page": "Answered, but no citation pointed to the right page",
+}
+REPLY_TITLES = {
+    "answered": "Unanswerable questions Mistral still answered", "refused": "Answerable questions Mistral refused",
+    "wrong_page": "Answers that cite no passage from the right page", "error": "No answer from Mistral",
+}
+
+
+def _listed(rows: DataFrame, titles: dict[str, str]) -> DataFrame:
+    """(kind, n, line) of ``rows(kind, qid, line)``: for each kind its title with the number of its questions (n = 0),
+    also where there are none, then a line for each, in the order of their ids. Ranks are within a kind: a report for
+    people, of the questions of one evaluation."""
+    spark = rows.sparkSession
+    heads = spark.createDataFrame(list(titles.items()), "kind string, title string").join(rows.groupBy("kind").agg(F.count("*").alias("c")), "kind", "left")
+    heads = heads.select("kind", F.lit(0).alias("n"), F.format_string("%s (%d):", "title", F.coalesce("c", F.lit(0))).alias("line"))
+    w = Window.partitionBy("kind").orderBy("qid")
+    return heads.unionByName(rows.select("kind", F.row_number().over(w).alias("n"), "line"))
+
+
+def miss_report(missed: DataFrame) -> DataFrame:
+    """(kind, n, line), the lists of ``misses``: scores with three digits, or the pages wanted and cited."""
+    score = F.when(F.col("top_score").isNull(), "  -  ").otherwise(T.fixed(F.col("top_score")))
+    pages = F.concat(F.lit("  "), "question", F.lit("\n      wanted "), "wanted", F.lit("; cited "), "cited")
+    line = F.when(F.col("kind") == "wrong_page", pages).otherwise(F.concat(F.lit("  "), score, F.lit("  "), "question"))
+    return _listed(missed.select("kind", "qid", line.alias("line")), MISS_TITLES)
+
+
+def llm_report(metrics: DataFrame, model: str) -> DataFrame:
+    """The (n, line)s on the client's mode. ``metrics`` as from ``llm_metrics``."""
+    of = lambda text, part, whole: F.format_string(f"  {text}%d of %d", part, whole)
+    lines = F.array(
+        F.format_string("Mistral mode (%s) on the %d questions the score guard let through:", F.lit(model), F.col("passed_unanswerable") + F.col("passed_answerable")),
+        of("unanswerable ones it refused (second guard)   ", "refused_unanswerable", "passed_unanswerable"), of("answerable ones it refused                    ", "refused_answerable", "passed_answerable"),
+        of("answers that cite a passage, like [1]         ", "cite_a_passage", "answered"), of("answers citing a passage from the right page  ", "cite_right_page", "checked_pages"),
+        F.format_string("  no answer from Mistral                        %d", "no_reply"),
+    )
+    return metrics.select(F.posexplode(lines).alias("n", "line")).withColumn("n", F.col("n") + 1)
+
+
+def reply_report(records: DataFrame) -> DataFrame:
+    """(kind, n, line), the questions that went wrong in the client's mode. ``records(qid, question,
+    answerable, outcome, answer, cited, right_page, error)``: the answer's first 240 characters, the error's first 200."""
+    out, ans = F.col("outcome"), F.col("answerable")
+    kind = (
+        F.when(out == "error", "error").when(~ans & (out == "answered"), "answered").when(ans & (out == "refused"), "refused")
+        .when(ans & (out == "answered") & ~F.col("right_page"), "wrong_page")
+    )
+    flat = F.btrim(F.regexp_replace("answer", r"(?U)\s+", " "))
+    more = lambda name, c: F.when(F.coalesce(F.length(c) > 0, F.lit(False)), F.concat(F.lit(f"\n      {name}: "), c)).otherwise("")
+    line = F.concat(F.lit("  "), "question", more("answer", F.left(flat, F.lit(240))), more("cited", T.page_labels("cited")), more("error", F.left("error", F.lit(200))))
+    return _listed(records.select(kind.alias("kind"), "qid", line.alias("line")).where("kind is not null"), REPLY_TITLES)

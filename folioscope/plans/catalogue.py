@@ -6,6 +6,7 @@ line number. Benchmark items are the questions. The index over them is built onc
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -333,28 +334,75 @@ def setup_compare(spark, sf_dir):
 
 
 def setup_report(spark, sf_dir):
-    return metrics.report(_compared(spark, sf_dir))
+    """Events play the part of timed questions: each belongs to one of the setups."""
+    setup = F.element_at(F.array(*[F.lit(name) for name, _, _ in metrics.SETUPS]), (F.col("event_id") % 3 + 1).cast("int"))
+    times = metrics.latency_by(read(spark, sf_dir, "events").withColumn("setup", setup), "value", "setup")
+    return metrics.report(_compared(spark, sf_dir), times)
+
+
+def guard_report(spark, sf_dir):
+    return metrics.guard_report(judged(spark, sf_dir, index(spark, sf_dir)), SETTINGS.sim_threshold, SETTINGS.top_k)
+
+
+def miss_report(spark, sf_dir):
+    return metrics.miss_report(metrics.misses(judged(spark, sf_dir, index(spark, sf_dir))))
 
 
 def threshold_sweep(spark, sf_dir):
     return metrics.sweep(judged(spark, sf_dir, index(spark, sf_dir)))
 
 
-def llm_metrics(spark, sf_dir):
+def _replies(spark, sf_dir):
+    """Records of the client's mode, with replies that follow from the question's number."""
     ix = index(spark, sf_dir)
     rows = evaluation(spark, sf_dir, ix)
     passed = retrieved(spark, sf_dir, ix).where("not abstain")
     q = F.col("qid")
     said = passed.select(
-        "qid", "hits", F.format_string("It is so [%d].", 1 + q % 2).alias("answer"),
+        "qid", "question", "hits", F.format_string("It is so [%d].", 1 + q % 2).alias("answer"),
         (q % 5 == 2).alias("abstained"), F.when(q % 7 == 3, "no reply").alias("error"),
     )
-    return metrics.llm_metrics(metrics.llm_records(said.drop("hits"), rows, audit.widen_truth(rows, ix.chunks), said.select("qid", "hits")))
+    return metrics.llm_records(said.drop("hits", "question"), rows, audit.widen_truth(rows, ix.chunks), said.select("qid", "hits")), said.select("qid", "question", "answer", "error")
+
+
+def llm_metrics(spark, sf_dir):
+    return metrics.llm_metrics(_replies(spark, sf_dir)[0])
+
+
+def llm_report(spark, sf_dir):
+    return metrics.llm_report(llm_metrics(spark, sf_dir), SETTINGS.llm_model)
+
+
+def reply_report(spark, sf_dir):
+    records, said = _replies(spark, sf_dir)
+    answered = F.col("outcome") == "answered"
+    none = F.array().cast("array<struct<source:string,page:int>>")
+    return metrics.reply_report(records.join(said, "qid").withColumns({"answer": F.when(answered, F.col("answer")), "cited": F.when(answered, F.col("cited")).otherwise(none)}))
+
+
+def _scripted() -> answers.ChatClient:
+    """A client without a network: what it says follows from the question's length."""
+
+    def post(payload: dict) -> answers.Reply:
+        n = len(payload["messages"][1]["content"].rsplit("\n\nQuestion: ", 1)[1])
+        if n % 5 < 2:
+            return answers.Reply(400, '{"message": "no"}')
+        return answers.Reply(200, json.dumps({"choices": [{"message": {"content": answers.SENTINEL if n % 7 == 3 else "It is so [1]."}}]}))
+
+    return answers.ChatClient(post, Settings(llm_api_key="none", llm_min_interval=0.0))
+
+
+def asked_in_order(spark, sf_dir):
+    rows = retrieved(spark, sf_dir, index(spark, sf_dir))
+    asked = answers.ask_in_order(rows, _scripted, workspace.Tables(spark, "asked"), block=25)
+    outcome = F.when(F.col("error").isNotNull(), "error").when(F.col("text").contains(answers.SENTINEL), "refused").otherwise("answered")
+    return asked.select("qid", outcome.alias("outcome"))
 
 
 def _records(spark, sf_dir):
     """Labels as the outcomes of evaluation runs, each over the questions of 50 ids."""
-    outcome = F.when(F.col("quality") == 0, "error").otherwise("answered")
+    failed = (F.col("quality") == 0) | (F.col("toxic") == 1) | (F.col("doc_id") % 2 == 0)
+    outcome = F.when(failed, "error").otherwise("answered")
     return read(spark, sf_dir, "labels").select(F.floor(F.col("doc_id") / 50).alias("run"), F.col("doc_id").alias("qid"), outcome.alias("outcome"))
 
 
@@ -375,5 +423,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         abstention_guard, refusal_text, extractive_answer, prompt_context, citations, sentinel_guard, request_validation,
         cited_pages, page_texts, evidence_pages, expected_pages, question_problems, question_notes, eval_metrics,
         latency_percentiles, eval_misses, setup_diff, setup_compare, setup_report, threshold_sweep, llm_metrics, error_streaks, stops_after,
+        guard_report, miss_report, llm_report, reply_report, asked_in_order,
     )
 }

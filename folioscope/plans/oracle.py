@@ -9,6 +9,8 @@ import re
 
 from ..functions.textcols import STOPWORDS
 from ..operators.answers import EXTRACTIVE_HEADER, NO_ANSWER, REFUSAL
+from ..operators.metrics import MISS_TITLES, REPLY_TITLES
+from ..settings import Settings
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
@@ -44,7 +46,7 @@ _SENTENCES = r"string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr
 
 _STREAKS = """SELECT run, qid, outcome, sum((outcome = 'error')::INTEGER) OVER (PARTITION BY run, g ORDER BY qid)::BIGINT AS streak FROM
   (SELECT *, sum((outcome <> 'error')::INTEGER) OVER (PARTITION BY run ORDER BY qid) AS g FROM
-    (SELECT floor(doc_id / 50)::BIGINT AS run, doc_id AS qid, CASE WHEN quality = 0 THEN 'error' ELSE 'answered' END AS outcome FROM labels))"""
+    (SELECT floor(doc_id / 50)::BIGINT AS run, doc_id AS qid, CASE WHEN quality = 0 OR toxic = 1 OR doc_id % 2 = 0 THEN 'error' ELSE 'answered' END AS outcome FROM labels))"""
 
 PARTS: dict[str, str] = {
     "lines": """SELECT doc_id || '.pdf' AS source, unnest(string_split(text, chr(10))) AS text,
@@ -128,6 +130,12 @@ PARTS["missed"] = """SELECT setup, CASE WHEN NOT answerable AND NOT abstain THEN
   WHEN checked AND NOT hit THEN 'wrong_page' END AS kind, qid, question, top_score, wanted, cited FROM outcomes"""
 PARTS["records"] = """SELECT g.qid, g.answerable, CASE WHEN g.qid % 7 = 3 THEN 'error' WHEN g.qid % 5 = 2 THEN 'refused' ELSE 'answered' END AS outcome FROM guarded g WHERE NOT abstain"""
 
+PARTS["replied"] = """SELECT r.qid, g.question, outcome, c.cited, CASE WHEN outcome = 'error' THEN 'error' WHEN NOT r.answerable AND outcome = 'answered' THEN 'answered'
+      WHEN r.answerable AND outcome = 'refused' THEN 'refused' WHEN r.answerable AND outcome = 'answered' AND t.qid IS NOT NULL AND NOT coalesce(c.hit, false) THEN 'wrong_page' END AS kind
+    FROM records r JOIN guarded g USING (qid) LEFT JOIN (SELECT DISTINCT qid FROM truth) t USING (qid)
+    LEFT JOIN (SELECT h.qid, h.source || ' p.' || h.page AS cited, t.qid IS NOT NULL AS hit FROM hits h LEFT JOIN truth t ON t.qid = h.qid AND t.source = h.source AND t.page = h.page
+      WHERE h.n = 1 + h.qid % 2) c USING (qid)"""
+
 
 def sql(query: str) -> str:
     """``query`` with the parts it names, and those they name, in front."""
@@ -155,6 +163,12 @@ _INJECTED = "replace(replace(replace(replace(text, 'th', chr(64257)), ', ', '-'
 _REFUSAL = "printf(" + _quote(REFUSAL) + ", top_score, 0.5::DOUBLE)"
 _EXTRACT = f"{_quote(EXTRACTIVE_HEADER)} || string_agg('[' || n || '] ' || source || ' p.' || page || ' (similarity ' || printf('%.3f', score) || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY n)"
 
+
+
+def _titles(titles: dict[str, str]) -> str:
+    return ", ".join(f"({_quote(k)}, {_quote(v)})" for k, v in titles.items())
+
+
 QUERIES: dict[str, str] = {
     "clean_text": f"SELECT doc_id, {_clean(_INJECTED)} AS text FROM documents",
     "noise_filter": f"SELECT source, ln::INTEGER AS ln, {_noise(r'''regexp_replace(text, '^\s+|\s+$', '', 'g')''')} AS noise FROM lines",
@@ -233,7 +247,30 @@ QUERIES: dict[str, str] = {
     coalesce(round(count_if(hit) / nullif(count_if(checked), 0) * 100, 1)::VARCHAR, '0') || '%)' AS value FROM outcomes GROUP BY 1
   UNION ALL SELECT setup, 'Right page cited first', printf('%d of %d (', count_if(first_hit)::BIGINT, count_if(checked)::BIGINT) ||
     coalesce(round(count_if(first_hit) / nullif(count_if(checked), 0) * 100, 1)::VARCHAR, '0') || '%)' FROM outcomes GROUP BY 1
-  UNION ALL SELECT setup, 'Different pages cited (average)', round(avg(n_pages) FILTER (WHERE checked), 1)::VARCHAR FROM outcomes GROUP BY 1""",
+  UNION ALL SELECT setup, 'Different pages cited (average)', round(avg(n_pages) FILTER (WHERE checked), 1)::VARCHAR FROM outcomes GROUP BY 1
+  UNION ALL SELECT ['dense', 'hybrid', 'hybrid, 1 per page'][event_id % 3 + 1], 'Retrieval time, median / p95 (ms)',
+    round(quantile_cont(value, 0.5), 1)::VARCHAR || ' / ' || round(quantile_cont(value, 0.95), 1)::VARCHAR FROM events GROUP BY 1""",
+    "guard_report": """SELECT unnest([1, 2, 3, 4]) AS n, unnest([
+    printf('Threshold 0.5, top 5 citations, %d questions (%d answerable, %d unanswerable).', count(*), count_if(answerable)::BIGINT, count_if(NOT answerable)::BIGINT),
+    'The guard is the same in every column:',
+    printf('  unanswerable questions that got an answer   %d of %d  (with no guard, all %d)', count_if(NOT answerable AND NOT abstain)::BIGINT, count_if(NOT answerable)::BIGINT, count_if(NOT answerable)::BIGINT),
+    printf('  answerable questions refused                %d of %d', count_if(answerable AND abstain)::BIGINT, count_if(answerable)::BIGINT)]) AS line FROM guarded""",
+    "miss_report": f"""SELECT t.kind, 0 AS n, t.title || ' (' || count(m.qid) || '):' AS line FROM (VALUES {_titles(MISS_TITLES)}) t(kind, title)
+    LEFT JOIN missed m ON m.kind = t.kind AND m.setup = 'hybrid, 1 per page' GROUP BY t.kind, t.title
+  UNION ALL SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY qid)::INTEGER, CASE WHEN kind = 'wrong_page' THEN '  ' || question || chr(10) || '      wanted ' || wanted || '; cited ' || cited
+    ELSE '  ' || printf('%.3f', top_score) || '  ' || question END FROM missed WHERE setup = 'hybrid, 1 per page' AND kind IS NOT NULL""",
+    "reply_report": f"""SELECT t.kind, 0 AS n, t.title || ' (' || count(k.qid) || '):' AS line FROM (VALUES {_titles(REPLY_TITLES)}) t(kind, title) LEFT JOIN replied k ON k.kind = t.kind GROUP BY t.kind, t.title
+  UNION ALL SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY qid)::INTEGER, '  ' || question
+    || CASE WHEN outcome = 'answered' THEN chr(10) || '      answer: It is so [' || (1 + qid % 2) || '].' || coalesce(chr(10) || '      cited: ' || cited, '') ELSE '' END
+    || CASE WHEN outcome = 'error' THEN chr(10) || '      error: no reply' ELSE '' END FROM replied WHERE kind IS NOT NULL""",
+    "asked_in_order": """SELECT qid, outcome FROM (SELECT *, coalesce(sum((streak = 3)::INTEGER) OVER (ORDER BY qid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM
+    (SELECT *, sum((outcome = 'error')::INTEGER) OVER (PARTITION BY g ORDER BY qid) AS streak FROM (SELECT *, sum((outcome <> 'error')::INTEGER) OVER (ORDER BY qid) AS g FROM
+      (SELECT qid, CASE WHEN length(question) % 5 < 2 THEN 'error' WHEN length(question) % 7 = 3 THEN 'refused' ELSE 'answered' END AS outcome FROM guarded WHERE NOT abstain)))) WHERE over = 0""",
 }
+QUERIES["llm_report"] = f"""SELECT unnest([1, 2, 3, 4, 5, 6]) AS n, unnest([
+    printf('Mistral mode ({Settings().llm_model}) on the %d questions the score guard let through:', passed_unanswerable + passed_answerable),
+    printf('  unanswerable ones it refused (second guard)   %d of %d', refused_unanswerable, passed_unanswerable), printf('  answerable ones it refused                    %d of %d', refused_answerable, passed_answerable),
+    printf('  answers that cite a passage, like [1]         %d of %d', cite_a_passage, answered), printf('  answers citing a passage from the right page  %d of %d', cite_right_page, checked_pages),
+    printf('  no answer from Mistral                        %d', no_reply)]) AS line FROM ({QUERIES["llm_metrics"]})"""
 
 ORACLE_SQL = {name: sql(q) for name, q in QUERIES.items()}
