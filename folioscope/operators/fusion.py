@@ -91,6 +91,31 @@ def rankings(questions: DataFrame, index: Index, depth: int, hybrid: bool, embed
     return dense, keyword
 
 
+def whole_ranking(questions: DataFrame, index: Index, tables: Tables, k: int = 60, embedder: vectors.Embedder | None = None) -> DataFrame:
+    """R1, R2 over all passages: (qid, ord, cosine, dense_rank, fused, rank), every passage for every question.
+
+    For a stated list of questions: the result has a row for each pair. Questions are scored in blocks, and every rank
+    comes from range partitions and counts (``scan.placed``), so neither a question nor a ranking is in one task."""
+    spark = questions.sparkSession
+    embedder = embedder or vectors.HashedWords(dim=index.dim)
+    embedded = embedder.embed(questions.select(F.col("qid").alias("id"), F.col("question").alias("text")))
+    tables.keep(spark.createDataFrame([], scan.SCORES), "scores")
+    for qids, matrix in vectors.question_blocks(embedded, index.dim):
+        tables.keep(scan.scores(index.passages, scan.ask(questions, index.words, qids, matrix, index.avg_len)), "scores", "append")
+    scores = spark.read.schema(scan.SCORES).parquet(tables.path("scores"))
+    dense = scan.placed(scores, [F.desc("cosine"), F.col("ord")], tables, "by-cosine")
+    keyword = scan.placed(scores.where("keyword > 0").select("qid", "ord", "keyword"), [F.desc("keyword"), F.col("ord")], tables, "by-keyword")
+    both = dense.select("qid", "ord", "cosine", F.col("rank").alias("dense_rank")).join(rrf([dense, keyword], k), ["qid", "ord"])
+    return scan.placed(both, [F.desc("fused"), F.col("dense_rank")], tables, "by-fused")
+
+
+def whole_pages(ranked: DataFrame, tables: Tables) -> DataFrame:
+    """R4 over ``ranked(qid, source, page, rank, ...)``, whole rankings: each page's first, ranked anew."""
+    first = ranked.groupBy("qid", "source", "page").agg(F.min("rank").alias("rank"))
+    left = ranked.join(first, ["qid", "source", "page", "rank"]).withColumnRenamed("rank", "_rank")
+    return scan.placed(left, [F.col("_rank")], tables, "by-page").drop("_rank")
+
+
 Rankings = tuple[DataFrame, DataFrame | None]
 
 

@@ -19,7 +19,7 @@ from ..sources import store, workspace
 from .oracle import ORACLE_SQL  # noqa: F401  (read by the entry module)
 
 SETTINGS = Settings()
-DEPTH = 10
+DEPTH = 10  # of the nearest vectors
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -212,19 +212,18 @@ def top_score(spark, sf_dir):
     return fusion.top_scores(ranked(spark, sf_dir, index(spark, sf_dir), "dense", False)).select("qid", F.round("top_score", 6).alias("top_score"))
 
 
-def _fused(spark, sf_dir, ix, pages: bool):
-    dense, words = ranked(spark, sf_dir, ix, "hybrid", pages, Settings(top_k=DEPTH))
-    return fusion.fused_order(fusion.rrf([dense, words]), dense)
+def _fused(spark, sf_dir, ix):
+    return fusion.whole_ranking(questions(spark, sf_dir), ix, workspace.Tables(spark, "whole"), SETTINGS.rrf_k)
 
 
 def rrf_fusion(spark, sf_dir):
-    return _fused(spark, sf_dir, index(spark, sf_dir), False).where(F.col("rank") <= DEPTH).select("qid", "rank", "ord", F.round("fused", 9).alias("fused"))
+    return _fused(spark, sf_dir, index(spark, sf_dir)).select("qid", "rank", "ord", F.round("fused", 9).alias("fused"))
 
 
 def one_per_page(spark, sf_dir):
     ix = index(spark, sf_dir)
-    paged = _fused(spark, sf_dir, ix, True).join(ix.chunks.select("ord", "source", "page"), "ord")
-    return fusion.one_per_page(paged).where(F.col("rank") <= DEPTH).select("qid", "rank", "ord", "source", "page")
+    paged = _fused(spark, sf_dir, ix).join(ix.chunks.select("ord", "source", "page"), "ord")
+    return fusion.whole_pages(paged, workspace.Tables(spark, "pages")).select("qid", "rank", "ord", "source", "page")
 
 
 def hybrid_topk(spark, sf_dir):

@@ -2,12 +2,14 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import answers, chunking, fusion, lexical, vectors
+from folioscope.operators import answers, chunking, fusion, lexical, scan, vectors
 from folioscope.settings import Settings
 from folioscope.sources import store
+from folioscope.sources.workspace import Tables
 from tests.conftest import rows
 
 
@@ -107,7 +109,6 @@ def corpus(spark, tmp_path_factory):
 def brute(index, questions, k, mode, distinct):
     import re
 
-    import numpy as np
     from hashlib import md5
 
     chunks = sorted(index.chunks.collect(), key=lambda c: c.ord)
@@ -220,3 +221,62 @@ def test_model_vectors_load_in_the_worker(spark):
     df = spark.createDataFrame([(1, "abc"), (2, None)], "id long, text string")
     got = {r.id: r.vals for r in vectors.ModelVectors(load, dim=2).embed(df).collect()}
     assert got[1] == pytest.approx([3 / math.sqrt(10), 1 / math.sqrt(10)]) and got[2] == [0.0, 1.0]
+
+
+def test_whole_rankings_have_every_passage(spark, corpus):
+    index, questions, _ = corpus
+    asked = spark.createDataFrame(questions, "qid long, question string")
+    ranked = fusion.whole_ranking(asked, index, Tables(spark, "whole"))
+    chunks = {c.ord: c for c in index.chunks.collect()}
+    n = len(chunks)
+    got = {}
+    for r in ranked.collect():
+        got.setdefault(r.qid, {})[r["rank"]] = chunks[r.ord].chunk_id
+    assert {q: [own[k] for k in range(1, n + 1)] for q, own in got.items()} == brute(index, questions, n, "hybrid", False)
+    paged = fusion.whole_pages(ranked.join(index.chunks.select("ord", "source", "page"), "ord"), Tables(spark, "pages"))
+    got = {}
+    for r in paged.collect():
+        got.setdefault(r.qid, {})[r["rank"]] = chunks[r.ord].chunk_id
+    assert {q: [own[k] for k in range(1, len(own) + 1)] for q, own in got.items()} == brute(index, questions, n, "hybrid", True)
+    assert fusion.whole_ranking(asked.where("false"), index, Tables(spark, "whole")).count() == 0
+
+
+def test_ranks_by_range_partitions(spark, monkeypatch):
+    """One question with nearly all rows, cut over many partitions; others with few."""
+    r = random.Random(4)
+    data = [(1, r.random(), k) for k in range(20_000)] + [(q, float(k % 2), k) for q in range(2, 9) for k in range(q)]
+    own = spark.createDataFrame(data, "qid long, s double, ord long")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables = Tables(spark, "placed")
+        got = {(x.qid, x.ord): x["rank"] for x in scan.placed(own, [F.desc("s"), F.col("ord")], tables, "t").collect()}
+        assert spark.read.parquet(tables.path("t")).select(F.shiftright("_m", 33)).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = {}
+    for q in range(1, 9):
+        for k, (_, _, o) in enumerate(sorted((x for x in data if x[0] == q), key=lambda x: (-x[1], x[2])), 1):
+            want[q, o] = k
+    assert got == want
+
+
+def test_deep_ranks_are_counted_in_parts(spark, corpus, monkeypatch):
+    monkeypatch.setattr(scan, "TARGETS", 5)
+    index, questions, _ = corpus
+    asked = spark.createDataFrame(questions, "qid long, question string")
+    got = fusion.retrieve(asked, index, Settings(top_k=5)).collect()
+    assert {r.qid: [h.chunk_id for h in r.hits] for r in got} == brute(index, questions, 5, "hybrid", True)
+
+
+def test_keyword_products_of_hits():
+    r = np.random.default_rng(2)
+    weights = r.random((40, 7)) * (r.random((40, 7)) < 0.3)
+    table = r.random((11, 40)) * (r.random((11, 40)) < 0.4)
+    table[3] = 0
+    used = [np.flatnonzero(weights[w]) for w in range(40)]
+    idf = r.random(40)
+    asked = scan.Asked(list(range(7)), np.zeros((7, 1)), [str(w) for w in range(40)], np.cumsum([0, *map(len, used)]), np.concatenate(used), idf, 1.0)
+    row, word = np.nonzero(table)
+    got = asked.keyword(word, row, table[row, word], 11)
+    assert np.allclose(got, table @ ((weights > 0) * idf[:, None]))
