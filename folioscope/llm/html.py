@@ -2,9 +2,11 @@
 
 A page becomes a tree of elements. Scripts, styles, forms, menus, page headers and footers, sidebars,
 notices, adverts and reader comments are cut out by element, role and class name. A class or id names noise
-by its first label's first word or by a label of noise words alone; a noise word elsewhere only if no label
-has a word for articles, and where these cuts leave far less text than the rest, they are undone and density
-decides. Every remaining node
+by its first label's first word or by a label of noise words alone. A label that ends in a noise word
+("article-comments"), and a noise word elsewhere if no label has a word for articles, name noise too, unless the
+element holds an article: an article, main or first-level heading element that is not cut itself. How much text a cut
+takes away decides nothing; only a page of which nothing is left is read again without the cuts of this second
+sort. Every remaining node
 gets its link-adjusted characters-per-tag density, a piece of text that of a leaf among its parent's tags; a
 node's sum is that of its children's densities. The node of the greatest sum leads (an article or main
 element before another of the same sum), and the least density on its path to the body is the threshold
@@ -53,7 +55,7 @@ NOISE = frozenset(
     "sponsor sponsored sponsors promo promos promotion outbrain taboola toolbar copyright legal disclaimer colophon skip hidden".split()
 )
 KEPT_WORDS = frozenset("article main content post entry story body".split())
-FAR = 5  # times as much text is far more
+HOLDS_ARTICLE = frozenset("article main h1".split())
 MODIFIERS = frozenset("has with no without is not".split())  # "has-sidebar" tells what a block holds, not what it is
 ARTICLE_NOISE = frozenset("ad ads advert comment comments promo promos related reply sponsored teaser teasers".split())
 
@@ -64,7 +66,7 @@ WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "depth", "chars", "links", "tags", "link_tags", "density", "total", "paragraph", "inner", "lost")
+    __slots__ = ("tag", "parent", "children", "dropped", "depth", "chars", "links", "tags", "link_tags", "density", "total", "paragraph", "inner", "unsure")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
@@ -73,45 +75,49 @@ class Node:
         self.paragraph: Node | None = self if tag == "p" else None if parent is None or tag in P_BARRIERS else parent.paragraph
         self.inner: bool = tag in ("article", "main", "section") or parent is not None and parent.inner
         self.children: list[Node | str] = []
-        self.lost = 0  # of a root: characters in what was cut out
+        self.unsure = False  # cut, unless it holds an article
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_noise(tag: str, attributes: str, parent: Node, forms: bool = False, sure: bool = False) -> bool:
-    """Whether an element starts a part that is no article text, by its name, role and class words.
-    ``forms``: a form may hold the article. ``sure``: labels count only if they name noise as the
-    element's role."""
+SURE, UNSURE = 2, 1
+
+
+def noise(tag: str, attributes: str, parent: Node, forms: bool = False) -> int:
+    """Whether an element starts a part that is no article text, by its name, role and class words: SURE, UNSURE
+    (unless it holds an article) or 0. ``forms``: a form may hold the article."""
     if tag in DROPPED and not (forms and tag == "form"):
-        return True
+        return SURE
     if tag == "header" and not parent.inner:  # an article's own header is part of it
-        return True
+        return SURE
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return 0
     found = ATTRIBUTE.findall(attributes)
     labels = [[[w.lower() for w in WORD.findall(label)] for label in (a or b or c).split()] for name, a, b, c in found if name.lower() in ("class", "id")]
     kept = any(not KEPT_WORDS.isdisjoint(words) and words[0] not in NOISE for own in labels for words in own)
+    level = 0
     for name, a, b, c in found:
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return SURE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return SURE
         if name == "role" and value.strip().lower() in ROLES:
-            return True
+            return SURE
         if name in ("class", "id") and tag not in ("html", "body", "main"):
-            noise = ARTICLE_NOISE if tag == "article" else NOISE
+            named = ARTICLE_NOISE if tag == "article" else NOISE
             for k, label in enumerate(value.split()):
                 words = [w.lower() for w in WORD.findall(label)]
                 if MODIFIERS & set(words):
                     continue
                 pairs = [a + b for a, b in zip(words, words[1:], strict=False)]  # "side-bar" is "sidebar"
-                if not any(w in noise for w in words + pairs):
+                if not any(w in named for w in words + pairs):
                     continue
-                role = k == 0 and (words[0] in noise or pairs[:1] and pairs[0] in noise) or all(w in noise for w in words) or len(words) == 2 and pairs[0] in noise
-                if role or not kept and not sure:
-                    return True
-    return False
+                if k == 0 and (words[0] in named or pairs[:1] and pairs[0] in named) or all(w in named for w in words) or len(words) == 2 and pairs[0] in named:
+                    return SURE
+                if k == 0 and (words[-1] in named or pairs[-1] in named) or not kept:
+                    level = UNSURE
+    return level
 
 
 class Tokens:
@@ -174,17 +180,22 @@ class Tokens:
             yield html[self.at :], "", None, ""
 
 
-def parse(html: str, forms: bool = False, sure: bool = False) -> Node:
-    """The tree below a root; raw and dropped elements keep no text."""
+def parse(html: str, forms: bool = False, unsure: bool = True) -> Node:
+    """The tree below a root; raw and dropped elements keep no text. ``unsure``: elements that are unsurely noise are
+    dropped, but for those that hold an article."""
     root = Node("body", None)
     here = root
     opened: dict[str, list[Node]] = defaultdict(list)  # the open elements of each name, outer ones first
+    marked: list[Node] = []  # unsurely noise,
+    doubted: list[Node] = []  # and those of them that are open
 
     def close(node: Node) -> None:
         nonlocal here
         while True:
             last = here
             opened[last.tag].pop()
+            if doubted and doubted[-1] is last:
+                doubted.pop()
             here = last.parent
             if last is node:
                 return
@@ -195,9 +206,7 @@ def parse(html: str, forms: bool = False, sure: bool = False) -> Node:
     tokens = Tokens(html)
     for text, end, tag, attributes in tokens:
         if tag is None:
-            if here.dropped:
-                root.lost += len(text)
-            elif text:
+            if text and not here.dropped:
                 here.children.append(unescape(text) if "&" in text else text)
             continue
         if end:
@@ -220,11 +229,23 @@ def parse(html: str, forms: bool = False, sure: bool = False) -> Node:
                 while up.parent.tag in SAME_LEVEL[tag]:
                     up = up.parent
                 close(up)
-        node = Node(tag, here, here.dropped or is_noise(tag, attributes, here, forms, sure))
+        level = 0 if here.dropped else noise(tag, attributes, here, forms)
+        node = Node(tag, here, here.dropped or level == SURE)
+        if tag in HOLDS_ARTICLE and not level and not node.dropped:
+            while doubted:
+                doubted.pop().unsure = False
+        if unsure and level == UNSURE:
+            node.unsure = True
+            marked.append(node)
+            doubted.append(node)
         here.children.append(node)
         if tag not in VOID:
             here = node
             opened[tag].append(node)
+        elif doubted and doubted[-1] is node:
+            doubted.pop()
+    for node in marked:
+        node.dropped = node.unsure
     return root
 
 
@@ -274,7 +295,8 @@ def main_nodes(root: Node) -> list[Node | str]:
     """The parts that hold the article, in page order; none if no node has a density.
 
     The leading node is taken, and of the branches beside its path to the body those as dense as the
-    threshold, with headings and plain text blocks that aren't mostly links.
+    threshold, with headings and plain text blocks that aren't mostly links. Groups of links are cut inside the leading
+    node too.
     """
     lead = max(measure(root), key=lambda x: (x.total, x.tag in ("article", "main")))
     if lead.total <= 0:
@@ -288,7 +310,10 @@ def main_nodes(root: Node) -> list[Node | str]:
     stack: list[Node | str] = [root]
     while stack:
         x = stack.pop()
-        if isinstance(x, str) or x is lead:
+        if isinstance(x, str):
+            chosen.append(x)
+        elif x is lead:
+            _cut_links(x, threshold)
             chosen.append(x)
         elif x.dropped or not x.chars:
             continue
@@ -302,6 +327,21 @@ def main_nodes(root: Node) -> list[Node | str]:
     return chosen
 
 
+def _cut_links(lead: Node, threshold: float) -> None:
+    """Drops the groups of links in the leading node: elements that group, less dense than the threshold, of which
+    nearly all text is in three links or more. In an article element only those that are no lists."""
+    stack = [c for c in lead.children if isinstance(c, Node)]
+    while stack:
+        x = stack.pop()
+        if x.dropped:
+            continue
+        groups = x.tag in ("div", "section", "table") or x.tag in ("ul", "ol") and not x.inner
+        if groups and x.link_tags >= 3 and 10 * x.links >= 9 * x.chars and x.density < threshold:
+            x.dropped = True
+        else:
+            stack.extend(c for c in x.children if isinstance(c, Node))
+
+
 def text_of(nodes: list[Node | str]) -> str:
     """Text with each block's white space turned into single spaces, blocks joined by one."""
     out: list[str] = []
@@ -324,16 +364,12 @@ def text_of(nodes: list[Node | str]) -> str:
 
 
 def extract(html: str | None) -> str:
-    """The main text of a page. Cuts by unsure labels are undone if far more text is found without them,
-    and a form around the whole page is opened if nothing is left otherwise."""
+    """The main text of a page. If nothing is left otherwise, unsure cuts are not made, and then a form around
+    the whole page is opened."""
     if not html:
         return ""
-    for forms in (False, True):
-        root = parse(html, forms)
-        text = text_of(main_nodes(root))
-        if root.lost > FAR * len(text):
-            wider = text_of(main_nodes(parse(html, forms, sure=True)))
-            text = wider if len(wider) > FAR * len(text) else text
+    for forms, unsure in ((False, True), (False, False), (True, True), (True, False)):
+        text = text_of(main_nodes(parse(html, forms, unsure)))
         if text:
             break
     return text

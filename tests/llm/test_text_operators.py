@@ -50,6 +50,37 @@ def test_noise_by_role_is_cut(label):
     assert html.extract(f"<div id=content><p>The text, of some length, goes on.</p></div><div class='{label}'><p>Something else of about that length.</p></div>") == "The text, of some length, goes on."
 
 
+@pytest.mark.parametrize("sentences", [1, 3, 10, 40])
+@pytest.mark.parametrize("label", ["user-comments", "reader-comments", "article-comments", "post-comments", "blog-comments", "main-menu", "post side-bar", "site-footer"])
+def test_noise_is_cut_at_any_length(label, sentences):
+    """30 long comments, or a menu's links, beside an article of any length, before and behind it."""
+    article = " ".join(f"This is sentence {k} of the article." for k in range(sentences))
+    noise = "".join(f"<div class=item><b>Reader {k}</b><p>I have read it, and this is what I think of number {k}.</p></div>" for k in range(30))
+    if label == "main-menu":
+        noise = "<ul>" + "".join(f"<li><a href='/{k}'>Part {k} of the site</a></li>" for k in range(30)) + "</ul>"
+    for wrap in ("<div id=content>{}</div>", "<article>{}</article>", "<div>{}</div>"):
+        own = wrap.format(f"<h1>Head</h1><p>{article}</p>")
+        other = f"<div class='{label}'>{noise}</div>"
+        assert html.extract(f"<body>{own}{other}</body>") == f"Head {article}"
+        assert html.extract(f"<body>{other}{own}</body>") == f"Head {article}"
+
+
+def test_wrappers_keep_their_article():
+    text = "A sentence of the article that is kept. " * 5
+    for label in ("post category-social", "layout sidebar-right", "two-column-sidebar", "page-newsletter", "grid newsletter-grid"):
+        page = f"<div class='{label}'><article><p>{text}</p></article><div class='post-comments'><p>{text * 9}</p></div></div>"
+        assert html.extract(page) == text.strip()
+    assert html.extract(f"<div class='layout sidebar-right'><p>{text}</p></div>") == text.strip()  # nothing else is left
+
+
+def test_density_chooses_among_what_is_left():
+    """Links without a label beside the article: cuts leave them, density does not."""
+    links = "".join(f"<a href='/{k}'>More about subject {k}</a> " for k in range(20))
+    page = f"<div><div>{links}</div><div><p>{'The article goes on for a while. ' * 6}</p></div></div>"
+    root = html.parse(page)
+    assert "subject 3" in html.text_of([root]) and html.text_of(html.main_nodes(html.parse(page))) == html.extract(page) == ("The article goes on for a while. " * 6).strip()
+
+
 def test_main_text_of_a_table(spark):
     deep = "<div>" * 60_000 + "deep text" + "</b></i>" * 60_000 + "<p>" * 20_000 + "</div>" * 60_000
     data = [(1, "u", "<article><p>a</p></article>"), (1, "u", "<article><p>a</p></article>"), (None, None, None), (3, "u", deep), (4, "u", "<article><p>" + "long words " * 100_000 + "</p></article>")]
