@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 
 from folioscope.llm import packing, sharding
+from folioscope.llm.common import Workspace
 from tests.llm.conftest import frame
 
 
@@ -56,7 +58,82 @@ def test_large_groups_take_no_more_shards_than_they_need(spark):
 
 def test_groups_stay_whole_where_no_row_is_without_links(spark):
     groups = spans(spark, [f"pair {k // 2}" for k in range(4000)])
-    assert sum(len(g) == 1 for g in groups.values()) >= 1960  # a boundary splits one at most
+    assert sum(len(g) == 1 for g in groups.values()) >= 1960
+
+
+def kept_pairs(rows):
+    return sum(n * (n - 1) // 2 for n in Counter((g, s) for _, g, s in rows if g is not None).values())
+
+
+def mendable(rows, shards):
+    """What a swap would still mend: requests that go round in circles, or that a content document or whole group no
+    larger than the request could make room for."""
+    places = defaultdict(Counter)
+    for _, g, s in rows:
+        if g is not None:
+            places[g][s] += 1
+    requests, content = Counter(), defaultdict(list)
+    for own in places.values():
+        if len(own) == 1:
+            content[next(iter(own))].append(sum(own.values()))
+            continue
+        most = max(own.values())
+        if sum(n == most for n in own.values()) > 1:
+            continue  # these ask for another shard in each round
+        target = max(own, key=own.get)
+        for s, n in own.items():
+            if s != target:
+                requests[s, target] += n
+    for _, g, s in rows:
+        if g is None:
+            content[s].append(1)
+    return {e for e, n in sharding.circles(dict(requests)).items() if n} | {(a, b) for (a, b), n in requests.items() if content[b] and min(content[b]) <= n}
+
+
+@pytest.mark.parametrize(("seed", "linked"), [(1, 1.0), (2, 1.0), (3, 0.3), (4, 0.0)])
+def test_propagation_mends_what_swaps_can(spark, seed, linked):
+    r = random.Random(seed)
+    rows, gid = [], 0
+    while len(rows) < 1500:
+        if r.random() < linked:
+            gid += 1
+            rows += [(len(rows) + k, str(gid).encode(), r.randrange(7)) for k in range(r.choice((2, 2, 3, 4, 7, 60)))]
+        else:
+            rows.append((len(rows), None, r.randrange(7)))
+    ws = Workspace(spark, "test")
+    state = ws.keep(spark.createDataFrame([(k, k, g, s) for k, g, s in rows], "row long, doc_id long, gid binary, shard int"), "state0")
+    moved, rounds = sharding.propagate(state, len(rows), ws, shards=7)
+    after = [(x.row, None if x.gid is None else bytes(x.gid), x.shard) for x in moved.collect()]
+    assert sorted((k, g or b"") for k, g, _ in after) == [(k, g or b"") for k, g, _ in rows]
+    assert Counter(s for *_, s in after) == Counter(s for *_, s in rows)
+    assert (kept_pairs(after) > 2 * kept_pairs(rows) and rounds >= 1) if linked else rounds == 0
+    assert rounds < sharding.ROUNDS and not mendable(after, 7)
+
+
+def test_requests_in_circles():
+    r = random.Random(5)
+    for _ in range(200):
+        n = r.randrange(2, 9)
+        requests = {(a, b): r.randrange(6) for a in range(n) for b in range(n) if a != b and r.random() < 0.5}
+        granted = sharding.circles(requests)
+        assert all(0 <= granted[e] <= requests[e] for e in requests)
+        for s in range(n):
+            assert sum(x for (_, b), x in granted.items() if b == s) == sum(x for (a, _), x in granted.items() if a == s)
+        left = {e for e, x in requests.items() if x > granted[e]}
+        while True:  # without a circle, shards that nothing leaves can be taken away until none is left
+            ends = {b for _, b in left} - {a for a, _ in left}
+            if not ends:
+                break
+            left = {e for e in left if e[1] not in ends}
+        assert not left
+
+
+def test_a_third_of_all_rows_equal_and_all_others_linked(spark):
+    texts = ["hot"] * 1000 + [f"pair {k // 2}" for k in range(1000)] + [f"four {k // 4}" for k in range(1000)]
+    random.Random(1).shuffle(texts)
+    groups = spans(spark, texts)
+    assert len(groups["hot"]) == 14
+    assert sum(len(g) == 1 for t, g in groups.items() if t != "hot") >= 0.9 * (len(groups) - 1)  # what is left asks for single places among whole groups
 
 
 @pytest.fixture(scope="module")
