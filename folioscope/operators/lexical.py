@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textcols as T
+from ..sources.workspace import Tables
 
 K1, B = 1.5, 0.75
 
@@ -61,6 +62,49 @@ def keyword_ranking(scores: DataFrame, depth: int | None = None) -> DataFrame:
     return ranked.where(F.col("rank") <= depth) if depth else ranked
 
 
+BLOCK = 64  # passages that follow each other
+FIRST = 4  # blocks of each question that are read before any bound is known
+ROUNDING = 1e-8
+
+
+def block_table(postings: DataFrame, avg_len: float, size: int = BLOCK) -> DataFrame:
+    """Postings in blocks: (word, block, most, items), one row for each word and block of ``size`` passages that has it.
+    ``most`` is the greatest part, before idf, that the word gives to any of them; ``items`` are their (ord, part)."""
+    norm = K1 * (1 - B + B * F.col("len") / max(avg_len, 1e-9))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    rows = postings.select("word", F.floor(F.col("ord") / size).alias("block"), "ord", part.alias("part"))
+    return rows.groupBy("word", "block").agg(F.max("part").alias("most"), F.collect_list(F.struct("ord", "part")).alias("items"))
+
+
+def pruned_topk(questions: DataFrame, blocks: DataFrame, words: DataFrame, depth: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """K5, K7 without scoring every passage: ``keyword_ranking``'s first ``depth`` rows, exactly, and (qid, blocks,
+    read): of how many blocks with any of a question's words the passages were scored.
+
+    The sum of idf and ``most`` over a question's words bounds the score of every passage of a block. The ``FIRST``
+    blocks of the greatest bounds are scored; then the depth-th best score found tells which of the others can hold a
+    better passage, and these are scored. Bounds are read without the passages (``items``), which are unfolded only
+    for the blocks chosen."""
+    asked = questions.select("qid", F.explode(F.array_distinct(T.tokenize("question"))).alias("word"))
+    weighed = tables.keep(asked.join(words.select("word", "idf"), "word"), "weighed")
+    bounds = weighed.join(blocks.select("word", "block", "most"), "word").groupBy("qid", "block").agg((F.sum(F.col("idf") * F.col("most")) + ROUNDING).alias("bound"))
+    bounds = tables.keep(bounds, "bounds")
+    w = Window.partitionBy("qid").orderBy(F.desc("bound"), "block")
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        """(qid, ord, keyword) of the passages of ``chosen(qid, block)``."""
+        own = chosen.join(weighed, "qid").join(blocks.select("word", "block", "items"), ["word", "block"])
+        each = own.select("qid", "idf", F.explode("items").alias("x"))
+        return each.groupBy("qid", F.col("x.ord").alias("ord")).agg(F.round(F.sum(F.col("idf") * F.col("x.part")), 9).alias("keyword"))
+
+    first = tables.keep(bounds.withColumn("k", F.row_number().over(w)).where(F.col("k") <= FIRST).select("qid", "block"), "first")
+    found = tables.keep(scored(first), "found")
+    known = keyword_ranking(found, depth).groupBy("qid").agg(F.count("*").alias("n"), F.min("keyword").alias("least")).where(F.col("n") == depth).select("qid", "least")
+    rest = bounds.join(first, ["qid", "block"], "left_anti").join(known, "qid", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+    rest = tables.keep(rest.select("qid", "block"), "rest")
+    read = bounds.groupBy("qid").agg(F.count("*").alias("blocks")).join(first.unionByName(rest).groupBy("qid").agg(F.count("*").alias("read")), "qid")
+    return keyword_ranking(found.unionByName(scored(rest)), depth), read
+
+
 def counted(rows: DataFrame, items: str, distinct: str, counts: str) -> DataFrame:
     """``rows`` with the distinct values of the array column ``items``, sorted, and how often each occurs, in one
     pass over the sorted array: a value's count is the distance from its first place to the next value's."""

@@ -187,6 +187,14 @@ def keyword_topk(spark, sf_dir):
     return top.join(ix.chunks, "ord").select("qid", F.col("rank").alias("n"), "chunk_id", "source", "page", F.round("keyword", 6).alias("keyword"))
 
 
+def keyword_pruned(spark, sf_dir):
+    """``keyword_topk`` by bounds over blocks of passages."""
+    ix = index(spark, sf_dir)
+    blocks = store.word_blocks(spark, _built[(spark.sparkContext.applicationId, sf_dir)])
+    top, _ = lexical.pruned_topk(questions(spark, sf_dir), blocks, ix.words, SETTINGS.top_k, workspace.Tables(spark, "pruned"))
+    return top.join(ix.chunks, "ord").select("qid", F.col("rank").alias("n"), "chunk_id", "source", "page", F.round("keyword", 6).alias("keyword"))
+
+
 def hashed_vectors(spark, sf_dir):
     v = index(spark, sf_dir).vectors.select("ord", F.explode(F.arrays_zip("slots", "vals")).alias("x"))
     return v.select("ord", F.col("x.slots").alias("slot"), F.round("x.vals", 6).alias("v"))
@@ -422,6 +430,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         abstention_guard, refusal_text, extractive_answer, prompt_context, citations, sentinel_guard, request_validation,
         cited_pages, page_texts, evidence_pages, expected_pages, question_problems, question_notes, eval_metrics,
         latency_percentiles, eval_misses, setup_diff, setup_compare, setup_report, threshold_sweep, llm_metrics, error_streaks, stops_after,
-        guard_report, miss_report, llm_report, reply_report, asked_in_order,
+        guard_report, miss_report, llm_report, reply_report, asked_in_order, keyword_pruned,
     )
 }

@@ -273,4 +273,6 @@ QUERIES["llm_report"] = f"""SELECT unnest([1, 2, 3, 4, 5, 6]) AS n, unnest([
     printf('  answers that cite a passage, like [1]         %d of %d', cite_a_passage, answered), printf('  answers citing a passage from the right page  %d of %d', cite_right_page, checked_pages),
     printf('  no answer from Mistral                        %d', no_reply)]) AS line FROM ({QUERIES["llm_metrics"]})"""
 
+QUERIES["keyword_pruned"] = QUERIES["keyword_topk"]
+
 ORACLE_SQL = {name: sql(q) for name, q in QUERIES.items()}

@@ -9,6 +9,7 @@ from ..operators import chunking, lexical, vectors
 from ..operators.fusion import Index
 from ..settings import Settings
 
+#: What ``build`` writes; ``word_blocks`` adds another on demand.
 TABLES = ("chunks", "vectors", "passages", "postings", "words", "stats")
 
 
@@ -52,6 +53,8 @@ def build(chunks: DataFrame, path: str, embedder: vectors.Embedder | None = None
     spark = chunks.sparkSession
     embedder = embedder or vectors.HashedWords()
     at = lambda t: f"{path}/{t}"
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at("blocks"))
+    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)  # they belong to an earlier index
     ordered(chunks, at("sorted"), "source", "page", "i").drop("i").write.mode("overwrite").parquet(at("chunks"))
     stored = spark.read.parquet(at("chunks"))
     if stored.isEmpty():
@@ -100,6 +103,17 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(got["chunks"], got["vectors"], got["passages"], got["postings"], got["words"], s.n, s.avg_len, s.page_chunks, s.dim)
 
 
+def word_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The index's postings in blocks (``lexical.block_table``), written when they are first asked for."""
+    ix = load(spark, path)
+    kept = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/blocks/_SUCCESS")
+    if not kept.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(kept):
+        # Sorted by word inside files, so that a question's words skip most row groups.
+        rows = lexical.block_table(ix.postings, ix.avg_len).repartitionByRange("word").sortWithinPartitions("word", "block")
+        rows.write.mode("overwrite").parquet(f"{path}/blocks")
+    return spark.read.parquet(f"{path}/blocks")
+
+
 def health(spark: SparkSession, path: str, settings: Settings | None = None) -> DataFrame:
     """Status, chunks, gen_mode, threshold: one row, also where there is no index."""
     s = settings or Settings()

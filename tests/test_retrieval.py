@@ -280,3 +280,19 @@ def test_keyword_products_of_hits():
     row, word = np.nonzero(table)
     got = asked.keyword(word, row, table[row, word], 11)
     assert np.allclose(got, table @ ((weights > 0) * idf[:, None]))
+
+
+def test_bounds_skip_blocks_and_lose_nothing(spark, monkeypatch):
+    """Passages of topics that follow each other: the first rows are exact for every depth, and most blocks are skipped."""
+    r = random.Random(6)
+    vocabulary = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("anto", "erit", "olus", "umen")]
+    texts = [" ".join(r.choices(vocabulary[(k // 100) % 14 * 4 : (k // 100) % 14 * 4 + 4], k=r.randrange(3, 30)) + r.choices(vocabulary, k=r.randrange(3))) for k in range(1400)] + ["", "12 of the"]
+    p, w, s = postings(spark, texts)
+    asked = spark.createDataFrame([(1, "banto berit bolus"), (2, "canto sumen"), (3, "nowhere"), (4, ""), (5, "banto banto tumen kerit"), (6, " ".join(vocabulary))], "qid long, question string")
+    blocks = lexical.block_table(p, s.avg_len, 16)
+    for depth in (1, 5, 2000):
+        want = lexical.keyword_ranking(lexical.keyword_scores(asked, p, w, s.avg_len), depth)
+        got, read = lexical.pruned_topk(asked, blocks, w, depth, Tables(spark, "pruned"))
+        assert rows(got, "qid", "ord", "keyword", "rank") == rows(want, "qid", "ord", "keyword", "rank") != []
+        shares = {x.qid: x.read / x.blocks for x in read.collect()}
+        assert set(shares) == {1, 2, 5, 6} and (max(shares[1], shares[2]) < 0.3 if depth < 2000 else set(shares.values()) == {1.0})
