@@ -417,6 +417,35 @@ def error_streaks(spark, sf_dir):
     return metrics.error_streaks(_records(spark, sf_dir))
 
 
+def error_reasons(spark, sf_dir):
+    """Turns of conversations as the bodies of error replies: JSON with a message, with a detail, with neither; text."""
+    kind, text = F.col("turn") % 4, F.col("text")
+    body = (
+        F.when(kind == 0, F.to_json(F.struct(text.alias("message")))).when(kind == 1, F.to_json(F.struct(F.lit("").alias("message"), text.alias("detail"))))
+        .when(kind == 2, F.lit("")).otherwise(text)
+    )
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.reason(body).alias("reason"))
+
+
+def blank_questions(spark, sf_dir):
+    """Every fifth question is white space alone."""
+    asked = questions(spark, sf_dir).select("qid", F.when(F.col("qid") % 5 == 0, F.lit(" \n\t ")).otherwise(F.col("question")).alias("question"))
+    rows = fusion.retrieve(asked, index(spark, sf_dir), SETTINGS)
+    return rows.select("qid", F.round("top_score", 6).alias("top_score"), "abstain", F.size("hits").alias("hits"))
+
+
+def index_health(spark, sf_dir):
+    index(spark, sf_dir)
+    return store.health(spark, _built[(spark.sparkContext.applicationId, sf_dir)], SETTINGS)
+
+
+def ask_responses(spark, sf_dir):
+    """Answers as the service gives them; the client failed on every seventh."""
+    rows = answers.answer(retrieved(spark, sf_dir, index(spark, sf_dir)))
+    rows = rows.withColumn("error", F.when(F.col("qid") % 7 == 0, "no reply"))
+    return answers.response(rows, F.col("qid") / 3.0).select("qid", "abstained", "mode", "top_score", "threshold", "latency_ms", "status", F.size("citations").alias("citations"))
+
+
 def stops_after(spark, sf_dir):
     return metrics.stops_after(_records(spark, sf_dir))
 
@@ -431,5 +460,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cited_pages, page_texts, evidence_pages, expected_pages, question_problems, question_notes, eval_metrics,
         latency_percentiles, eval_misses, setup_diff, setup_compare, setup_report, threshold_sweep, llm_metrics, error_streaks, stops_after,
         guard_report, miss_report, llm_report, reply_report, asked_in_order, keyword_pruned,
+        error_reasons, blank_questions, index_health, ask_responses,
     )
 }

@@ -273,6 +273,17 @@ QUERIES["llm_report"] = f"""SELECT unnest([1, 2, 3, 4, 5, 6]) AS n, unnest([
     printf('  answers that cite a passage, like [1]         %d of %d', cite_a_passage, answered), printf('  answers citing a passage from the right page  %d of %d', cite_right_page, checked_pages),
     printf('  no answer from Mistral                        %d', no_reply)]) AS line FROM ({QUERIES["llm_metrics"]})"""
 
+QUERIES |= {
+    "error_reasons": r"""SELECT conv_id, turn, CASE WHEN turn % 4 = 2 OR r = '' THEN 'no details' ELSE r END AS reason FROM
+    (SELECT conv_id, turn, left(regexp_replace(regexp_replace(CASE WHEN turn % 4 = 1 AND text = '' THEN '{"message":"","detail":""}' WHEN turn % 4 = 0 AND text = '' THEN '{"message":""}' ELSE text END,
+      '\s+', ' ', 'g'), '^ | $', '', 'g'), 200) AS r FROM conversations)""",
+    "blank_questions": """SELECT q.qid, CASE WHEN q.qid % 5 = 0 THEN 0.0 ELSE round(top_score, 6) END AS top_score, q.qid % 5 = 0 OR abstain AS abstain,
+    CASE WHEN q.qid % 5 = 0 THEN 0 ELSE coalesce(h.n, 0) END::INTEGER AS hits FROM guarded q LEFT JOIN (SELECT qid, count(*) AS n FROM hits GROUP BY 1) h USING (qid)""",
+    "index_health": "SELECT 'ok' AS status, count(*) AS chunks, 'extractive' AS gen_mode, 0.5::DOUBLE AS threshold FROM chunks",
+    "ask_responses": """SELECT g.qid, abstain AS abstained, 'extractive' AS mode, round(top_score, 4) AS top_score, 0.5::DOUBLE AS threshold, round(g.qid / 3.0::DOUBLE, 2) AS latency_ms,
+    CASE WHEN g.qid % 7 = 0 THEN 502 ELSE 200 END::INTEGER AS status, CASE WHEN abstain THEN 0 ELSE coalesce(h.n, 0) END::INTEGER AS citations
+    FROM guarded g LEFT JOIN (SELECT qid, count(*) AS n FROM hits GROUP BY 1) h USING (qid)""",
+}
 QUERIES["keyword_pruned"] = QUERIES["keyword_topk"]
 
 ORACLE_SQL = {name: sql(q) for name, q in QUERIES.items()}
