@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import textcols as T
-from ..operators import answers, audit, chunking, fusion, layout, lexical, metrics, vectors
+from ..operators import answers, audit, chunking, clusters, fusion, layout, lexical, metrics, vectors
 from ..settings import Settings
 from ..sources import store, workspace
 from .oracle import ORACLE_SQL  # noqa: F401  (read by the entry module)
@@ -210,6 +210,18 @@ def dense_topk(spark, sf_dir):
     return parts.select("qid", F.col("ord").alias("vec_id"), "rank", F.round("cosine", 6).alias("cosine"))
 
 
+def clustered_topk(spark, sf_dir):
+    """``dense_topk`` by clusters."""
+    unit = vectors.StoredVectors().embed(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+    tables, parts = workspace.Tables(spark, "clusters"), None
+    known = clusters.build(unit.withColumnRenamed("id", "ord"), 64, tables)
+    for n, (qids, matrix) in enumerate(vectors.question_blocks(unit.where("id % 100 = 0"), 64)):
+        found, _ = clusters.search(known, qids, matrix, DEPTH, tables, f"block{n}")
+        part = vectors.dense_ranking(found, DEPTH)
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.select("qid", F.col("ord").alias("vec_id"), "rank", F.round("cosine", 6).alias("cosine"))
+
+
 def dense_text_topk(spark, sf_dir):
     ix = index(spark, sf_dir)
     found = fusion.hits(ranked(spark, sf_dir, ix, "dense", False), ix, SETTINGS, "dense", False)
@@ -460,6 +472,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cited_pages, page_texts, evidence_pages, expected_pages, question_problems, question_notes, eval_metrics,
         latency_percentiles, eval_misses, setup_diff, setup_compare, setup_report, threshold_sweep, llm_metrics, error_streaks, stops_after,
         guard_report, miss_report, llm_report, reply_report, asked_in_order, keyword_pruned,
-        error_reasons, blank_questions, index_health, ask_responses,
+        clustered_topk, error_reasons, blank_questions, index_health, ask_responses,
     )
 }

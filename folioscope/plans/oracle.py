@@ -284,6 +284,7 @@ QUERIES |= {
     CASE WHEN g.qid % 7 = 0 THEN 502 ELSE 200 END::INTEGER AS status, CASE WHEN abstain THEN 0 ELSE coalesce(h.n, 0) END::INTEGER AS citations
     FROM guarded g LEFT JOIN (SELECT qid, count(*) AS n FROM hits GROUP BY 1) h USING (qid)""",
 }
+QUERIES["clustered_topk"] = QUERIES["dense_topk"]
 QUERIES["keyword_pruned"] = QUERIES["keyword_topk"]
 
 ORACLE_SQL = {name: sql(q) for name, q in QUERIES.items()}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import answers, chunking, fusion, lexical, scan, vectors
+from folioscope.operators import answers, chunking, clusters, fusion, lexical, scan, vectors
 from folioscope.settings import Settings
 from folioscope.sources import store
 from folioscope.sources.workspace import Tables
@@ -296,3 +296,29 @@ def test_bounds_skip_blocks_and_lose_nothing(spark, monkeypatch):
         assert rows(got, "qid", "ord", "keyword", "rank") == rows(want, "qid", "ord", "keyword", "rank") != []
         shares = {x.qid: x.read / x.blocks for x in read.collect()}
         assert set(shares) == {1, 2, 5, 6} and (max(shares[1], shares[2]) < 0.3 if depth < 2000 else set(shares.values()) == {1.0})
+
+
+@pytest.mark.parametrize("spread", [0.03, 3.0])
+def test_clusters_are_skipped_and_lose_nothing(spark, spread):
+    """Vectors around twelve centres, repeated and zero vectors: the first ranks are exact whatever is skipped."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(12, 24))[r.integers(0, 12, 3000)] + spread * r.normal(size=(3000, 24))
+    x[5], x[6:9] = 0, x[9]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    data = [(k, [int(i) for i in np.flatnonzero(v)], [float(c) for c in v[v != 0]]) for k, v in enumerate(x)]
+    own = spark.createDataFrame(data, "ord long, slots array<int>, vals array<double>").repartition(5)
+    tables = Tables(spark, "clusters")
+    known = clusters.build(own, 24, tables)
+    asked = [0, 5, 9, 700, 2999]
+    for depth in (1, 10, 4000):
+        found, read = clusters.search(known, asked, x[asked], depth, tables, f"d{depth}")
+        got = {}
+        for row in vectors.dense_ranking(found, depth).collect():
+            got.setdefault(row.qid, {})[row["rank"]] = row.ord
+        for q in asked:
+            cos = np.round(x @ x[q], 9) + 0.0
+            assert [got[q][k] for k in range(1, len(got[q]) + 1)] == sorted(range(3000), key=lambda o: (-cos[o], o))[:depth]
+        if spread < 1 and depth < 100:
+            assert read[[0, 2, 3, 4]].mean() < 0.6
+    none = clusters.build(own.where("false"), 24, tables, "none")
+    assert clusters.search(none, asked, x[asked], 3, tables, "none-found")[0].count() == 0
