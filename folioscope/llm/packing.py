@@ -31,9 +31,8 @@ MAX_TOKENS = 2048
 END_ID = 0
 NEARLY_FULL = 2040
 ITEMS_PER_TASK = 40_000
-NO_ID = -(1 << 63)  # stands for a null id between rounds
 FAN_IN = 8
-PIECE = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
+PIECE = np.dtype([("doc_id", "<i8"), ("unnamed", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 
 
 def tokenizer_path() -> str:
@@ -175,7 +174,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for k, at, n, crc in cut(np.concatenate([encoder.encode(text.as_py() or ""), end])):
-                    row = np.array([(NO_ID if i is None else i, k, at, n, crc)], PIECE).tobytes()
+                    row = np.array([(i or 0, i is None, k, at, n, crc)], PIECE).tobytes()
                     (ready if n == MAX_TOKENS else held).append((n, row))
             if len(held) + len(ready) >= ITEMS_PER_TASK:
                 yield from _packed([n for n, _ in held + ready], [r for _, r in held + ready], 0, seen)
@@ -192,7 +191,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
         rest = items.where("not full")
         n = rest.count()
         last = n < 2 or level > 0 and tasks == 1  # a single task of the first round may have packed several chunks
-        tasks = max(1, -(-tasks // FAN_IN), -(-n // ITEMS_PER_TASK))
+        before, tasks = tasks, max(1, -(-tasks // FAN_IN), -(-n // ITEMS_PER_TASK))
         if last:
             done.append(rest)
             break
@@ -211,9 +210,10 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield from _packed(sizes, members, level, seen)
 
         merged = ws.keep(rest.select("size", "members").repartition(tasks).mapInArrow(merge, ITEM), f"round{level}")
-        stuck = merged.count() > 0.99 * n
+        left = merged.count()
+        stuck = left == n or left > 0.999 * n and tasks == before
         items = merged
-        if stuck:  # what is left doesn't fit together any better
+        if stuck:  # what is left doesn't fit together any better, and would not meet in fewer tasks
             done += [items.where("full"), items.where("not full")]
             break
     bins = done[0]
@@ -229,7 +229,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             counts = [len(x) for x in each]
             rows = np.concatenate(each)
             offset = np.concatenate([np.cumsum(x["length"], dtype=np.int64) - x["length"] for x in each])
-            ids = pa.array(np.ascontiguousarray(rows["doc_id"]), mask=rows["doc_id"] == NO_ID)
+            ids = pa.array(np.ascontiguousarray(rows["doc_id"]), mask=rows["unnamed"])
             cols = [rows["piece"], rows["start"], rows["length"].astype(np.int64), rows["crc"].astype(np.int64), np.repeat(b.column(0).to_numpy(), counts), offset]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(c)) for c in cols)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 

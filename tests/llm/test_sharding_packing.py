@@ -189,6 +189,9 @@ def test_packing_awkward_tables(spark):
     assert packing.pack(frame(spark, [])).count() == 0
     got = packing.pack(frame(spark, [(None, "a b", "", "", 0), (None, None, None, None, None), (3, "a b", "", "", 0), (3, "a b", "", "", 0)])).collect()
     assert sorted((str(r.doc_id), r.length) for r in got) == [("3", 3), ("3", 3), ("None", 1), ("None", 3)] and len({r.sequence_id for r in got}) == 1
+    least = -(1 << 63)
+    got = packing.pack(frame(spark, [(least, "a", "", "", 0), (0, "b", "", "", 0), (None, "c", "", "", 0)])).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in got) == [(False, 0), (True, least), (True, 0)]
 
 
 def test_best_fit_takes_the_fullest_bin_that_fits():
