@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textcols as T
+from ..sources.workspace import Tables
 
 
 def page_texts(chunks: DataFrame) -> DataFrame:
@@ -17,6 +20,35 @@ def page_texts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source", "page").agg(joined.alias("text")).select("source", "page", T.normalise("text").alias("text"))
 
 
+@dataclass
+class PageIndex:
+    """What audits look up: ``pages(source, page, text)`` as from ``page_texts``, and their words with places."""
+
+    pages: DataFrame
+    words: DataFrame  # word, source, page, places
+
+
+def word_places(pages: DataFrame) -> DataFrame:
+    """(word, source, page, places): for each page its plain words with the numbers of their places among them, and each
+    of its other characters but blanks, without places. Made in the page's own arrays: no row meets another."""
+    rows = pages.select("source", "page", F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0)).alias("w"), F.array_distinct(F.split(F.regexp_replace("text", r"(?U)[a-z0-9\s]+", ""), "")).alias("signs"))
+    placed = rows.select("source", "page", "signs", F.array_sort(F.transform("w", lambda x, i: F.struct(x.alias("w"), i.alias("i")))).alias("s"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i)["w"] != F.get("s", i - 1)["w"]))
+    placed = placed.withColumn("at", F.when(F.size("s") > 0, starts).otherwise(F.array().cast("array<int>")))
+    ends = F.concat(F.slice("at", 2, F.size("at")), F.array(F.size("s")))
+    placed = placed.withColumn("ends", F.when(F.size("at") > 0, ends).otherwise(F.array().cast("array<int>")))
+    word = lambda a, e: F.struct(F.get("s", a)["w"].alias("word"), F.transform(F.slice("s", a + 1, e - a), lambda x: x["i"]).alias("places"))
+    sign = F.transform(F.filter("signs", lambda c: c != ""), lambda c: F.struct(c.alias("word"), F.array().cast("array<int>").alias("places")))
+    both = placed.select("source", "page", F.explode(F.concat(F.zip_with("at", "ends", word), sign)).alias("x"))
+    return both.select("x.word", "source", "page", "x.places")
+
+
+def index_pages(chunks: DataFrame, tables: Tables) -> PageIndex:
+    """Both tables of a PageIndex, written."""
+    pages = tables.keep(page_texts(chunks), "pages")
+    return PageIndex(pages, tables.keep(word_places(pages).repartitionByRange("word").sortWithinPartitions("word", "source", "page"), "page-words"))
+
+
 def listed_pages(questions: DataFrame) -> DataFrame:
     """(qid, source, page) of the expected pages."""
     return questions.select("qid", F.explode("expected_pages").alias("p")).select("qid", "p.source", "p.page").distinct()
@@ -44,9 +76,9 @@ def _problem(rows: DataFrame, kind: str, detail) -> DataFrame:
     return rows.select(F.col("qid").cast("long").alias("qid"), F.lit(kind).alias("kind"), detail.cast("string").alias("detail"))
 
 
-def problems(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+def problems(questions: DataFrame, index: PageIndex) -> DataFrame:
     """Q4-Q6, Q8-Q10: (qid, kind, detail); qid is null for the problem of the whole set."""
-    pages = page_texts(chunks)
+    pages = index.pages
     sources = pages.select("source").distinct()
     ans, un = questions.where("answerable"), questions.where("not answerable")
     no_pages = F.col("expected_pages").isNull() | (F.size("expected_pages") == 0)
@@ -58,7 +90,7 @@ def problems(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     known = expected.join(sources, "source", "left_semi").join(pages, ["source", "page"], "left")
     absent_on = known.where(~F.coalesce(F.contains("text", "e"), F.lit(False)))
     no_terms = un.where(F.col("absent").isNull() | (F.size("absent") == 0))
-    found = appearing_terms(un, pages)
+    found = appearing_terms(un, index)
     label = T.citation_label("source", "page")
     few = questions.agg(F.count("*").alias("n"), F.count_if(~F.col("answerable")).alias("u")).where("u * 3 < n").withColumn("qid", F.lit(None).cast("long"))
     parts = [
@@ -75,22 +107,23 @@ def problems(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return out
 
 
-def appearing_terms(unanswerable: DataFrame, pages: DataFrame) -> DataFrame:
+def appearing_terms(unanswerable: DataFrame, index: PageIndex) -> DataFrame:
     """Q9: (qid, term, pages): terms that occur as whole words, with the first three pages they occur on.
 
-    A term's longest plain word must be a word of the page, so terms meet pages by that word; only terms
-    without one (signs alone) are held against all pages."""
-    terms = unanswerable.select("qid", F.explode("absent").alias("term")).distinct().withColumn("t", T.normalise("term"))
-    key = F.array_max(F.transform(F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    terms = terms.withColumn("w", key).where("t <> ''")
-    words = pages.select("source", "page", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0)))).alias("w"))
-    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace("t", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
-    # Keys meet first; a page's text joins only where a term's word is on it.
-    on = terms.where("w is not null").join(words, "w").drop("w")
-    met = on.join(pages.select("source", "page", "text"), ["source", "page"]).where(F.rlike("text", quoted)).select("qid", "term", "source", "page")
-    signs = terms.where("w is null").join(pages, F.rlike("text", quoted)).select("qid", "term", "source", "page")
+    A term's plain words must stand on a page one after the other: each word's places, less its own place in the term,
+    must have a number in common. A term without plain words meets the pages that have its last character. Only pages
+    found so are read, once, and held against the term itself."""
+    terms = unanswerable.select("qid", F.explode("absent").alias("term")).distinct().withColumn("t", T.normalise("term")).where("t <> ''")
+    terms = terms.withColumn("w", F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)))
+    plain = terms.where(F.size("w") > 0).select("qid", "term", F.size("w").alias("n"), F.posexplode("w").alias("k", "word"))
+    met = plain.join(index.words, "word").select("qid", "term", "n", "source", "page", F.explode(F.transform("places", lambda p: p - F.col("k"))).alias("first"))
+    phrases = met.groupBy("qid", "term", "source", "page", "first", "n").count().where("count = n").select("qid", "term", "source", "page").distinct()
+    signs = terms.where(F.size("w") == 0).select("qid", "term", F.substring("t", -1, 1).alias("word")).join(index.words, "word").select("qid", "term", "source", "page")
+    t = T.normalise("term")
+    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+    on = phrases.unionByName(signs).join(index.pages, ["source", "page"]).where(F.rlike("text", quoted)).select("qid", "term", "source", "page")
     order = Window.partitionBy("qid", "term").orderBy("source", "page")
-    first = met.unionByName(signs).withColumn("k", F.row_number().over(order)).where("k <= 3")
+    first = on.withColumn("k", F.row_number().over(order)).where("k <= 3")
     return first.groupBy("qid", "term").agg(F.array_sort(F.collect_list(F.struct("source", "page"))).alias("p")).select("qid", "term", T.page_labels("p").alias("pages"))
 
 

@@ -298,6 +298,16 @@ def cited_pages(spark, sf_dir):
     return answers.cited_pages(rows.select("qid", text.alias("text"), "hits"))
 
 
+_pages: dict[tuple[str, str], audit.PageIndex] = {}
+
+
+def _audited(spark, sf_dir, ix) -> audit.PageIndex:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _pages:
+        _pages[key] = audit.index_pages(ix.chunks, workspace.Tables(spark, "pages"))
+    return _pages[key]
+
+
 def page_texts(spark, sf_dir):
     return audit.page_texts(index(spark, sf_dir).chunks)
 
@@ -314,7 +324,7 @@ def expected_pages(spark, sf_dir):
 
 def question_problems(spark, sf_dir):
     ix = index(spark, sf_dir)
-    return audit.problems(evaluation(spark, sf_dir, ix), ix.chunks)
+    return audit.problems(evaluation(spark, sf_dir, ix), _audited(spark, sf_dir, ix))
 
 
 def question_notes(spark, sf_dir):
