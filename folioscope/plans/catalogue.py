@@ -237,7 +237,7 @@ def _fused(spark, sf_dir, ix):
 
 
 def rrf_fusion(spark, sf_dir):
-    return _fused(spark, sf_dir, index(spark, sf_dir)).select("qid", "rank", "ord", F.round("fused", 9).alias("fused"))
+    return _fused(spark, sf_dir, index(spark, sf_dir)).select("qid", "rank", "ord", "fused")
 
 
 def one_per_page(spark, sf_dir):

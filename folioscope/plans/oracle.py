@@ -197,7 +197,7 @@ QUERIES: dict[str, str] = {
    FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""",
     "dense_text_topk": "SELECT qid, rank AS n, chunk_id, round(cosine, 6) AS score FROM dranked JOIN chunks USING (ord) WHERE rank <= 5",
     "top_score": "SELECT qid, round(top_score, 6) AS top_score FROM tops",
-    "rrf_fusion": "SELECT qid, rank::BIGINT AS rank, ord, round(fused, 9) AS fused FROM franked",
+    "rrf_fusion": "SELECT qid, rank::BIGINT AS rank, ord, fused FROM franked",
     "one_per_page": "SELECT qid, rank::BIGINT AS rank, ord, source, page FROM paged",
     "hybrid_topk": "SELECT qid, n, chunk_id, source, page, text, round(score, 6) AS score, round(fused, 9) AS fused FROM hits",
     "abstention_guard": "SELECT qid, round(top_score, 6) AS top_score, abstain FROM guarded",
