@@ -134,12 +134,13 @@ def hits(ranked: Rankings, index: Index, settings: Settings, mode: str, distinct
     else:
         fused = rrf([dense, keyword], settings.rrf_k)
         order = fused_order(fused, dense).join(dense.select("qid", "ord", "cosine"), ["qid", "ord"])
-    # The side of the ranking is at most questions times 2 * depth rows.
-    order = order.join(index.chunks.select("ord", "source", "page"), "ord")
+    # The side of the ranking is at most questions times 2 * depth rows. It is written before it meets the chunks, and the top
+    # before it meets their texts: of tables Spark knows the size, and does not exchange all chunks for a few rows.
+    tables = Tables(index.chunks.sparkSession, "hits")
     if distinct_pages:
-        order = one_per_page(order)
+        order = one_per_page(tables.keep(order, "order").join(index.chunks.select("ord", "source", "page"), "ord"))
     top = order.where(F.col("rank") <= settings.top_k).select("qid", F.col("rank").alias("n"), "ord", F.col("cosine").alias("score"), "fused")
-    return top.join(index.chunks.select("ord", "chunk_id", "doc_id", "source", "page", "text"), "ord")
+    return tables.keep(top, "top").join(index.chunks.select("ord", "chunk_id", "doc_id", "source", "page", "text"), "ord")
 
 
 def guard(questions: DataFrame, top_scores: DataFrame, threshold: float) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,7 +120,22 @@ def counted(rows: DataFrame, items: str, distinct: str, counts: str) -> DataFram
     return rows.withColumns({distinct: F.transform("_at", lambda p: F.get("_s", p)), counts: ends}).drop("_s", "_at")
 
 
+TERMS = "ord long, len long, words array<string>, tfs array<long>"
+
+
+def term_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """TERMS of batches of (ord, text): the words of ``T.tokenize``, found and counted here, as counting by array functions
+    took 13 µs a word."""
+    word, stop = re.compile("[a-z0-9]+"), frozenset(T.STOPWORDS)
+    for b in batches:
+        own = [Counter(w for w in word.findall((t or "").lower()) if w not in stop) for t in b.column(1).to_pylist()]
+        names = [sorted(c) for c in own]
+        ends = pa.array([0, *accumulate(map(len, names))], pa.int32())
+        words = pa.ListArray.from_arrays(ends, pa.array([w for ws in names for w in ws], pa.string()))
+        tfs = pa.ListArray.from_arrays(ends, pa.array([c[w] for c, ws in zip(own, names, strict=True) for w in ws], pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.total() for c in own], pa.int64()), words, tfs], ["ord", "len", "words", "tfs"])
+
+
 def passage_terms(chunks: DataFrame) -> DataFrame:
-    """(ord, tokens, len, words, tfs): the words of each passage side by side, for scans in passage order."""
-    tokens = chunks.select("ord", T.tokenize("text").alias("tokens"))
-    return counted(tokens.withColumn("len", F.size("tokens").cast("long")), "tokens", "words", "tfs")
+    """TERMS: the words of each passage side by side, sorted, for scans in passage order."""
+    return chunks.select("ord", "text").mapInArrow(term_batches, TERMS)

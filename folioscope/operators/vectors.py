@@ -7,7 +7,10 @@ are never exchanged or stored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from hashlib import md5
 from typing import Protocol
 
 import numpy as np
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textcols as T
-from .lexical import counted
+from .lexical import TERMS, counted, passage_terms, term_batches
 
 DIM = 384
 ROWS = 4096  # passages multiplied at a time
@@ -38,6 +41,11 @@ def crc_slot(word: Column, dim: int = DIM) -> Column:
     return (F.crc32(word.cast("binary")) % dim).cast("int")
 
 
+#: The numbers that slot functions take of a word, where rows are worked off in Arrow batches.
+NUMBERS = {md5_slot: lambda w: int(md5(w.encode()).hexdigest()[:8], 16), crc_slot: lambda w: zlib.crc32(w.encode())}
+KNOWN = 1 << 17  # words whose numbers a task remembers
+
+
 def is_unit(vals: Column | str) -> Column:
     """V7: whether a vector, in sparse form, has length 1 or is zero."""
     norm = F.sqrt(F.aggregate(vals, F.lit(0.0), lambda a, x: a + x * x))
@@ -57,6 +65,30 @@ class HashedWords:
         norm = F.greatest(F.sqrt(F.aggregate("_n", F.lit(0.0), lambda a, n: a + n * n)), F.lit(FLOOR))
         return own.withColumn("_l", norm).withColumn("vals", F.transform("_n", lambda n: n / F.col("_l"))).drop("_h", "_n", "_l")
 
+    def passages(self, chunks: DataFrame) -> DataFrame:
+        """``chunks(ord, text)`` to ord, len, words, tfs, slots, vals: terms and vectors of passages in one step."""
+        number, dim = NUMBERS.get(self.slot), self.dim
+        if number is None:
+            tokens = F.flatten(F.transform(F.arrays_zip("words", "tfs"), lambda x: F.array_repeat(x["words"], x["tfs"].cast("int"))))
+            return self.from_tokens(passage_terms(chunks).withColumn("_t", tokens), "_t").drop("_t")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slot = lru_cache(KNOWN)(lambda w: number(w) % dim)
+            for b in term_batches(batches):
+                words, tfs = b.column(2), b.column(3)
+                owner = np.repeat(np.arange(b.num_rows), words.value_lengths().to_numpy())
+                names = words.flatten().dictionary_encode()
+                own = np.fromiter((slot(w) for w in names.dictionary.to_pylist()), np.int64, len(names.dictionary))
+                cells, place = np.unique(owner * dim + own[names.indices.to_numpy()], return_inverse=True)
+                n = np.bincount(place, tfs.flatten().to_numpy(), len(cells))
+                row = cells // dim
+                length = np.maximum(np.sqrt(np.bincount(row, n * n, b.num_rows)), FLOOR)
+                ends = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
+                slots, vals = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((cells % dim).astype(np.int32), n / length[row]))
+                yield pa.RecordBatch.from_arrays([*b.columns, slots, vals], ["ord", "len", "words", "tfs", "slots", "vals"])
+
+        return chunks.select("ord", "text").mapInArrow(run, f"{TERMS}, slots array<int>, vals array<double>")
+
     def embed(self, texts: DataFrame) -> DataFrame:
         words = texts.select("id", F.coalesce(T.tokenize("text"), F.array().cast("array<string>")).alias("_t"))
         return self.from_tokens(words, "_t").select("id", "slots", "vals")

@@ -10,7 +10,7 @@ from ..operators.fusion import Index
 from ..settings import Settings
 
 #: What ``build`` writes; ``word_blocks`` adds another on demand.
-TABLES = ("chunks", "vectors", "passages", "postings", "words", "stats")
+TABLES = ("chunks", "starts", "vectors", "passages", "words", "stats")
 
 
 class NotBuilt(RuntimeError):
@@ -25,53 +25,68 @@ class NothingChunked(ValueError):
     """No document gave a chunk."""
 
 
-def ordered(df: DataFrame, path: str, *keys: str) -> DataFrame:
+def ordered(df: DataFrame, path: str, *keys: str, ranged: bool = False) -> DataFrame:
     """``df`` with ord, its place from 0 in the order of ``keys``, without a single-task sort.
 
     Rows are written, then range-partitioned (the sample for which reads them once more), sorted and written
     again; a row's ord is its place in its partition plus the rows of earlier partitions, of which there is one
-    count each.
+    count each. Rows that come in ranges of the first key already (``ranged``) are sorted where they are and written once.
+    The counts go beside the rows, which are not written again for their ord.
     """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}-given")
-    df = spark.read.parquet(f"{path}-given")
-    sorted_ = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
-    sorted_.withColumn("_m", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
-    rows = spark.read.parquet(path).withColumn("_p", F.shiftright("_m", 33))
+    if not ranged:
+        df.write.mode("overwrite").parquet(f"{path}-given")
+        df = spark.read.parquet(f"{path}-given").repartitionByRange(*[F.col(k) for k in keys])
+    df.sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path).select(F.shiftright("_m", 33).alias("_p"))
     sizes = {r["_p"]: r["count"] for r in rows.groupBy("_p").count().collect()}  # a row for each partition
     before, starts = 0, []
     for p in sorted(sizes):
         starts.append((p, before))
         before += sizes[p]
-    offsets = spark.createDataFrame(starts, "_p long, _o long")
-    return rows.join(F.broadcast(offsets), "_p").withColumn("ord", F.col("_m") - F.shiftleft("_p", 33) + F.col("_o")).drop("_p", "_m", "_o")
+    offsets = spark.createDataFrame(starts, "_p long, _o long").coalesce(1)
+    beside = f"{path.rsplit('/', 1)[0]}/starts"
+    offsets.write.mode("overwrite").parquet(beside)
+    return numbered(spark.read.parquet(path), spark.read.parquet(beside))
 
 
-def build(chunks: DataFrame, path: str, embedder: vectors.Embedder | None = None, documents: DataFrame | None = None) -> dict:
+def numbered(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """``rows`` as ``ordered`` wrote them, with ord."""
+    placed = rows.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(starts), "_p")
+    return placed.withColumn("ord", F.col("_m") - F.shiftleft("_p", 33) + F.col("_o")).drop("_p", "_m", "_o")
+
+
+def build(chunks: DataFrame, path: str, embedder: vectors.Embedder | None = None, documents: DataFrame | None = None, ranged: bool = False) -> dict:
     """Write the tables of ``chunks(chunk_id, doc_id, source, page, i, text)`` below ``path``
-    and return the build's statistics. The index is always built anew."""
-    spark = chunks.sparkSession
+    and return the build's statistics. The index is always built anew. ``ranged``: chunks come in ranges of source."""
+    ordered(chunks, f"{path}/chunks", "source", "page", "i", ranged=ranged)
+    return fill(chunks.sparkSession, path, embedder, documents)
+
+
+def chunk_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks below ``path``, also of an index whose other tables are not written yet."""
+    return numbered(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/starts")).drop("i")
+
+
+def fill(spark: SparkSession, path: str, embedder: vectors.Embedder | None = None, documents: DataFrame | None = None) -> dict:
+    """``build`` behind the chunks."""
     embedder = embedder or vectors.HashedWords()
     at = lambda t: f"{path}/{t}"
     old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at("blocks"))
     old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)  # they belong to an earlier index
-    ordered(chunks, at("sorted"), "source", "page", "i").drop("i").write.mode("overwrite").parquet(at("chunks"))
-    stored = spark.read.parquet(at("chunks"))
+    stored = chunk_rows(spark, path)
     if stored.isEmpty():
         raise NothingChunked("no document gave a chunk")
     # What a scan needs of a passage, side by side; the other tables are cut from it.
-    terms = lexical.passage_terms(stored)
     if isinstance(embedder, vectors.HashedWords):
-        passages = embedder.from_tokens(terms, "tokens")
+        passages = embedder.passages(stored)
     else:
-        passages = terms.join(embedder.embed(stored.select(F.col("ord").alias("id"), "text")).withColumnRenamed("id", "ord"), "ord")
+        passages = lexical.passage_terms(stored).join(embedder.embed(stored.select(F.col("ord").alias("id"), "text")).withColumnRenamed("id", "ord"), "ord")
     passages.select("ord", "slots", "vals", "len", "words", "tfs").write.mode("overwrite").parquet(at("passages"))
     passages = spark.read.parquet(at("passages"))
     passages.select("ord", "slots", "vals").write.mode("overwrite").parquet(at("vectors"))
-    # Sorted by word inside files, so that a question's words skip most row groups.
-    lexical.postings_of(passages).repartitionByRange("word").sortWithinPartitions("word", "ord").write.mode("overwrite").parquet(at("postings"))
     n_row = lexical.corpus_stats(passages).first()
-    lexical.idf_table(spark.read.parquet(at("postings")), n_row.n).write.mode("overwrite").parquet(at("words"))
+    lexical.idf_table(lexical.postings_of(passages), n_row.n).write.mode("overwrite").parquet(at("words"))
     most = stored.groupBy("source", "page").count().agg(F.max("count")).first()[0]
     dim = getattr(embedder, "dim", None) or spark.read.parquet(at("vectors")).agg(F.max(F.array_max("slots")) + 1).first()[0]
     uneven = passages.where(~vectors.is_unit("vals")).count()
@@ -95,12 +110,14 @@ def load(spark: SparkSession, path: str) -> Index:
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 raise NotBuilt(f"no index at {path}") from e
             raise
+    got["chunks"] = numbered(got["chunks"], got["starts"]).drop("i")
     s = got["stats"].first()
     if not unmatched(got["chunks"], got["vectors"]).isEmpty():
         raise OutOfSync(f"chunks and vectors at {path} differ: build the index again")
     if s.uneven:
         raise OutOfSync(f"{s.uneven} vectors at {path} are not of length 1: build the index again")
-    return Index(got["chunks"], got["vectors"], got["passages"], got["postings"], got["words"], s.n, s.avg_len, s.page_chunks, s.dim)
+    # Postings are a view of the passages.
+    return Index(got["chunks"], got["vectors"], got["passages"], lexical.postings_of(got["passages"]), got["words"], s.n, s.avg_len, s.page_chunks, s.dim)
 
 
 def word_blocks(spark: SparkSession, path: str) -> DataFrame:

@@ -322,3 +322,43 @@ def test_clusters_are_skipped_and_lose_nothing(spark, spread):
             assert read[[0, 2, 3, 4]].mean() < 0.6
     none = clusters.build(own.where("false"), 24, tables, "none")
     assert clusters.search(none, asked, x[asked], 3, tables, "none-found")[0].count() == 0
+
+
+def test_keyword_top_k_comes_from_scans_not_from_pairs(spark, corpus, monkeypatch, tmp_path):
+    index, questions, _ = corpus
+    asked = spark.createDataFrame(questions, "qid long, question string")
+    want = lexical.keyword_ranking(lexical.keyword_scores(asked, index.postings, index.words, index.avg_len), 7)
+    got = scan.keyword_first(asked, index.passages, index.words, index.avg_len, 7, Tables(spark, "test"), size=3)
+    assert {(r.qid, r.ord, r["rank"]): r.keyword for r in got.collect()} == pytest.approx({(r.qid, r.ord, r["rank"]): r.keyword for r in want.collect()})
+    assert scan.keyword_first(asked.where("false"), index.passages, index.words, index.avg_len, 7, Tables(spark, "test")).collect() == []
+
+    def pairs(*_):
+        raise AssertionError("pairs of questions and passages")
+
+    from folioscope.plans import catalogue
+    monkeypatch.setattr(lexical, "keyword_scores", pairs)
+    assert catalogue.keyword_topk(spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("slot", [vectors.md5_slot, vectors.crc_slot, lambda w, dim: (F.length(w) % dim).cast("int")])
+def test_passages_in_batches_equal_those_by_expressions(spark, slot):
+    texts = ["Alpha beta ALPHA the of", "", "the of", "K2 İstanbul ẞ x" + "1" * 40, "ünï c0de b a c b", " ".join(f"w{k % 700}" for k in range(3000)), None]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "ord long, text string")
+    tokens = chunks.select("ord", F.coalesce(vectors.T.tokenize("text"), F.array().cast("array<string>")).alias("t"))
+    want = vectors.HashedWords(slot).from_tokens(lexical.counted(tokens.withColumn("len", F.size("t").cast("long")), "t", "words", "tfs"), "t")
+    names = ["ord", "len", "words", "tfs", "slots", "vals"]
+    assert rows(vectors.HashedWords(slot).passages(chunks), *names) == rows(want, *names)
+
+
+def test_index_is_written_once_and_ranges_are_kept(spark, corpus, tmp_path):
+    index, _, path = corpus
+    given = index.chunks.withColumn("i", (F.col("ord") % 4).cast("int")).drop("ord").repartitionByRange(5, "source")
+    store.build(given, f"file://{tmp_path}/r", ranged=True)
+    assert rows(store.load(spark, f"file://{tmp_path}/r").chunks, "ord", "chunk_id", "text") == rows(index.chunks, "ord", "chunk_id", "text")
+    assert sorted(p.name for p in (tmp_path / "r").iterdir()) == sorted(store.TABLES)  # no second copy of texts, no postings
+
+
+def test_chunks_are_made_with_one_exchange(spark):
+    from folioscope.plans import catalogue
+    plan = catalogue.chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString() + catalogue.chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") >= 1 and "Exchange hashpartitioning" not in plan
