@@ -95,7 +95,8 @@ def whole_ranking(questions: DataFrame, index: Index, tables: Tables, k: int = 6
     """R1, R2 over all passages: (qid, ord, cosine, dense_rank, fused, rank), every passage for every question.
 
     For a stated list of questions: the result has a row for each pair. Questions are scored in blocks, and every rank
-    comes from range partitions and counts (``scan.placed``), so neither a question nor a ranking is in one task."""
+    comes from range partitions and counts (``scan.placed``), so neither a question nor a ranking is in one task. A pair
+    carries its scores through the three rankings, so that rankings are not joined; a table goes when the next is written."""
     spark = questions.sparkSession
     embedder = embedder or vectors.HashedWords(dim=index.dim)
     embedded = embedder.embed(questions.select(F.col("qid").alias("id"), F.col("question").alias("text")))
@@ -103,10 +104,16 @@ def whole_ranking(questions: DataFrame, index: Index, tables: Tables, k: int = 6
     for qids, matrix in vectors.question_blocks(embedded, index.dim):
         tables.keep(scan.scores(index.passages, scan.ask(questions, index.words, qids, matrix, index.avg_len)), "scores", "append")
     scores = spark.read.schema(scan.SCORES).parquet(tables.path("scores"))
-    dense = scan.placed(scores, [F.desc("cosine"), F.col("ord")], tables, "by-cosine")
-    keyword = scan.placed(scores.where("keyword > 0").select("qid", "ord", "keyword"), [F.desc("keyword"), F.col("ord")], tables, "by-keyword")
-    both = dense.select("qid", "ord", "cosine", F.col("rank").alias("dense_rank")).join(rrf([dense, keyword], k), ["qid", "ord"])
-    return scan.placed(both, [F.desc("fused"), F.col("dense_rank")], tables, "by-fused")
+    dense = scan.placed(scores, [F.desc("cosine"), F.col("ord")], tables, "by-cosine").withColumnRenamed("rank", "dense_rank")
+    tables.remove("scores")
+    keyword = scan.placed(dense.where("keyword > 0"), [F.desc("keyword"), F.col("ord")], tables, "by-keyword")
+    both = keyword.unionByName(dense.where("keyword <= 0").withColumn("rank", F.lit(None).cast("long")))
+    share = lambda rank: 1.0 / (F.lit(k) + F.col(rank))
+    both = both.withColumn("fused", F.round(share("dense_rank") + F.coalesce(share("rank"), F.lit(0.0)), 12)).drop("keyword", "rank")
+    found = scan.placed(both, [F.desc("fused"), F.col("dense_rank")], tables, "by-fused")
+    for name in ("by-cosine", "by-keyword"):
+        tables.remove(name)
+    return found
 
 
 def whole_pages(ranked: DataFrame, tables: Tables) -> DataFrame:

@@ -41,6 +41,10 @@ class Tables:
     def has(self, name: str) -> bool:
         return self._files().exists(self._at(name))
 
+    def remove(self, name: str) -> None:
+        """Delete a table that nothing reads any more."""
+        self._files().delete(self._at(name), True)
+
     def _at(self, name: str = ""):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
 

@@ -362,3 +362,11 @@ def test_chunks_are_made_with_one_exchange(spark):
     from folioscope.plans import catalogue
     plan = catalogue.chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString() + catalogue.chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange rangepartitioning") >= 1 and "Exchange hashpartitioning" not in plan
+
+
+def test_whole_rankings_keep_one_table_of_pairs(spark, corpus):
+    index, questions, _ = corpus
+    tables = Tables(spark, "whole")
+    found = fusion.whole_ranking(spark.createDataFrame(questions, "qid long, question string"), index, tables)
+    assert not any(tables.has(t) for t in ("scores", "by-cosine", "by-keyword")) and tables.has("by-fused")
+    assert "keyword" not in found.columns and found.count() == 8 * 240
