@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,6 +83,36 @@ def block_table(postings: DataFrame, avg_len: float, size: int = BLOCK) -> DataF
     return rows.groupBy("word", "block").agg(F.max("part").alias("most"), F.collect_list(F.struct("ord", "part")).alias("items"))
 
 
+def passage_blocks(passages: DataFrame, avg_len: float, size: int = BLOCK) -> DataFrame:
+    """``block_table`` of ``passages(ord, len, words, tfs)``, made where these are: no row is exchanged. A block whose
+    passages come in several batches has a row for each of them; bounds and scores are sums over rows, so a bound is only wider."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ords, tf = b.column(0).to_numpy(), b.column(3).flatten().to_numpy()
+            if not len(tf):
+                continue
+            owner = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
+            norm = K1 * (1 - B + B * b.column(1).to_numpy() / max(avg_len, 1e-9))
+            part = tf * (K1 + 1) / (tf + norm[owner])
+            names = b.column(2).flatten().dictionary_encode()
+            distinct, place = np.unique(ords // size, return_inverse=True)
+            key = place[owner] * len(names.dictionary) + names.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+            first = key[order[starts]]
+            items = pa.StructArray.from_arrays([pa.array(ords[owner][order]), pa.array(part[order])], ["ord", "part"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    names.dictionary.take(pa.array(first % len(names.dictionary))), pa.array(distinct[first // len(names.dictionary)]),
+                    pa.array(np.maximum.reduceat(part[order], starts)), pa.ListArray.from_arrays(pa.array([*starts, len(order)], pa.int32()), items),
+                ],
+                ["word", "block", "most", "items"],
+            )
+
+    return passages.select("ord", "len", "words", "tfs").mapInArrow(run, "word string, block long, most double, items array<struct<ord:long,part:double>>")
+
+
 def pruned_topk(questions: DataFrame, blocks: DataFrame, words: DataFrame, depth: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """K5, K7 without scoring every passage: ``keyword_ranking``'s first ``depth`` rows, exactly, and (qid, blocks,
     read): of how many blocks with any of a question's words the passages were scored.
@@ -96,19 +127,21 @@ def pruned_topk(questions: DataFrame, blocks: DataFrame, words: DataFrame, depth
     bounds = tables.keep(bounds, "bounds")
     w = Window.partitionBy("qid").orderBy(F.desc("bound"), "block")
 
-    def scored(chosen: DataFrame) -> DataFrame:
-        """(qid, ord, keyword) of the passages of ``chosen(qid, block)``."""
-        own = chosen.join(weighed, "qid").join(blocks.select("word", "block", "items"), ["word", "block"])
+    def scored(chosen: DataFrame, name: str) -> DataFrame:
+        """(qid, ord, keyword) of the passages of ``chosen(qid, block)``. What is looked up is written, so that Spark knows
+        its size and does not exchange all blocks for a few rows; other words' blocks are left where they are in any case."""
+        known = blocks.select("word", "block", "items").join(weighed.select("word").distinct(), "word", "left_semi")
+        own = tables.keep(chosen.join(weighed, "qid"), name).join(known, ["word", "block"])
         each = own.select("qid", "idf", F.explode("items").alias("x"))
         return each.groupBy("qid", F.col("x.ord").alias("ord")).agg(F.round(F.sum(F.col("idf") * F.col("x.part")), 9).alias("keyword"))
 
     first = tables.keep(bounds.withColumn("k", F.row_number().over(w)).where(F.col("k") <= FIRST).select("qid", "block"), "first")
-    found = tables.keep(scored(first), "found")
+    found = tables.keep(scored(first, "first-words"), "found")
     known = keyword_ranking(found, depth).groupBy("qid").agg(F.count("*").alias("n"), F.min("keyword").alias("least")).where(F.col("n") == depth).select("qid", "least")
     rest = bounds.join(first, ["qid", "block"], "left_anti").join(known, "qid", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
     rest = tables.keep(rest.select("qid", "block"), "rest")
     read = bounds.groupBy("qid").agg(F.count("*").alias("blocks")).join(first.unionByName(rest).groupBy("qid").agg(F.count("*").alias("read")), "qid")
-    return keyword_ranking(found.unionByName(scored(rest)), depth), read
+    return keyword_ranking(found.unionByName(scored(rest, "rest-words")), depth), read
 
 
 def counted(rows: DataFrame, items: str, distinct: str, counts: str) -> DataFrame:

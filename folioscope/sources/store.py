@@ -121,13 +121,11 @@ def load(spark: SparkSession, path: str) -> Index:
 
 
 def word_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """The index's postings in blocks (``lexical.block_table``), written when they are first asked for."""
+    """The index's postings in blocks (``lexical.passage_blocks``), written when they are first asked for."""
     ix = load(spark, path)
     kept = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/blocks/_SUCCESS")
     if not kept.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(kept):
-        # Sorted by word inside files, so that a question's words skip most row groups.
-        rows = lexical.block_table(ix.postings, ix.avg_len).repartitionByRange("word").sortWithinPartitions("word", "block")
-        rows.write.mode("overwrite").parquet(f"{path}/blocks")
+        lexical.passage_blocks(ix.passages, ix.avg_len).write.mode("overwrite").parquet(f"{path}/blocks")
     return spark.read.parquet(f"{path}/blocks")
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -370,3 +371,36 @@ def test_whole_rankings_keep_one_table_of_pairs(spark, corpus):
     found = fusion.whole_ranking(spark.createDataFrame(questions, "qid long, question string"), index, tables)
     assert not any(tables.has(t) for t in ("scores", "by-cosine", "by-keyword")) and tables.has("by-fused")
     assert "keyword" not in found.columns and found.count() == 8 * 240
+
+
+def test_ranks_are_counted_with_ties(spark):
+    r = np.random.RandomState(3)
+    for _ in range(60):
+        n, m = r.randint(1, 50), r.randint(1, 40)
+        scores, ords = r.randint(0, 6, n) / 3.0, np.sort(r.choice(900, n, replace=False))
+        own = sorted(zip((r.randint(0, 8, m) / 3.0).tolist(), r.randint(0, 900, m).tolist(), strict=True))
+        want = [sum(x > a or (x == a and y < b) for x, y in zip(scores, ords, strict=True)) for a, b in own]
+        assert scan.before(scores, ords, np.array([a for a, _ in own]), np.array([b for _, b in own])).tolist() == want
+    # All of a block and all targets of one score: each of them was compared with the whole block when ties were counted one by one.
+    ords, keys = np.arange(4096), np.zeros(4000)
+    start = time.perf_counter()
+    for _ in range(200):
+        got = scan.before(np.zeros(4096), ords, keys, np.arange(4000))
+    assert got.tolist() == list(range(4000)) and time.perf_counter() - start < 3
+
+
+def test_blocks_are_made_without_an_exchange(spark):
+    r = random.Random(6)
+    vocabulary = [f"{a}{b}" for a in "bcdfgh" for b in ("anto", "erit", "olus")]
+    texts = [" ".join(r.choices(vocabulary, k=r.randrange(12))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, text string").repartition(3)
+    p, w, s = postings(spark, texts)
+    blocks = lexical.passage_blocks(lexical.passage_terms(df).cache(), s.avg_len, 16)
+    plan = lexical.passage_blocks(lexical.passage_terms(df.select("ord", "text").coalesce(1)), s.avg_len, 16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1  # the test's own repartition
+    asked = spark.createDataFrame([(1, "banto berit bolus"), (2, "canto nowhere"), (3, "")], "qid long, question string")
+    unfold = lambda b: rows(b.selectExpr("word", "block", "explode(items) AS x").selectExpr("word", "block", "x.ord", "round(x.part, 9)"))
+    assert unfold(blocks) == unfold(lexical.block_table(p, s.avg_len, 16)) != []
+    for depth in (1, 5, 2000):
+        got, _ = lexical.pruned_topk(asked, blocks, w, depth, Tables(spark, "pruned"))
+        assert rows(got, "qid", "ord", "keyword", "rank") == rows(lexical.keyword_ranking(lexical.keyword_scores(asked, p, w, s.avg_len), depth), "qid", "ord", "keyword", "rank") != []
