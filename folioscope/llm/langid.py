@@ -28,9 +28,10 @@ from .common import mix64
 
 DIMENSIONS = 1024
 SEED = 7
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 DISTINCT = 1 << 15  # runs bound at a time
-CELLS = 1 << 23  # of a matrix of counts
+CELLS = 1 << 22  # of a matrix of counts
+BOUND = 1 << 12  # vectors of runs that are held at once
 FEW = 2048  # runs that are not halved any more
 
 
@@ -98,10 +99,12 @@ def _add_runs(out: np.ndarray, runs: np.ndarray, owner: np.ndarray, vectors: np.
         return
     counts = np.bincount((owner - first) * len(present) + number, minlength=n * len(present)).reshape(n, len(present))
     base = len(vectors)
-    bound = np.roll(vectors[present // base**2], 2, axis=1)
-    bound *= np.roll(vectors[present // base % base], 1, axis=1)
-    bound *= vectors[present % base]
-    out[first : first + n] += counts.astype(np.float32) @ bound.astype(np.float32)
+    for at in range(0, len(present), BOUND):
+        own = present[at : at + BOUND]
+        bound = np.roll(vectors[own // base**2], 2, axis=1)
+        bound *= np.roll(vectors[own // base % base], 1, axis=1)
+        bound *= vectors[own % base]
+        out[first : first + n] += counts[:, at : at + BOUND].astype(np.float32) @ bound.astype(np.float32)
 
 
 def bundles(texts: list[np.ndarray]) -> np.ndarray:

@@ -583,3 +583,18 @@ def test_very_many_spans_in_one_text(spark):
             at = max(at, s.end)
         assert redacted[k].text == "".join(want) + t[at:] and redacted[k].n_chars == len(redacted[k].text)
     assert len(scanned[1].base) > 10_000 and sum(s.kind == 3 for s in scanned[1].found) > 3_000
+
+
+def test_language_bundles_take_little_memory_at_many_runs():
+    """A group of a million letters of a large alphabet; its vectors are bound some at a time. Sums are as by hand."""
+    r = np.random.RandomState(2)
+    text = r.randint(0x4E00, 0x4E00 + 40, 1 << 20).astype(np.uint32)
+    tracemalloc.start()
+    got = langid.bundles([text])
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 150
+    part = text[:5000]
+    v = {c: langid.letter_vectors(np.array([c]))[0].astype(int) for c in set(part.tolist())}
+    want = sum(np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in zip(part.tolist(), part[1:].tolist(), part[2:].tolist(), strict=False))
+    assert np.array_equal(langid.bundles([part])[0], want) and got.shape == (1, langid.DIMENSIONS)
