@@ -21,6 +21,12 @@ STOPWORDS = (
     "where which who why will with"
 ).split()
 
+# What the pattern (?U)\s matches.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+# The characters that compatibility composition may change, and all beyond Latin-1, some of which it changes.
+FORMS = r"[\xa0\xa8\xaa\xaf\xb2\xb3\xb4\xb5\xb8\xb9\xba\xbc\xbd\xbe\x{100}-\x{10ffff}]"
+
 NOISE_CHARS = r"(?U)^[\d\s\-–.ivxlIVXL]+$"
 
 
@@ -30,27 +36,31 @@ def _col(c: Column | str) -> Column:
 
 def fold_chars(c: Column | str) -> Column:
     """Ligatures to letters, typographic quotes and dashes to ASCII."""
-    out = _col(c)
+    t = _col(c)
+    out = t
     for bad, good in LIGATURES.items():
         out = F.replace(out, F.lit(bad), F.lit(good))
-    return F.translate(out, FOLD_FROM, FOLD_TO)
+    return F.when(F.octet_length(t) == F.length(t), t).otherwise(F.translate(out, FOLD_FROM, FOLD_TO))
 
 
 def strip(c: Column | str) -> Column:
     """T5: white space of any alphabet off both ends."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(WHITE))
 
 
 def clean(c: Column | str) -> Column:
-    """Fold, join hyphenated line ends, lines to spaces, runs of spaces to one, strip."""
-    out = F.regexp_replace(fold_chars(c), r"-\n(?=[a-z])", "")
+    """Fold, join hyphenated line ends, lines to spaces, runs of spaces to one, strip. Texts without line ends, tabs
+    and double spaces skip the patterns, which change nothing else; folding neither adds nor takes any of these."""
+    t, folded = _col(c), fold_chars(c)
+    out = F.regexp_replace(folded, r"-\n(?=[a-z])", "")
     out = F.regexp_replace(out, r"(?U)\s*\n\s*", " ")
-    return strip(F.regexp_replace(out, r"[ \t]{2,}", " "))
+    some = F.contains(t, F.lit("\n")) | F.contains(t, F.lit("\t")) | F.contains(t, F.lit("  "))
+    return strip(F.when(some, F.regexp_replace(out, r"[ \t]{2,}", " ")).otherwise(folded))
 
 
 def alpha_share(c: Column | str) -> Column:
     t = _col(c)
-    return F.length(F.regexp_replace(t, r"\P{L}", "")) / F.greatest(F.length(t), F.lit(1))
+    return F.length(F.regexp_replace(t, r"\P{L}+", "")) / F.greatest(F.length(t), F.lit(1))
 
 
 def is_noise(c: Column | str) -> Column:
@@ -83,13 +93,14 @@ def nfkc():
 
 
 def collapse(c: Column | str) -> Column:
-    return strip(F.regexp_replace(_col(c), r"(?U)\s+", " "))
+    """White space to single spaces, and off both ends; a single space is not replaced by itself."""
+    return strip(F.regexp_replace(_col(c), r"(?U)[\s&&[^ ]]\s*| \s+", " "))
 
 
 def normalise(c: Column | str) -> Column:
-    """NFKC, lower case, white space collapsed. Texts of ASCII alone skip the Python step."""
+    """NFKC, lower case, white space collapsed. Texts without ``FORMS`` skip the Python step."""
     t = _col(c)
-    plain = ~t.rlike(r"[^\x00-\x7f]")
+    plain = ~t.rlike(FORMS)
     return collapse(F.lower(F.when(plain, t).otherwise(nfkc()(F.when(~plain, t)))))
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +68,23 @@ def test_labels_and_shares(spark):
 def test_share_of_none_of_some(spark):
     df = spark.createDataFrame([(0, 12), (0, 0), (3, 12)], "m long, n long")
     assert [r.a for r in df.select(T.share("m", "n").alias("a")).collect()] == ["0 of 12 (0.0%)", "0 of 0 (0%)", "3 of 12 (25.0%)"]
+
+
+def test_skips_change_no_text(spark):
+    """Texts with every white space character, marks that compose, and signs that compatibility composition changes."""
+    r = random.Random(5)
+    signs = [*T.WHITE, *"aZ.-éß’ﬁ²ªµ½¨\u0301\u2460ſŀ中", "  ", "-\n", "\x1c", "\x00", "\u200b"]
+    texts = ["".join(r.choices(signs, k=r.randrange(9))) for _ in range(400)] + [f"{c}x{c}" for c in signs] + [chr(c) + "\u0301" for c in range(0x80, 0x180)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    t = F.col("t")
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    folded = t
+    for bad, good in T.LIGATURES.items():
+        folded = F.replace(folded, F.lit(bad), F.lit(good))
+    folded = F.translate(folded, T.FOLD_FROM, T.FOLD_TO)
+    clean = bare(F.regexp_replace(F.regexp_replace(F.regexp_replace(folded, r"-\n(?=[a-z])", ""), r"(?U)\s*\n\s*", " "), r"[ \t]{2,}", " "))
+    normal = bare(F.regexp_replace(F.lower(T.nfkc()(t)), r"(?U)\s+", " "))
+    for x in df.select("t", T.strip(t), bare(t), T.clean(t), clean, T.normalise(t), normal).toDF("t", "a", "a1", "b", "b1", "c", "c1").collect():
+        assert (x.a, x.b, x.c) == (x.a1, x.b1, x.c1), repr(x.t)
+    plain = df.sparkSession.createDataFrame([("Größe, «ça» ±1°",)], "t string").select(F.rlike("t", F.lit(T.FORMS)).alias("x"))
+    assert plain.first().x is False  # Latin-1 goes without the Python step
