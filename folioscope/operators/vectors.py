@@ -42,7 +42,7 @@ def crc_slot(word: Column, dim: int = DIM) -> Column:
 
 
 #: The numbers that slot functions take of a word, where rows are worked off in Arrow batches.
-NUMBERS = {md5_slot: lambda w: int(md5(w.encode()).hexdigest()[:8], 16), crc_slot: lambda w: zlib.crc32(w.encode())}
+NUMBERS = {md5_slot: lambda w: int.from_bytes(md5(w.encode()).digest()[:4]), crc_slot: lambda w: zlib.crc32(w.encode())}
 KNOWN = 1 << 17  # words whose numbers a task remembers
 
 

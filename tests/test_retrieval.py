@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import time
 import zlib
 
@@ -404,3 +405,26 @@ def test_blocks_are_made_without_an_exchange(spark):
     for depth in (1, 5, 2000):
         got, _ = lexical.pruned_topk(asked, blocks, w, depth, Tables(spark, "pruned"))
         assert rows(got, "qid", "ord", "keyword", "rank") == rows(lexical.keyword_ranking(lexical.keyword_scores(asked, p, w, s.avg_len), depth), "qid", "ord", "keyword", "rank") != []
+
+
+def test_scans_have_a_number_of_tasks_that_does_not_grow(spark, corpus):
+    index, _, _ = corpus
+    cores = spark.sparkContext.defaultParallelism
+    asked = scan.Asked([1], np.zeros((1, 384)), [], np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), 1.0)
+    many = index.passages.repartition(20 * cores)
+    assert scan.best(many, asked, 3, True).rdd.getNumPartitions() == scan.SCANS * cores
+    assert scan.best(many, asked, 3, True).count() <= 3 * scan.SCANS * cores
+
+
+def test_words_of_a_batch_are_those_of_each_text(spark):
+    import pyarrow as pa
+
+    r = random.Random(5)
+    signs = list("abcxyz019 ABZ \n\t_-é İKſß٣中'\0\x01") + [" the ", " of"]
+    texts = [None, "", "the of", "é", *("".join(r.choices(signs, k=r.randrange(40))) for _ in range(500))]
+    want = [[w for w in re.findall("[a-z0-9]+", (t or "").lower()) if w not in lexical.T.STOPWORDS] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["ord", "text"])
+    for at, n in ((0, 504), (3, 100), (0, 0), (1, 1)):
+        (got,) = lexical.term_batches([batch.slice(at, n)])
+        own = [{"ord": at + k, "len": len(ws), "words": sorted(set(ws)), "tfs": [ws.count(w) for w in sorted(set(ws))]} for k, ws in enumerate(want[at : at + n])]
+        assert got.to_pylist() == own
