@@ -126,10 +126,43 @@ def whole_pages(ranked: DataFrame, tables: Tables) -> DataFrame:
 Rankings = tuple[DataFrame, DataFrame | None]
 
 
+NEAR = 128  # how deep rankings are made first, where a proof may ask for more
+MARGIN = 1e-11  # fused shares are rounded to 12 digits
+
+
+def unsettled(questions: DataFrame, ranked: Rankings, index: Index, settings: Settings, depth: int, tables: Tables) -> DataFrame:
+    """(qid): the questions of which rankings of this ``depth`` may miss some of the first top k pages.
+
+    A passage beyond it in both rankings has at most 2 / (k + depth + 1). So the first pages are settled once top_k of them
+    have more, and in the dense order once top_k of them are met within ``depth``."""
+    dense, keyword = ranked
+    order = dense.select("qid", "ord", F.col("rank").alias("dense_rank"))
+    if keyword is None:
+        order, beyond = order.withColumn("fused", F.lit(1.0)), 0.0
+    else:
+        order, beyond = rrf([dense, keyword], settings.rrf_k).join(order, ["qid", "ord"]), 2.0 / (settings.rrf_k + depth + 1) + MARGIN
+    paged = tables.keep(order, "order").join(index.chunks.select("ord", "source", "page"), "ord")
+    pages = paged.groupBy("qid", "source", "page").agg(F.max("fused").alias("fused"), F.min("dense_rank").alias("dense_rank"))
+    by_question = pages.groupBy("qid").agg(F.count_if(F.col("fused") > beyond).alias("sure"), F.count_if(F.col("dense_rank") <= depth).alias("met"))
+    return questions.select("qid").join(by_question.where(F.least("sure", "met") >= settings.top_k), "qid", "left_anti")
+
+
 def ranked_for(questions: DataFrame, index: Index, settings: Settings, mode: str, distinct_pages: bool, embedder: vectors.Embedder) -> Rankings:
-    """``rankings`` as deep as a top k in this mode needs them."""
+    """``rankings`` as deep as a top k in this mode needs them.
+
+    One passage a page asks for a depth that grows with the most chunks on any page, which few questions need: rankings
+    are made ``NEAR`` deep first, and as deep as that only for the questions that these leave ``unsettled``."""
     depth = depth_for(settings.top_k, distinct_pages, index.page_chunks, settings.rrf_k)
-    return rankings(questions, index, depth, mode == "hybrid", embedder)
+    near = max(NEAR, depth_for(settings.top_k, False, 1, settings.rrf_k))
+    if depth <= near or index.n <= near:
+        return rankings(questions, index, depth, mode == "hybrid", embedder)
+    first = rankings(questions, index, near, mode == "hybrid", embedder)
+    tables = Tables(questions.sparkSession, "unsettled")
+    left = tables.keep(unsettled(questions, first, index, settings, near, tables), "left")
+    if left.isEmpty():
+        return first
+    rest = rankings(questions.join(left, "qid", "left_semi"), index, depth, mode == "hybrid", embedder)
+    return tuple(a if a is None else a.join(left, "qid", "left_anti").unionByName(b) for a, b in zip(first, rest, strict=True))
 
 
 def hits(ranked: Rankings, index: Index, settings: Settings, mode: str, distinct_pages: bool) -> DataFrame:

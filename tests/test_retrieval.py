@@ -407,6 +407,33 @@ def test_blocks_are_made_without_an_exchange(spark):
         assert rows(got, "qid", "ord", "keyword", "rank") == rows(lexical.keyword_ranking(lexical.keyword_scores(asked, p, w, s.avg_len), depth), "qid", "ord", "keyword", "rank") != []
 
 
+def test_only_unsettled_questions_are_ranked_as_deep_as_the_longest_page(spark, corpus, monkeypatch, tmp_path):
+    """One page has 90 passages that all suit the first question; the others meet five pages at once."""
+    _, questions, _ = corpus
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(120)]
+    texts = [("a.pdf", 1, k, " ".join(["alpha", "beta", *r.choices(vocabulary, k=r.randrange(6))])) for k in range(90)]
+    texts += [(f"d{k}.pdf", 1 + k % 2, 0, " ".join(r.choices(vocabulary, k=20) + ["alpha"] * (k % 3 == 0))) for k in range(150)]
+    chunks = spark.createDataFrame([(f"{s}::p{p}::c{i}", s[:-4], s, p, i, t) for s, p, i, t in texts], "chunk_id string, doc_id string, source string, page int, i int, text string")
+    store.build(chunks, f"file://{tmp_path}/long")
+    index = store.load(spark, f"file://{tmp_path}/long")
+    asked = [(1, "alpha beta"), *((q + 10, t) for q, t in questions[:4])]
+    monkeypatch.setattr(fusion, "NEAR", 1)
+    made, plain = [], fusion.rankings
+
+    def noted(questions, index, depth, *rest):
+        made.append((depth, sorted(x.qid for x in questions.collect())))
+        return plain(questions, index, depth, *rest)
+
+    monkeypatch.setattr(fusion, "rankings", noted)
+    for mode in ("hybrid", "dense"):
+        got = fusion.retrieve(spark.createDataFrame(asked, "qid long, question string"), index, mode=mode).collect()
+        assert {x.qid: [h.chunk_id for h in x.hits] for x in got} == brute(index, asked, 5, mode, True)
+        (near, every), (deep, few) = made
+        assert near < 90 < deep == fusion.depth_for(5, True, index.page_chunks) and every == [q for q, _ in asked] and 1 in few and len(few) < len(every)
+        made.clear()
+
+
 def test_scans_have_a_number_of_tasks_that_does_not_grow(spark, corpus):
     index, _, _ = corpus
     cores = spark.sparkContext.defaultParallelism
