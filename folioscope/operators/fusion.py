@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import Settings
 from ..sources.workspace import Tables
-from . import scan, vectors
+from . import scan, vectors, whole
 
 MODES = ("dense", "hybrid")
 
@@ -92,28 +92,37 @@ def rankings(questions: DataFrame, index: Index, depth: int, hybrid: bool, embed
 
 
 def whole_ranking(questions: DataFrame, index: Index, tables: Tables, k: int = 60, embedder: vectors.Embedder | None = None) -> DataFrame:
-    """R1, R2 over all passages: (qid, ord, cosine, dense_rank, fused, rank), every passage for every question.
+    """R1, R2 over all passages: (qid, ord, dense_rank, fused, rank), every passage for every question.
 
-    For a stated list of questions: the result has a row for each pair. Questions are scored in blocks, and every rank
-    comes from range partitions and counts (``scan.placed``), so neither a question nor a ranking is in one task. A pair
-    carries its scores through the three rankings, so that rankings are not joined; a table goes when the next is written."""
+    For a stated list of questions: the result has a row for each pair. Questions are scored in blocks, and their pairs go
+    packed through the three rankings (``whole``), so neither a question nor a ranking is in one task."""
+    _write_pieces(questions, index, tables, k, embedder, None)
+    return whole.ranking(tables, "by-fused")
+
+
+def whole_page_ranking(questions: DataFrame, index: Index, tables: Tables, k: int = 60, embedder: vectors.Embedder | None = None) -> DataFrame:
+    """R4 over all passages: (qid, rank, ord, source, page), each page's first of ``whole_ranking``, ranked anew."""
+    slices = whole.Slices(index.chunks.select("ord", "source", "page"), tables)
+    _write_pieces(questions, index, tables, k, embedder, slices)
+    return whole.paged(tables, "by-fused", slices)
+
+
+def _write_pieces(questions: DataFrame, index: Index, tables: Tables, k: int, embedder: vectors.Embedder | None, slices: whole.Slices | None) -> None:
+    """The table by-fused: all pairs of the questions, or with ``slices`` each page's first, by fused score."""
     spark = questions.sparkSession
     embedder = embedder or vectors.HashedWords(dim=index.dim)
     embedded = embedder.embed(questions.select(F.col("qid").alias("id"), F.col("question").alias("text")))
-    tables.keep(spark.createDataFrame([], scan.SCORES), "scores")
+    tables.keep(spark.createDataFrame([], whole.PIECES), "by-fused")
     for qids, matrix in vectors.question_blocks(embedded, index.dim):
-        tables.keep(scan.scores(index.passages, scan.ask(questions, index.words, qids, matrix, index.avg_len)), "scores", "append")
-    scores = spark.read.schema(scan.SCORES).parquet(tables.path("scores"))
-    dense = scan.placed(scores, [F.desc("cosine"), F.col("ord")], tables, "by-cosine").withColumnRenamed("rank", "dense_rank")
-    tables.remove("scores")
-    keyword = scan.placed(dense.where("keyword > 0"), [F.desc("keyword"), F.col("ord")], tables, "by-keyword")
-    both = keyword.unionByName(dense.where("keyword <= 0").withColumn("rank", F.lit(None).cast("long")))
-    share = lambda rank: 1.0 / (F.lit(k) + F.col(rank))
-    both = both.withColumn("fused", F.round(share("dense_rank") + F.coalesce(share("rank"), F.lit(0.0)), 12)).drop("keyword", "rank")
-    found = scan.placed(both, [F.desc("fused"), F.col("dense_rank")], tables, "by-fused")
-    for name in ("by-cosine", "by-keyword"):
-        tables.remove(name)
-    return found
+        asked = scan.ask(questions, index.words, qids, matrix, index.avg_len)
+        marks = whole.bounds(index.passages, asked, index.n, k)
+        bases = whole.counted(index.passages, asked, marks)
+        if slices is None:
+            pieces = whole.fused_pieces(index.passages, asked, marks, bases, k, partial(whole.to_fused, marks))
+        else:
+            found = whole.fused_pieces(index.passages, asked, marks, bases, k, partial(whole.to_slices, slices.starts))
+            pieces = whole.first_of_pages(slices.beside(found, spark.createDataFrame([(q,) for q in qids], "qid long")), marks)
+        tables.keep(pieces, "by-fused", "append")
 
 
 def whole_pages(ranked: DataFrame, tables: Tables) -> DataFrame:

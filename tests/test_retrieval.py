@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import answers, chunking, clusters, fusion, lexical, scan, vectors
+from folioscope.operators import answers, chunking, clusters, fusion, lexical, scan, vectors, whole
 from folioscope.settings import Settings
 from folioscope.sources import store
 from folioscope.sources.workspace import Tables
@@ -374,6 +374,42 @@ def test_whole_rankings_keep_one_table_of_pairs(spark, corpus):
     assert "keyword" not in found.columns and found.count() == 8 * 240
 
 
+@pytest.fixture(scope="module")
+def tied(spark, tmp_path_factory):
+    """Pages of one to five chunks, most of them copies: very many ties of either score."""
+    r = random.Random(8)
+    kinds = ["alpha beta gamma", "beta delta", "none of them here", "alpha alpha omega"]
+    rows_ = [(f"d{p // 7}.pdf", 1 + p % 7, i, r.choice(kinds) if r.random() < 0.9 else f"alpha w{p} x{i} beta") for p in range(90) for i in range(1 + p % 5)]
+    chunks = spark.createDataFrame([(f"{s}::p{p}::c{i}", s[:-4], s, p, i, t) for s, p, i, t in rows_], "chunk_id string, doc_id string, source string, page int, i int, text string")
+    path = f"file://{tmp_path_factory.mktemp('tied')}"
+    store.build(chunks, path)
+    return store.load(spark, path), [(3, "alpha beta"), (1, "delta delta"), (2, "unknown"), (9, "omega here w12")]
+
+
+def test_whole_ranking_in_many_buckets_stores_pieces(spark, tied, monkeypatch):
+    """A row for each pair was written and exchanged for each of three rankings."""
+    index, questions = tied
+    monkeypatch.setattr(whole, "BUCKET", 32)
+    tables = Tables(spark, "whole")
+    got = {}
+    for x in fusion.whole_ranking(spark.createDataFrame(questions, "qid long, question string"), index, tables).collect():
+        got.setdefault(x.qid, {})[x["rank"]] = x.ord
+    names = {c.ord: c.chunk_id for c in index.chunks.collect()}
+    assert {q: [names[own[k]] for k in range(1, index.n + 1)] for q, own in got.items()} == brute(index, questions, index.n, "hybrid", False)
+    pieces = spark.read.parquet(tables.path("by-fused"))
+    assert pieces.agg(F.sum("n")).first()[0] == 4 * index.n > 4 * pieces.count() and pieces.select("bucket").distinct().count() > 3
+
+
+def test_pieces_and_shares_are_exact():
+    r = np.random.RandomState(2)
+    for n in (1, 2, 1000):
+        columns = np.sort(r.randint(-(2**40), 2**40, n)), r.randint(0, 300, n), np.zeros(n, np.int64), -r.randint(0, 2**55, n)
+        assert all((a == b).all() for a, b in zip(columns, whole.unpack(whole.pack(*columns), n), strict=True))
+    assert whole.fused_key(np.array([8132, 1]), None, 60).tolist() == [-122070313, -16393442623]  # 1 / 8192 lies half way
+    first, second = np.array([1, 2, 2, 2, 5]), np.array([7, 0, 4, 9, 1])
+    assert whole.cuts(first, second, ([2, 2, 4], [4, 5, 0])) == [0, 2, 3, 4, 5]
+
+
 def test_ranks_are_counted_with_ties(spark):
     r = np.random.RandomState(3)
     for _ in range(60):
